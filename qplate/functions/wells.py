@@ -17,7 +17,7 @@ def pos_row(pos: Column) -> Column:
 
 def pos_column(pos: Column) -> Column:
     """Column number of a well position (``"B12"`` -> 12); NULL when malformed."""
-    return F.try_cast(F.regexp_extract(pos, _POS_RE, 2), "int")
+    return F.regexp_extract(pos, _POS_RE, 2).try_cast("int")
 
 
 def well_index(pos: Column, plate_cols: int = 24) -> Column:

@@ -187,6 +187,89 @@ ts AS (
 tbeta_src AS (SELECT zscoring_group, Gene, dof / 2 AS a, 0.5 AS b, dof / (dof + t * t) AS x FROM ts WHERE test_status = 'ok')"""
 
 
+RAW_WELLS = """
+rawwells AS (
+  SELECT 'plate_' || CAST(event_id // 384 AS VARCHAR) AS file_name,
+         chr(CAST(65 + (event_id % 384) // 24 AS INTEGER)) || CAST((event_id % 384) % 24 + 1 AS VARCHAR) AS Pos,
+         event_id AS well_ord,
+         CASE WHEN value < 1 THEN NULL ELSE CAST(20 AS DOUBLE) + value / 20 END AS Cp
+  FROM events)"""
+
+
+def _pieces_sql(x: str, sep: str = ",") -> str:
+    return (f"(CASE WHEN {x} IS NULL THEN [NULL]::VARCHAR[] WHEN {x} = '' THEN []::VARCHAR[] "
+            f"WHEN ends_with({x}, '{sep}') THEN string_split(left({x}, length({x}) - 1), '{sep}') "
+            f"ELSE string_split({x}, '{sep}') END)")
+
+
+def _int_sql(t: str) -> str:
+    return f"TRY_CAST(trunc(TRY_CAST(trim({t}) AS DOUBLE)) AS INTEGER)"
+
+
+def _expand_sql(sheet: str, value: str, name: str) -> str:
+    ends = _pieces_sql("tok", "-")
+    a, b = _int_sql(f"{ends}[1]"), _int_sql(f"{ends}[2]")
+    return f"""
+{name}_r AS (
+  SELECT file_name, {value} AS v, sheet_ord, cols, unnest({_pieces_sql('rows')}) AS rtok,
+         generate_subscripts({_pieces_sql('rows')}, 1) AS ri FROM {sheet}),
+{name}_t AS (
+  SELECT *, unnest({_pieces_sql('cols')}) AS tok, generate_subscripts({_pieces_sql('cols')}, 1) AS ti FROM {name}_r),
+{name}_n AS (
+  SELECT *, CASE WHEN contains(tok, '-') THEN
+              (CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL
+                    WHEN {a} <= {b} THEN generate_series({a}, {b}) ELSE generate_series({a}, {b}, -1) END)
+            ELSE [CAST({_int_sql('tok')} AS BIGINT)] END AS nums FROM {name}_t),
+{name} AS (
+  SELECT file_name, v, coalesce(rtok, 'NA') || coalesce(CAST(c AS VARCHAR), 'NA') AS Pos, sheet_ord, ri, ti, ci
+  FROM (SELECT *, unnest(nums) AS c, generate_subscripts(nums, 1) AS ci FROM {name}_n))"""
+
+
+def _rows_sql(key: str, options: tuple[str, ...]) -> str:
+    whens = " ".join(f"WHEN {i} THEN '{o}'" for i, o in enumerate(options[:-1]))
+    return f"CASE {key} {whens} ELSE '{options[-1]}' END"
+
+
+def _sheet_ctes() -> list[str]:
+    from qplate.sources.driver_tables import GENE_COLS, GENE_ROWS, REGION_COLS, REGION_ORD_OFFSET, REGION_ROWS
+    gs = f"""
+gsheet AS (
+  SELECT 'plate_' || CAST(n_nationkey AS VARCHAR) AS file_name, {_rows_sql('n_nationkey % 4', GENE_ROWS)} AS rows,
+         {_rows_sql('n_nationkey % 5', GENE_COLS)} AS cols, n_name AS gene, CAST(n_nationkey AS BIGINT) AS sheet_ord
+  FROM nation
+  UNION ALL
+  SELECT 'plate_' || CAST(r_regionkey AS VARCHAR), '{REGION_ROWS}', '{REGION_COLS}', r_name,
+         CAST(r_regionkey + {REGION_ORD_OFFSET} AS BIGINT) FROM region)"""
+    ss = """
+ssheet AS (
+  SELECT 'plate_' || CAST(c_custkey // 16 AS VARCHAR) AS file_name, chr(CAST(65 + c_custkey % 16 AS INTEGER)) AS rows,
+         '1-24' AS cols,
+         'C' || CAST(c_custkey AS VARCHAR) || '.' ||
+           CASE WHEN c_mktsegment = 'BUILDING' THEN 'x' ELSE CAST(c_nationkey % 3 AS VARCHAR) END AS sample,
+         CAST(c_custkey AS BIGINT) AS sheet_ord
+  FROM customer)"""
+    meta = """
+meta AS (
+  SELECT 'C' || CAST(c_custkey AS VARCHAR) || '.' || CAST(c_nationkey % 3 AS VARCHAR) AS replicate_name,
+         'C' || CAST(c_custkey AS VARCHAR) AS sample_name, c_mktsegment AS zscoring_group,
+         CASE WHEN c_acctbal >= 5000 THEN 'high' ELSE 'low' END AS testing_group
+  FROM customer
+  UNION ALL
+  SELECT 'C' || CAST(s_suppkey AS VARCHAR) || '.' || CAST(s_nationkey % 3 AS VARCHAR), 'S' || CAST(s_suppkey AS VARCHAR),
+         'SUPPLIER', 'low'
+  FROM supplier)"""
+    look = """
+gfirst AS (SELECT file_name, Pos, v AS Gene FROM (
+  SELECT *, row_number() OVER (PARTITION BY file_name, Pos ORDER BY sheet_ord, ri, ti, ci) AS rn FROM gexp) WHERE rn = 1),
+sfirst AS (SELECT file_name, Pos, v AS replicate_name FROM (
+  SELECT *, row_number() OVER (PARTITION BY file_name, Pos ORDER BY sheet_ord, ri, ti, ci) AS rn FROM sexp) WHERE rn = 1),
+attached AS (
+  SELECT w.*, g.Gene, s.replicate_name FROM rawwells w
+  LEFT JOIN gfirst g ON g.file_name = w.file_name AND g.Pos = w.Pos
+  LEFT JOIN sfirst s ON s.file_name = w.file_name AND s.Pos = w.Pos)"""
+    return [RAW_WELLS, gs, ss, meta, _expand_sql("gsheet", "gene", "gexp"), _expand_sql("ssheet", "sample", "sexp"), look]
+
+
 def _wrap(ctes: list[str], select: str) -> str:
     return "WITH RECURSIVE " + ",".join(ctes) + "\n" + select
 
@@ -200,6 +283,19 @@ def oracles() -> dict[str, str]:
     summ = bio + [SUMMARY]
     welch = summ + [WELCH, _betai_cte("tbeta_src", "zscoring_group, Gene", "a", "b", "x", "tbeta")]
     out: dict[str, str] = {}
+    sheets = _sheet_ctes()
+    out["layout_expand"] = _wrap(sheets, """
+SELECT file_name || '_' || Pos AS id_of_col, file_name, v AS gene, Pos FROM gexp""")
+    out["annotate_first_match"] = _wrap(sheets, f"""
+SELECT a.file_name, a.Pos, a.well_ord, {rs('a.Cp')} AS Cp, a.Gene,
+       CASE WHEN a.Gene IN ('NATION_1') THEN 'HK' ELSE 'Normal' END AS type_of_gene,
+       a.replicate_name, m.sample_name, m.zscoring_group, m.testing_group
+FROM attached a JOIN meta m ON m.replicate_name = a.replicate_name""")
+    out["unmatched_wells"] = _wrap(sheets, """
+SELECT file_name, Pos, Gene, replicate_name, 'no_replicate' AS reason FROM attached WHERE replicate_name IS NULL
+UNION ALL
+SELECT file_name, Pos, Gene, replicate_name, 'no_metadata' FROM attached a
+WHERE replicate_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM meta m WHERE m.replicate_name = a.replicate_name)""")
     out["hk_failed_drop"] = _wrap(base, f"""
 SELECT file_name, Pos, replicate_name, Gene, type_of_gene, {rs('Cp')} AS Cp, 'good' AS good_replicate
 FROM wells w WHERE replicate_name IS NOT NULL

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from qplate.operators.outliers import loo_outliers
 from qplate.operators.replicate_qc import comparison_strings, drop_failed_replicates, fill_undetected, technical_qc_values
 from qplate.operators.significance import two_group_test
 from qplate.operators.summary import sample_summary, zscore
+from qplate.session import ensure_checkpoint_dir
 
 GROUP = ["replicate_name", "Gene"]
 CARRY = ("file_name", "Pos", "sample_name", "zscoring_group", "testing_group", "type_of_gene")
@@ -82,18 +84,36 @@ def statistics_table(bio_qc: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     return two_group_test(good, ("zscoring_group", "Gene"), "normalized_expression", "testing_group", cfg.test_type)
 
 
-def analyse(wells: DataFrame, cfg: AnalysisConfig | None = None) -> Analysis:
+def materialize(df: DataFrame, mode: str) -> DataFrame:
+    """Pin an intermediate that several branches consume.
+
+    ``checkpoint``: reliable checkpoint into the cluster's ``spark.checkpoint.dir``
+    (cuts lineage; a lost executor does not replay the upstream plan).
+    ``cache``: MEMORY_AND_DISK persist.  ``none``: stay lazy.
+    """
+    if mode == "checkpoint":
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    if mode == "cache":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
+
+
+def analyse(wells: DataFrame, cfg: AnalysisConfig | None = None, pin: str = "checkpoint") -> Analysis:
     """Full analysis of annotated wells.
 
     ``wells`` columns: file_name, Pos, well_ord (arrival ordinal), replicate_name,
     sample_name, zscoring_group, testing_group, Gene, type_of_gene, Cp.
+    ``pin`` decides how the shared intermediates (value-level QC table and
+    per-group table, both far smaller than the wells) are materialized.
     """
     cfg = cfg or AnalysisConfig()
     w = prepare_wells(wells, cfg)
-    qv = technical_qc_values(w, cfg.tolerance, cfg.keep_slack, GROUP, "Cp", cfg.chunk_width, carry=CARRY)
-    groups = group_expression(qv, GROUP)
-    bio = loo_outliers(bio_table(groups), ("sample_name", "Gene"), "normalized_expression", cfg.dispersion,
-                       ("replicate_name", "well_ord"), cfg.loo_chunk_rows)
+    qv = materialize(technical_qc_values(w, cfg.tolerance, cfg.keep_slack, GROUP, "Cp", cfg.chunk_width,
+                                         carry=CARRY), pin)
+    groups = materialize(group_expression(qv, GROUP), pin)
+    bio = materialize(loo_outliers(bio_table(groups), ("sample_name", "Gene"), "normalized_expression",
+                                   cfg.dispersion, ("replicate_name", "well_ord"), cfg.loo_chunk_rows), pin)
     summary = summarise_samples(bio)
     stats = statistics_table(bio, cfg)
     return Analysis(w, qv, groups, bio, summary, stats, cfg)

@@ -21,7 +21,17 @@ from qplate.operators.replicate_qc import (
 )
 from qplate.plans.compare import for_compare
 from qplate.plans.pipeline import GROUP, analyse, prepare_wells
-from qplate.sources.driver_tables import EVENT_HK_GENES, load_table, wells_from_events
+from qplate.operators.layout import annotate_wells, expand_layout, unmatched_wells
+from qplate.sources.driver_tables import (
+    EVENT_HK_GENES,
+    LAYOUT_HK_GENES,
+    gene_sheet,
+    load_table,
+    metadata_table,
+    raw_wells_from_events,
+    sample_sheet,
+    wells_from_events,
+)
 
 # Parameters of the event-table mapping: tolerance 2.0 exercises every keep branch on this data.
 EVENT_CFG = AnalysisConfig(hk_genes=EVENT_HK_GENES, tolerance=2.0)
@@ -113,7 +123,33 @@ def q_welch_test(spark, sf_dir):
     return for_compare(a.statistics)
 
 
+def _sheets(spark, sf_dir):
+    t = lambda n: load_table(spark, sf_dir, n)
+    return (raw_wells_from_events(t("events")), gene_sheet(t("nation"), t("region")), sample_sheet(t("customer")),
+            metadata_table(t("customer"), t("supplier")))
+
+
+def q_layout_expand(spark, sf_dir):
+    _, genes, _, _ = _sheets(spark, sf_dir)
+    return expand_layout(genes, "gene").select("id_of_col", "file_name", "gene", "Pos")
+
+
+def q_annotate_first_match(spark, sf_dir):
+    wells, genes, samples, meta = _sheets(spark, sf_dir)
+    out = annotate_wells(wells, genes, samples, meta, LAYOUT_HK_GENES)
+    return for_compare(out.select("file_name", "Pos", "well_ord", "Cp", "Gene", "type_of_gene", "replicate_name",
+                                  "sample_name", "zscoring_group", "testing_group"))
+
+
+def q_unmatched_wells(spark, sf_dir):
+    wells, genes, samples, meta = _sheets(spark, sf_dir)
+    return unmatched_wells(wells, genes, samples, meta).select("file_name", "Pos", "Gene", "replicate_name", "reason")
+
+
 REGISTRY: dict[str, Query] = {
+    "layout_expand": q_layout_expand,
+    "annotate_first_match": q_annotate_first_match,
+    "unmatched_wells": q_unmatched_wells,
     "hk_failed_drop": q_hk_failed_drop,
     "hk_failed_flag": q_hk_failed_flag,
     "fill_undetected": q_fill_undetected,

@@ -61,3 +61,59 @@ def wells_from_events(events: DataFrame, hk_genes: Iterable[str] = EVENT_HK_GENE
         hk_type(F.col("event_type"), hk_genes).alias("type_of_gene"),
         F.when(F.col("value") < 1, F.lit(None).cast("double")).otherwise(F.lit(20.0) + F.col("value") / 20).alias("Cp"),
     )
+
+
+# ---- layout sheets and metadata derived from the dimension tables -------------------------------
+# Fixed sheet texts (exercise ranges, descending ranges, trailing commas, empty and bad tokens).
+GENE_ROWS = ("A,B,C,D,E,F,G,H", "I,J,K,L,M,N,O,P,", "A,,B,C,D,E,F,G,H,I,J,K,L,M,N,O,P", "P,O,N,M,L,K,J,I,H,G,F,E,D,C,B,A")
+GENE_COLS = ("1-24", "24-1", "1-12,13,x,14-24", "1-6,7-12,", " 3,1-2,4-24")
+REGION_ROWS, REGION_COLS, REGION_ORD_OFFSET = "A,B,C,D", "1-24", 100
+LAYOUT_HK_GENES = ("NATION_1",)
+
+
+def _pick(key: F.Column, options: tuple[str, ...]) -> F.Column:
+    expr = F.lit(options[-1])
+    for i in reversed(range(len(options) - 1)):
+        expr = F.when(key == i, F.lit(options[i])).otherwise(expr)
+    return expr
+
+
+def gene_sheet(nation: DataFrame, region: DataFrame) -> DataFrame:
+    """Gene layout: one block per nation on plate_<nationkey>, then overlapping region blocks (later sheet rows)."""
+    k = F.col("n_nationkey")
+    n = nation.select(F.concat(F.lit("plate_"), k.cast("string")).alias("file_name"),
+                      _pick(F.pmod(k, F.lit(4)), GENE_ROWS).alias("rows"),
+                      _pick(F.pmod(k, F.lit(5)), GENE_COLS).alias("cols"),
+                      F.col("n_name").alias("gene"), k.cast("long").alias("sheet_ord"))
+    r = region.select(F.concat(F.lit("plate_"), F.col("r_regionkey").cast("string")).alias("file_name"),
+                      F.lit(REGION_ROWS).alias("rows"), F.lit(REGION_COLS).alias("cols"),
+                      F.col("r_name").alias("gene"),
+                      (F.col("r_regionkey") + REGION_ORD_OFFSET).cast("long").alias("sheet_ord"))
+    return n.unionByName(r)
+
+
+def sample_sheet(customer: DataFrame) -> DataFrame:
+    """Sample layout: customer c fills row (c mod 16) of plate_(c div 16); BUILDING customers get an
+    unlisted replicate suffix (their wells have no metadata)."""
+    c = F.col("c_custkey")
+    suffix = F.when(F.col("c_mktsegment") == "BUILDING", F.lit("x")).otherwise(F.pmod(F.col("c_nationkey"), F.lit(3)).cast("string"))
+    return customer.select(F.concat(F.lit("plate_"), F.floor(c / 16).cast("string")).alias("file_name"),
+                           F.char(F.lit(65) + F.pmod(c, F.lit(16))).alias("rows"), F.lit("1-24").alias("cols"),
+                           F.concat(F.lit("C"), c.cast("string"), F.lit("."), suffix).alias("sample"),
+                           c.cast("long").alias("sheet_ord"))
+
+
+def metadata_table(customer: DataFrame, supplier: DataFrame) -> DataFrame:
+    """Replicate metadata from customers, plus supplier rows that repeat some keys (fan-out)."""
+    cust = customer.select(
+        F.concat(F.lit("C"), F.col("c_custkey").cast("string"), F.lit("."),
+                 F.pmod(F.col("c_nationkey"), F.lit(3)).cast("string")).alias("replicate_name"),
+        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("sample_name"),
+        F.col("c_mktsegment").alias("zscoring_group"),
+        F.when(F.col("c_acctbal") >= 5000, F.lit("high")).otherwise(F.lit("low")).alias("testing_group"))
+    sup = supplier.select(
+        F.concat(F.lit("C"), F.col("s_suppkey").cast("string"), F.lit("."),
+                 F.pmod(F.col("s_nationkey"), F.lit(3)).cast("string")).alias("replicate_name"),
+        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("sample_name"),
+        F.lit("SUPPLIER").alias("zscoring_group"), F.lit("low").alias("testing_group"))
+    return cust.unionByName(sup)

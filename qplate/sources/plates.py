@@ -26,7 +26,7 @@ _ORD_STRIDE = 1 << 12
 
 def _decimal_comma(c: F.Column) -> F.Column:
     txt = F.trim(F.regexp_replace(c, "\r", ""))
-    return F.try_cast(F.regexp_replace(F.when(txt != "", txt), ",", "."), "double")
+    return F.regexp_replace(F.when(txt != "", txt), ",", ".").try_cast("double")
 
 
 def read_plates(spark: SparkSession, paths: str | Sequence[str], plate_cols: int = 24) -> DataFrame:
@@ -59,7 +59,7 @@ def read_plates(spark: SparkSession, paths: str | Sequence[str], plate_cols: int
         F.trim(F.col("Pos")).alias("Pos"),
         _decimal_comma(F.col("Cp")).alias("Cp"),
         F.trim(F.col("Include")).alias("Include"),
-        F.try_cast(F.trim(F.col("Color")), "long").alias("Color"),
+        F.trim(F.col("Color")).try_cast("long").alias("Color"),
         F.col("Name"),
         F.regexp_replace(F.col("Status"), "\r", "").alias("Status"),
         (plate_ord if plate_ord is not None else F.lit(None).cast("int")).alias("plate_ord"),
