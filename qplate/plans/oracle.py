@@ -270,6 +270,80 @@ attached AS (
     return [RAW_WELLS, gs, ss, meta, _expand_sql("gsheet", "gene", "gexp"), _expand_sql("ssheet", "sample", "sexp"), look]
 
 
+def _gammq_cte(src: str, key_cols: str, a: str, x: str, name: str = "gammq") -> str:
+    """CTE ``name``(keys..., q) = regularized upper incomplete gamma Q(a, x) for x > 0
+    (series below a + 1, Lentz continued fraction above; 300 steps)."""
+    keys = [k.strip() for k in key_cols.split(",")]
+    kl = ", ".join(keys)
+    kj = " AND ".join(f"r.{k} IS NOT DISTINCT FROM p.{k}" for k in keys)
+    return f"""
+{name}_p AS (
+  SELECT {kl}, CAST({a} AS DOUBLE) AS a, CAST({x} AS DOUBLE) AS x,
+         exp(-CAST({x} AS DOUBLE) + CAST({a} AS DOUBLE) * ln(CAST({x} AS DOUBLE)) - lgamma(CAST({a} AS DOUBLE))) AS front
+  FROM {src} WHERE {x} > 0),
+{name}_it AS (
+  SELECT {kl}, 0 AS i, a AS ap, 1.0 / a AS del, 1.0 / a AS sm,
+         x + 1 - a AS b, 1e300 AS c, 1.0 / (x + 1 - a) AS d, 1.0 / (x + 1 - a) AS h
+  FROM {name}_p
+  UNION ALL
+  SELECT {", ".join("r." + k for k in keys)}, r.i + 1, r.ap + 1, r.del * p.x / (r.ap + 1), r.sm + r.del * p.x / (r.ap + 1),
+         r.b + 2, s.c2, s.d2, r.h * s.d2 * s.c2
+  FROM {name}_it r JOIN {name}_p p ON {kj},
+  LATERAL (
+    SELECT CASE WHEN abs((r.b + 2) + an / r.c) < 1e-300 THEN 1e-300 ELSE (r.b + 2) + an / r.c END AS c2,
+           1.0 / (CASE WHEN abs(an * r.d + (r.b + 2)) < 1e-300 THEN 1e-300 ELSE an * r.d + (r.b + 2) END) AS d2
+    FROM (SELECT -(r.i + 1) * ((r.i + 1) - p.a) AS an)
+  ) s
+  WHERE r.i < 300),
+{name} AS (
+  SELECT {", ".join("p." + k for k in keys)},
+         CASE WHEN p.x < p.a + 1 THEN 1 - it.sm * p.front ELSE p.front * it.h END AS q
+  FROM {name}_p p JOIN {name}_it it ON {" AND ".join(f"it.{k} IS NOT DISTINCT FROM p.{k}" for k in keys)} AND it.i = 300)"""
+
+
+RANKSUM = """
+rk AS (
+  SELECT zscoring_group, Gene, testing_group, x,
+         rank() OVER (PARTITION BY zscoring_group, Gene ORDER BY x)
+           + (count(*) OVER (PARTITION BY zscoring_group, Gene, x) - 1) / 2.0 AS r
+  FROM tin WHERE testing_group IS NOT NULL AND x IS NOT NULL),
+rties AS (
+  SELECT zscoring_group, Gene, sum(t * t * t - t) AS ties, max(t) AS tmax FROM (
+    SELECT zscoring_group, Gene, x, count(*) AS t FROM rk GROUP BY ALL) GROUP BY ALL),
+rw AS (
+  SELECT s.zscoring_group, s.Gene, s.na, s.nb, s.n_groups, s.total_rows, s.n_levels,
+         (SELECT sum(k.r) FROM rk k JOIN tl l ON l.zscoring_group = k.zscoring_group AND l.Gene IS NOT DISTINCT FROM k.Gene
+            AND l.lv = 1 AND l.testing_group = k.testing_group
+          WHERE k.zscoring_group = s.zscoring_group AND k.Gene IS NOT DISTINCT FROM s.Gene) - s.na * (s.na + 1) / 2.0 AS w,
+         t.ties, t.tmax
+  FROM tw s LEFT JOIN rties t ON t.zscoring_group = s.zscoring_group AND t.Gene IS NOT DISTINCT FROM s.Gene),
+rm AS (
+  SELECT *, CASE WHEN na < 50 AND nb < 50 AND tmax <= 1 THEN 'exact' ELSE 'normal' END AS method,
+         sqrt((CAST(na AS DOUBLE) * nb / 12.0) * ((na + nb + 1) - ties / (CAST(na + nb AS DOUBLE) * (na + nb - 1)))) AS sigma
+  FROM rw),
+rz AS (
+  SELECT *, CASE WHEN n_groups < 2 OR total_rows < 2 THEN 'insufficient_data'
+                 WHEN n_levels <> 2 THEN 'not_two_groups'
+                 WHEN method = 'normal' AND (sigma = 0 OR sigma IS NULL) THEN 'constant_data'
+                 ELSE 'ok' END AS test_status,
+            ((w - na * nb / 2.0) - sign(w - na * nb / 2.0) * 0.5) / sigma AS z
+  FROM rm),
+gsrc AS (SELECT zscoring_group, Gene, 0.5 AS a, z * z / 2.0 AS x FROM rz WHERE test_status = 'ok' AND method = 'normal'),
+wx_pairs AS (SELECT DISTINCT CAST(na AS BIGINT) AS m, CAST(nb AS BIGINT) AS n FROM rz WHERE test_status = 'ok' AND method = 'exact'),
+wx AS (
+  SELECT m, n, 0 AS t,
+         list_transform(range(0, m + 1), lambda k: list_transform(range(0, m * n + 1),
+           lambda w: CASE WHEN k = 0 AND w = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS st
+  FROM wx_pairs
+  UNION ALL
+  SELECT m, n, t + 1,
+         list_transform(range(0, m + 1), lambda k: list_transform(range(0, m * n + 1), lambda w:
+             st[k + 1][w + 1] + CASE WHEN k >= 1 AND t + 1 - k BETWEEN 0 AND n AND w - (t + 1 - k) >= 0
+                                     THEN st[k][w - (t + 1 - k) + 1] ELSE 0.0 END))
+  FROM wx WHERE t < m + n),
+wdist AS (SELECT m, n, st[m + 1] AS dist FROM wx WHERE t = m + n)"""
+
+
 def _wrap(ctes: list[str], select: str) -> str:
     return "WITH RECURSIVE " + ",".join(ctes) + "\n" + select
 
@@ -377,4 +451,16 @@ LEFT JOIN zs z ON z.file_name = w.file_name AND z.Pos = w.Pos""")
     out["welch_test"] = _wrap(welch, f"""
 SELECT s.zscoring_group, s.Gene, {rs('CASE WHEN s.test_status = ' + "'ok'" + ' THEN b.ibeta END')} AS pvalue, s.test_status
 FROM ts s LEFT JOIN tbeta b ON b.zscoring_group = s.zscoring_group AND b.Gene IS NOT DISTINCT FROM s.Gene""")
+    rank = summ + [WELCH, RANKSUM, _gammq_cte("gsrc", "zscoring_group, Gene", "a", "x", "gq")]
+    out["ranksum_test"] = _wrap(rank, f"""
+SELECT r.zscoring_group, r.Gene, {rs("CASE WHEN r.test_status = 'ok' THEN r.w END")} AS statistic,
+       {rs("""CASE WHEN r.test_status <> 'ok' THEN NULL
+            WHEN r.method = 'normal' THEN least(1.0, g.q)
+            WHEN r.w > r.na * r.nb / 2.0
+              THEN least(1.0, 2 * (1 - list_sum(list_slice(d.dist, 1, CAST(r.w AS BIGINT))) / list_sum(d.dist)))
+            ELSE least(1.0, 2 * list_sum(list_slice(d.dist, 1, CAST(r.w AS BIGINT) + 1)) / list_sum(d.dist)) END""")} AS pvalue,
+       r.test_status, CASE WHEN r.test_status = 'ok' THEN r.method END AS method
+FROM rz r
+LEFT JOIN gq g ON g.zscoring_group = r.zscoring_group AND g.Gene IS NOT DISTINCT FROM r.Gene
+LEFT JOIN wdist d ON d.m = r.na AND d.n = r.nb""")
     return out

@@ -21,6 +21,7 @@ from qplate.operators.replicate_qc import (
 )
 from qplate.plans.compare import for_compare
 from qplate.plans.pipeline import GROUP, analyse, prepare_wells
+from qplate.operators.significance import ranksum_test
 from qplate.operators.layout import annotate_wells, expand_layout, unmatched_wells
 from qplate.sources.driver_tables import (
     EVENT_HK_GENES,
@@ -146,7 +147,14 @@ def q_unmatched_wells(spark, sf_dir):
     return unmatched_wells(wells, genes, samples, meta).select("file_name", "Pos", "Gene", "replicate_name", "reason")
 
 
+def q_ranksum_test(spark, sf_dir):
+    a = analyse(_wells(spark, sf_dir), EVENT_CFG)
+    good = a.bio.filter((F.col("qc_flag") == "GOOD") & (F.col("type_of_gene") != "HK"))
+    return for_compare(ranksum_test(good, ("zscoring_group", "Gene"), "normalized_expression", "testing_group"))
+
+
 REGISTRY: dict[str, Query] = {
+    "ranksum_test": q_ranksum_test,
     "layout_expand": q_layout_expand,
     "annotate_first_match": q_annotate_first_match,
     "unmatched_wells": q_unmatched_wells,
