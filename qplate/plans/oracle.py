@@ -97,23 +97,27 @@ bioqc AS (
                  ELSE 'GOOD' END AS qc_flag
   FROM bioq)"""
 
-SUMMARY = """
-ranked AS (
+def summary_ctes(src: str = "bioqc", sfx: str = "") -> str:
+    """Sample summary (poison rule), representative row and z-score over ``src`` bio rows."""
+    def stat(fn: str, col: str) -> str:
+        return (f"CASE WHEN max(CASE WHEN qc_flag IS NULL OR (qc_flag = 'GOOD' AND {col} IS NULL) THEN 1 ELSE 0 END) "
+                f"OVER s = 0 THEN {fn}(CASE WHEN qc_flag = 'GOOD' THEN {col} END) OVER s END")
+    return f"""
+ranked{sfx} AS (
   SELECT *, row_number() OVER (PARTITION BY sample_name, Gene ORDER BY replicate_name, well_ord) AS rn,
-         CASE WHEN max(CASE WHEN qc_flag IS NULL OR (qc_flag = 'GOOD' AND normalized_expression IS NULL) THEN 1 ELSE 0 END) OVER s = 0
-              THEN avg(CASE WHEN qc_flag = 'GOOD' THEN normalized_expression END) OVER s END AS normalized_expression_mean,
-         CASE WHEN max(CASE WHEN qc_flag IS NULL OR (qc_flag = 'GOOD' AND normalized_expression IS NULL) THEN 1 ELSE 0 END) OVER s = 0
-              THEN stddev_samp(CASE WHEN qc_flag = 'GOOD' THEN normalized_expression END) OVER s END AS normalized_expression_sd,
-         CASE WHEN max(CASE WHEN qc_flag IS NULL OR (qc_flag = 'GOOD' AND log2_expression_value IS NULL) THEN 1 ELSE 0 END) OVER s = 0
-              THEN avg(CASE WHEN qc_flag = 'GOOD' THEN log2_expression_value END) OVER s END AS log2_expression_value_mean,
-         CASE WHEN max(CASE WHEN qc_flag IS NULL OR (qc_flag = 'GOOD' AND log2_expression_value IS NULL) THEN 1 ELSE 0 END) OVER s = 0
-              THEN stddev_samp(CASE WHEN qc_flag = 'GOOD' THEN log2_expression_value END) OVER s END AS log2_expression_value_sd
-  FROM bioqc WINDOW s AS (PARTITION BY sample_name, Gene)),
-summ AS (SELECT * FROM ranked WHERE rn = 1 AND normalized_expression_mean IS NOT NULL),
-zs AS (
+         {stat('avg', 'normalized_expression')} AS normalized_expression_mean,
+         {stat('stddev_samp', 'normalized_expression')} AS normalized_expression_sd,
+         {stat('avg', 'log2_expression_value')} AS log2_expression_value_mean,
+         {stat('stddev_samp', 'log2_expression_value')} AS log2_expression_value_sd
+  FROM {src} WINDOW s AS (PARTITION BY sample_name, Gene)),
+summ{sfx} AS (SELECT * FROM ranked{sfx} WHERE rn = 1 AND normalized_expression_mean IS NOT NULL),
+zs{sfx} AS (
   SELECT *, (log2_expression_value_mean - avg(log2_expression_value_mean) OVER z)
             / nullif(stddev_samp(log2_expression_value_mean) OVER z, 0) AS zscored_value
-  FROM summ WINDOW z AS (PARTITION BY zscoring_group, Gene))"""
+  FROM summ{sfx} WINDOW z AS (PARTITION BY zscoring_group, Gene))"""
+
+
+SUMMARY = summary_ctes()
 
 
 def _betai_cte(src: str, key_cols: str, a: str, b: str, x: str, name: str = "betai") -> str:
@@ -160,22 +164,25 @@ def _betai_cte(src: str, key_cols: str, a: str, b: str, x: str, name: str = "bet
   FROM {name}_p p JOIN {name}_cf f ON {" AND ".join(f"f.{k} IS NOT DISTINCT FROM p.{k}" for k in keys)} AND f.m = 300)"""
 
 
-WELCH = """
-tin AS (SELECT zscoring_group, Gene, testing_group, normalized_expression AS x FROM bioqc
+def welch_ctes(src: str = "bioqc", sfx: str = "") -> str:
+    """Per-test level table (t-prefixed CTEs) and Welch statistic over GOOD non-HK rows of ``src``."""
+    return f"""
+tin{sfx} AS (SELECT zscoring_group, Gene, testing_group, normalized_expression AS x FROM {src}
         WHERE qc_flag = 'GOOD' AND type_of_gene <> 'HK'),
-tg AS (SELECT zscoring_group, Gene, testing_group, count(*) AS nrows, count(x) AS n, avg(x) AS mean, var_samp(x) AS var
-       FROM tin GROUP BY ALL),
-tk AS (SELECT zscoring_group, Gene, sum(nrows) AS total_rows, count(*) AS n_groups,
+tg{sfx} AS (SELECT zscoring_group, Gene, testing_group, count(*) AS nrows, count(x) AS n, avg(x) AS mean,
+       var_samp(x) AS var FROM tin{sfx} GROUP BY ALL),
+tk{sfx} AS (SELECT zscoring_group, Gene, sum(nrows) AS total_rows, count(*) AS n_groups,
               count(*) FILTER (WHERE testing_group IS NOT NULL AND n > 0) AS n_levels
-       FROM tg GROUP BY ALL),
-tl AS (SELECT *, row_number() OVER (PARTITION BY zscoring_group, Gene ORDER BY testing_group) AS lv
-       FROM tg WHERE testing_group IS NOT NULL AND n > 0),
-tw AS (
+       FROM tg{sfx} GROUP BY ALL),
+tl{sfx} AS (SELECT *, row_number() OVER (PARTITION BY zscoring_group, Gene ORDER BY testing_group) AS lv
+       FROM tg{sfx} WHERE testing_group IS NOT NULL AND n > 0),
+tw{sfx} AS (
   SELECT k.zscoring_group, k.Gene, k.total_rows, k.n_groups, k.n_levels,
          a.n AS na, b.n AS nb, a.mean AS ma, b.mean AS mb, a.var / a.n AS va, b.var / b.n AS vb
-  FROM tk k LEFT JOIN tl a ON a.zscoring_group = k.zscoring_group AND a.Gene IS NOT DISTINCT FROM k.Gene AND a.lv = 1
-            LEFT JOIN tl b ON b.zscoring_group = k.zscoring_group AND b.Gene IS NOT DISTINCT FROM k.Gene AND b.lv = 2),
-ts AS (
+  FROM tk{sfx} k
+  LEFT JOIN tl{sfx} a ON a.zscoring_group = k.zscoring_group AND a.Gene IS NOT DISTINCT FROM k.Gene AND a.lv = 1
+  LEFT JOIN tl{sfx} b ON b.zscoring_group = k.zscoring_group AND b.Gene IS NOT DISTINCT FROM k.Gene AND b.lv = 2),
+ts{sfx} AS (
   SELECT *, CASE WHEN n_groups < 2 OR total_rows < 2 THEN 'insufficient_data'
                  WHEN n_levels <> 2 THEN 'not_two_groups'
                  WHEN na < 2 OR nb < 2 THEN 'not_enough_observations'
@@ -183,8 +190,16 @@ ts AS (
                  ELSE 'ok' END AS test_status,
             (ma - mb) / sqrt(va + vb) AS t,
             (va + vb) * (va + vb) / (va * va / (na - 1) + vb * vb / (nb - 1)) AS dof
-  FROM tw),
-tbeta_src AS (SELECT zscoring_group, Gene, dof / 2 AS a, 0.5 AS b, dof / (dof + t * t) AS x FROM ts WHERE test_status = 'ok')"""
+  FROM tw{sfx}),
+tbeta_src{sfx} AS (SELECT zscoring_group, Gene, dof / 2 AS a, 0.5 AS b, dof / (dof + t * t) AS x
+                   FROM ts{sfx} WHERE test_status = 'ok')""" + "," + _betai_cte(f"tbeta_src{sfx}", "zscoring_group, Gene",
+                                                                           "a", "b", "x", f"tbeta{sfx}")
+
+
+def welch_select(sfx: str = "") -> str:
+    return f"""
+SELECT s.zscoring_group, s.Gene, {rs("CASE WHEN s.test_status = 'ok' THEN b.ibeta END")} AS pvalue, s.test_status
+FROM ts{sfx} s LEFT JOIN tbeta{sfx} b ON b.zscoring_group = s.zscoring_group AND b.Gene IS NOT DISTINCT FROM s.Gene"""
 
 
 RAW_WELLS = """
@@ -355,7 +370,7 @@ def oracles() -> dict[str, str]:
     ex = qc + [EXPR]
     bio = ex + [BIO]
     summ = bio + [SUMMARY]
-    welch = summ + [WELCH, _betai_cte("tbeta_src", "zscoring_group, Gene", "a", "b", "x", "tbeta")]
+    welch = summ + [welch_ctes()]
     out: dict[str, str] = {}
     sheets = _sheet_ctes()
     out["layout_expand"] = _wrap(sheets, """
@@ -448,10 +463,8 @@ SELECT w.file_name, w.Pos, w.replicate_name, w.sample_name, w.zscoring_group, w.
 FROM wl w
 LEFT JOIN bioqc b ON b.file_name = w.file_name AND b.Pos = w.Pos
 LEFT JOIN zs z ON z.file_name = w.file_name AND z.Pos = w.Pos""")
-    out["welch_test"] = _wrap(welch, f"""
-SELECT s.zscoring_group, s.Gene, {rs('CASE WHEN s.test_status = ' + "'ok'" + ' THEN b.ibeta END')} AS pvalue, s.test_status
-FROM ts s LEFT JOIN tbeta b ON b.zscoring_group = s.zscoring_group AND b.Gene IS NOT DISTINCT FROM s.Gene""")
-    rank = summ + [WELCH, RANKSUM, _gammq_cte("gsrc", "zscoring_group, Gene", "a", "x", "gq")]
+    out["welch_test"] = _wrap(welch, welch_select())
+    rank = summ + [welch_ctes(), RANKSUM, _gammq_cte("gsrc", "zscoring_group, Gene", "a", "x", "gq")]
     out["ranksum_test"] = _wrap(rank, f"""
 SELECT r.zscoring_group, r.Gene, {rs("CASE WHEN r.test_status = 'ok' THEN r.w END")} AS statistic,
        {rs("""CASE WHEN r.test_status <> 'ok' THEN NULL

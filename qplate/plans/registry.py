@@ -20,7 +20,12 @@ from qplate.operators.replicate_qc import (
     technical_qc,
 )
 from qplate.plans.compare import for_compare
-from qplate.plans.pipeline import GROUP, analyse, prepare_wells
+from qplate.operators._util import join_keys
+from qplate.operators.outliers import loo_outliers
+from qplate.operators.plotdata import bar_table, break_points, colour_rule, magnitude_breaks, plot_points, pvalue_labels
+from qplate.operators.summary import zscore
+from qplate.operators.variants import delta_delta, sample_labels
+from qplate.plans.pipeline import GROUP, analyse, prepare_wells, recalculate
 from qplate.operators.significance import ranksum_test
 from qplate.operators.layout import annotate_wells, expand_layout, unmatched_wells
 from qplate.sources.driver_tables import (
@@ -39,6 +44,10 @@ EVENT_CFG = AnalysisConfig(hk_genes=EVENT_HK_GENES, tolerance=2.0)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Fixed values of the event mapping used by the plot and variant queries.
+HEATMAP_COLUMNS = ("control", "treated")
+TRIAL_DISPERSION = 3.0
+
 
 def _wells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wells_from_events(load_table(spark, sf_dir, "events"), EVENT_CFG.hk_genes)
@@ -153,7 +162,126 @@ def q_ranksum_test(spark, sf_dir):
     return for_compare(ranksum_test(good, ("zscoring_group", "Gene"), "normalized_expression", "testing_group"))
 
 
+def _overrides(report: DataFrame) -> DataFrame:
+    """Curated edits by rule: wells with Cp >= 40 set to 'NO keep'; representatives with
+    normalized_expression > 10 set to 'BAD'."""
+    o = report.select("file_name", "Pos",
+                      F.when(F.col("Cp") >= 40, F.lit("NO keep")).alias("keep_this_value"),
+                      F.when(F.col("normalized_expression") > 10, F.lit("BAD")).alias("qc_flag"))
+    return o.filter(F.col("keep_this_value").isNotNull() | F.col("qc_flag").isNotNull())
+
+
+def _recalculated(spark, sf_dir):
+    a = analyse(_wells(spark, sf_dir), EVENT_CFG)
+    rep = a.report(ordered=False)
+    return recalculate(rep, EVENT_CFG, _overrides(rep))
+
+
+def q_recalculate(spark, sf_dir):
+    rep, _ = _recalculated(spark, sf_dir)
+    return for_compare(rep.select("file_name", "Pos", "replicate_name", "Gene", "keep_this_value", "qc_flag",
+                                  "elevated_value_mean", "normalized_expression", "log2_expression_value",
+                                  "normalized_expression_mean", "normalized_expression_sd",
+                                  "log2_expression_value_mean", "log2_expression_value_sd", "zscored_value"))
+
+
+def q_recalculate_stats(spark, sf_dir):
+    _, stats = _recalculated(spark, sf_dir)
+    return for_compare(stats)
+
+
+def _plot_inputs(spark, sf_dir):
+    a = analyse(_wells(spark, sf_dir), EVENT_CFG)
+    pts = plot_points(a.report(ordered=False))
+    return a, pts
+
+
+def q_plot_points(spark, sf_dir):
+    _, pts = _plot_inputs(spark, sf_dir)
+    return for_compare(pts.select("zscoring_group", "sample_name", "testing_group", "Gene", "normalized_expression",
+                                  "normalized_expression_mean", "normalized_expression_sd", "qc_flag",
+                                  "ordering", "ordering_level"))
+
+
+def _colour_sheets(a):
+    groups = a.wells.select("testing_group").distinct().withColumn("colour", colour_rule(F.col("testing_group")))
+    annot = a.wells.select("zscoring_group").distinct().withColumn("colour", colour_rule(F.col("zscoring_group")))
+    return groups, annot
+
+
+def q_bar_table(spark, sf_dir):
+    a, pts = _plot_inputs(spark, sf_dir)
+    groups, annot = _colour_sheets(a)
+    return for_compare(bar_table(pts, groups, annot))
+
+
+def _labels(spark, sf_dir):
+    a, pts = _plot_inputs(spark, sf_dir)
+    groups, _ = _colour_sheets(a)
+    return pts, pvalue_labels(a.statistics, pts, groups.count())
+
+
+def q_pvalue_labels(spark, sf_dir):
+    _, labels = _labels(spark, sf_dir)
+    return for_compare(labels)
+
+
+def q_magnitude_breaks(spark, sf_dir):
+    pts, labels = _labels(spark, sf_dir)
+    return for_compare(magnitude_breaks(break_points(pts, labels), jump=EVENT_CFG.magnitude_jump))
+
+
+def q_heatmap_matrix(spark, sf_dir):
+    a = analyse(_wells(spark, sf_dir), EVENT_CFG)
+    long = a.summary.select("zscoring_group", "Gene", "testing_group", "zscored_value", "normalized_expression_mean")
+    wide = long.groupBy("zscoring_group", "Gene").pivot("testing_group", list(HEATMAP_COLUMNS)).agg(
+        F.avg("zscored_value").alias("z"), F.avg("normalized_expression_mean").alias("q"))
+    return for_compare(wide)
+
+
+def q_sample_labels(spark, sf_dir):
+    c = load_table(spark, sf_dir, "customer")
+    reps = c.select("c_custkey", F.concat(
+        F.col("c_mktsegment"), F.col("c_nationkey").cast("string"),
+        F.when(F.col("c_acctbal") < 1000, F.lit("DN")).otherwise(F.lit("TRES")), F.lit("."),
+        F.pmod(F.col("c_custkey"), F.lit(3)).cast("string"), F.lit("."),
+        F.pmod(F.col("c_custkey"), F.lit(4)).cast("string")).alias("replicate_name"))
+    return sample_labels(reps)
+
+
+def q_delta_delta(spark, sf_dir):
+    a = analyse(_wells(spark, sf_dir), EVENT_CFG)
+    cr = cp_ratio(a.values, GROUP, "Cp", on="cp")
+    reps = a.groups.select(*GROUP, F.col("_first.well_ord").alias("well_ord"),
+                           F.col("_first.sample_name").alias("sample_name"),
+                           F.col("_first.zscoring_group").alias("cell_line"),
+                           F.col("_first.testing_group").alias("sample_group"))
+    ratios = cr.filter((F.col("type_of_gene") != "HK") & F.col("deltaCT").isNotNull())
+    d = join_keys(ratios.select(*GROUP, "deltaCT"), reps, GROUP)
+    d = loo_outliers(d, ("sample_name", "Gene"), "deltaCT", TRIAL_DISPERSION, ("replicate_name", "well_ord"))
+    out = delta_delta(d, "control")
+    return for_compare(out.select("replicate_name", "sample_name", "cell_line", "sample_group", "Gene", "deltaCT",
+                                  "qc_flag", "delta_delta_CT", "elevated_value", "mean_value", "sd_value"))
+
+
+def q_zscore_lineitem(spark, sf_dir):
+    li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    part = load_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    d = li.join(part, li.l_partkey == part.p_partkey).drop("p_partkey", "l_partkey")
+    return for_compare(zscore(d, ("p_brand", "p_size"), "l_extendedprice"))
+
+
 REGISTRY: dict[str, Query] = {
+    "recalculate": q_recalculate,
+    "recalculate_stats": q_recalculate_stats,
+    "plot_points": q_plot_points,
+    "bar_table": q_bar_table,
+    "pvalue_labels": q_pvalue_labels,
+    "magnitude_breaks": q_magnitude_breaks,
+    "heatmap_matrix": q_heatmap_matrix,
+    "sample_labels": q_sample_labels,
+    "delta_delta": q_delta_delta,
+    "zscore_lineitem": q_zscore_lineitem,
     "ranksum_test": q_ranksum_test,
     "layout_expand": q_layout_expand,
     "annotate_first_match": q_annotate_first_match,
