@@ -13,12 +13,18 @@ from pyspark.sql import types as T
 from qplate.functions.numeric import round_sig
 
 SIG_DIGITS = 10
+# Differences of near-equal quantities (z-scores, delta-delta Ct) lose relative precision to
+# summation order; they are compared at a fixed absolute precision instead.
+ABS_DECIMALS = 9
+ABSOLUTE_COLUMNS = frozenset({"zscored_value", "delta_delta_CT", "control_z", "treated_z"})
 
 
 def for_compare(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name in ABSOLUTE_COLUMNS:
+            cols.append(F.round(F.col(f.name).cast("double"), ABS_DECIMALS).alias(f.name))
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             cols.append(round_sig(F.col(f.name).cast("double"), SIG_DIGITS).alias(f.name))
         else:
             cols.append(F.col(f.name))
@@ -31,3 +37,7 @@ def sql_round_sig(expr: str, digits: int = SIG_DIGITS) -> str:
     return (f"CASE WHEN {x} IS NULL OR isnan({x}) OR {x} = 0 THEN {x} "
             f"WHEN {e} < 0 THEN round({x} * pow(10, -{e}), {digits - 1}) / pow(10, -{e}) "
             f"ELSE round({x} / pow(10, {e}), {digits - 1}) * pow(10, {e}) END")
+
+
+def sql_round_abs(expr: str, decimals: int = ABS_DECIMALS) -> str:
+    return f"round(({expr}), {decimals})"

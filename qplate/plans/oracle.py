@@ -8,6 +8,7 @@ incomplete-beta continued fraction (modified Lentz) in a recursive CTE.
 
 from __future__ import annotations
 
+from qplate.plans.compare import sql_round_abs as ra
 from qplate.plans.compare import sql_round_sig as rs
 
 TOL = 2.0
@@ -359,6 +360,124 @@ wx AS (
 wdist AS (SELECT m, n, st[m + 1] AS dist FROM wx WHERE t = m + n)"""
 
 
+REPORT_ROWS = """
+wl AS (
+  SELECT n.*, CASE WHEN n.is_first THEN n.evm_all END AS evm_f, CASE WHEN n.is_first THEN n.norm_all END AS norm_f
+  FROM nx n),
+rpt AS (
+  SELECT w.file_name, w.Pos, w.well_ord, w.replicate_name, w.sample_name, w.zscoring_group, w.testing_group, w.Gene,
+         w.type_of_gene, w.Cp, w.good_replicate, w.keep_this_value, w.elevated_value,
+         w.evm_f AS elevated_value_mean, w.norm_f AS normalized_expression,
+         CASE WHEN w.norm_f > 0 THEN log2(w.norm_f) END AS log2_expression_value,
+         b.mean_others, b.sd_others, b.qc_flag,
+         z.normalized_expression_mean, z.normalized_expression_sd, z.log2_expression_value_mean,
+         z.log2_expression_value_sd, z.zscored_value
+  FROM wl w
+  LEFT JOIN bioqc b ON b.file_name = w.file_name AND b.Pos = w.Pos
+  LEFT JOIN zs z ON z.file_name = w.file_name AND z.Pos = w.Pos)"""
+
+RECALC = """
+ovr AS (
+  SELECT file_name, Pos, CASE WHEN Cp >= 40 THEN 'NO keep' END AS k,
+         CASE WHEN normalized_expression > 10 THEN 'BAD' END AS q FROM rpt),
+r2 AS (
+  SELECT r.file_name, r.Pos, r.well_ord, r.replicate_name, r.sample_name, r.zscoring_group, r.testing_group, r.Gene,
+         r.type_of_gene, r.Cp, r.elevated_value,
+         coalesce(o.k, r.keep_this_value) AS keep_this_value, coalesce(o.q, r.qc_flag) AS qc_cur
+  FROM rpt r LEFT JOIN ovr o ON o.file_name = r.file_name AND o.Pos = r.Pos),
+ev2 AS (
+  SELECT *, avg(CASE WHEN keep_this_value = 'keep' THEN elevated_value END)
+              OVER (PARTITION BY replicate_name, Gene) AS evm_all,
+         well_ord = min(well_ord) OVER (PARTITION BY replicate_name, Gene) AS is_first
+  FROM r2),
+hkg2 AS (
+  SELECT replicate_name, Gene, count(*) FILTER (WHERE keep_this_value = 'keep') AS nk, max(evm_all) AS evm
+  FROM ev2 WHERE type_of_gene = 'HK' GROUP BY replicate_name, Gene),
+hkr2 AS (SELECT replicate_name, sum(nk * evm) / sum(nk) AS hk FROM hkg2 WHERE nk > 0 GROUP BY replicate_name),
+nx2 AS (SELECT ev2.*, evm_all / hkr2.hk AS norm_all FROM ev2 LEFT JOIN hkr2 USING (replicate_name)),
+bio2 AS (
+  SELECT file_name, Pos, well_ord, replicate_name, sample_name, zscoring_group, testing_group, Gene, type_of_gene,
+         evm_all AS elevated_value_mean, norm_all AS normalized_expression,
+         CASE WHEN norm_all > 0 THEN log2(norm_all) END AS log2_expression_value, qc_cur AS qc_flag
+  FROM nx2 WHERE is_first AND evm_all IS NOT NULL)"""
+
+POINTS = """
+pts0 AS (
+  SELECT zscoring_group, replicate_name, sample_name, testing_group, Gene, normalized_expression,
+         normalized_expression_mean, normalized_expression_sd, qc_flag,
+         concat_ws('_', sample_name, testing_group, Gene) AS ordering
+  FROM rpt WHERE type_of_gene <> 'HK' AND normalized_expression IS NOT NULL),
+lvl AS (
+  SELECT zscoring_group, ordering,
+         row_number() OVER (PARTITION BY zscoring_group ORDER BY Gene NULLS LAST, testing_group NULLS LAST, fr) AS ordering_level
+  FROM (SELECT zscoring_group, ordering, Gene, testing_group, min(replicate_name) AS fr FROM pts0 GROUP BY ALL)),
+pts AS (SELECT p.*, l.ordering_level FROM pts0 p JOIN lvl l USING (zscoring_group, ordering))"""
+
+
+def _r_number_ctes(src: str, col: str, name: str) -> str:
+    """Staged CTEs adding ``txt`` = R's printing of ``col`` (<= 2 significant digits)."""
+    return f"""
+{name}_a AS (SELECT *, CAST(floor(log10(abs({col}))) AS INTEGER) AS e0 FROM {src}),
+{name}_b AS (SELECT *, CAST(round(CASE WHEN e0 - 1 < 0 THEN abs({col}) * pow(10, 1 - e0)
+                                         ELSE abs({col}) / pow(10, e0 - 1) END) AS INTEGER) AS d0 FROM {name}_a),
+{name}_c AS (SELECT *, CASE WHEN d0 >= 100 THEN e0 + 1 ELSE e0 END AS ee, CASE WHEN d0 >= 100 THEN 10 ELSE d0 END AS dd
+             FROM {name}_b),
+{name}_d AS (SELECT *, dd % 10 = 0 AS one,
+                    CASE WHEN dd % 10 = 0 THEN CAST(dd // 10 AS VARCHAR) ELSE CAST(dd AS VARCHAR) END AS digs FROM {name}_c),
+{name}_e AS (SELECT *, CASE WHEN one THEN digs ELSE digs[1] || '.' || digs[2] END AS mant FROM {name}_d),
+{name}_f AS (
+  SELECT *, mant || CASE WHEN ee < 0 THEN 'e-' ELSE 'e+' END || lpad(CAST(abs(ee) AS VARCHAR), 2, '0') AS sci,
+         CASE WHEN ee < 0 THEN '0.' || repeat('0', -ee - 1) || digs
+              WHEN one THEN digs || repeat('0', ee)
+              WHEN ee = 0 THEN mant
+              ELSE digs || repeat('0', ee - 1) END AS fixed
+  FROM {name}_e),
+{name} AS (
+  SELECT *, CASE WHEN {col} IS NULL OR isnan({col}) THEN 'NA' WHEN {col} = 0 THEN '0'
+                 ELSE (CASE WHEN {col} < 0 THEN '-' ELSE '' END) ||
+                      (CASE WHEN length(fixed) <= length(sci) THEN fixed ELSE sci END) END AS txt
+  FROM {name}_f)"""
+
+
+LABELS = """
+tallest AS (SELECT zscoring_group, max(normalized_expression_mean) AS ymax FROM pts GROUP BY ALL),
+lab0 AS (
+  SELECT s.zscoring_group, s.Gene, CASE WHEN s.test_status = 'ok' THEN b.ibeta END AS pvalue, s.test_status,
+         t.ymax + t.ymax * 0.1 AS y_pos,
+         (1 + (SELECT count(DISTINCT testing_group) FROM prep)) / 2.0 AS x_pos
+  FROM ts s LEFT JOIN tbeta b ON b.zscoring_group = s.zscoring_group AND b.Gene IS NOT DISTINCT FROM s.Gene
+  LEFT JOIN tallest t ON t.zscoring_group = s.zscoring_group),
+lab1 AS (
+  SELECT *, CASE WHEN pvalue IS NULL OR pvalue = 0 THEN pvalue
+                 WHEN floor(log10(abs(pvalue))) < 0
+                   THEN round(pvalue * pow(10, -floor(log10(abs(pvalue)))), 1) / pow(10, -floor(log10(abs(pvalue))))
+                 ELSE round(pvalue / pow(10, floor(log10(abs(pvalue)))), 1) * pow(10, floor(log10(abs(pvalue)))) END
+            AS p_rounded
+  FROM lab0)"""
+
+BREAKS = """
+bpts AS (
+  SELECT zscoring_group, y_pos AS v FROM labr
+  UNION ALL SELECT zscoring_group, normalized_expression FROM pts),
+bsorted AS (
+  SELECT zscoring_group, v, row_number() OVER (PARTITION BY zscoring_group ORDER BY v) AS id,
+         CASE WHEN v < 0 THEN NULL WHEN v = 0 THEN -1e308 ELSE floor(log10(v)) END AS o,
+         v < 0 AS nanorder
+  FROM bpts WHERE v IS NOT NULL),
+bdiff AS (
+  SELECT *, lag(o) OVER (PARTITION BY zscoring_group ORDER BY id) AS po,
+            lag(nanorder) OVER (PARTITION BY zscoring_group ORDER BY id) AS pnan
+  FROM bsorted),
+bup AS (SELECT zscoring_group, id FROM bdiff
+        WHERE po IS NOT NULL AND NOT nanorder AND NOT pnan AND NOT (o = -1e308 AND po = -1e308) AND abs(o - po) >= 2),
+bmark AS (
+  SELECT s.zscoring_group, s.v AS points_of_plot, s.id,
+         CASE WHEN EXISTS (SELECT 1 FROM bup u WHERE u.zscoring_group = s.zscoring_group AND u.id = s.id) THEN 'UP'
+              ELSE 'DOWN' END AS up_down
+  FROM bsorted s
+  WHERE EXISTS (SELECT 1 FROM bup u WHERE u.zscoring_group = s.zscoring_group AND (u.id = s.id OR u.id - 1 = s.id)))"""
+
+
 def _wrap(ctes: list[str], select: str) -> str:
     return "WITH RECURSIVE " + ",".join(ctes) + "\n" + select
 
@@ -443,7 +562,7 @@ SELECT file_name, Pos, sample_name, zscoring_group, Gene,
 FROM summ""")
     out["zscore"] = _wrap(summ, f"""
 SELECT file_name, Pos, zscoring_group, Gene, {rs('log2_expression_value_mean')} AS log2_expression_value_mean,
-       {rs('zscored_value')} AS zscored_value
+       {ra('zscored_value')} AS zscored_value
 FROM zs""")
     out["report"] = _wrap(summ, f""",
 wl AS (
@@ -459,7 +578,7 @@ SELECT w.file_name, w.Pos, w.replicate_name, w.sample_name, w.zscoring_group, w.
        {rs('z.normalized_expression_sd')} AS normalized_expression_sd,
        {rs('z.log2_expression_value_mean')} AS log2_expression_value_mean,
        {rs('z.log2_expression_value_sd')} AS log2_expression_value_sd,
-       {rs('z.zscored_value')} AS zscored_value
+       {ra('z.zscored_value')} AS zscored_value
 FROM wl w
 LEFT JOIN bioqc b ON b.file_name = w.file_name AND b.Pos = w.Pos
 LEFT JOIN zs z ON z.file_name = w.file_name AND z.Pos = w.Pos""")
@@ -476,4 +595,118 @@ SELECT r.zscoring_group, r.Gene, {rs("CASE WHEN r.test_status = 'ok' THEN r.w EN
 FROM rz r
 LEFT JOIN gq g ON g.zscoring_group = r.zscoring_group AND g.Gene IS NOT DISTINCT FROM r.Gene
 LEFT JOIN wdist d ON d.m = r.na AND d.n = r.nb""")
+    rpt = summ + [REPORT_ROWS]
+    rec = rpt + [RECALC, summary_ctes("bio2", "2")]
+    out["recalculate"] = _wrap(rec, f""",
+out2 AS (
+  SELECT n.file_name, n.Pos, n.replicate_name, n.Gene, n.keep_this_value,
+         CASE WHEN n.is_first THEN n.qc_cur END AS qc_flag,
+         CASE WHEN n.is_first THEN n.evm_all END AS evm, CASE WHEN n.is_first THEN n.norm_all END AS nrm,
+         z.normalized_expression_mean, z.normalized_expression_sd, z.log2_expression_value_mean,
+         z.log2_expression_value_sd, z.zscored_value
+  FROM nx2 n LEFT JOIN zs2 z ON z.file_name = n.file_name AND z.Pos = n.Pos)
+SELECT file_name, Pos, replicate_name, Gene, keep_this_value, qc_flag, {rs('evm')} AS elevated_value_mean,
+       {rs('nrm')} AS normalized_expression, {rs('CASE WHEN nrm > 0 THEN log2(nrm) END')} AS log2_expression_value,
+       {rs('normalized_expression_mean')} AS normalized_expression_mean,
+       {rs('normalized_expression_sd')} AS normalized_expression_sd,
+       {rs('log2_expression_value_mean')} AS log2_expression_value_mean,
+       {rs('log2_expression_value_sd')} AS log2_expression_value_sd, {ra('zscored_value')} AS zscored_value
+FROM out2""")
+    out["recalculate_stats"] = _wrap(rec + [welch_ctes("bio2", "2")], welch_select("2"))
+    pts = rpt + [POINTS]
+    out["plot_points"] = _wrap(pts, f"""
+SELECT zscoring_group, sample_name, testing_group, Gene, {rs('normalized_expression')} AS normalized_expression,
+       {rs('normalized_expression_mean')} AS normalized_expression_mean,
+       {rs('normalized_expression_sd')} AS normalized_expression_sd, qc_flag, ordering, ordering_level
+FROM pts""")
+    out["bar_table"] = _wrap(pts, f"""
+SELECT zscoring_group, sample_name, testing_group, Gene, ordering, ordering_level,
+       {rs('normalized_expression_mean')} AS bar_height, {rs('normalized_expression_mean')} AS ymin,
+       {rs('normalized_expression_mean + normalized_expression_sd')} AS ymax,
+       '#' || substr(md5(testing_group), 1, 6) AS outline_colour,
+       '#' || substr(md5(zscoring_group), 1, 6) AS fill_colour
+FROM pts WHERE normalized_expression_mean IS NOT NULL""")
+    labs = pts + [welch_ctes(), LABELS, _r_number_ctes("lab1", "p_rounded", "labr")]
+    out["pvalue_labels"] = _wrap(labs, f"""
+SELECT zscoring_group, Gene, {rs('pvalue')} AS pvalue, test_status, {rs('p_rounded')} AS p_rounded,
+       'p = ' || txt AS p_label, {rs('y_pos')} AS y_pos, {rs('x_pos')} AS x_pos
+FROM labr""")
+    out["magnitude_breaks"] = _wrap(labs + [BREAKS], f"""
+SELECT zscoring_group, {rs('points_of_plot')} AS points_of_plot, id, up_down,
+       {rs("CASE WHEN up_down = 'UP' THEN points_of_plot - points_of_plot / 10 ELSE points_of_plot + points_of_plot / 10 END")}
+         AS real_break,
+       count(*) OVER (PARTITION BY zscoring_group) > 1 AS use_breaks
+FROM bmark""")
+    out["heatmap_matrix"] = _wrap(summ, f"""
+SELECT zscoring_group, Gene,
+       {ra("avg(CASE WHEN testing_group = 'control' THEN zscored_value END)")} AS control_z,
+       {rs("avg(CASE WHEN testing_group = 'control' THEN normalized_expression_mean END)")} AS control_q,
+       {ra("avg(CASE WHEN testing_group = 'treated' THEN zscored_value END)")} AS treated_z,
+       {rs("avg(CASE WHEN testing_group = 'treated' THEN normalized_expression_mean END)")} AS treated_q
+FROM zs GROUP BY zscoring_group, Gene""")
+    out["sample_labels"] = _wrap(["""
+reps AS (
+  SELECT c_custkey, c_mktsegment || CAST(c_nationkey AS VARCHAR) ||
+         CASE WHEN c_acctbal < 1000 THEN 'DN' ELSE 'TRES' END || '.' || CAST(c_custkey % 3 AS VARCHAR) || '.' ||
+         CAST(c_custkey % 4 AS VARCHAR) AS replicate_name
+  FROM customer),
+named AS (SELECT *, regexp_replace(replicate_name, '\\.[^.]*$', '') AS sample_name FROM reps)"""], """
+SELECT c_custkey, replicate_name, sample_name,
+       regexp_replace(regexp_replace(sample_name, '.[0-9]$', ''), '\\..*$', '') AS cell_type,
+       CASE WHEN contains(sample_name, 'DN') THEN 'Control' ELSE 'Res' END AS sample_group
+FROM named""")
+    out["delta_delta"] = _wrap(qc + [EXPR], f""",
+cr AS (
+  SELECT *, avg(CASE WHEN keep_this_value = 'keep' THEN Cp END) OVER (PARTITION BY replicate_name, Gene) AS mv
+  FROM qc),
+cr2 AS (SELECT *, avg(CASE WHEN type_of_gene = 'HK' THEN mv END) OVER (PARTITION BY replicate_name) AS hk FROM cr),
+dct AS (
+  SELECT replicate_name, Gene, max(mv) / max(hk) AS deltaCT, min(well_ord) AS well_ord, max(type_of_gene) AS tg_
+  FROM cr2 GROUP BY replicate_name, Gene),
+dreps AS (
+  SELECT d.replicate_name, d.Gene, d.deltaCT, d.well_ord, p.sample_name, p.zscoring_group AS cell_line,
+         p.testing_group AS sample_group
+  FROM dct d JOIN prep p ON p.well_ord = d.well_ord
+  WHERE d.tg_ <> 'HK' AND d.deltaCT IS NOT NULL),
+dloo AS (
+  SELECT a.replicate_name, a.Gene, count(b.replicate_name) AS others_rows, avg(b.deltaCT) AS mo,
+         stddev_samp(b.deltaCT) AS so
+  FROM dreps a LEFT JOIN dreps b ON a.sample_name = b.sample_name AND a.Gene = b.Gene
+   AND a.replicate_name <> b.replicate_name
+  GROUP BY a.replicate_name, a.Gene),
+dq AS (
+  SELECT d.*, CASE WHEN l.others_rows >= 2 THEN l.so END AS sdo, CASE WHEN l.others_rows >= 1 THEN l.mo END AS mno
+  FROM dreps d JOIN dloo l USING (replicate_name, Gene)),
+dflag AS (
+  SELECT *, CASE WHEN sdo IS NULL THEN 'GOOD' WHEN deltaCT IS NULL THEN NULL
+                 WHEN abs(deltaCT - mno) > 3.0 * sdo THEN 'BAD' ELSE 'GOOD' END AS qc_flag
+  FROM dq),
+dd1 AS (
+  SELECT *, CASE WHEN max(CASE WHEN deltaCT IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY sample_name, Gene) = 0
+                 THEN avg(deltaCT) OVER (PARTITION BY sample_name, Gene) END AS dmean
+  FROM dflag),
+dd2 AS (
+  SELECT *, deltaCT - CASE WHEN max(CASE WHEN sample_group IS NULL OR (sample_group = 'control' AND dmean IS NULL)
+                                         THEN 1 ELSE 0 END) OVER (PARTITION BY cell_line, Gene) = 0
+                           THEN avg(CASE WHEN sample_group = 'control' THEN dmean END)
+                                  OVER (PARTITION BY cell_line, Gene) END AS delta_delta_CT
+  FROM dd1),
+dd3 AS (SELECT *, pow(2.0, -delta_delta_CT) AS elevated_value FROM dd2),
+dd4 AS (
+  SELECT *, well_ord = min(well_ord) OVER g AS first_,
+         max(CASE WHEN qc_flag IS NULL OR (qc_flag = 'GOOD' AND elevated_value IS NULL) THEN 1 ELSE 0 END) OVER g = 0 AS ok_,
+         avg(CASE WHEN qc_flag = 'GOOD' THEN elevated_value END) OVER g AS mv_,
+         stddev_samp(CASE WHEN qc_flag = 'GOOD' THEN elevated_value END) OVER g AS sv_
+  FROM dd3 WINDOW g AS (PARTITION BY cell_line, sample_group, Gene))
+SELECT replicate_name, sample_name, cell_line, sample_group, Gene, {rs('deltaCT')} AS deltaCT, qc_flag,
+       {ra('delta_delta_CT')} AS delta_delta_CT, {rs('elevated_value')} AS elevated_value,
+       {rs('CASE WHEN first_ AND ok_ THEN mv_ END')} AS mean_value, {rs('CASE WHEN first_ AND ok_ THEN sv_ END')} AS sd_value
+FROM dd4""")
+    out["zscore_lineitem"] = _wrap(["""
+lp AS (SELECT l.l_orderkey, l.l_linenumber, l.l_extendedprice, p.p_brand, p.p_size
+       FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""], f"""
+SELECT l_orderkey, l_linenumber, {rs('l_extendedprice')} AS l_extendedprice, p_brand, p_size,
+       {ra('(l_extendedprice - avg(l_extendedprice) OVER g) / nullif(stddev_samp(l_extendedprice) OVER g, 0)')}
+         AS zscored_value
+FROM lp WINDOW g AS (PARTITION BY p_brand, p_size)""")
     return out

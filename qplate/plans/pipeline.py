@@ -151,7 +151,7 @@ def assemble_report(a: Analysis, with_comparisons: bool = False, ordered: bool =
 
 
 def recalculate(report: DataFrame, cfg: AnalysisConfig | None = None,
-                overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                overrides: DataFrame | None = None, pin: str = "checkpoint") -> tuple[DataFrame, DataFrame]:
     """Replay downstream of curated flags (returns report, statistics).
 
     ``report`` is a well-level report (columns as ``assemble_report``);
@@ -166,11 +166,14 @@ def recalculate(report: DataFrame, cfg: AnalysisConfig | None = None,
     r = report.select("file_name", "Pos", "well_ord", "replicate_name", "sample_name", "zscoring_group",
                       "testing_group", "Gene", "type_of_gene", "Cp", "good_replicate", "keep_this_value",
                       "elevated_value", "qc_flag")
+    if overrides is not None:
+        overrides = overrides.select("file_name", "Pos", "keep_this_value", "qc_flag")
     if overrides is not None:
         o = overrides.select("file_name", "Pos", F.col("keep_this_value").alias("_k"), F.col("qc_flag").alias("_q"))
         r = (join_keys(r, o, ["file_name", "Pos"], "left")
              .withColumn("keep_this_value", F.coalesce("_k", "keep_this_value"))
              .withColumn("qc_flag", F.coalesce("_q", "qc_flag")).drop("_k", "_q"))
+    r = materialize(r, pin)
     kept = F.col("keep_this_value") == "keep"
     grp = r.groupBy(*GROUP).agg(
         F.sum(F.when(kept, 1).otherwise(0)).alias("n_kept"),
@@ -184,8 +187,8 @@ def recalculate(report: DataFrame, cfg: AnalysisConfig | None = None,
     grp = join_keys(grp, hk, ["replicate_name"], "left")
     grp = grp.withColumn("normalized_expression", safe_div(F.col("elevated_value_mean"), F.col("_hk"))) \
         .withColumn("log2_expression_value", log2_or_null(F.col("normalized_expression")))
-    bio = bio_table(grp.drop("_hk")).join(
-        grp.select(*GROUP, F.col("_firstq.qc_flag").alias("qc_flag")), GROUP)
+    grp = materialize(grp.drop("_hk"), pin)
+    bio = materialize(bio_table(grp).join(grp.select(*GROUP, F.col("_firstq.qc_flag").alias("qc_flag")), GROUP), pin)
     summary = summarise_samples(bio)
     stats = statistics_table(bio, cfg)
     g = grp.select(*GROUP, F.col("_first.well_ord").alias("_first_ord"), "elevated_value_mean",
