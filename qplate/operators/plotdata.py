@@ -144,8 +144,8 @@ def magnitude_breaks(points: DataFrame, value: str = "points_of_plot", group: st
                                      F.lit("DOWN").alias("up_down"))
     marks = ups.unionByName(downs)
     # a row that is both the first of one jump and the last before the next is UP only
-    marks = marks.groupBy(group, "id").agg(F.min("up_down").alias("_ud"), F.first("points_of_plot").alias("points_of_plot"))
-    marks = marks.withColumn("up_down", F.when(F.col("_ud") == "DOWN", "DOWN").otherwise("UP")).drop("_ud")
+    marks = marks.groupBy(group, "id").agg(F.max("up_down").alias("up_down"),   # 'UP' > 'DOWN'
+                                           F.max("points_of_plot").alias("points_of_plot"))
     v = F.col("points_of_plot")
     marks = marks.withColumn("real_break", F.when(F.col("up_down") == "UP", v - v / 10).otherwise(v + v / 10))
     n = marks.groupBy(group).agg((F.count(F.lit(1)) > 1).alias("use_breaks"))

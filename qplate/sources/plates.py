@@ -50,8 +50,8 @@ def read_plates(spark: SparkSession, paths: str | Sequence[str], plate_cols: int
     # banner and header lines are the only ones whose first field is not a boolean
     rows = raw.filter(F.trim(F.col("Include")).isin("True", "False", "TRUE", "FALSE"))
     if len(path_list) > 1 and not any(any(ch in p for ch in "*?[") for p in path_list):
-        order = F.create_map(*[x for i, p in enumerate(path_list) for x in (F.lit(_qualified(spark, p)), F.lit(i))])
-        plate_ord = F.coalesce(order[F.col("_path")], F.lit(None).cast("int"))
+        order = F.create_map(*[x for i, p in enumerate(path_list) for x in (F.lit(_normal_path(p)), F.lit(i))])
+        plate_ord = order[F.regexp_replace(F.col("_path"), _SCHEME_RE, "/")]
     else:
         plate_ord = None
     rows = rows.select(
@@ -80,10 +80,17 @@ def _by_name():
     return Window.orderBy("file_name")
 
 
-def _qualified(spark: SparkSession, p: str) -> str:
-    if "://" in p or p.startswith("file:"):
-        return p
-    return "file://" + p if p.startswith("/") else p
+_SCHEME_RE = r"^[A-Za-z][A-Za-z0-9+.-]*:/*"
+
+
+def _normal_path(p: str) -> str:
+    """Path without its URI scheme, so user paths and ``_metadata.file_path`` compare equal."""
+    import os
+    import re
+
+    if re.match(_SCHEME_RE, p):
+        return re.sub(_SCHEME_RE, "/", p)
+    return os.path.abspath(p)
 
 
 def read_sheet(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv",
