@@ -23,7 +23,8 @@ HEADLINE = ["report", "technical_qc", "relative_expression", "loo_outliers", "sa
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")))
+    # shuffle partitions sized to the input: one per core at bench scale (AQE coalesces further)
+    spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)))
     names = [q for q in (sys.argv[1:] or HEADLINE) if q in REGISTRY]
     # warm-up: JVM, parquet footers, codegen caches
     REGISTRY["hk_failed_drop"](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qplate.session import ensure_checkpoint_dir
+
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` with NULL-safe equality (a NULL gene is a group of its own).
@@ -19,3 +23,26 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
         renamed = renamed.withColumnRenamed(k, f"__r_{k}")
     cond = [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys]
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def materialize(df: DataFrame, mode: str) -> DataFrame:
+    """Pin an intermediate that several branches consume.
+
+    ``table``: write it once as Parquet under the cluster's shared
+    ``spark.checkpoint.dir`` and read it back (cuts lineage, survives executor
+    loss, and the read-back gets column pruning / predicate pushdown).
+    ``checkpoint``: Spark's reliable RDD checkpoint (same folder; computes the
+    plan twice unless cached).  ``cache``: MEMORY_AND_DISK persist.
+    ``none``: stay lazy.
+    """
+    if mode == "table":
+        base = ensure_checkpoint_dir(df.sparkSession)
+        path = f"{base.rstrip('/')}/qplate-tables/{uuid.uuid4().hex}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
+    if mode == "checkpoint":
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    if mode == "cache":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df

@@ -67,11 +67,15 @@ def leave_one_out(df: DataFrame, keys: Sequence[str], value: str, row_order: Seq
         return F.struct(n.cast("long").alias("n"), mean.alias("mean"), m2.alias("m2"))
 
     rest = F.aggregate(F.filter(F.col("_chunks"), lambda e: e["c"] != F.col("_chunk")), zero, merge)
-    d = d.withColumn("_rest", rest)
+    # merges are staged as columns so each expression tree stays small
     n1, m1, q1 = chan_merge((F.col("_p0"), F.col("_p1"), F.col("_p2")), (F.col("_s0"), F.col("_s1"), F.col("_s2")))
-    n2, m2_, q2 = chan_merge((n1, m1, q1), (F.col("_rest.n"), F.col("_rest.mean"), F.col("_rest.m2")))
-    return (d.withColumn("_o_n", n2).withColumn("_o_mean", m2_).withColumn("_o_m2", q2)
-            .drop("_chunk", "_chunks", "_rest", *[f"_p{i}" for i in range(3)], *[f"_s{i}" for i in range(3)]))
+    d = d.select(*[c for c in d.columns if c not in ("_chunks",)], rest.alias("_rest"),
+                 n1.alias("_n1"), m1.alias("_m1"), q1.alias("_q1"))
+    n2, m2_, q2 = chan_merge((F.col("_n1"), F.col("_m1"), F.col("_q1")),
+                             (F.col("_rest.n"), F.col("_rest.mean"), F.col("_rest.m2")))
+    keep = [c for c in d.columns if c not in ("_chunk", "_rest", "_n1", "_m1", "_q1")
+            and c not in [f"_p{i}" for i in range(3)] + [f"_s{i}" for i in range(3)]]
+    return d.select(*keep, n2.alias("_o_n"), m2_.alias("_o_mean"), q2.alias("_o_m2"))
 
 
 def loo_outliers(df: DataFrame, keys: Sequence[str] = ("sample_name", "Gene"),

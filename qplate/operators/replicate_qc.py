@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qplate.operators._util import join_keys
+from qplate.operators._util import join_keys, materialize
 
 GROUP = ("replicate_name", "Gene")
 # Shell half-width around the band edge; exact while ulp(|Cp|) << EPS (|Cp| < 1e8).
@@ -119,10 +119,14 @@ def band_counts(values: DataFrame, keys: Sequence[str] = GROUP, cp: str = "Cp",
 
 def technical_qc_values(wells: DataFrame, tol: float = 0.5, slack: int = 2,
                         keys: Sequence[str] = GROUP, cp: str = "Cp",
-                        chunk_width: float | None = None, carry: Sequence[str] = ()) -> DataFrame:
-    """Value-level technical QC: (keys, cp, m, valid_counter, n_of_samples, group_type, keep_this_value[, _first])."""
+                        chunk_width: float | None = None, carry: Sequence[str] = (), pin: str = "none") -> DataFrame:
+    """Value-level technical QC: (keys, cp, m, valid_counter, n_of_samples, group_type, keep_this_value[, _first]).
+
+    The band-count table feeds both the group statistics and the join back;
+    ``pin`` (see ``materialize``) writes it once so neither branch recomputes it.
+    """
     vals = distinct_values(wells, keys, cp, carry)
-    counted = band_counts(vals, keys, cp, tol, chunk_width)
+    counted = materialize(band_counts(vals, keys, cp, tol, chunk_width), pin)
     stats = counted.groupBy(*keys).agg(
         F.sum("m").alias("n_of_samples"), F.min("c").alias("_cmin"), F.max("c").alias("_cmax"))
     j = join_keys(counted, stats, keys)

@@ -16,19 +16,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qplate.config import AnalysisConfig
 from qplate.functions.numeric import log2_or_null, safe_div
-from qplate.operators._util import join_keys
+from qplate.operators._util import join_keys, materialize
 from qplate.operators.expression import group_expression
 from qplate.operators.outliers import loo_outliers
 from qplate.operators.replicate_qc import comparison_strings, drop_failed_replicates, fill_undetected, technical_qc_values
 from qplate.operators.significance import two_group_test
 from qplate.operators.summary import sample_summary, zscore
-from qplate.session import ensure_checkpoint_dir
 
 GROUP = ["replicate_name", "Gene"]
 CARRY = ("file_name", "Pos", "sample_name", "zscoring_group", "testing_group", "type_of_gene")
@@ -84,22 +82,7 @@ def statistics_table(bio_qc: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     return two_group_test(good, ("zscoring_group", "Gene"), "normalized_expression", "testing_group", cfg.test_type)
 
 
-def materialize(df: DataFrame, mode: str) -> DataFrame:
-    """Pin an intermediate that several branches consume.
-
-    ``checkpoint``: reliable checkpoint into the cluster's ``spark.checkpoint.dir``
-    (cuts lineage; a lost executor does not replay the upstream plan).
-    ``cache``: MEMORY_AND_DISK persist.  ``none``: stay lazy.
-    """
-    if mode == "checkpoint":
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    if mode == "cache":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df
-
-
-def analyse(wells: DataFrame, cfg: AnalysisConfig | None = None, pin: str = "checkpoint") -> Analysis:
+def analyse(wells: DataFrame, cfg: AnalysisConfig | None = None, pin: str = "table") -> Analysis:
     """Full analysis of annotated wells.
 
     ``wells`` columns: file_name, Pos, well_ord (arrival ordinal), replicate_name,
@@ -109,8 +92,7 @@ def analyse(wells: DataFrame, cfg: AnalysisConfig | None = None, pin: str = "che
     """
     cfg = cfg or AnalysisConfig()
     w = prepare_wells(wells, cfg)
-    qv = materialize(technical_qc_values(w, cfg.tolerance, cfg.keep_slack, GROUP, "Cp", cfg.chunk_width,
-                                         carry=CARRY), pin)
+    qv = technical_qc_values(w, cfg.tolerance, cfg.keep_slack, GROUP, "Cp", cfg.chunk_width, carry=CARRY, pin=pin)
     groups = materialize(group_expression(qv, GROUP), pin)
     bio = materialize(loo_outliers(bio_table(groups), ("sample_name", "Gene"), "normalized_expression",
                                    cfg.dispersion, ("replicate_name", "well_ord"), cfg.loo_chunk_rows), pin)
@@ -151,7 +133,7 @@ def assemble_report(a: Analysis, with_comparisons: bool = False, ordered: bool =
 
 
 def recalculate(report: DataFrame, cfg: AnalysisConfig | None = None,
-                overrides: DataFrame | None = None, pin: str = "checkpoint") -> tuple[DataFrame, DataFrame]:
+                overrides: DataFrame | None = None, pin: str = "table") -> tuple[DataFrame, DataFrame]:
     """Replay downstream of curated flags (returns report, statistics).
 
     ``report`` is a well-level report (columns as ``assemble_report``);
