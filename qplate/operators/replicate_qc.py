@@ -120,12 +120,17 @@ def band_counts(values: DataFrame, keys: Sequence[str] = GROUP, cp: str = "Cp",
 def technical_qc_values(wells: DataFrame, tol: float = 0.5, slack: int = 2,
                         keys: Sequence[str] = GROUP, cp: str = "Cp",
                         chunk_width: float | None = None, carry: Sequence[str] = (), pin: str = "none") -> DataFrame:
-    """Value-level technical QC: (keys, cp, m, valid_counter, n_of_samples, group_type, keep_this_value[, _first]).
+    """Value-level technical QC: (keys, cp, m, valid_counter, n_of_samples, group_type, keep_this_value[, _first])."""
+    return qc_from_values(distinct_values(wells, keys, cp, carry), tol, slack, keys, cp, chunk_width, pin)
+
+
+def qc_from_values(vals: DataFrame, tol: float = 0.5, slack: int = 2, keys: Sequence[str] = GROUP,
+                   cp: str = "Cp", chunk_width: float | None = None, pin: str = "none") -> DataFrame:
+    """Keep flags from a distinct-value table (keys, cp, m, extra columns passed through).
 
     The band-count table feeds both the group statistics and the join back;
     ``pin`` (see ``materialize``) writes it once so neither branch recomputes it.
     """
-    vals = distinct_values(wells, keys, cp, carry)
     counted = materialize(band_counts(vals, keys, cp, tol, chunk_width), pin)
     stats = counted.groupBy(*keys).agg(
         F.sum("m").alias("n_of_samples"), F.min("c").alias("_cmin"), F.max("c").alias("_cmax"))
@@ -135,11 +140,36 @@ def technical_qc_values(wells: DataFrame, tol: float = 0.5, slack: int = 2,
                   .when(F.col("_cmax") == 1, "all_bad").otherwise("mixed"))
     keep = F.when(group_type.isin("all_good", "all_bad") | (valid >= F.col("n_of_samples") - F.lit(slack)), "keep") \
         .otherwise("NO keep")
-    extra = ["_first"] if carry else []
+    extra = [c for c in vals.columns if c not in (*keys, cp, "m")]
     return j.select(*keys, cp, "m", valid.alias("valid_counter"), "n_of_samples",
                     group_type.alias("group_type"), keep.alias("keep_this_value"), *extra)
 
 
+def screened_values(wells: DataFrame, threshold: float = 35.0, drop: bool = True, keys: Sequence[str] = GROUP,
+                    cp: str = "Cp", carry: Sequence[str] = ()) -> DataFrame:
+    """Failed-replicate screen, blank fill and distinct-value aggregation in one pass over the wells.
+
+    Groups by the *filled* Cp while carrying whether any raw HK Cp of the value
+    reached the threshold (blank wells never fail a replicate), so the wells are
+    scanned once; the failed-replicate set comes from the much smaller value table.
+    Adds ``good_replicate``; with ``drop`` failed replicates are removed.
+    """
+    raw = F.col(cp)
+    filled = wells.withColumn("_fail", F.when((F.col("type_of_gene") == "HK") & (raw >= F.lit(threshold)), 1)
+                              .otherwise(0)).withColumn(cp, F.coalesce(raw, F.lit(float(threshold))))
+    aggs = [F.count(F.lit(1)).alias("m"), F.max("_fail").alias("_fail")]
+    if carry:
+        aggs.append(F.min(F.struct(F.col("well_ord"), *[F.col(c) for c in carry])).alias("_first"))
+    vals = filled.groupBy(*keys, cp).agg(*aggs)
+    bad = vals.filter(F.col("_fail") == 1).select("replicate_name").distinct().withColumn("_bad", F.lit(True))
+    if drop:
+        out = vals.join(bad, "replicate_name", "left_anti").withColumn("good_replicate", F.lit("good"))
+    else:
+        out = (vals.join(bad, "replicate_name", "left")
+               .withColumn("good_replicate", F.when(F.col("_bad"), "bad").otherwise("good")).drop("_bad"))
+    return out.drop("_fail")
+
+
 def technical_qc(wells: DataFrame, tol: float = 0.5, slack: int = 2,
                  keys: Sequence[str] = GROUP, cp: str = "Cp", chunk_width: float | None = None,
                  with_counts: bool = False) -> DataFrame:

@@ -24,7 +24,13 @@ from qplate.functions.numeric import log2_or_null, safe_div
 from qplate.operators._util import join_keys, materialize
 from qplate.operators.expression import group_expression
 from qplate.operators.outliers import loo_outliers
-from qplate.operators.replicate_qc import comparison_strings, drop_failed_replicates, fill_undetected, technical_qc_values
+from qplate.operators.replicate_qc import (
+    comparison_strings,
+    drop_failed_replicates,
+    fill_undetected,
+    qc_from_values,
+    screened_values,
+)
 from qplate.operators.significance import two_group_test
 from qplate.operators.summary import sample_summary, zscore
 
@@ -49,6 +55,7 @@ class Analysis:
     summary: DataFrame        # per (sample, gene) representative with stats and z-score
     statistics: DataFrame     # per (zscoring_group, gene) test
     cfg: AnalysisConfig
+    source: DataFrame | None = None   # assigned wells as given (report joins these once)
 
     def report(self, with_comparisons: bool = False, ordered: bool = True) -> DataFrame:
         return assemble_report(self, with_comparisons, ordered)
@@ -87,18 +94,22 @@ def analyse(wells: DataFrame, cfg: AnalysisConfig | None = None, pin: str = "tab
 
     ``wells`` columns: file_name, Pos, well_ord (arrival ordinal), replicate_name,
     sample_name, zscoring_group, testing_group, Gene, type_of_gene, Cp.
-    ``pin`` decides how the shared intermediates (value-level QC table and
-    per-group table, both far smaller than the wells) are materialized.
+    ``pin`` decides how the shared intermediates (value-level band counts,
+    per-group table, leave-one-out table; all far smaller than the wells) are
+    materialized.
     """
     cfg = cfg or AnalysisConfig()
-    w = prepare_wells(wells, cfg)
-    qv = technical_qc_values(w, cfg.tolerance, cfg.keep_slack, GROUP, "Cp", cfg.chunk_width, carry=CARRY, pin=pin)
+    assigned = wells.filter(F.col("replicate_name").isNotNull())
+    vals = screened_values(assigned, cfg.bad_replicate_cp, cfg.drop_failed, GROUP, "Cp", CARRY)
+    qv = qc_from_values(vals, cfg.tolerance, cfg.keep_slack, GROUP, "Cp", cfg.chunk_width, pin=pin)
     groups = materialize(group_expression(qv, GROUP), pin)
     bio = materialize(loo_outliers(bio_table(groups), ("sample_name", "Gene"), "normalized_expression",
                                    cfg.dispersion, ("replicate_name", "well_ord"), cfg.loo_chunk_rows), pin)
     summary = summarise_samples(bio)
     stats = statistics_table(bio, cfg)
-    return Analysis(w, qv, groups, bio, summary, stats, cfg)
+    filled = fill_undetected(assigned, cfg.bad_replicate_cp)
+    screened = join_keys(filled, qv.select("replicate_name", "good_replicate").distinct(), ["replicate_name"])
+    return Analysis(screened, qv, groups, bio, summary, stats, cfg, assigned)
 
 
 def _group_level(a: Analysis) -> DataFrame:
@@ -112,12 +123,17 @@ def _group_level(a: Analysis) -> DataFrame:
 
 
 def assemble_report(a: Analysis, with_comparisons: bool = False, ordered: bool = True) -> DataFrame:
-    """Well-level report: every kept well with QC flags; group, sample and z-score columns on representatives."""
-    per_value = join_keys(a.values.select(*GROUP, "Cp", "keep_this_value"), _group_level(a), GROUP)
-    wells = a.wells
+    """Well-level report: every kept well with QC flags; group, sample and z-score columns on representatives.
+
+    One inner join of the (filled) wells with the value-level result on
+    (replicate, gene, Cp); wells of failed replicates have no value row and drop out.
+    """
+    per_value = join_keys(a.values.select(*GROUP, "Cp", "keep_this_value", "good_replicate"), _group_level(a), GROUP)
+    src = a.source if a.source is not None else a.wells.drop("good_replicate")
+    wells = fill_undetected(src.filter(F.col("replicate_name").isNotNull()), a.cfg.bad_replicate_cp)
     if with_comparisons:
-        wells = comparison_strings(wells, a.cfg.tolerance)
-    rep = join_keys(wells, per_value, [*GROUP, "Cp"], "left")
+        wells = comparison_strings(a.wells.drop("good_replicate"), a.cfg.tolerance)
+    rep = join_keys(wells, per_value, [*GROUP, "Cp"], "inner")
     first = F.col("well_ord") == F.col("_first_ord")
     masked = ["elevated_value_mean", "normalized_expression", "log2_expression_value",
               "mean_others", "sd_others", "qc_flag", *SUMMARY_COLS]
