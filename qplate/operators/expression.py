@@ -26,6 +26,18 @@ GROUP = ("replicate_name", "Gene")
 REPLICATE = "replicate_name"
 
 
+def weighted_mean_exact(x: str, w: str) -> list:
+    """Aggregates for a row-weighted mean that is exact when all values are equal
+    (as a long-double mean with correction pass is); combine with ``finish_weighted_mean``."""
+    return [F.min(x).alias(f"_{x}_lo"), F.max(x).alias(f"_{x}_hi"),
+            F.sum(F.col(w) * F.col(x)).alias(f"_{x}_wx"), F.sum(w).alias(f"_{x}_w")]
+
+
+def finish_weighted_mean(x: str) -> F.Column:
+    lo, hi = F.col(f"_{x}_lo"), F.col(f"_{x}_hi")
+    return F.when(lo == hi, lo).otherwise(F.col(f"_{x}_wx") / F.col(f"_{x}_w"))
+
+
 def group_expression(qv: DataFrame, keys: Sequence[str] = GROUP, cp: str = "Cp") -> DataFrame:
     """One row per technical group: n_kept, elevated_value_mean, type_of_gene, representative ``_first``,
     normalized_expression, log2_expression_value.
@@ -44,8 +56,8 @@ def group_expression(qv: DataFrame, keys: Sequence[str] = GROUP, cp: str = "Cp")
          .withColumn("type_of_gene", F.col("_first.type_of_gene"))
          .drop("_sum_ev"))
     hk = (g.filter((F.col("type_of_gene") == "HK") & (F.col("n_kept") > 0))
-          .groupBy(REPLICATE)
-          .agg((F.sum(F.col("n_kept") * F.col("elevated_value_mean")) / F.sum("n_kept")).alias("hk_reference")))
+          .groupBy(REPLICATE).agg(*weighted_mean_exact("elevated_value_mean", "n_kept"))
+          .select(REPLICATE, finish_weighted_mean("elevated_value_mean").alias("hk_reference")))
     out = join_keys(g, hk, [REPLICATE], "left")
     norm = safe_div(F.col("elevated_value_mean"), F.col("hk_reference"))
     return (out.withColumn("normalized_expression", norm)
@@ -87,7 +99,7 @@ def cp_ratio(qv: DataFrame, keys: Sequence[str] = GROUP, cp: str = "Cp", on: str
     sizes = qv.groupBy(*keys).agg(F.sum("m").alias("_rows"), F.min("_first.type_of_gene").alias("type_of_gene"))
     g = join_keys(stats, sizes, keys)
     hk = (g.filter((F.col("type_of_gene") == "HK") & F.col("mean_value").isNotNull())
-          .groupBy(REPLICATE)
-          .agg((F.sum(F.col("_rows") * F.col("mean_value")) / F.sum("_rows")).alias("hk_mean_value")))
+          .groupBy(REPLICATE).agg(*weighted_mean_exact("mean_value", "_rows"))
+          .select(REPLICATE, finish_weighted_mean("mean_value").alias("hk_mean_value")))
     out = join_keys(g, hk, [REPLICATE], "left")
     return out.withColumn("deltaCT", safe_div(F.col("mean_value"), F.col("hk_mean_value"))).drop("_rows")

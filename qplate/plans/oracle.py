@@ -40,23 +40,28 @@ prep AS (
   WHERE replicate_name IS NOT NULL
     AND NOT EXISTS (SELECT 1 FROM failed f WHERE f.replicate_name = w.replicate_name))"""
 
-QC = f"""
-pairs AS (
+def qc_ctes(src: str = "prep", sfx: str = "") -> str:
+    """Technical QC over ``src`` wells: pairs{sfx}, qc0{sfx}, qc1{sfx}, qc{sfx}."""
+    return f"""
+pairs{sfx} AS (
   SELECT a.file_name, a.Pos, count(*) - 1 AS valid_counter
-  FROM prep a JOIN prep b
+  FROM {src} a JOIN {src} b
     ON a.replicate_name = b.replicate_name AND a.Gene IS NOT DISTINCT FROM b.Gene AND abs(b.Cp - a.Cp) <= {TOL}
   GROUP BY a.file_name, a.Pos),
-qc0 AS (
+qc0{sfx} AS (
   SELECT p.*, c.valid_counter, count(*) OVER (PARTITION BY p.replicate_name, p.Gene) AS n_of_samples
-  FROM prep p JOIN pairs c USING (file_name, Pos)),
-qc1 AS (
+  FROM {src} p JOIN pairs{sfx} c USING (file_name, Pos)),
+qc1{sfx} AS (
   SELECT *, CASE WHEN bool_and(valid_counter = n_of_samples - 1) OVER g THEN 'all_good'
                  WHEN bool_and(valid_counter = 0) OVER g THEN 'all_bad' ELSE 'mixed' END AS group_type
-  FROM qc0 WINDOW g AS (PARTITION BY replicate_name, Gene)),
-qc AS (
+  FROM qc0{sfx} WINDOW g AS (PARTITION BY replicate_name, Gene)),
+qc{sfx} AS (
   SELECT *, CASE WHEN group_type IN ('all_good', 'all_bad') OR valid_counter >= n_of_samples - 2
                  THEN 'keep' ELSE 'NO keep' END AS keep_this_value
-  FROM qc1)"""
+  FROM qc1{sfx})"""
+
+
+QC = qc_ctes()
 
 EXPR = """
 ev AS (
@@ -69,7 +74,8 @@ hkg AS (
   SELECT replicate_name, Gene, count(*) FILTER (WHERE keep_this_value = 'keep') AS nk, max(evm_all) AS evm
   FROM ev WHERE type_of_gene = 'HK' GROUP BY replicate_name, Gene),
 hkr AS (
-  SELECT replicate_name, sum(nk * evm) / sum(nk) AS hk FROM hkg WHERE nk > 0 GROUP BY replicate_name),
+  SELECT replicate_name, CASE WHEN min(evm) = max(evm) THEN min(evm) ELSE sum(nk * evm) / sum(nk) END AS hk
+  FROM hkg WHERE nk > 0 GROUP BY replicate_name),
 nx AS (
   SELECT ev.*, evm_all / hkr.hk AS norm_all
   FROM ev LEFT JOIN hkr USING (replicate_name))"""
@@ -393,7 +399,8 @@ ev2 AS (
 hkg2 AS (
   SELECT replicate_name, Gene, count(*) FILTER (WHERE keep_this_value = 'keep') AS nk, max(evm_all) AS evm
   FROM ev2 WHERE type_of_gene = 'HK' GROUP BY replicate_name, Gene),
-hkr2 AS (SELECT replicate_name, sum(nk * evm) / sum(nk) AS hk FROM hkg2 WHERE nk > 0 GROUP BY replicate_name),
+hkr2 AS (SELECT replicate_name, CASE WHEN min(evm) = max(evm) THEN min(evm) ELSE sum(nk * evm) / sum(nk) END AS hk
+         FROM hkg2 WHERE nk > 0 GROUP BY replicate_name),
 nx2 AS (SELECT ev2.*, evm_all / hkr2.hk AS norm_all FROM ev2 LEFT JOIN hkr2 USING (replicate_name)),
 bio2 AS (
   SELECT file_name, Pos, well_ord, replicate_name, sample_name, zscoring_group, testing_group, Gene, type_of_gene,
@@ -478,6 +485,36 @@ bmark AS (
   WHERE EXISTS (SELECT 1 FROM bup u WHERE u.zscoring_group = s.zscoring_group AND (u.id = s.id OR u.id - 1 = s.id)))"""
 
 
+DCHAIN = """cr AS (
+  SELECT *, avg(CASE WHEN keep_this_value = 'keep' THEN Cp END) OVER (PARTITION BY replicate_name, Gene) AS mv
+  FROM qc),
+cr2 AS (SELECT *, CASE WHEN min(CASE WHEN type_of_gene = 'HK' THEN mv END) OVER r = max(CASE WHEN type_of_gene = 'HK' THEN mv END) OVER r
+                 THEN min(CASE WHEN type_of_gene = 'HK' THEN mv END) OVER r
+                 ELSE avg(CASE WHEN type_of_gene = 'HK' THEN mv END) OVER r END AS hk
+  FROM cr WINDOW r AS (PARTITION BY replicate_name)),
+dct AS (
+  SELECT replicate_name, Gene, max(mv) / max(hk) AS deltaCT, min(well_ord) AS well_ord, max(type_of_gene) AS tg_
+  FROM cr2 GROUP BY replicate_name, Gene),
+dreps AS (
+  SELECT d.replicate_name, d.Gene, d.deltaCT, d.well_ord, p.sample_name, p.zscoring_group AS cell_line,
+         p.testing_group AS sample_group
+  FROM dct d JOIN prep p ON p.well_ord = d.well_ord
+  WHERE d.tg_ <> 'HK' AND d.deltaCT IS NOT NULL),
+dloo AS (
+  SELECT a.replicate_name, a.Gene, count(b.replicate_name) AS others_rows, avg(b.deltaCT) AS mo,
+         stddev_samp(b.deltaCT) AS so
+  FROM dreps a LEFT JOIN dreps b ON a.sample_name = b.sample_name AND a.Gene = b.Gene
+   AND a.replicate_name <> b.replicate_name
+  GROUP BY a.replicate_name, a.Gene),
+dq AS (
+  SELECT d.*, CASE WHEN l.others_rows >= 2 THEN l.so END AS sdo, CASE WHEN l.others_rows >= 1 THEN l.mo END AS mno
+  FROM dreps d JOIN dloo l USING (replicate_name, Gene)),
+dflag AS (
+  SELECT *, CASE WHEN sdo IS NULL THEN 'GOOD' WHEN deltaCT IS NULL THEN NULL
+                 WHEN abs(deltaCT - mno) > 3.0 * sdo THEN 'BAD' ELSE 'GOOD' END AS qc_flag
+  FROM dq)"""
+
+
 def _wrap(ctes: list[str], select: str) -> str:
     return "WITH RECURSIVE " + ",".join(ctes) + "\n" + select
 
@@ -545,7 +582,10 @@ cr AS (
             stddev_samp(CASE WHEN keep_this_value = 'keep' THEN Cp END) OVER (PARTITION BY replicate_name, Gene) AS sv
   FROM qc),
 cr2 AS (
-  SELECT *, avg(CASE WHEN type_of_gene = 'HK' THEN mv END) OVER (PARTITION BY replicate_name) AS hk FROM cr)
+  SELECT *, CASE WHEN min(CASE WHEN type_of_gene = 'HK' THEN mv END) OVER r = max(CASE WHEN type_of_gene = 'HK' THEN mv END) OVER r
+                 THEN min(CASE WHEN type_of_gene = 'HK' THEN mv END) OVER r
+                 ELSE avg(CASE WHEN type_of_gene = 'HK' THEN mv END) OVER r END AS hk
+  FROM cr WINDOW r AS (PARTITION BY replicate_name))
 SELECT replicate_name, Gene, max(type_of_gene) AS type_of_gene, {rs('max(mv)')} AS mean_value,
        {rs('max(sv)')} AS sd_value, {rs('max(hk)')} AS hk_mean_value, {rs('max(mv) / max(hk)')} AS deltaCT
 FROM cr2 GROUP BY replicate_name, Gene""")
@@ -656,31 +696,7 @@ SELECT c_custkey, replicate_name, sample_name,
        CASE WHEN contains(sample_name, 'DN') THEN 'Control' ELSE 'Res' END AS sample_group
 FROM named""")
     out["delta_delta"] = _wrap(qc + [EXPR], f""",
-cr AS (
-  SELECT *, avg(CASE WHEN keep_this_value = 'keep' THEN Cp END) OVER (PARTITION BY replicate_name, Gene) AS mv
-  FROM qc),
-cr2 AS (SELECT *, avg(CASE WHEN type_of_gene = 'HK' THEN mv END) OVER (PARTITION BY replicate_name) AS hk FROM cr),
-dct AS (
-  SELECT replicate_name, Gene, max(mv) / max(hk) AS deltaCT, min(well_ord) AS well_ord, max(type_of_gene) AS tg_
-  FROM cr2 GROUP BY replicate_name, Gene),
-dreps AS (
-  SELECT d.replicate_name, d.Gene, d.deltaCT, d.well_ord, p.sample_name, p.zscoring_group AS cell_line,
-         p.testing_group AS sample_group
-  FROM dct d JOIN prep p ON p.well_ord = d.well_ord
-  WHERE d.tg_ <> 'HK' AND d.deltaCT IS NOT NULL),
-dloo AS (
-  SELECT a.replicate_name, a.Gene, count(b.replicate_name) AS others_rows, avg(b.deltaCT) AS mo,
-         stddev_samp(b.deltaCT) AS so
-  FROM dreps a LEFT JOIN dreps b ON a.sample_name = b.sample_name AND a.Gene = b.Gene
-   AND a.replicate_name <> b.replicate_name
-  GROUP BY a.replicate_name, a.Gene),
-dq AS (
-  SELECT d.*, CASE WHEN l.others_rows >= 2 THEN l.so END AS sdo, CASE WHEN l.others_rows >= 1 THEN l.mo END AS mno
-  FROM dreps d JOIN dloo l USING (replicate_name, Gene)),
-dflag AS (
-  SELECT *, CASE WHEN sdo IS NULL THEN 'GOOD' WHEN deltaCT IS NULL THEN NULL
-                 WHEN abs(deltaCT - mno) > 3.0 * sdo THEN 'BAD' ELSE 'GOOD' END AS qc_flag
-  FROM dq),
+{DCHAIN},
 dd1 AS (
   SELECT *, CASE WHEN max(CASE WHEN deltaCT IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY sample_name, Gene) = 0
                  THEN avg(deltaCT) OVER (PARTITION BY sample_name, Gene) END AS dmean
@@ -709,4 +725,40 @@ SELECT l_orderkey, l_linenumber, {rs('l_extendedprice')} AS l_extendedprice, p_b
        {ra('(l_extendedprice - avg(l_extendedprice) OVER g) / nullif(stddev_samp(l_extendedprice) OVER g, 0)')}
          AS zscored_value
 FROM lp WINDOW g AS (PARTITION BY p_brand, p_size)""")
+    dchain = qc + [EXPR, DCHAIN]
+    out["delta_ct_zscore"] = _wrap(dchain + ["""
+dm AS (SELECT sample_name, Gene, avg(deltaCT) AS mean_value, min(cell_line) AS zscoring_group
+       FROM dflag WHERE qc_flag = 'GOOD' GROUP BY sample_name, Gene)"""], f"""
+SELECT sample_name, Gene, {rs('mean_value')} AS mean_value, zscoring_group,
+       {ra('(mean_value - avg(mean_value) OVER z) / nullif(stddev_samp(mean_value) OVER z, 0)')} AS zscored_value
+FROM dm WINDOW z AS (PARTITION BY zscoring_group, Gene)""")
+    out["delta_delta_test"] = _wrap(dchain + ["""
+dtin AS (SELECT cell_line AS zscoring_group, Gene, sample_group AS testing_group, deltaCT AS normalized_expression,
+                qc_flag, 'Normal' AS type_of_gene FROM dflag)""", welch_ctes("dtin", "3")], f"""
+SELECT s.zscoring_group AS cell_line, s.Gene, {rs("CASE WHEN s.test_status = 'ok' THEN b.ibeta END")} AS pvalue,
+       s.test_status
+FROM ts3 s LEFT JOIN tbeta3 b ON b.zscoring_group = s.zscoring_group AND b.Gene IS NOT DISTINCT FROM s.Gene""")
+    out["flag_mode_ratio"] = _wrap(base + [f"""
+prepf AS (
+  SELECT file_name, Pos, well_ord, replicate_name, sample_name, zscoring_group, testing_group, Gene, type_of_gene,
+         coalesce(Cp, CAST({THRESH} AS DOUBLE)) AS Cp,
+         CASE WHEN EXISTS (SELECT 1 FROM failed f WHERE f.replicate_name = w.replicate_name) THEN 'bad' ELSE 'good' END
+           AS good_replicate
+  FROM wells w WHERE replicate_name IS NOT NULL)""", qc_ctes("prepf", "f"), """
+fr AS (
+  SELECT *, avg(CASE WHEN keep_this_value = 'keep' THEN power(0.5, Cp) END) OVER g AS mv,
+            stddev_samp(CASE WHEN keep_this_value = 'keep' THEN power(0.5, Cp) END) OVER g AS sv,
+            well_ord = min(well_ord) OVER g AS is_first
+  FROM qcf WINDOW g AS (PARTITION BY replicate_name, Gene)),
+fr2 AS (SELECT *, CASE WHEN min(CASE WHEN type_of_gene = 'HK' THEN mv END) OVER r = max(CASE WHEN type_of_gene = 'HK' THEN mv END) OVER r
+                 THEN min(CASE WHEN type_of_gene = 'HK' THEN mv END) OVER r
+                 ELSE avg(CASE WHEN type_of_gene = 'HK' THEN mv END) OVER r END AS hk
+  FROM fr WINDOW r AS (PARTITION BY replicate_name)),
+fr3 AS (SELECT *, CASE WHEN is_first THEN mv / hk END AS dct_f FROM fr2),
+fr4 AS (SELECT *, avg(dct_f) OVER s AS mdct, stddev_samp(dct_f) OVER s AS sdct
+        FROM fr3 WINDOW s AS (PARTITION BY sample_name, Gene))"""], f"""
+SELECT file_name, Pos, replicate_name, sample_name, Gene, type_of_gene, good_replicate, keep_this_value,
+       {rs('CASE WHEN is_first THEN mv END')} AS mean_value, {rs('CASE WHEN is_first THEN sv END')} AS sd_value,
+       {rs('dct_f')} AS deltaCT, {rs('hk')} AS hk_mean_value, {rs('mdct')} AS mean_deltaCT, {rs('sdct')} AS sd_deltaCT
+FROM fr4""")
     return out

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from qplate.config import AnalysisConfig
 from qplate.functions.numeric import log2_or_null, safe_div
 from qplate.operators._util import join_keys, materialize
-from qplate.operators.expression import group_expression
+from qplate.operators.expression import finish_weighted_mean, group_expression, weighted_mean_exact
 from qplate.operators.outliers import loo_outliers
 from qplate.operators.replicate_qc import (
     comparison_strings,
@@ -181,7 +181,8 @@ def recalculate(report: DataFrame, cfg: AnalysisConfig | None = None,
     grp = grp.withColumn("elevated_value_mean", safe_div(F.col("_sev"), F.col("n_kept").cast("double")))
     grp = grp.withColumn("type_of_gene", F.col("_first.type_of_gene"))
     hk = (grp.filter((F.col("type_of_gene") == "HK") & (F.col("n_kept") > 0)).groupBy("replicate_name")
-          .agg((F.sum(F.col("n_kept") * F.col("elevated_value_mean")) / F.sum("n_kept")).alias("_hk")))
+          .agg(*weighted_mean_exact("elevated_value_mean", "n_kept"))
+          .select("replicate_name", finish_weighted_mean("elevated_value_mean").alias("_hk")))
     grp = join_keys(grp, hk, ["replicate_name"], "left")
     grp = grp.withColumn("normalized_expression", safe_div(F.col("elevated_value_mean"), F.col("_hk"))) \
         .withColumn("log2_expression_value", log2_or_null(F.col("normalized_expression")))

@@ -20,13 +20,13 @@ from qplate.operators.replicate_qc import (
     technical_qc,
 )
 from qplate.plans.compare import for_compare
-from qplate.operators._util import join_keys
+from qplate.operators._util import join_keys, materialize
 from qplate.operators.outliers import loo_outliers
 from qplate.operators.plotdata import bar_table, break_points, colour_rule, magnitude_breaks, plot_points, pvalue_labels
 from qplate.operators.summary import zscore
 from qplate.operators.variants import delta_delta, sample_labels
 from qplate.plans.pipeline import GROUP, analyse, prepare_wells, recalculate
-from qplate.operators.significance import ranksum_test
+from qplate.operators.significance import ranksum_test, two_group_test
 from qplate.operators.layout import annotate_wells, expand_layout, unmatched_wells
 from qplate.sources.driver_tables import (
     EVENT_HK_GENES,
@@ -173,7 +173,8 @@ def _overrides(report: DataFrame) -> DataFrame:
 
 def _recalculated(spark, sf_dir):
     a = analyse(_wells(spark, sf_dir), EVENT_CFG)
-    rep = a.report(ordered=False)
+    # the replay reads the written report back, as the curation loop does
+    rep = materialize(a.report(ordered=False), "table")
     return recalculate(rep, EVENT_CFG, _overrides(rep))
 
 
@@ -192,7 +193,8 @@ def q_recalculate_stats(spark, sf_dir):
 
 def _plot_inputs(spark, sf_dir):
     a = analyse(_wells(spark, sf_dir), EVENT_CFG)
-    pts = plot_points(a.report(ordered=False))
+    # one row per plotted representative; labels, bars and breaks all read it
+    pts = materialize(plot_points(a.report(ordered=False)), "table")
     return a, pts
 
 
@@ -264,6 +266,53 @@ def q_delta_delta(spark, sf_dir):
                                   "qc_flag", "delta_delta_CT", "elevated_value", "mean_value", "sd_value"))
 
 
+def _delta_ct_flags(spark, sf_dir):
+    """Cp-ratio variant: non-HK replicate-level deltaCT with leave-one-out flags (dispersion 3)."""
+    a = analyse(_wells(spark, sf_dir), EVENT_CFG)
+    cr = cp_ratio(a.values, GROUP, "Cp", on="cp")
+    reps = a.groups.select(*GROUP, F.col("_first.well_ord").alias("well_ord"),
+                           F.col("_first.sample_name").alias("sample_name"),
+                           F.col("_first.zscoring_group").alias("cell_line"),
+                           F.col("_first.testing_group").alias("sample_group"))
+    ratios = cr.filter((F.col("type_of_gene") != "HK") & F.col("deltaCT").isNotNull())
+    d = join_keys(ratios.select(*GROUP, "deltaCT"), reps, GROUP)
+    return loo_outliers(d, ("sample_name", "Gene"), "deltaCT", TRIAL_DISPERSION, ("replicate_name", "well_ord"))
+
+
+def q_delta_ct_zscore(spark, sf_dir):
+    d = _delta_ct_flags(spark, sf_dir).filter(F.col("qc_flag") == "GOOD")
+    means = d.groupBy("sample_name", "Gene").agg(F.avg("deltaCT").alias("mean_value"),
+                                                 F.min("cell_line").alias("zscoring_group"))
+    return for_compare(zscore(means, ("zscoring_group", "Gene"), "mean_value", "zscored_value"))
+
+
+def q_delta_delta_test(spark, sf_dir):
+    d = _delta_ct_flags(spark, sf_dir).filter(F.col("qc_flag") == "GOOD")
+    return for_compare(two_group_test(d, ("cell_line", "Gene"), "deltaCT", "sample_group", "ttest"))
+
+
+def q_flag_mode_ratio(spark, sf_dir):
+    """Earlier variant: failed replicates flagged, not dropped; ratio of kept elevated-value means;
+    sample mean/sd of the ratio with missing values removed."""
+    cfg = AnalysisConfig(hk_genes=EVENT_CFG.hk_genes, tolerance=EVENT_CFG.tolerance, drop_failed=False)
+    a = analyse(_wells(spark, sf_dir), cfg)
+    cr = cp_ratio(a.values, GROUP, "Cp", on="elevated")
+    reps = a.groups.select(*GROUP, F.col("_first.well_ord").alias("_first_ord"),
+                           F.col("_first.sample_name").alias("sample_name"))
+    g = join_keys(cr, reps, GROUP)
+    samp = g.groupBy("sample_name", "Gene").agg(F.avg("deltaCT").alias("mean_deltaCT"),
+                                                F.stddev_samp("deltaCT").alias("sd_deltaCT"))
+    g = join_keys(g.drop("type_of_gene"), samp, ["sample_name", "Gene"], "left")
+    per_value = join_keys(a.values.select(*GROUP, "Cp", "keep_this_value", "good_replicate"), g, GROUP)
+    wells = a.source.withColumn("Cp", F.coalesce(F.col("Cp"), F.lit(cfg.bad_replicate_cp))).drop("sample_name")
+    out = join_keys(wells, per_value, [*GROUP, "Cp"], "inner")
+    first = F.col("well_ord") == F.col("_first_ord")
+    out = out.select("file_name", "Pos", "replicate_name", "sample_name", "Gene", "type_of_gene", "good_replicate",
+                     "keep_this_value", *[F.when(first, F.col(c)).alias(c) for c in ("mean_value", "sd_value", "deltaCT")],
+                     "hk_mean_value", "mean_deltaCT", "sd_deltaCT")
+    return for_compare(out)
+
+
 def q_zscore_lineitem(spark, sf_dir):
     li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     part = load_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
@@ -282,6 +331,9 @@ REGISTRY: dict[str, Query] = {
     "sample_labels": q_sample_labels,
     "delta_delta": q_delta_delta,
     "zscore_lineitem": q_zscore_lineitem,
+    "delta_ct_zscore": q_delta_ct_zscore,
+    "delta_delta_test": q_delta_delta_test,
+    "flag_mode_ratio": q_flag_mode_ratio,
     "ranksum_test": q_ranksum_test,
     "layout_expand": q_layout_expand,
     "annotate_first_match": q_annotate_first_match,
