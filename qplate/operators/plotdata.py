@@ -35,9 +35,15 @@ def plot_points(report: DataFrame, group: str = PLOT_GROUP) -> DataFrame:
     d = d.withColumn("ordering", F.concat_ws("_", "sample_name", "testing_group", "Gene"))
     levels = (d.groupBy(group, "ordering", "Gene", "testing_group")
               .agg(F.min("replicate_name").alias("_first_rep")))
-    w = Window.partitionBy(group).orderBy(F.col("Gene").asc_nulls_last(), F.col("testing_group").asc_nulls_last(),
-                                          F.col("_first_rep"))
-    levels = levels.withColumn("ordering_level", F.row_number().over(w)).select(group, "ordering", "ordering_level")
+    # level = levels of earlier (gene, testing group) blocks of the plot + rank inside the block:
+    # the prefix runs over a one-row-per-block table, the rank over (plot, gene, testing group)
+    blocks = levels.groupBy(group, "Gene", "testing_group").agg(F.count(F.lit(1)).alias("_n"))
+    wb = Window.partitionBy(group).orderBy(F.col("Gene").asc_nulls_last(), F.col("testing_group").asc_nulls_last()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(wb), F.lit(0))).drop("_n")
+    wi = Window.partitionBy(group, "Gene", "testing_group").orderBy("_first_rep")
+    levels = join_keys(levels.withColumn("_in", F.row_number().over(wi)), blocks, [group, "Gene", "testing_group"])
+    levels = levels.select(group, "ordering", (F.col("_off") + F.col("_in")).cast("int").alias("ordering_level"))
     return join_keys(d, levels, [group, "ordering"]).drop("replicate_name")
 
 
