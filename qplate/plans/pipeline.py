@@ -89,7 +89,7 @@ def statistics_table(bio_qc: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     return two_group_test(good, ("zscoring_group", "Gene"), "normalized_expression", "testing_group", cfg.test_type)
 
 
-def analyse(wells: DataFrame, cfg: AnalysisConfig | None = None, pin: str = "table") -> Analysis:
+def analyse(wells: DataFrame, cfg: AnalysisConfig | None = None, pin: str | dict = "table") -> Analysis:
     """Full analysis of annotated wells.
 
     ``wells`` columns: file_name, Pos, well_ord (arrival ordinal), replicate_name,
@@ -99,12 +99,13 @@ def analyse(wells: DataFrame, cfg: AnalysisConfig | None = None, pin: str = "tab
     materialized.
     """
     cfg = cfg or AnalysisConfig()
+    pins = pin if isinstance(pin, dict) else {"values": pin, "groups": pin, "bio": pin}
     assigned = wells.filter(F.col("replicate_name").isNotNull())
     vals = screened_values(assigned, cfg.bad_replicate_cp, cfg.drop_failed, GROUP, "Cp", CARRY)
-    qv = qc_from_values(vals, cfg.tolerance, cfg.keep_slack, GROUP, "Cp", cfg.chunk_width, pin=pin)
-    groups = materialize(group_expression(qv, GROUP), pin)
+    qv = qc_from_values(vals, cfg.tolerance, cfg.keep_slack, GROUP, "Cp", cfg.chunk_width, pin=pins["values"])
+    groups = materialize(group_expression(qv, GROUP), pins["groups"])
     bio = materialize(loo_outliers(bio_table(groups), ("sample_name", "Gene"), "normalized_expression",
-                                   cfg.dispersion, ("replicate_name", "well_ord"), cfg.loo_chunk_rows), pin)
+                                   cfg.dispersion, ("replicate_name", "well_ord"), cfg.loo_chunk_rows), pins["bio"])
     summary = summarise_samples(bio)
     stats = statistics_table(bio, cfg)
     filled = fill_undetected(assigned, cfg.bad_replicate_cp)

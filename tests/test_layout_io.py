@@ -63,3 +63,28 @@ def test_plate_export_round_trip(spark):
     # directory read: plates ranked by name
     by_dir = read_plates(spark, d)
     assert sorted({(r.file_name, r.plate_ord) for r in by_dir.collect()}) == [("p1", 0), ("p2", 1)]
+
+
+def test_sheet_reader_sink_and_meta_key(spark):
+    import tempfile as _t
+
+    from qplate.sources.plates import read_sheet, write_table
+    d = _t.mkdtemp(prefix="qplate-sheet-")
+    with open(os.path.join(d, "genes.csv"), "w") as fh:
+        fh.write("file_name,rows,cols,gene\np1,A,1-2,RHOA\np1,A,2-3,TP53\n")
+    sheet = read_sheet(spark, os.path.join(d, "genes.csv"),
+                       schema="file_name string, rows string, cols string, gene string")
+    assert [r.sheet_ord for r in sheet.orderBy("sheet_ord").collect()] == sorted(r.sheet_ord for r in sheet.collect())
+    got = {r.Pos: r.Gene for r in first_match(expand_layout(sheet, "gene"), "gene", "Gene").collect()}
+    assert got == {"A1": "RHOA", "A2": "RHOA", "A3": "TP53"}
+    # metadata keyed "sample" (differing key names), then a partitioned Parquet sink
+    wells = spark.createDataFrame([("p1", "A1", 0, 20.0)], "file_name string, Pos string, well_ord long, Cp double")
+    samples = spark.createDataFrame([("p1", "A", "1", "S.1", 0)],
+                                    "file_name string, rows string, cols string, sample string, sheet_ord long")
+    meta = spark.createDataFrame([("S.1", "S", "z1", "t")], "sample string, sample_name string, zscoring_group string, testing_group string")
+    ann = annotate_wells(wells, sheet, samples, meta, ["RHOA"], meta_key="sample")
+    out = os.path.join(d, "out")
+    write_table(ann, out, partition_by=["zscoring_group"])
+    back = spark.read.parquet(out)
+    assert [(r.replicate_name, r.zscoring_group, r.Gene) for r in back.collect()] == [("S.1", "z1", "RHOA")]
+    assert os.path.isdir(os.path.join(out, "zscoring_group=z1"))
