@@ -125,13 +125,26 @@ def technical_qc_values(wells: DataFrame, tol: float = 0.5, slack: int = 2,
 
 
 def qc_from_values(vals: DataFrame, tol: float = 0.5, slack: int = 2, keys: Sequence[str] = GROUP,
-                   cp: str = "Cp", chunk_width: float | None = None, pin: str = "none") -> DataFrame:
+                   cp: str = "Cp", chunk_width: float | None = None, pin: str = "none",
+                   drop_failed: bool | None = None) -> DataFrame:
     """Keep flags from a distinct-value table (keys, cp, m, extra columns passed through).
 
-    The band-count table feeds both the group statistics and the join back;
-    ``pin`` (see ``materialize``) writes it once so neither branch recomputes it.
+    The band-count table feeds the failed-replicate screen, the group
+    statistics and the join back; ``pin`` (see ``materialize``) writes it once
+    so no branch recomputes it.  When ``vals`` carries ``_fail`` (from
+    ``screened_values``) the screen runs here, on the pinned table: technical
+    groups never span replicates, so screening after counting changes nothing
+    for the replicates that stay.  ``drop_failed`` False flags instead of dropping.
     """
     counted = materialize(band_counts(vals, keys, cp, tol, chunk_width), pin)
+    if "_fail" in counted.columns:
+        bad = counted.filter(F.col("_fail") == 1).select("replicate_name").distinct()
+        if drop_failed is None or drop_failed:
+            counted = counted.join(bad, "replicate_name", "left_anti").withColumn("good_replicate", F.lit("good"))
+        else:
+            counted = (counted.join(bad.withColumn("_bad", F.lit(True)), "replicate_name", "left")
+                       .withColumn("good_replicate", F.when(F.col("_bad"), "bad").otherwise("good")).drop("_bad"))
+        counted = counted.drop("_fail")
     stats = counted.groupBy(*keys).agg(
         F.sum("m").alias("n_of_samples"), F.min("c").alias("_cmin"), F.max("c").alias("_cmax"))
     j = join_keys(counted, stats, keys)
@@ -140,19 +153,20 @@ def qc_from_values(vals: DataFrame, tol: float = 0.5, slack: int = 2, keys: Sequ
                   .when(F.col("_cmax") == 1, "all_bad").otherwise("mixed"))
     keep = F.when(group_type.isin("all_good", "all_bad") | (valid >= F.col("n_of_samples") - F.lit(slack)), "keep") \
         .otherwise("NO keep")
-    extra = [c for c in vals.columns if c not in (*keys, cp, "m")]
+    extra = [c for c in counted.columns if c not in (*keys, cp, "m", "c")]
     return j.select(*keys, cp, "m", valid.alias("valid_counter"), "n_of_samples",
                     group_type.alias("group_type"), keep.alias("keep_this_value"), *extra)
 
 
-def screened_values(wells: DataFrame, threshold: float = 35.0, drop: bool = True, keys: Sequence[str] = GROUP,
+def screened_values(wells: DataFrame, threshold: float = 35.0, keys: Sequence[str] = GROUP,
                     cp: str = "Cp", carry: Sequence[str] = ()) -> DataFrame:
-    """Failed-replicate screen, blank fill and distinct-value aggregation in one pass over the wells.
+    """Blank fill and distinct-value aggregation in one pass over the wells, carrying the
+    failed-replicate evidence.
 
-    Groups by the *filled* Cp while carrying whether any raw HK Cp of the value
-    reached the threshold (blank wells never fail a replicate), so the wells are
-    scanned once; the failed-replicate set comes from the much smaller value table.
-    Adds ``good_replicate``; with ``drop`` failed replicates are removed.
+    Groups by the *filled* Cp while carrying ``_fail`` = whether any raw HK Cp of
+    the value reached the threshold (blank wells never fail a replicate), so the
+    wells are scanned once; ``qc_from_values`` derives the failed-replicate set
+    from the much smaller value table.
     """
     raw = F.col(cp)
     filled = wells.withColumn("_fail", F.when((F.col("type_of_gene") == "HK") & (raw >= F.lit(threshold)), 1)
@@ -160,14 +174,7 @@ def screened_values(wells: DataFrame, threshold: float = 35.0, drop: bool = True
     aggs = [F.count(F.lit(1)).alias("m"), F.max("_fail").alias("_fail")]
     if carry:
         aggs.append(F.min(F.struct(F.col("well_ord"), *[F.col(c) for c in carry])).alias("_first"))
-    vals = filled.groupBy(*keys, cp).agg(*aggs)
-    bad = vals.filter(F.col("_fail") == 1).select("replicate_name").distinct().withColumn("_bad", F.lit(True))
-    if drop:
-        out = vals.join(bad, "replicate_name", "left_anti").withColumn("good_replicate", F.lit("good"))
-    else:
-        out = (vals.join(bad, "replicate_name", "left")
-               .withColumn("good_replicate", F.when(F.col("_bad"), "bad").otherwise("good")).drop("_bad"))
-    return out.drop("_fail")
+    return filled.groupBy(*keys, cp).agg(*aggs)
 
 
 def technical_qc(wells: DataFrame, tol: float = 0.5, slack: int = 2,

@@ -101,8 +101,9 @@ def analyse(wells: DataFrame, cfg: AnalysisConfig | None = None, pin: str | dict
     cfg = cfg or AnalysisConfig()
     pins = pin if isinstance(pin, dict) else {"values": pin, "groups": pin, "bio": pin}
     assigned = wells.filter(F.col("replicate_name").isNotNull())
-    vals = screened_values(assigned, cfg.bad_replicate_cp, cfg.drop_failed, GROUP, "Cp", CARRY)
-    qv = qc_from_values(vals, cfg.tolerance, cfg.keep_slack, GROUP, "Cp", cfg.chunk_width, pin=pins["values"])
+    vals = screened_values(assigned, cfg.bad_replicate_cp, GROUP, "Cp", CARRY)
+    qv = qc_from_values(vals, cfg.tolerance, cfg.keep_slack, GROUP, "Cp", cfg.chunk_width, pin=pins["values"],
+                        drop_failed=cfg.drop_failed)
     groups = materialize(group_expression(qv, GROUP), pins["groups"])
     bio = materialize(loo_outliers(bio_table(groups), ("sample_name", "Gene"), "normalized_expression",
                                    cfg.dispersion, ("replicate_name", "well_ord"), cfg.loo_chunk_rows), pins["bio"])
