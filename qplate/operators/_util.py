@@ -12,16 +12,22 @@ from pyspark.sql import functions as F
 from qplate.session import ensure_checkpoint_dir
 
 
-def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` with NULL-safe equality (a NULL gene is a group of its own).
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+              null_safe: bool = True) -> DataFrame:
+    """Equi-join on ``keys``; NULL-safe by default (a NULL gene is a group of its own).
 
     Right-side keys are renamed first, so frames derived from the same lineage
     join without ambiguous references; the output keeps the left key columns.
+    With ``null_safe=False`` (keys known non-NULL) the join is a plain equi-join,
+    whose output stays hash-partitioned on the keys for the next aggregate.
     """
     renamed = right
     for k in keys:
         renamed = renamed.withColumnRenamed(k, f"__r_{k}")
-    cond = [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys]
+    if null_safe:
+        cond = [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys]
+    else:
+        cond = [left[k] == renamed[f"__r_{k}"] for k in keys]
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 

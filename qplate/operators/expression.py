@@ -38,7 +38,7 @@ def finish_weighted_mean(x: str) -> F.Column:
     return F.when(lo == hi, lo).otherwise(F.col(f"_{x}_wx") / F.col(f"_{x}_w"))
 
 
-def group_expression(qv: DataFrame, keys: Sequence[str] = GROUP, cp: str = "Cp") -> DataFrame:
+def group_expression(qv: DataFrame, keys: Sequence[str] = GROUP, cp: str = "Cp", null_safe: bool = True) -> DataFrame:
     """One row per technical group: n_kept, elevated_value_mean, type_of_gene, representative ``_first``,
     normalized_expression, log2_expression_value.
 
@@ -58,7 +58,7 @@ def group_expression(qv: DataFrame, keys: Sequence[str] = GROUP, cp: str = "Cp")
     hk = (g.filter((F.col("type_of_gene") == "HK") & (F.col("n_kept") > 0))
           .groupBy(REPLICATE).agg(*weighted_mean_exact("elevated_value_mean", "n_kept"))
           .select(REPLICATE, finish_weighted_mean("elevated_value_mean").alias("hk_reference")))
-    out = join_keys(g, hk, [REPLICATE], "left")
+    out = join_keys(g, hk, [REPLICATE], "left", null_safe=null_safe)
     norm = safe_div(F.col("elevated_value_mean"), F.col("hk_reference"))
     return (out.withColumn("normalized_expression", norm)
             .withColumn("log2_expression_value", log2_or_null(F.col("normalized_expression"))))

@@ -126,7 +126,7 @@ def technical_qc_values(wells: DataFrame, tol: float = 0.5, slack: int = 2,
 
 def qc_from_values(vals: DataFrame, tol: float = 0.5, slack: int = 2, keys: Sequence[str] = GROUP,
                    cp: str = "Cp", chunk_width: float | None = None, pin: str = "none",
-                   drop_failed: bool | None = None) -> DataFrame:
+                   drop_failed: bool | None = None, null_safe: bool = True) -> DataFrame:
     """Keep flags from a distinct-value table (keys, cp, m, extra columns passed through).
 
     The band-count table feeds the failed-replicate screen, the group
@@ -147,7 +147,7 @@ def qc_from_values(vals: DataFrame, tol: float = 0.5, slack: int = 2, keys: Sequ
         counted = counted.drop("_fail")
     stats = counted.groupBy(*keys).agg(
         F.sum("m").alias("n_of_samples"), F.min("c").alias("_cmin"), F.max("c").alias("_cmax"))
-    j = join_keys(counted, stats, keys)
+    j = join_keys(counted, stats, keys, null_safe=null_safe)
     valid = F.col("c") - F.lit(1)
     group_type = (F.when(F.col("_cmin") == F.col("n_of_samples"), "all_good")
                   .when(F.col("_cmax") == 1, "all_bad").otherwise("mixed"))

@@ -56,6 +56,7 @@ class Analysis:
     statistics: DataFrame     # per (zscoring_group, gene) test
     cfg: AnalysisConfig
     source: DataFrame | None = None   # assigned wells as given (report joins these once)
+    internal: dict | None = None      # same frames with the NULL-gene sentinel (plain equi-joins)
 
     def report(self, with_comparisons: bool = False, ordered: bool = True) -> DataFrame:
         return assemble_report(self, with_comparisons, ordered)
@@ -89,6 +90,18 @@ def statistics_table(bio_qc: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     return two_group_test(good, ("zscoring_group", "Gene"), "normalized_expression", "testing_group", cfg.test_type)
 
 
+# A NULL gene is a group of its own.  Inside ``analyse`` it is carried as this fixed
+# sentinel so the joins on (replicate, gene) are plain equi-joins (their output stays
+# hash-partitioned for the next aggregate); every public output maps it back to NULL.
+NULL_GENE = "\u0000"
+
+
+def _restore_gene(df: DataFrame) -> DataFrame:
+    if "Gene" not in df.columns:
+        return df
+    return df.withColumn("Gene", F.when(F.col("Gene") != F.lit(NULL_GENE), F.col("Gene")))
+
+
 def analyse(wells: DataFrame, cfg: AnalysisConfig | None = None, pin: str | dict = "table") -> Analysis:
     """Full analysis of annotated wells.
 
@@ -100,28 +113,34 @@ def analyse(wells: DataFrame, cfg: AnalysisConfig | None = None, pin: str | dict
     """
     cfg = cfg or AnalysisConfig()
     pins = pin if isinstance(pin, dict) else {"values": pin, "groups": pin, "bio": pin}
-    assigned = wells.filter(F.col("replicate_name").isNotNull())
+    assigned = (wells.filter(F.col("replicate_name").isNotNull())
+                .withColumn("Gene", F.coalesce(F.col("Gene"), F.lit(NULL_GENE))))
     vals = screened_values(assigned, cfg.bad_replicate_cp, GROUP, "Cp", CARRY)
     qv = qc_from_values(vals, cfg.tolerance, cfg.keep_slack, GROUP, "Cp", cfg.chunk_width, pin=pins["values"],
-                        drop_failed=cfg.drop_failed)
-    groups = materialize(group_expression(qv, GROUP), pins["groups"])
+                        drop_failed=cfg.drop_failed, null_safe=False)
+    groups = materialize(group_expression(qv, GROUP, null_safe=False), pins["groups"])
     bio = materialize(loo_outliers(bio_table(groups), ("sample_name", "Gene"), "normalized_expression",
                                    cfg.dispersion, ("replicate_name", "well_ord"), cfg.loo_chunk_rows), pins["bio"])
     summary = summarise_samples(bio)
     stats = statistics_table(bio, cfg)
     filled = fill_undetected(assigned, cfg.bad_replicate_cp)
-    screened = join_keys(filled, qv.select("replicate_name", "good_replicate").distinct(), ["replicate_name"])
-    return Analysis(screened, qv, groups, bio, summary, stats, cfg, assigned)
+    screened = join_keys(filled, qv.select("replicate_name", "good_replicate").distinct(), ["replicate_name"],
+                         null_safe=False)
+    internal = {"values": qv, "groups": groups, "bio": bio, "summary": summary, "source": assigned}
+    return Analysis(_restore_gene(screened), _restore_gene(qv), _restore_gene(groups), _restore_gene(bio),
+                    _restore_gene(summary), _restore_gene(stats), cfg, _restore_gene(assigned), internal)
 
 
 def _group_level(a: Analysis) -> DataFrame:
     """Per technical group: expression, leave-one-out columns and (on the sample representative) summary."""
-    g = a.groups.select(*GROUP, F.col("_first.well_ord").alias("_first_ord"), "elevated_value_mean",
-                        "normalized_expression", "log2_expression_value")
-    bio = a.bio.select(*GROUP, "mean_others", "sd_others", "qc_flag")
-    summ = a.summary.select("replicate_name", "Gene", *SUMMARY_COLS)
-    g = join_keys(g, bio, GROUP, "left")
-    return join_keys(g, summ, GROUP, "left")
+    src = a.internal or {"groups": a.groups, "bio": a.bio, "summary": a.summary}
+    safe = a.internal is None
+    g = src["groups"].select(*GROUP, F.col("_first.well_ord").alias("_first_ord"), "elevated_value_mean",
+                             "normalized_expression", "log2_expression_value")
+    bio = src["bio"].select(*GROUP, "mean_others", "sd_others", "qc_flag")
+    summ = src["summary"].select("replicate_name", "Gene", *SUMMARY_COLS)
+    g = join_keys(g, bio, GROUP, "left", null_safe=safe)
+    return join_keys(g, summ, GROUP, "left", null_safe=safe)
 
 
 def assemble_report(a: Analysis, with_comparisons: bool = False, ordered: bool = True) -> DataFrame:
@@ -130,20 +149,26 @@ def assemble_report(a: Analysis, with_comparisons: bool = False, ordered: bool =
     One inner join of the (filled) wells with the value-level result on
     (replicate, gene, Cp); wells of failed replicates have no value row and drop out.
     """
-    per_value = join_keys(a.values.select(*GROUP, "Cp", "keep_this_value", "good_replicate"), _group_level(a), GROUP)
-    src = a.source if a.source is not None else a.wells.drop("good_replicate")
+    safe = a.internal is None
+    values = a.values if safe else a.internal["values"]
+    per_value = join_keys(values.select(*GROUP, "Cp", "keep_this_value", "good_replicate"), _group_level(a), GROUP,
+                          null_safe=safe)
+    if not safe:
+        src = a.internal["source"]
+    else:
+        src = a.source if a.source is not None else a.wells.drop("good_replicate")
     wells = fill_undetected(src.filter(F.col("replicate_name").isNotNull()), a.cfg.bad_replicate_cp)
     if with_comparisons:
-        wells = comparison_strings(a.wells.drop("good_replicate"), a.cfg.tolerance)
-    rep = join_keys(wells, per_value, [*GROUP, "Cp"], "inner")
+        wells = comparison_strings(wells, a.cfg.tolerance)
+    rep = join_keys(wells, per_value, [*GROUP, "Cp"], "inner", null_safe=safe)
     first = F.col("well_ord") == F.col("_first_ord")
     masked = ["elevated_value_mean", "normalized_expression", "log2_expression_value",
               "mean_others", "sd_others", "qc_flag", *SUMMARY_COLS]
     rep = rep.withColumn("elevated_value", F.pow(F.lit(0.5), F.col("Cp")))
-    for c in masked:
-        rep = rep.withColumn(c, F.when(first, F.col(c)))
+    rep = rep.select(*[c for c in rep.columns if c not in masked],
+                     *[F.when(first, F.col(c)).alias(c) for c in masked])
     cols = REPORT_COLS if not with_comparisons else [*REPORT_COLS[:11], "comparison_results", *REPORT_COLS[11:]]
-    rep = rep.select(*cols)
+    rep = _restore_gene(rep.select(*cols))
     if ordered:
         rep = rep.orderBy(F.col("replicate_name").asc_nulls_last(), F.col("Gene").asc_nulls_last(),
                           F.col("elevated_value_mean").isNull(), F.col("well_ord"))

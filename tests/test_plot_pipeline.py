@@ -58,3 +58,21 @@ def test_entry_and_registry_smoke(spark):
     assert df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.queries()["hk_failed_drop"](spark, "/root/testdata/sf0.001").filter(F.col("Cp").isNull()).count() >= 0
+
+
+def test_null_gene_group_through_analysis(spark):
+    # wells with a replicate but no gene form their own group and keep NULL in every output
+    rows = []
+    for rep in ("A.1", "A.2", "A.3"):
+        for i, (gene, typ, cp) in enumerate([("H", "HK", 20.0), ("H", "HK", 20.1), (None, "Normal", 25.0),
+                                             (None, "Normal", 25.2), ("T", "Normal", 27.0)]):
+            rows.append((f"p_{rep}", f"A{i + 1}", len(rows), rep, "A", "z", "control", gene, typ, cp + 0.1 * len(rows) % 3))
+    wells = spark.createDataFrame(rows, "file_name string, Pos string, well_ord long, replicate_name string, "
+                                        "sample_name string, zscoring_group string, testing_group string, Gene string, "
+                                        "type_of_gene string, Cp double")
+    from qplate.config import AnalysisConfig
+    a = analyse(wells, AnalysisConfig(hk_genes=("H",)))
+    rep = a.report(ordered=False).collect()
+    assert len(rep) == 15 and sum(r.Gene is None for r in rep) == 6
+    assert {r.Gene for r in a.groups.collect()} == {"H", None, "T"}
+    assert {r.Gene for r in a.summary.collect()} == {"H", None, "T"}
