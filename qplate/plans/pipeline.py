@@ -226,3 +226,27 @@ def recalculate(report: DataFrame, cfg: AnalysisConfig | None = None,
         out = out.withColumn(c, F.when(first, F.col(c)))
     out = out.withColumn("qc_flag", F.when(first, F.col("_qc"))).drop("_qc", "_first_ord")
     return out, stats
+
+
+def run_files(spark, plates, gene_layout: DataFrame, sample_layout: DataFrame, metadata: DataFrame,
+              out_dir: str, cfg: AnalysisConfig | None = None, meta_key: str = "replicate_name",
+              partition_by: tuple[str, ...] = ("zscoring_group",)) -> Analysis:
+    """The file workflow end to end: plate exports (paths) + layout sheets + metadata ->
+    annotated wells -> analysis -> Parquet sinks under ``out_dir``:
+
+    ``wells`` (annotated, failed replicates screened, blanks filled), ``report`` (well level,
+    sorted), ``statistics`` and ``unmatched`` (wells dropped by the annotation).
+    """
+    from qplate.operators.layout import annotate_wells, unmatched_wells
+    from qplate.sources.plates import read_plates, write_table
+
+    cfg = cfg or AnalysisConfig()
+    raw = read_plates(spark, plates).select("file_name", "Pos", "well_ord", "Cp")
+    wells = annotate_wells(raw, gene_layout, sample_layout, metadata, cfg.hk_genes, meta_key)
+    a = analyse(wells, cfg)
+    base = out_dir.rstrip("/")
+    write_table(a.wells, f"{base}/wells", partition_by=list(partition_by))
+    write_table(a.report(ordered=True), f"{base}/report")
+    write_table(a.statistics, f"{base}/statistics")
+    write_table(unmatched_wells(raw, gene_layout, sample_layout, metadata, meta_key), f"{base}/unmatched")
+    return a

@@ -88,3 +88,40 @@ def test_sheet_reader_sink_and_meta_key(spark):
     back = spark.read.parquet(out)
     assert [(r.replicate_name, r.zscoring_group, r.Gene) for r in back.collect()] == [("S.1", "z1", "RHOA")]
     assert os.path.isdir(os.path.join(out, "zscoring_group=z1"))
+
+
+def test_file_workflow_end_to_end(spark):
+    import tempfile as _t
+
+    from qplate.config import AnalysisConfig
+    from qplate.plans.pipeline import run_files
+    d = _t.mkdtemp(prefix="qplate-flow-")
+    header = "Include\tColor\tPos\tName\tCp\tConcentration\tStandard\tStatus\r\n"
+    cps = {"A": [20.0, 20.2, 20.1], "B": [25.0, 25.1, 31.0]}     # row A: HK gene, row B: target gene
+    for plate, shift in (("pl1", 0.0), ("pl2", 1.0)):
+        with open(os.path.join(d, f"{plate}.txt"), "w", newline="") as fh:
+            fh.write(f"Experiment: {plate}\r\n" + header)
+            for row, vals in cps.items():
+                for c, v in enumerate(vals, start=1):
+                    fh.write(f"True\t255\t{row}{c}\tSample\t{str(v + shift).replace('.', ',')}\t\t0\t\r\n")
+            fh.write(f"True\t255\tC1\tSample\t\t\t0\t\r\n")            # unassigned well
+    genes = spark.createDataFrame([(p, "A", "1-3", "RHOA", 0) for p in ("pl1", "pl2")] +
+                                  [(p, "B", "1-3", "TP53", 1) for p in ("pl1", "pl2")], SHEET)
+    samples = spark.createDataFrame([("pl1", "A,B", "1-3", "S.1", 0), ("pl2", "A,B", "1-3", "S.2", 1)],
+                                    "file_name string, rows string, cols string, sample string, sheet_ord long")
+    meta = spark.createDataFrame([("S.1", "S", "z", "control"), ("S.2", "S", "z", "treated")],
+                                 "replicate_name string, sample_name string, zscoring_group string, testing_group string")
+    out = os.path.join(d, "out")
+    paths = [os.path.join(d, "pl1.txt"), os.path.join(d, "pl2.txt")]
+    run_files(spark, paths, genes, samples, meta, out, AnalysisConfig())
+    rep = spark.read.parquet(os.path.join(out, "report"))
+    assert rep.count() == 12
+    kept = {(r.file_name, r.Pos): r.keep_this_value for r in rep.collect()}
+    assert kept[("pl1", "B3")] == "NO keep" and kept[("pl1", "B1")] == "keep"
+    norm = {r.replicate_name: r.normalized_expression for r in rep.filter("Gene = 'TP53'").collect()
+            if r.normalized_expression is not None}
+    # target mean 0.5^25.05 over HK mean 0.5^~20.1 (same shift on both plates -> equal ratios)
+    assert abs(norm["S.1"] - norm["S.2"]) < 1e-12 * norm["S.1"]
+    assert spark.read.parquet(os.path.join(out, "unmatched")).count() == 2
+    assert spark.read.parquet(os.path.join(out, "statistics")).count() == 1
+    assert os.path.isdir(os.path.join(out, "wells", "zscoring_group=z"))
