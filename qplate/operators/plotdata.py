@@ -43,7 +43,7 @@ def plot_points(report: DataFrame, group: str = PLOT_GROUP) -> DataFrame:
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(wb), F.lit(0))).drop("_n")
     wi = Window.partitionBy(group, "Gene", "testing_group").orderBy("_first_rep")
     levels = join_keys(levels.withColumn("_in", F.row_number().over(wi)), blocks, [group, "Gene", "testing_group"])
-    levels = levels.select(group, "ordering", (F.col("_off") + F.col("_in")).cast("int").alias("ordering_level"))
+    levels = levels.select(group, "ordering", (F.col("_off") + F.col("_in")).cast("long").alias("ordering_level"))
     return join_keys(d, levels, [group, "ordering"]).drop("replicate_name")
 
 
