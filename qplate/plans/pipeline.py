@@ -2,14 +2,15 @@
 
 Shuffle budget of ``analyse`` (the wells table is the only big input):
 
-1. failed-replicate set: filter + distinct (partial aggregation, tiny output);
-   anti join, broadcast by AQE when small;
-2. distinct (replicate, gene, Cp) values with multiplicity: map-side partial
-   aggregation, so the shuffle carries distinct values, not wells;
-3. technical QC band counts, group expression, leave-one-out, sample summary,
-   z-score and tests all run on the distinct-value / per-group tables;
+1. one scan of the wells: blank fill and aggregation to distinct
+   (replicate, gene, Cp) values with multiplicity and failed-HK evidence
+   (map-side partial aggregation, so the shuffle carries distinct values);
+2. exact band counts on value-chunked windows, written once (pinned);
+3. failed-replicate screen, keep flags, group expression, leave-one-out,
+   sample summary, z-score and tests all run on the pinned value / per-group
+   tables (joins on (replicate, gene) are plain equi-joins);
 4. one final join of the wells with the value-level result on
-   (replicate, gene, Cp) to emit the well-level report.
+   (replicate, gene, Cp) emits the well-level report (the second and last scan).
 """
 
 from __future__ import annotations
@@ -36,8 +37,6 @@ from qplate.operators.summary import sample_summary, zscore
 
 GROUP = ["replicate_name", "Gene"]
 CARRY = ("file_name", "Pos", "sample_name", "zscoring_group", "testing_group", "type_of_gene")
-BIO_COLS = ["file_name", "Pos", "well_ord", "replicate_name", "sample_name", "zscoring_group", "testing_group",
-            "Gene", "type_of_gene", "elevated_value_mean", "normalized_expression", "log2_expression_value"]
 SUMMARY_COLS = ["normalized_expression_mean", "normalized_expression_sd",
                 "log2_expression_value_mean", "log2_expression_value_sd", "zscored_value"]
 REPORT_COLS = ["file_name", "Pos", "well_ord", "replicate_name", "sample_name", "zscoring_group", "testing_group",
@@ -48,7 +47,7 @@ REPORT_COLS = ["file_name", "Pos", "well_ord", "replicate_name", "sample_name",
 
 @dataclass
 class Analysis:
-    wells: DataFrame          # annotated, failed replicates handled, Cp filled
+    wells: DataFrame          # annotated, failed replicates screened out (or flagged), Cp filled
     values: DataFrame         # value-level technical QC (replicate, gene, Cp, m, keep_this_value, _first)
     groups: DataFrame         # per technical group: expression
     bio: DataFrame            # representative rows with leave-one-out flags
