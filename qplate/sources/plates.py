@@ -49,11 +49,7 @@ def read_plates(spark: SparkSession, paths: str | Sequence[str], plate_cols: int
     )
     # banner and header lines are the only ones whose first field is not a boolean
     rows = raw.filter(F.trim(F.col("Include")).isin("True", "False", "TRUE", "FALSE"))
-    if len(path_list) > 1 and not any(any(ch in p for ch in "*?[") for p in path_list):
-        order = F.create_map(*[x for i, p in enumerate(path_list) for x in (F.lit(_normal_path(p)), F.lit(i))])
-        plate_ord = order[F.regexp_replace(F.col("_path"), _SCHEME_RE, "/")]
-    else:
-        plate_ord = None
+    explicit = len(path_list) > 1 and not any(any(ch in p for ch in "*?[") for p in path_list)
     rows = rows.select(
         "file_name",
         F.trim(F.col("Pos")).alias("Pos"),
@@ -62,13 +58,18 @@ def read_plates(spark: SparkSession, paths: str | Sequence[str], plate_cols: int
         F.trim(F.col("Color")).try_cast("long").alias("Color"),
         F.col("Name"),
         F.regexp_replace(F.col("Status"), "\r", "").alias("Status"),
-        (plate_ord if plate_ord is not None else F.lit(None).cast("int")).alias("plate_ord"),
+        F.regexp_replace(F.col("_path"), _SCHEME_RE, "/").alias("_npath"),
     )
-    if plate_ord is None:
-        # rank plates by file name: a tiny distinct table, broadcast back
-        names = rows.select("file_name").distinct()
-        ranked = names.withColumn("plate_ord", F.dense_rank().over(_by_name()) - 1)
-        rows = rows.drop("plate_ord").join(F.broadcast(ranked), "file_name")
+    if explicit:
+        # plate ordinal = position in the given list (one row per listed file; AQE broadcasts it when small)
+        order = spark.createDataFrame([(_normal_path(p), i) for i, p in enumerate(path_list)],
+                                      "_npath string, plate_ord int")
+        rows = rows.join(order, "_npath", "left")
+    else:
+        # rank plates by file name over the distinct-file table (one row per listed file)
+        ranked = rows.select("file_name").distinct().withColumn("plate_ord", F.dense_rank().over(_by_name()) - 1)
+        rows = rows.join(ranked, "file_name")
+    rows = rows.drop("_npath")
     return rows.withColumn(
         "well_ord", F.col("plate_ord").cast("long") * F.lit(_ORD_STRIDE) + well_index(F.col("Pos"), plate_cols)
     )
