@@ -88,7 +88,8 @@ def weighted_mean_sd(values: DataFrame, keys: Sequence[str], x: str, m: str = "m
                       F.when(F.col("_n") >= 2, F.sqrt(F.col("_m2") / (F.col("_n") - 1))).alias(f"{prefix}sd_value"))
 
 
-def cp_ratio(qv: DataFrame, keys: Sequence[str] = GROUP, cp: str = "Cp", on: str = "cp") -> DataFrame:
+def cp_ratio(qv: DataFrame, keys: Sequence[str] = GROUP, cp: str = "Cp", on: str = "cp",
+             ordered: bool = False) -> DataFrame:
     """Cp-ratio variant ("deltaCT"): per group mean/sd of kept Cp (``on='cp'``) or of 0.5^Cp
     (``on='elevated'``); HK reference = row-weighted mean of the HK group means over *all*
     rows of the replicate, missing removed; deltaCT = mean_value / hk_mean_value."""
@@ -102,4 +103,7 @@ def cp_ratio(qv: DataFrame, keys: Sequence[str] = GROUP, cp: str = "Cp", on: str
           .groupBy(REPLICATE).agg(*weighted_mean_exact("mean_value", "_rows"))
           .select(REPLICATE, finish_weighted_mean("mean_value").alias("hk_mean_value")))
     out = join_keys(g, hk, [REPLICATE], "left")
-    return out.withColumn("deltaCT", safe_div(F.col("mean_value"), F.col("hk_mean_value"))).drop("_rows")
+    out = out.withColumn("deltaCT", safe_div(F.col("mean_value"), F.col("hk_mean_value"))).drop("_rows")
+    if ordered:   # replicate, then gene type, then gene (nulls last)
+        out = out.orderBy(*[F.col(c).asc_nulls_last() for c in (REPLICATE, "type_of_gene", keys[-1])])
+    return out

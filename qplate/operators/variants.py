@@ -32,7 +32,7 @@ def _strict_mean(x) -> tuple:
 
 def delta_delta(df: DataFrame, control: str, sample: str = "sample_name", cell_line: str = "cell_line",
                 group: str = "sample_group", gene: str = "Gene", value: str = "deltaCT",
-                flag: str = "qc_flag", order: str = "well_ord") -> DataFrame:
+                flag: str = "qc_flag", order: str = "well_ord", ordered: bool = False) -> DataFrame:
     x = F.col(value)
     m, poison = _strict_mean(x)
     s = df.groupBy(sample, gene).agg(m.alias("_sm"), poison.alias("_sp"))
@@ -54,9 +54,12 @@ def delta_delta(df: DataFrame, control: str, sample: str = "sample_name", cell_l
     d = join_keys(d, g, [cell_line, group, gene], "left")
     first = F.col(order) == F.col("_first")
     ok = F.col("_gp") == 0
-    return (d.withColumn("mean_value", F.when(first & ok, F.col("_mv")))
-            .withColumn("sd_value", F.when(first & ok, F.col("_sv")))
-            .drop("_mv", "_sv", "_gp", "_first", "deltaCT_mean"))
+    out = (d.withColumn("mean_value", F.when(first & ok, F.col("_mv")))
+           .withColumn("sd_value", F.when(first & ok, F.col("_sv")))
+           .drop("_mv", "_sv", "_gp", "_first", "deltaCT_mean"))
+    if ordered:   # sample, then sample group, then gene (nulls last)
+        out = out.orderBy(*[F.col(c).asc_nulls_last() for c in (sample, group, gene)])
+    return out
 
 
 def sample_labels(df: DataFrame, replicate: str = "replicate_name") -> DataFrame:

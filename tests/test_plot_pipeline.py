@@ -76,3 +76,14 @@ def test_null_gene_group_through_analysis(spark):
     assert len(rep) == 15 and sum(r.Gene is None for r in rep) == 6
     assert {r.Gene for r in a.groups.collect()} == {"H", None, "T"}
     assert {r.Gene for r in a.summary.collect()} == {"H", None, "T"}
+
+
+def test_variant_orderings(spark):
+    from qplate.operators.variants import delta_delta
+    df = spark.createDataFrame(
+        [("s2", "c", "DN", "G", 1.0, "GOOD", 0), ("s1", "c", "DN", "G", 2.0, "GOOD", 1), ("s1", "c", "R", "G", 3.0, "GOOD", 2)],
+        "sample_name string, cell_line string, sample_group string, Gene string, deltaCT double, qc_flag string, well_ord long")
+    out = delta_delta(df, "DN", ordered=True).collect()
+    assert [(r.sample_name, r.sample_group) for r in out] == [("s1", "DN"), ("s1", "R"), ("s2", "DN")]
+    # sample means per (sample, gene): s1 = (2 + 3) / 2, s2 = 1; control mean over control rows = (1 + 2.5) / 2
+    assert abs(out[1].delta_delta_CT - (3.0 - 1.75)) < 1e-12
