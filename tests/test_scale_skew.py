@@ -39,3 +39,25 @@ def test_hot_sample_leave_one_out_chunked(spark):
     assert a.keys() == b.keys()
     for k in a:
         assert abs(a[k][0] - b[k][0]) <= 1e-9 * abs(b[k][0]) and abs(a[k][1] - b[k][1]) <= 1e-9 * abs(b[k][1])
+
+
+def test_hot_ranksum_test_matches_pandas_ranks(spark):
+    import math
+
+    ev = load_table(spark, "/root/testdata/sf0.01", "events")
+    d = ev.select(F.lit("z").alias("zscoring_group"), F.lit("G").alias("Gene"),
+                  F.when(F.pmod(F.col("user_id"), F.lit(2)) == 0, "a").otherwise("b").alias("testing_group"),
+                  F.col("value").alias("normalized_expression"))
+    from qplate.operators.significance import ranksum_test
+    r = ranksum_test(d).collect()[0]
+    pdf = d.toPandas()
+    ranks = pdf["normalized_expression"].rank(method="average")
+    a = pdf["testing_group"] == "a"
+    n1, n2 = int(a.sum()), int((~a).sum())
+    w = ranks[a].sum() - n1 * (n1 + 1) / 2
+    t = pdf["normalized_expression"].value_counts()
+    ties = float(((t ** 3) - t).sum())
+    sigma = math.sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1))))
+    z = (w - n1 * n2 / 2 - math.copysign(0.5, w - n1 * n2 / 2)) / sigma
+    assert r.method == "normal" and abs(r.statistic - w) < 1e-6
+    assert abs(r.pvalue - math.erfc(abs(z) / math.sqrt(2))) < 1e-9
