@@ -408,17 +408,22 @@ bio2 AS (
          CASE WHEN norm_all > 0 THEN log2(norm_all) END AS log2_expression_value, qc_cur AS qc_flag
   FROM nx2 WHERE is_first AND evm_all IS NOT NULL)"""
 
-POINTS = """
-pts0 AS (
+def points_ctes(src: str = "rpt", sfx: str = "") -> str:
+    """Plot rows of a well-level report ``src`` with the bar order index."""
+    return f"""
+pts0{sfx} AS (
   SELECT zscoring_group, replicate_name, sample_name, testing_group, Gene, normalized_expression,
          normalized_expression_mean, normalized_expression_sd, qc_flag,
          concat_ws('_', sample_name, testing_group, Gene) AS ordering
-  FROM rpt WHERE type_of_gene <> 'HK' AND normalized_expression IS NOT NULL),
-lvl AS (
+  FROM {src} WHERE type_of_gene <> 'HK' AND normalized_expression IS NOT NULL),
+lvl{sfx} AS (
   SELECT zscoring_group, ordering,
          row_number() OVER (PARTITION BY zscoring_group ORDER BY Gene NULLS LAST, testing_group NULLS LAST, fr) AS ordering_level
-  FROM (SELECT zscoring_group, ordering, Gene, testing_group, min(replicate_name) AS fr FROM pts0 GROUP BY ALL)),
-pts AS (SELECT p.*, l.ordering_level FROM pts0 p JOIN lvl l USING (zscoring_group, ordering))"""
+  FROM (SELECT zscoring_group, ordering, Gene, testing_group, min(replicate_name) AS fr FROM pts0{sfx} GROUP BY ALL)),
+pts{sfx} AS (SELECT p.*, l.ordering_level FROM pts0{sfx} p JOIN lvl{sfx} l USING (zscoring_group, ordering))"""
+
+
+POINTS = points_ctes()
 
 
 def _r_number_ctes(src: str, col: str, name: str) -> str:
@@ -761,4 +766,16 @@ SELECT file_name, Pos, replicate_name, sample_name, Gene, type_of_gene, good_rep
        {rs('CASE WHEN is_first THEN mv END')} AS mean_value, {rs('CASE WHEN is_first THEN sv END')} AS sd_value,
        {rs('dct_f')} AS deltaCT, {rs('hk')} AS hk_mean_value, {rs('mdct')} AS mean_deltaCT, {rs('sdct')} AS sd_deltaCT
 FROM fr4""")
+    rpt2 = """
+rpt2 AS (
+  SELECT n.zscoring_group, n.replicate_name, n.sample_name, n.testing_group, n.Gene, n.type_of_gene,
+         CASE WHEN n.is_first THEN n.norm_all END AS normalized_expression,
+         CASE WHEN n.is_first THEN n.qc_cur END AS qc_flag,
+         z.normalized_expression_mean, z.normalized_expression_sd
+  FROM nx2 n LEFT JOIN zs2 z ON z.file_name = n.file_name AND z.Pos = n.Pos)"""
+    out["plot_points_recalculated"] = _wrap(rec + [rpt2, points_ctes("rpt2", "r")], f"""
+SELECT zscoring_group, sample_name, testing_group, Gene, {rs('normalized_expression')} AS normalized_expression,
+       {rs('normalized_expression_mean')} AS normalized_expression_mean,
+       {rs('normalized_expression_sd')} AS normalized_expression_sd, qc_flag, ordering, ordering_level
+FROM ptsr""")
     return out

@@ -191,6 +191,15 @@ def q_recalculate_stats(spark, sf_dir):
     return for_compare(stats)
 
 
+def q_plot_points_recalculated(spark, sf_dir):
+    """Plot rows from the replayed report (curated flags), as the bar-plot flow uses them."""
+    rep, _ = _recalculated(spark, sf_dir)
+    pts = plot_points(rep)
+    return for_compare(pts.select("zscoring_group", "sample_name", "testing_group", "Gene", "normalized_expression",
+                                  "normalized_expression_mean", "normalized_expression_sd", "qc_flag",
+                                  "ordering", "ordering_level"))
+
+
 def _plot_inputs(spark, sf_dir):
     a = analyse(_wells(spark, sf_dir), EVENT_CFG)
     # one row per plotted representative; labels, bars and breaks all read it
@@ -324,6 +333,7 @@ REGISTRY: dict[str, Query] = {
     "recalculate": q_recalculate,
     "recalculate_stats": q_recalculate_stats,
     "plot_points": q_plot_points,
+    "plot_points_recalculated": q_plot_points_recalculated,
     "bar_table": q_bar_table,
     "pvalue_labels": q_pvalue_labels,
     "magnitude_breaks": q_magnitude_breaks,
