@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from qplate.session import ensure_checkpoint_dir
 

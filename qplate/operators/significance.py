@@ -28,7 +28,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from qplate.functions.numeric import normal_two_sided_p, student_t_two_sided_p
 from qplate.operators._util import join_keys

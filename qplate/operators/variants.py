@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qplate.functions.wells import sample_from_replicate
 from qplate.operators._util import join_keys
 
 # Fixed values of the labelling rule.
@@ -63,7 +64,7 @@ def delta_delta(df: DataFrame, control: str, sample: str = "sample_name", cell_l
 
 
 def sample_labels(df: DataFrame, replicate: str = "replicate_name") -> DataFrame:
-    sample = F.regexp_replace(F.col(replicate), r"\.[^.]*$", "")
+    sample = sample_from_replicate(F.col(replicate))
     cell = F.regexp_replace(F.regexp_replace(sample, r".[0-9]$", ""), r"\..*$", "")
     cond = F.when(sample.contains(CONTROL_MARK), F.lit(CONTROL_LABEL)).otherwise(F.lit(OTHER_LABEL))
     return df.withColumn("sample_name", sample).withColumn("cell_type", cell).withColumn("sample_group", cond)
