@@ -87,3 +87,18 @@ def test_variant_orderings(spark):
     assert [(r.sample_name, r.sample_group) for r in out] == [("s1", "DN"), ("s1", "R"), ("s2", "DN")]
     # sample means per (sample, gene): s1 = (2 + 3) / 2, s2 = 1; control mean over control rows = (1 + 2.5) / 2
     assert abs(out[1].delta_delta_CT - (3.0 - 1.75)) < 1e-12
+
+
+def test_report_with_comparison_column(spark):
+    a = analyse(_wells(spark, "/root/testdata/sf0.001"), EVENT_CFG)
+    rep = a.report(with_comparisons=True, ordered=False)
+    assert "comparison_results" in rep.columns
+    rows = rep.select("comparison_results", "keep_this_value").collect()
+    # every well lists n - 1 comparisons; a "keep" in a mixed group has >= n - 2 goods
+    sizes = {(r.replicate_name, r.Gene): r.n for r in
+             rep.groupBy("replicate_name", "Gene").agg(F.count("*").alias("n")).collect()}
+    for r in rep.select("replicate_name", "Gene", "comparison_results").collect():
+        n = sizes[(r.replicate_name, r.Gene)]
+        parts = [p for p in r.comparison_results.split(",") if p] if r.comparison_results else []
+        assert len(parts) == n - 1
+    assert len(rows) == rep.count()
