@@ -61,3 +61,26 @@ def test_hot_ranksum_test_matches_pandas_ranks(spark):
     z = (w - n1 * n2 / 2 - math.copysign(0.5, w - n1 * n2 / 2)) / sigma
     assert r.method == "normal" and abs(r.statistic - w) < 1e-6
     assert abs(r.pvalue - math.erfc(abs(z) / math.sqrt(2))) < 1e-9
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan_single_scan_and_chunked_windows(spark):
+    from qplate.operators.replicate_qc import screened_values
+    from qplate.plans.pipeline import CARRY, GROUP
+    from qplate.plans.registry import EVENT_CFG, _wells
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        w = _wells(spark, "/root/testdata/sf0.001").filter(F.col("replicate_name").isNotNull())
+        vals = screened_values(w, EVENT_CFG.bad_replicate_cp, GROUP, "Cp", CARRY)
+        p = _plan(band_counts(vals, tol=EVENT_CFG.tolerance, chunk_width=EVENT_CFG.chunk_width))
+        assert p.count("FileScan parquet") == 1                     # the well table is read once
+        import re
+        exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)", p)
+        assert any("_chunk" in e and "replicate_name" in e for e in exchanges)   # windows partition by value chunk
+        assert "SortMergeJoin" not in p and "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
