@@ -84,3 +84,17 @@ def test_plan_single_scan_and_chunked_windows(spark):
         assert "SortMergeJoin" not in p and "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_report_reads_source_once(spark):
+    from qplate.plans.pipeline import analyse
+    from qplate.plans.registry import EVENT_CFG, _wells
+
+    a = analyse(_wells(spark, "/root/testdata/sf0.001"), EVENT_CFG)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = _plan(a.report(ordered=False))
+        assert p.count("sf0.001/events.parquet") == 1
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
