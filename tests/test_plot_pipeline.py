@@ -102,3 +102,18 @@ def test_report_with_comparison_column(spark):
         parts = [p for p in r.comparison_results.split(",") if p] if r.comparison_results else []
         assert len(parts) == n - 1
     assert len(rows) == rep.count()
+
+
+def test_s8_representative_may_be_dropped_well(spark):
+    from qplate.config import AnalysisConfig
+    rows = [("p", "A1", 0, "R.1", "S", "z", "c", "H", "HK", 20.0), ("p", "A2", 1, "R.1", "S", "z", "c", "H", "HK", 20.0),
+            ("p", "A3", 2, "R.1", "S", "z", "c", "T", "Normal", 25.0),   # first T well, the outlier
+            ("p", "A4", 3, "R.1", "S", "z", "c", "T", "Normal", 20.0), ("p", "A5", 4, "R.1", "S", "z", "c", "T", "Normal", 20.1)]
+    wells = spark.createDataFrame(rows, "file_name string, Pos string, well_ord long, replicate_name string, "
+                                        "sample_name string, zscoring_group string, testing_group string, Gene string, "
+                                        "type_of_gene string, Cp double")
+    rep = {r.Pos: r for r in analyse(wells, AnalysisConfig(hk_genes=("H",))).report(ordered=False).collect()}
+    assert rep["A3"].keep_this_value == "NO keep"
+    expect = (0.5 ** 20.0 + 0.5 ** 20.1) / 2
+    assert abs(rep["A3"].elevated_value_mean - expect) <= 1e-12 * expect
+    assert rep["A4"].elevated_value_mean is None and rep["A5"].elevated_value_mean is None

@@ -122,3 +122,20 @@ def test_well_level_join_keeps_every_well(spark):
     out = technical_qc(df, 0.5, 2)
     assert out.count() == 4
     assert out.filter(F.col("keep_this_value").isNull()).count() == 0
+
+
+def test_s9_hk_reference_weighted_by_kept_wells(spark):
+    import math
+
+    from qplate.operators.expression import group_expression
+    from qplate.operators.replicate_qc import technical_qc_values
+    five = -math.log2(5.0)                       # 0.5 ** five == 5
+    rows = [("R", "H1", "HK", 0, 0.0), ("R", "H1", "HK", 1, 0.0), ("R", "H1", "HK", 2, 0.0),
+            ("R", "H2", "HK", 3, five), ("R", "T", "Normal", 4, 1.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    qv = technical_qc_values(df, 0.5, 2, carry=("type_of_gene",))
+    g = {r.Gene: r for r in group_expression(qv).collect()}
+    assert abs(g["H2"].elevated_value_mean - 5.0) < 1e-12
+    # reference = (3 * 1 + 1 * 5) / 4 = 2 (row-weighted), not (1 + 5) / 2 = 3
+    assert abs(g["T"].normalized_expression - 0.5 / 2.0) < 1e-12
+    assert abs(g["T"].log2_expression_value - math.log2(0.25)) < 1e-12
