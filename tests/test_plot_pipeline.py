@@ -76,6 +76,12 @@ def test_null_gene_group_through_analysis(spark):
     assert len(rep) == 15 and sum(r.Gene is None for r in rep) == 6
     assert {r.Gene for r in a.groups.collect()} == {"H", None, "T"}
     assert {r.Gene for r in a.summary.collect()} == {"H", None, "T"}
+    # S-19: the ordered report puts NULL genes last inside each replicate
+    ordered = a.report(ordered=True).collect()
+    for rep_name in ("A.1", "A.2", "A.3"):
+        genes = [r.Gene for r in ordered if r.replicate_name == rep_name]
+        first_null = genes.index(None)
+        assert all(g is None for g in genes[first_null:]) and genes[:first_null] == sorted(genes[:first_null])
 
 
 def test_variant_orderings(spark):
