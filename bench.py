@@ -24,7 +24,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     # shuffle partitions sized to the input: one per core at bench scale (AQE coalesces further)
-    spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)))
+    cores = int(cpus) if str(cpus).isdigit() else (os.cpu_count() or 8)
+    spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cores)))
     names = [q for q in (sys.argv[1:] or HEADLINE) if q in REGISTRY]
     # warm-up (reported separately): one full analysis at the smallest scale factor loads the
     # classes and fills the generated-code cache, so the timings below are steady-state
