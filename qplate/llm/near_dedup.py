@@ -1,17 +1,19 @@
 """Near-duplicate documents by HyperMinHash.
 
 A document's set is its distinct word shingles.  Each of ``BUCKETS`` buckets (the top bits of a shingle's hash)
-keeps the least hash in compressed form: the number of leading zeros and the ``MANTISSA`` bits behind the first one.
-Bands of ``ROWS`` registers are compared by equality; bands without any shingle say nothing.  A shared band
-makes a candidate; its Jaccard similarity is estimated from the registers, corrected for the chance agreement of
-compressed registers, and unless the estimate is far below the threshold the link is confirmed on the full sets.
+keeps the least hash in compressed form, one byte: the number of leading zeros and the ``MANTISSA`` bits behind the first
+one.  For the bands, empty buckets borrow the register of the full bucket that they prefer in a fixed random
+order, so that short documents agree in a register as often as their sets do.  Bands of ``ROWS`` registers are compared by equality.  A
+shared band makes a candidate; its Jaccard similarity is estimated from the first ``ESTIMATE`` registers, corrected for
+the chance agreement of compressed registers, and unless the estimate is far below the threshold the link is confirmed on
+the full sets.
 
 Documents with equal sets are one vertex, so copies make no pairs.  Inside a band a group is never
 expanded into its pairs: each round links the members that are in other components to one representative, which
 differs by round, and only what is still apart in the last round is compared member by member, so no candidate
 across components is left untested.
 
-At a similarity of 0.75 a pair shares none of the 32 bands with probability 0.684^32, about 5e-6.
+At a similarity of 0.75 a pair shares none of the 73 bands with probability (1 - 0.75^7)^73, about 3e-5; at 0.8 it is 4e-8.
 """
 
 from __future__ import annotations
@@ -25,11 +27,14 @@ from pyspark.sql import functions as F
 
 from qplate.llm.common import NO_ID, pin, row_key
 from qplate.llm.components import components
-from qplate.llm.spans import mix
+from qplate.llm.spans import mix, prefixes
 
-BUCKET_BITS, ROWS, MANTISSA = 7, 4, 10
+BUCKET_BITS, ROWS, MANTISSA = 9, 7, 4
 BUCKETS = 1 << BUCKET_BITS
-STAR_ROUNDS = 3
+ZEROS = (1 << (8 - MANTISSA)) - 2  # greatest number of leading zeros that a register tells apart
+ESTIMATE = 128
+STAR_ROUNDS = 2
+_PREFER = (mix(np.arange(BUCKETS * BUCKETS, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32).reshape(BUCKETS, BUCKETS)
 
 
 def shingles(text: bytes, size: int = 5) -> np.ndarray:
@@ -39,53 +44,56 @@ def shingles(text: bytes, size: int = 5) -> np.ndarray:
         return np.zeros(0, np.uint64)
     buf = np.frombuffer(b"".join(words), np.uint8)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.cumsum(lengths) - lengths
-    place = np.arange(len(buf)) - np.repeat(starts, lengths)
-    letters = mix((buf.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-                  + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    word = mix(np.add.reduceat(letters, starts) + lengths.astype(np.uint64))
+    ends = np.cumsum(lengths)
+    total, down = prefixes(buf)
+    word = mix((total[ends] - total[ends - lengths]) * down[ends - lengths] + lengths.astype(np.uint64))
     n = min(size, len(words))
     runs = len(words) - n + 1
     out = np.full(runs, np.uint64(n), dtype=np.uint64)
-    for j in range(n):
-        out = mix(out + word[j:j + runs])
-    return np.unique(out)
+    for j in range(n):  # an odd factor for each place
+        out += word[j:j + runs] * np.uint64(0x9E3779B97F4A7C15 ^ (j << 8))
+    return np.unique(mix(out))
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """uint16 register of each bucket: 1 + leading zeros above MANTISSA bits; 0 for an empty bucket."""
-    regs = np.zeros(BUCKETS, dtype=np.uint16)
+    """One byte a bucket: 1 + leading zeros above MANTISSA bits; 0 for an empty bucket."""
+    regs = np.zeros(BUCKETS, dtype=np.uint8)
     if len(hashes):
         bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
         first = np.concatenate([[True], bucket[1:] != bucket[:-1]])  # sorted: the least of each bucket
         rest = hashes[first] << np.uint64(BUCKET_BITS)
-        # leading zeros of 57 bits: the exponent of the top 32 bits, or all of them
-        top = (rest >> np.uint64(32)).astype(np.int64)
-        zeros = np.where(top > 0, 32 - np.frexp(top.astype(np.float64))[1], 32)
+        top = (rest >> np.uint64(32)).astype(np.float64)
+        zeros = np.minimum(32 - np.frexp(top)[1], ZEROS)
         mantissa = (rest << (zeros.astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - MANTISSA)
         regs[bucket[first]] = ((zeros + 1) << MANTISSA) + mantissa.astype(np.int64)
     return regs
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
-    """(Jaccard estimate corrected for chance agreement, buckets used) of two register arrays."""
+def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Jaccard estimates corrected for chance agreement, buckets used) of rows of registers."""
     used = (a > 0) | (b > 0)
-    n = int(used.sum())
-    if not n:
-        return 0.0, 0
-    same = float(((a == b) & used).sum()) / n
+    n = used.sum(axis=1)
+    same = ((a == b) & used).sum(axis=1) / np.maximum(n, 1)
     chance = 1.0 / (3 * (1 << MANTISSA))  # two independent minima: equal zeros (1/3), then equal mantissas
-    return max(0.0, (same - chance) / (1 - chance)), n
+    return np.maximum((same - chance) / (1 - chance), 0.0), n
+
+
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Registers whose empty buckets borrow that of the full bucket they prefer by a fixed random order."""
+    full, empty = np.flatnonzero(regs), np.flatnonzero(regs == 0)
+    if not len(empty):
+        return regs
+    out = regs.copy()
+    out[empty] = regs[full[_PREFER[empty[:, None], full].argmin(axis=1)]]
+    return out
 
 
 def bands(regs: np.ndarray) -> np.ndarray:
-    """64-bit keys of the bands that hold a shingle."""
-    g = regs.reshape(-1, ROWS).astype(np.uint64)
-    at = np.flatnonzero(g.any(axis=1))
-    key = at.astype(np.uint64) + np.uint64(1)
-    for j in range(ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + g[at, j])
-    return key
+    """64-bit key of each band."""
+    n = BUCKETS // ROWS
+    g = filled(regs)[:n * ROWS].reshape(n, ROWS).astype(np.uint64)
+    packed = (g << (np.arange(ROWS, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64)
+    return mix(packed + (np.arange(1, n + 1, dtype=np.uint64) << np.uint64(56)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id",
@@ -134,7 +142,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: s
 def _components(src: DataFrame, sets: DataFrame, percent: int, size: int) -> DataFrame:
     def key(batches):
         for b in batches:
-            got = [bands(np.frombuffer(s.as_buffer(), np.uint16)) for s in b.column(1)]
+            got = [bands(np.frombuffer(s.as_buffer(), np.uint8)) for s in b.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(got).view(np.int64) if got else [], pa.int64()),
                  pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(g) for g in got]), pa.int64())],
@@ -152,14 +160,11 @@ def _components(src: DataFrame, sets: DataFrame, percent: int, size: int) -> Dat
     tested = links = comp = None
     for step in range(STAR_ROUNDS + 1):
         pairs = _star(members, comp, step) if step < STAR_ROUNDS else _rest(members, comp)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        judged = pin(_judge(pairs, full, percent), "judged")
-        found = judged.filter("linked").select("a", "b")
-        new = judged.limit(1).count() > 0
-        if new or links is None:
+        pairs = pin(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = pin(_confirmed(_likely(pairs, full, percent), full, percent), "confirmed")
+        if links is None or found.limit(1).count():
             links = found if links is None else links.unionByName(found)
-            tested = judged.select("a", "b") if tested is None else tested.unionByName(judged.select("a", "b"))
             comp = components(links)
     return comp
 
@@ -201,34 +206,46 @@ def _first_text(rows: DataFrame) -> DataFrame:
 def _set_writer(size: int):
     def write(batches):
         for b in batches:
+            sig = [x.as_py()[:ESTIMATE] for x in b.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([shingles(x.as_py(), size).tobytes() for x in b.column(2)], pa.binary())],
+                [b.column(0), pa.array(sig, pa.binary()), pa.array([shingles(x.as_py(), size).tobytes() for x in b.column(2)], pa.binary())],
                 names=["vid", "sig", "hashes"])
     return write
 
 
-def _judge(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked): the estimate first, then the full sets."""
-    one = full.select(F.col("vid").alias("a"), F.col("sig").alias("sa"), F.col("hashes").alias("ha"))
-    two = full.select(F.col("vid").alias("b"), F.col("sig").alias("sb"), F.col("hashes").alias("hb"))
+def _both(pairs: DataFrame, full: DataFrame, col: str) -> DataFrame:
+    """Pairs with ``col`` of both vertices; that of `b` travels to the shuffle on `a`."""
+    one = full.select(F.col("vid").alias("a"), F.col(col).alias("x"))
+    two = full.select(F.col("vid").alias("b"), F.col(col).alias("y"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y")
+
+
+def _likely(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose estimate is at most seven standard errors below the threshold."""
+    p = percent / 100
+
+    def judge(batches):
+        for b in batches:
+            regs = [np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, ESTIMATE) for i in (2, 3)]
+            e, n = estimate(*regs)
+            yield b.filter(pa.array(e >= p - 7 * np.sqrt(p * (1 - p) / np.maximum(n, 1)))).select(["a", "b"])
+
+    return _both(pairs, full, "sig").mapInArrow(judge, "a long, b long")
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs linked by their full sets."""
 
     def judge(batches):
-        p = percent / 100
         for x in batches:
             linked = []
-            for sa, ha, sb, hb in zip(*[x.column(i) for i in (2, 3, 4, 5)]):
-                e, n = estimate(np.frombuffer(sa.as_buffer(), np.uint16), np.frombuffer(sb.as_buffer(), np.uint16))
-                if e < p - 7 * (p * (1 - p) / max(n, 1)) ** 0.5:  # seven standard errors below: not a link
-                    linked.append(False)
-                    continue
+            for ha, hb in zip(x.column(2), x.column(3)):
                 u, v = np.frombuffer(ha.as_buffer(), np.uint64), np.frombuffer(hb.as_buffer(), np.uint64)
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 linked.append(100 * both >= percent * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            yield x.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
 
-    # the set of `b` travels to the shuffle on `a`
-    rows = pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "ha", "sb", "hb")
-    return rows.mapInArrow(judge, "a long, b long, linked boolean")
+    return _both(pairs, full, "hashes").mapInArrow(judge, "a long, b long")
 
 
 def keep_one(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
