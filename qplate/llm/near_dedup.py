@@ -33,7 +33,7 @@ BUCKET_BITS, ROWS, MANTISSA = 9, 7, 4
 BUCKETS = 1 << BUCKET_BITS
 ZEROS = (1 << (8 - MANTISSA)) - 2  # greatest number of leading zeros that a register tells apart
 ESTIMATE = 128
-STAR_ROUNDS = 2
+STAR_ROUNDS = 4
 _PREFER = (mix(np.arange(BUCKETS * BUCKETS, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32).reshape(BUCKETS, BUCKETS)
 
 
@@ -125,8 +125,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: s
     signed = pin(src.mapInArrow(sign, "doc_id long, k1 long, k2 long, n long, h1 long, h2 long, sig binary"), "signed")
     # equal sets are one vertex; its text is that of the least row key
     sets = pin(signed.filter("n > 0").groupBy("h1", "h2")
-               .agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("k1", "k2", "sig")).alias("r"))
-               .select("h1", "h2", "doc_id", "r.k1", "r.k2", "r.sig").withColumn("vid", F.monotonically_increasing_id()),
+               .agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min(F.struct("k1", "k2", "sig")).alias("r"))
+               .select("h1", "h2", "doc_id", "n", "r.k1", "r.k2", "r.sig").withColumn("vid", F.monotonically_increasing_id()),
                "sets")
     comp = _components(src, sets, percent, size)
     # the least doc_id of a component, over its vertices; a vertex without links is its own
@@ -149,8 +149,11 @@ def _components(src: DataFrame, sets: DataFrame, percent: int, size: int) -> Dat
                 names=["band", "vid"])
 
     keyed = sets.select("vid", "sig").mapInArrow(key, "band long, vid long")
-    shared = keyed.groupBy("band").agg(F.min("vid").alias("lo"), F.max("vid").alias("hi")).filter("lo < hi").select("band")
-    members = pin(keyed.join(shared, "band", "left_semi"), "members")
+    shared = keyed.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
+    met = pin(keyed.join(shared, "band"), "met")
+    # how many others a vertex meets: near the middle of a group of copies it is greatest
+    degree = met.groupBy("vid").agg(F.sum("m").alias("degree"))
+    members = pin(met.select("band", "vid").join(degree, "vid").join(sets.select("vid", "n"), "vid"), "members")
 
     # full sets of the candidates: one row per vertex of a shared band
     wanted = sets.join(members.select("vid").distinct(), "vid").select("vid", "sig", "k1", "k2")
@@ -159,7 +162,7 @@ def _components(src: DataFrame, sets: DataFrame, percent: int, size: int) -> Dat
 
     tested = links = comp = None
     for step in range(STAR_ROUNDS + 1):
-        pairs = _star(members, comp, step) if step < STAR_ROUNDS else _rest(members, comp)
+        pairs = _star(members, comp, step, percent) if step < STAR_ROUNDS else _rest(members, comp, percent)
         pairs = pin(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = pin(_confirmed(_likely(pairs, full, percent), full, percent), "confirmed")
@@ -173,29 +176,41 @@ def _labelled(members: DataFrame, comp: DataFrame | None) -> DataFrame:
     """Members of bands that still hold two components or more, with their component."""
     if comp is None:
         return members.withColumn("comp", F.col("vid"))
-    rows = members.join(comp, "vid", "left").select("band", "vid", F.coalesce("comp", "vid").alias("comp"))
+    rows = members.join(comp, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
     mixed = rows.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("band")
     return rows.join(mixed, "band", "left_semi")
 
 
-def _star(members: DataFrame, comp: DataFrame | None, step: int) -> DataFrame:
-    """Each member of a band with the band's representative, where they are in different components."""
-    rows = _labelled(members, comp)
-    # one order for all bands, so that neighbouring bands choose alike and pairs coincide
-    rank = F.struct(F.xxhash64(F.lit(step), "vid").alias("o"), F.col("vid").alias("rep"), F.col("comp").alias("rep_comp"))
-    reps = rows.groupBy("band").agg(F.min(rank).alias("r")).select("band", "r.rep", "r.rep_comp")
-    return rows.join(reps, "band").filter("comp <> rep_comp") \
-        .select(F.least("vid", "rep").alias("a"), F.greatest("vid", "rep").alias("b")).distinct()
+def _near_sizes(a: str, b: str, percent: int):
+    """Sets of other sizes cannot be linked."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _rest(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """All pairs of a band across components: the members outside its largest component, against the band."""
+def _star(members: DataFrame, comp: DataFrame | None, step: int, percent: int) -> DataFrame:
+    """Each vertex with one representative of its bands, in another component: one pair a vertex at most.
+
+    A band's members of about equal size have one representative: in the first rounds the one that meets most
+    others, then one by a hash that differs by round.  Size classes overlap from round to round.
+    """
+    rows = _labelled(members, comp).withColumn(
+        "class", F.floor(F.log("n") / float(np.log(100 / percent)) + F.lit(step % 2) / 2))
+    order = (-F.col("degree")) if step < 2 else F.xxhash64(F.lit(step), "vid")
+    rank = F.struct(order.alias("o"), F.col("vid").alias("rep"), F.col("comp").alias("rc"), F.col("n").alias("rn"))
+    reps = rows.groupBy("band", "class").agg(F.min(rank).alias("r"))
+    best = rows.join(reps, ["band", "class"]).filter((F.col("comp") != F.col("r.rc")) & _near_sizes("n", "r.rn", percent)) \
+        .groupBy("vid").agg(F.min("r").alias("r"))
+    return best.select(F.least("vid", "r.rep").alias("a"), F.greatest("vid", "r.rep").alias("b")).distinct()
+
+
+def _rest(members: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a band across components that sizes allow: the members outside its largest component, against the band."""
     rows = pin(_labelled(members, comp), "apart")
-    sizes = rows.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("m")).select("band", F.col("m.comp").alias("main"))
-    outside = rows.join(main, "band").filter("comp <> main").select("band", F.col("vid").alias("x"), F.col("comp").alias("xc"))
-    return outside.join(rows, "band").filter("xc <> comp") \
-        .select(F.least("x", "vid").alias("a"), F.greatest("x", "vid").alias("b")).distinct()
+    sizes = rows.groupBy("band", "comp").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("m")).select("band", F.col("m.comp").alias("main"))
+    outside = rows.join(main, "band").filter("comp <> main") \
+        .select("band", F.col("vid").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"))
+    on = (outside["band"] == rows["band"]) & (F.col("xc") != F.col("comp")) & _near_sizes("xn", "n", percent)
+    return outside.join(rows, on).select(F.least("x", "vid").alias("a"), F.greatest("x", "vid").alias("b")).distinct()
 
 
 def _first_text(rows: DataFrame) -> DataFrame:

@@ -74,7 +74,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     grams = pin(src.select("rid", "data").filter(F.length("data") >= length)
                 .mapInArrow(choose, RUN + ", gram long"), "grams")
-    repeated = grams.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # pinned, so that the join deals both sides itself and a hot gram can be split
+    repeated = pin(grams.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "repeated")
     live = grams.join(repeated, "gram", "left_semi").select("rid", "run")
     covered = []
     for step in steps:
