@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qplate.llm.common import numbered
+from qplate.llm.common import numbered, pin
 from qplate.llm.tokenization import encoder, in_slices
 
 PIECES = "doc_id long, th long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -51,6 +51,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int = 2048,
 
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                          F.xxhash64(text_col).alias("th")).mapInArrow(cut, PIECES)
+    pieces = pin(pieces, "cut")  # range partitioning looks at its input twice
     rows = numbered(pieces, [F.desc("length"), F.asc("doc_id"), F.asc("th"), F.asc("start")], "pieces")
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens",
                        F.col("_row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"),

@@ -30,7 +30,7 @@ _STATE: dict[str, "ChunkEncoder"] = {}
 class ChunkEncoder:
     """``cache_entries`` bounds the worker's memory (about 150 bytes an entry); a full cache begins anew."""
 
-    def __init__(self, path: str, cache_entries: int = 600_000):
+    def __init__(self, path: str, cache_entries: int = 1_000_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -44,6 +44,17 @@ class ChunkEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The same for strings that are one piece each, with one call for many."""
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 20_000):
+            part = pieces[i:i + 20_000]
+            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, dtype="<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(part)))).tolist()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
     def _learn(self, missing: set[str]) -> None:
         plain, other, find = [], [], _PIECES[self.kind].findall
         for c in missing:
@@ -53,7 +64,7 @@ class ChunkEncoder:
         if len(self.pieces) + len(new) > self.cache_entries:
             self.pieces.clear()
             new = list(set(chain.from_iterable(split)))
-        self.pieces.update(zip(new, self._library(new)))
+        self.pieces.update(zip(new, self._pieces(new)))
         get = self.pieces.__getitem__
         self.chunks.update((c, b"".join(map(get, p))) for c, p in zip(plain, split))
         self.chunks.update(zip(other, self._library(other)))
