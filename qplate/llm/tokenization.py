@@ -36,7 +36,8 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = _kind(json.loads(self.tokenizer.to_str()))
         self.cache_entries = cache_entries
-        self.chunks: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}  # ids of chunks at the start of a text
+        self.chunks: dict[str, bytes] = {}  # ids of chunks behind a space
         self.pieces: dict[str, bytes] = {}
         self.beside = re.compile(r"\s | \s")
 
@@ -55,41 +56,55 @@ class ChunkEncoder:
             out += [ids[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
-    def _learn(self, missing: set[str]) -> None:
+    def _learn(self, missing: set[str], space: str, into: dict[str, bytes]) -> None:
         plain, other, find = [], [], _PIECES[self.kind].findall
         for c in missing:
             (plain if _PLAIN.fullmatch(c) else other).append(c)
-        split = [find(c.lower() if self.kind == "word" else c) for c in plain]  # a word-end file lower-cases first
-        new = list(set(chain.from_iterable(split)) - self.pieces.keys())
-        if len(self.pieces) + len(new) > self.cache_entries:
+        # a word-end file lower-cases first
+        split = [find(c.lower() if self.kind == "word" else space + c) for c in plain]
+        if len(self.pieces) > self.cache_entries:
             self.pieces.clear()
-            new = list(set(chain.from_iterable(split)))
+        new = list(set(chain.from_iterable(split)) - self.pieces.keys())
         self.pieces.update(zip(new, self._pieces(new)))
         get = self.pieces.__getitem__
-        self.chunks.update((c, b"".join(map(get, p))) for c, p in zip(plain, split))
-        self.chunks.update(zip(other, self._library(other)))
+        into.update((c, b"".join(map(get, p))) for c, p in zip(plain, split))
+        into.update(zip(other, self._library([space + c for c in other])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if self.kind is None:
             return self._library(texts)
+        if len(self.chunks) > self.cache_entries:
+            self.chunks.clear()
+        if len(self.heads) > self.cache_entries:
+            self.heads.clear()
         out: list[bytes] = [b""] * len(texts)
-        parts: dict[int, list[str]] = {}
+        waiting: list[tuple[int, list[str]]] = []
+        heads, missing = set(), set()
+        known, known_head = self.chunks.get, self.heads.get
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if "  " in text or " \n" in text or "\n " in text or not text.isascii() and self.beside.search(text) \
-                    or text.isascii() and not text.isprintable() and self.beside.search(text):
+            if "  " in text or " \n" in text or "\n " in text or not (text.isascii() and text.isprintable()) \
+                    and self.beside.search(text):
                 out[i] = self._library([text])[0]
-            else:
-                p = text.split(" ")
-                parts[i] = [c for c in [p[0], *[" " + x for x in p[1:]]] if c]
-        if len(self.chunks) > self.cache_entries:
-            self.chunks.clear()
-        self._learn(set(chain.from_iterable(parts.values())) - self.chunks.keys())
+                continue
+            p = text.split(" ")
+            got = list(map(known, p))
+            got[0] = known_head(p[0])
+            if None not in got:
+                out[i] = b"".join(got)
+                continue
+            if got[0] is None:
+                heads.add(p[0])
+                got[0] = b""
+            missing.update([c for c, g in zip(p, got) if g is None])
+            waiting.append((i, p))
+        self._learn(heads, "", self.heads)
+        self._learn(missing, " ", self.chunks)
         get = self.chunks.__getitem__
-        for i, p in parts.items():
-            out[i] = b"".join(map(get, p))
+        for i, p in waiting:
+            out[i] = self.heads[p[0]] + b"".join(map(get, p[1:]))
         return out
 
 
