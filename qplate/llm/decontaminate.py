@@ -80,9 +80,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     few = prints.limit(broadcast_rows + 1).count() <= broadcast_rows
 
     key = row_key(id_col, text_col)
+
+    def of_length(n: int, grams: Column) -> Column:
+        return F.transform(grams, lambda p: F.struct(F.lit(n).alias("len"), p.alias("p")))
+
     offered = let(words(F.col(text_col)), lambda w: F.concat(
-        F.transform(winnow(w), lambda p: F.struct(F.lit(WINDOW).alias("len"), p.alias("p"))),
-        *[F.transform(_grams(w, n), lambda p, n=n: F.struct(F.lit(n).alias("len"), p.alias("p"))) for n in short]))
+        of_length(WINDOW, winnow(w)), *[of_length(n, _grams(w, n)) for n in short]))
     chosen = docs.select(*key, F.explode(offered).alias("f")).select(
         "k1", "k2", F.col("f.len").alias("len"), _hash(F.col("f.p")).alias("h"), _place(F.col("f.p")).alias("at"))
     met = chosen.join(F.broadcast(prints) if few else prints, ["len", "h"], "left_semi")
