@@ -19,6 +19,7 @@ class AnalysisConfig:
     keep_slack: int = 2                 # mixed groups keep a well with >= n - keep_slack good pairs
     dispersion: float = 2.5             # leave-one-out outlier: |x - mean_others| > dispersion * sd_others
     test_type: str = "ttest"            # "ttest" (Welch) or "wilcox" (rank-sum)
+    exact_limit: int = 50               # rank-sum: exact p-value when both groups have fewer values and no ties
     magnitude_jump: int = 2             # axis-break detection, decades
     control_group: str = "DN"
     drop_failed: bool = True            # False: flag failed replicates but keep them

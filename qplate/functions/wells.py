@@ -21,8 +21,12 @@ def pos_column(pos: Column) -> Column:
 
 
 def well_index(pos: Column, plate_cols: int = 24) -> Column:
-    """Row-major well index (A1 = 0, A2 = 1, ..., B1 = plate_cols): numeric, not text order."""
-    row = F.ascii(F.upper(pos_row(pos))) - F.lit(65)
+    """Row-major well index (A1 = 0, A2 = 1, ..., B1 = plate_cols): numeric, not text order.
+
+    Rows go A..Z, AA..AZ and so on; a malformed position has no index (NULL).
+    """
+    letters = F.filter(F.split(F.upper(pos_row(pos)), ""), lambda c: c != "")
+    row = F.aggregate(letters, F.lit(0), lambda acc, c: acc * 26 + F.ascii(c) - 64) - 1
     return row * F.lit(plate_cols) + pos_column(pos) - F.lit(1)
 
 

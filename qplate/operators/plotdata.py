@@ -32,7 +32,8 @@ def plot_points(report: DataFrame, group: str = PLOT_GROUP) -> DataFrame:
     d = report.filter((F.col("type_of_gene") != "HK") & F.col("normalized_expression").isNotNull())
     d = d.select(group, "replicate_name", "sample_name", "testing_group", "Gene", "normalized_expression",
                  "normalized_expression_mean", "normalized_expression_sd", "qc_flag")
-    d = d.withColumn("ordering", F.concat_ws("_", "sample_name", "testing_group", "Gene"))
+    d = d.withColumn("ordering", F.concat_ws(
+        "_", *[F.coalesce(F.col(c), F.lit("NA")) for c in ("sample_name", "testing_group", "Gene")]))
     levels = (d.groupBy(group, "ordering", "Gene", "testing_group")
               .agg(F.min("replicate_name").alias("_first_rep")))
     # level = levels of earlier (gene, testing group) blocks of the plot + rank inside the block:
@@ -43,8 +44,9 @@ def plot_points(report: DataFrame, group: str = PLOT_GROUP) -> DataFrame:
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(wb), F.lit(0))).drop("_n")
     wi = Window.partitionBy(group, "Gene", "testing_group").orderBy("_first_rep")
     levels = join_keys(levels.withColumn("_in", F.row_number().over(wi)), blocks, [group, "Gene", "testing_group"])
-    levels = levels.select(group, "ordering", (F.col("_off") + F.col("_in")).cast("long").alias("ordering_level"))
-    return join_keys(d, levels, [group, "ordering"]).drop("replicate_name")
+    levels = levels.select(group, "ordering", "Gene", "testing_group", (F.col("_off") + F.col("_in")).cast("long").alias("ordering_level"))
+    # labels may clash across genes and testing groups, so these are join keys too
+    return join_keys(d, levels, [group, "ordering", "Gene", "testing_group"]).drop("replicate_name")
 
 
 def colour_rule(key: Column) -> Column:

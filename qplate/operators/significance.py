@@ -58,7 +58,7 @@ def welch_test(df: DataFrame, keys: Sequence[str] = TEST_KEYS, value: str = "nor
                group: str = "testing_group") -> DataFrame:
     """(keys..., pvalue, test_status) - two-sided Welch t-test."""
     g = _levels(df, keys, value, group)
-    a, b = F.col("_lv")[0], F.col("_lv")[1]
+    a, b = F.get("_lv", F.lit(0)), F.get("_lv", F.lit(1))
     va, vb = a["var"] / a["n"], b["var"] / b["n"]
     se = F.sqrt(va + vb)
     t = (a["mean"] - b["mean"]) / se
@@ -118,12 +118,17 @@ def _exact_cdf(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def ranksum_test(df: DataFrame, keys: Sequence[str] = TEST_KEYS, value: str = "normalized_expression",
-                 group: str = "testing_group", exact: bool | None = None) -> DataFrame:
-    """(keys..., statistic W, pvalue, test_status, method) - two-sided Wilcoxon rank-sum test."""
+                 group: str = "testing_group", exact: bool | None = None,
+                 exact_limit: int = EXACT_LIMIT) -> DataFrame:
+    """(keys..., statistic W, pvalue, test_status, method) - two-sided Wilcoxon rank-sum test.
+
+    ``method`` says which rule made the p-value: ``exact`` when both groups have fewer than ``exact_limit`` values
+    and no value is tied, else ``normal``; ``exact=True`` / ``False`` overrides the limit (ties always use ``normal``).
+    """
     keys = list(keys)
     g = _levels(df, keys, value, group)
-    g = g.withColumn("_g1", F.col("_lv")[0]["g"]).withColumn("_n1", F.col("_lv")[0]["n"]) \
-        .withColumn("_n2", F.col("_lv")[1]["n"])
+    a, b = F.get("_lv", F.lit(0)), F.get("_lv", F.lit(1))  # NULL where a test has fewer groups
+    g = g.withColumn("_g1", a["g"]).withColumn("_n1", a["n"]).withColumn("_n2", b["n"])
     lab = join_keys(df.filter(F.col(group).isNotNull()), g.select(*keys, "_g1"), keys)
     ranks = _value_ranks(lab, keys, value, F.col(group) == F.col("_g1"))
     sums = ranks.groupBy(*keys).agg(
@@ -134,7 +139,7 @@ def ranksum_test(df: DataFrame, keys: Sequence[str] = TEST_KEYS, value: str = "n
     n1, n2 = F.col("_n1").cast("double"), F.col("_n2").cast("double")
     w = F.col("_r1") - n1 * (n1 + 1) / 2
     g = g.withColumn("statistic", w)
-    use_exact = (F.col("_n1") < EXACT_LIMIT) & (F.col("_n2") < EXACT_LIMIT) & (F.col("_tmax") <= 1)
+    use_exact = (F.col("_n1") < exact_limit) & (F.col("_n2") < exact_limit) & (F.col("_tmax") <= 1)
     if exact is not None:
         use_exact = F.lit(bool(exact)) & (F.col("_tmax") <= 1)
     g = g.withColumn("method", F.when(use_exact, "exact").otherwise("normal"))
@@ -166,8 +171,14 @@ def ranksum_test(df: DataFrame, keys: Sequence[str] = TEST_KEYS, value: str = "n
 
 
 def two_group_test(df: DataFrame, keys: Sequence[str] = TEST_KEYS, value: str = "normalized_expression",
-                   group: str = "testing_group", kind: str = "ttest") -> DataFrame:
-    """Dispatch: ``kind='ttest'`` (Welch) or ``'wilcox'`` (rank-sum); output keys, pvalue, test_status."""
+                   group: str = "testing_group", kind: str = "ttest", exact_limit: int = EXACT_LIMIT,
+                   with_method: bool = False) -> DataFrame:
+    """Dispatch: ``kind='ttest'`` (Welch) or ``'wilcox'`` (rank-sum); output keys, pvalue, test_status and,
+    with ``with_method``, the rule that made the p-value (``welch``, ``exact`` or ``normal``)."""
     if kind in ("ttest", "welch"):
-        return welch_test(df, keys, value, group)
-    return ranksum_test(df, keys, value, group).select(*keys, "pvalue", "test_status")
+        out = welch_test(df, keys, value, group).withColumn("method", F.when(F.col("test_status") == "ok", F.lit("welch")))
+    elif kind in ("wilcox", "ranksum"):
+        out = ranksum_test(df, keys, value, group, exact_limit=exact_limit)
+    else:
+        raise ValueError(f"unknown test kind {kind!r}: use 'ttest' or 'wilcox'")
+    return out.select(*keys, "pvalue", "test_status", *(["method"] if with_method else []))

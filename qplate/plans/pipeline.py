@@ -86,7 +86,7 @@ def summarise_samples(bio_qc: DataFrame) -> DataFrame:
 
 def statistics_table(bio_qc: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     good = bio_qc.filter((F.col("qc_flag") == "GOOD") & (F.col("type_of_gene") != "HK"))
-    return two_group_test(good, ("zscoring_group", "Gene"), "normalized_expression", "testing_group", cfg.test_type)
+    return two_group_test(good, ("zscoring_group", "Gene"), "normalized_expression", "testing_group", cfg.test_type, cfg.exact_limit)
 
 
 # A NULL gene is a group of its own.  Inside ``analyse`` it is carried as this fixed
@@ -134,7 +134,7 @@ def _group_level(a: Analysis) -> DataFrame:
     """Per technical group: expression, leave-one-out columns and (on the sample representative) summary."""
     src = a.internal or {"groups": a.groups, "bio": a.bio, "summary": a.summary}
     safe = a.internal is None
-    g = src["groups"].select(*GROUP, F.col("_first.well_ord").alias("_first_ord"), "elevated_value_mean",
+    g = src["groups"].select(*GROUP, "_first", "elevated_value_mean",
                              "normalized_expression", "log2_expression_value")
     bio = src["bio"].select(*GROUP, "mean_others", "sd_others", "qc_flag")
     summ = src["summary"].select("replicate_name", "Gene", *SUMMARY_COLS)
@@ -160,7 +160,8 @@ def assemble_report(a: Analysis, with_comparisons: bool = False, ordered: bool =
     if with_comparisons:
         wells = comparison_strings(wells, a.cfg.tolerance)
     rep = join_keys(wells, per_value, [*GROUP, "Cp"], "inner", null_safe=safe)
-    first = F.col("well_ord") == F.col("_first_ord")
+    # one row per group: where metadata multiplies a well, its least metadata row represents it
+    first = F.struct("well_ord", *CARRY) == F.col("_first")
     masked = ["elevated_value_mean", "normalized_expression", "log2_expression_value",
               "mean_others", "sd_others", "qc_flag", *SUMMARY_COLS]
     rep = rep.withColumn("elevated_value", F.pow(F.lit(0.5), F.col("Cp")))
@@ -203,7 +204,7 @@ def recalculate(report: DataFrame, cfg: AnalysisConfig | None = None,
         F.sum(F.when(kept, 1).otherwise(0)).alias("n_kept"),
         F.sum(F.when(kept, F.col("elevated_value"))).alias("_sev"),
         F.min(F.struct("well_ord", *CARRY)).alias("_first"),
-        F.min(F.struct("well_ord", "qc_flag")).alias("_firstq"))
+        F.min(F.struct("well_ord", *CARRY, "qc_flag")).alias("_firstq"))
     grp = grp.withColumn("elevated_value_mean", safe_div(F.col("_sev"), F.col("n_kept").cast("double")))
     grp = grp.withColumn("type_of_gene", F.col("_first.type_of_gene"))
     hk = (grp.filter((F.col("type_of_gene") == "HK") & (F.col("n_kept") > 0)).groupBy("replicate_name")
@@ -213,17 +214,17 @@ def recalculate(report: DataFrame, cfg: AnalysisConfig | None = None,
     grp = grp.withColumn("normalized_expression", safe_div(F.col("elevated_value_mean"), F.col("_hk"))) \
         .withColumn("log2_expression_value", log2_or_null(F.col("normalized_expression")))
     grp = materialize(grp.drop("_hk"), pin)
-    bio = materialize(bio_table(grp).join(grp.select(*GROUP, F.col("_firstq.qc_flag").alias("qc_flag")), GROUP), pin)
+    bio = materialize(join_keys(bio_table(grp), grp.select(*GROUP, F.col("_firstq.qc_flag").alias("qc_flag")), GROUP), pin)
     summary = summarise_samples(bio)
     stats = statistics_table(bio, cfg)
-    g = grp.select(*GROUP, F.col("_first.well_ord").alias("_first_ord"), "elevated_value_mean",
+    g = grp.select(*GROUP, "_first", "elevated_value_mean",
                    "normalized_expression", "log2_expression_value", F.col("_firstq.qc_flag").alias("_qc"))
     g = join_keys(g, summary.select("replicate_name", "Gene", *SUMMARY_COLS), GROUP, "left")
     out = join_keys(r.drop("qc_flag"), g, GROUP, "left")
-    first = F.col("well_ord") == F.col("_first_ord")
+    first = F.struct("well_ord", *CARRY) == F.col("_first")
     for c in ["elevated_value_mean", "normalized_expression", "log2_expression_value", *SUMMARY_COLS]:
         out = out.withColumn(c, F.when(first, F.col(c)))
-    out = out.withColumn("qc_flag", F.when(first, F.col("_qc"))).drop("_qc", "_first_ord")
+    out = out.withColumn("qc_flag", F.when(first, F.col("_qc"))).drop("_qc", "_first")
     return out, stats
 
 
@@ -234,18 +235,34 @@ def run_files(spark, plates, gene_layout: DataFrame, sample_layout: DataFrame, m
     annotated wells -> analysis -> Parquet sinks under ``out_dir``:
 
     ``wells`` (annotated, failed replicates screened, blanks filled), ``report`` (well level,
-    sorted), ``statistics`` and ``unmatched`` (wells dropped by the annotation).
+    sorted), ``statistics``, ``unmatched`` (wells dropped by the annotation) and ``repeated_metadata``
+    (metadata keys that multiply wells).  The annotated wells are pinned once for all sinks.
     """
-    from qplate.operators.layout import annotate_wells, unmatched_wells
+    from qplate.operators.layout import annotate_wells, duplicate_metadata_keys, unmatched_wells
     from qplate.sources.plates import read_plates, write_table
 
     cfg = cfg or AnalysisConfig()
     raw = read_plates(spark, plates).select("file_name", "Pos", "well_ord", "Cp")
-    wells = annotate_wells(raw, gene_layout, sample_layout, metadata, cfg.hk_genes, meta_key)
+    raw = materialize(raw, "table")
+    wells = materialize(annotate_wells(raw, gene_layout, sample_layout, metadata, cfg.hk_genes, meta_key), "table")
     a = analyse(wells, cfg)
     base = out_dir.rstrip("/")
     write_table(a.wells, f"{base}/wells", partition_by=list(partition_by))
     write_table(a.report(ordered=True), f"{base}/report")
     write_table(a.statistics, f"{base}/statistics")
     write_table(unmatched_wells(raw, gene_layout, sample_layout, metadata, meta_key), f"{base}/unmatched")
+    write_table(duplicate_metadata_keys(metadata, meta_key), f"{base}/repeated_metadata")
     return a
+
+
+def replay_files(spark, report_path: str, out_dir: str, cfg: AnalysisConfig | None = None,
+                 overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The curation loop: read a report back, apply hand-edited flags (see :func:`recalculate`) and write the
+    replayed ``report`` and its ``statistics`` under ``out_dir``, which must not be the folder that is read."""
+    from qplate.sources.plates import write_table
+
+    report, stats = recalculate(spark.read.parquet(report_path), cfg, overrides)
+    base = out_dir.rstrip("/")
+    write_table(report, f"{base}/report")
+    write_table(stats, f"{base}/statistics")
+    return report, stats

@@ -10,18 +10,19 @@ provenance (``file_name`` without ``.txt``) and an arrival ordinal.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qplate.functions.wells import well_index
+from qplate.functions.wells import pos_column, well_index
 
 EXPORT_COLUMNS = ("Include", "Color", "Pos", "Name", "Cp", "Concentration", "Standard", "Status")
 EXPORT_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in EXPORT_COLUMNS])
 
-# Wells per plate reserved in the arrival ordinal; 1536-well plates (32 x 48) fit.
-_ORD_STRIDE = 1 << 12
+# Wells per plate reserved in the arrival ordinal; 1536-well plates (32 x 48) fit, larger ones are rejected.
+ORD_STRIDE = 1 << 12
 
 
 def _decimal_comma(c: F.Column) -> F.Column:
@@ -29,27 +30,40 @@ def _decimal_comma(c: F.Column) -> F.Column:
     return F.regexp_replace(F.when(txt != "", txt), ",", ".").try_cast("double")
 
 
+def arrival_ordinal(plate: F.Column, pos: F.Column, plate_cols: int) -> F.Column:
+    """``plate`` * ORD_STRIDE + row-major well index; a missing or too large index fails the query."""
+    index = well_index(pos, plate_cols)
+    bad = plate.isNull() | index.isNull() | (index < 0) | (index >= ORD_STRIDE) | (pos_column(pos) > plate_cols)
+    return F.when(bad, F.raise_error(F.concat(F.lit("no arrival ordinal for well "), F.coalesce(pos, F.lit("NULL")))).cast("long")) \
+        .otherwise(plate.cast("long") * F.lit(ORD_STRIDE) + index)
+
+
 def read_plates(spark: SparkSession, paths: str | Sequence[str], plate_cols: int = 24) -> DataFrame:
     """Read plate exports; returns file_name, Pos, Cp (double, NULL when blank), plate_ord, well_ord, plus raw columns.
 
-    ``plate_ord`` is the position of the file in ``paths`` when a list is given,
-    else the rank of the file name; ``well_ord`` = plate_ord * 4096 + row-major well index,
-    which reproduces the export's own order.
+    ``paths`` are files, folders or patterns in any spelling.  ``plate_ord`` numbers the files of the scan: by the first
+    entry of ``paths`` that holds them, then by full path; ``well_ord`` = plate_ord * 4096 + row-major well index, which
+    reproduces the export's own order.  Plate columns beyond ``plate_cols`` and malformed positions fail.  Layouts
+    and overrides name plates by file name, so two files of one name are rejected.  The file list is the
+    one that the driver makes for the scan anyway; the exports are read once.
     """
     path_list = [paths] if isinstance(paths, str) else list(paths)
+    # a dict keeps the first place of a file that several entries hold
+    listed = [f for p in path_list for f in sorted(_export_reader(spark).csv(p).inputFiles())]
+    files = list(dict.fromkeys(listed))
+    if len(files) < len(listed):
+        path_list = [unquote(f) for f in files]
+    named: dict[str, str] = {}
+    for f in files:
+        if named.setdefault(f.rsplit("/", 1)[-1], f) != f:
+            raise ValueError(f"two plates of one name: {named[f.rsplit('/', 1)[-1]]} and {f}")
     raw = (
-        spark.read.schema(EXPORT_SCHEMA)
-        .option("sep", "\t")
-        .option("header", "false")
-        .option("quote", '"')
-        .option("mode", "PERMISSIVE")
-        .csv(path_list)
-        .withColumn("_path", F.col("_metadata.file_path"))
-        .withColumn("file_name", F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", ""))
+        _export_reader(spark).csv(path_list)
+        .withColumn("_path", _plain_path(F.col("_metadata.file_path")))
+        .withColumn("file_name", F.regexp_replace(_decoded(F.col("_metadata.file_name")), r"\.txt$", ""))
     )
     # banner and header lines are the only ones whose first field is not a boolean
     rows = raw.filter(F.trim(F.col("Include")).isin("True", "False", "TRUE", "FALSE"))
-    explicit = len(path_list) > 1 and not any(any(ch in p for ch in "*?[") for p in path_list)
     rows = rows.select(
         "file_name",
         F.trim(F.col("Pos")).alias("Pos"),
@@ -58,40 +72,27 @@ def read_plates(spark: SparkSession, paths: str | Sequence[str], plate_cols: int
         F.trim(F.col("Color")).try_cast("long").alias("Color"),
         F.col("Name"),
         F.regexp_replace(F.col("Status"), "\r", "").alias("Status"),
-        F.regexp_replace(F.col("_path"), _SCHEME_RE, "/").alias("_npath"),
-    )
-    if explicit:
-        # plate ordinal = position in the given list (one row per listed file; AQE broadcasts it when small)
-        order = spark.createDataFrame([(_normal_path(p), i) for i, p in enumerate(path_list)],
-                                      "_npath string, plate_ord int")
-        rows = rows.join(order, "_npath", "left")
-    else:
-        # rank plates by file name over the distinct-file table (one row per listed file)
-        ranked = rows.select("file_name").distinct().withColumn("plate_ord", F.dense_rank().over(_by_name()) - 1)
-        rows = rows.join(ranked, "file_name")
-    rows = rows.drop("_npath")
-    return rows.withColumn(
-        "well_ord", F.col("plate_ord").cast("long") * F.lit(_ORD_STRIDE) + well_index(F.col("Pos"), plate_cols)
+        "_path",
     )
+    order = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "_uri string, plate_ord int") \
+        .select(_plain_path(F.col("_uri")).alias("_path"), "plate_ord")
+    rows = rows.join(order, "_path", "left").drop("_path")
+    return rows.withColumn("well_ord", arrival_ordinal(F.col("plate_ord"), F.col("Pos"), plate_cols))
 
 
-def _by_name():
-    from pyspark.sql import Window
-
-    return Window.orderBy("file_name")
-
+def _export_reader(spark: SparkSession):
+    return (spark.read.schema(EXPORT_SCHEMA).option("sep", "\t").option("header", "false").option("quote", '"')
+            .option("mode", "PERMISSIVE"))
 
-_SCHEME_RE = r"^[A-Za-z][A-Za-z0-9+.-]*:/*"
 
+def _decoded(name: F.Column) -> F.Column:
+    """A file name as it is on disk (Spark's metadata has it URL-encoded, with a plain ``+``)."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
-def _normal_path(p: str) -> str:
-    """Path without its URI scheme, so user paths and ``_metadata.file_path`` compare equal."""
-    import os
-    import re
 
-    if re.match(_SCHEME_RE, p):
-        return re.sub(_SCHEME_RE, "/", p)
-    return os.path.abspath(p)
+def _plain_path(uri: F.Column) -> F.Column:
+    """Both sides come from Spark's own listing; only the number of slashes behind the scheme may differ."""
+    return F.regexp_replace(uri, r"^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
 
 
 def read_sheet(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv",
@@ -99,9 +100,17 @@ def read_sheet(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv",
     """Layout / metadata / annotation sheet (CSV with header, or Parquet).
 
     Spreadsheets arrive as CSV/Parquet exports.  With ``ordinal`` set, a
-    row ordinal in file order is attached (sheets are small, unsplit files) so
+    row ordinal is attached (sheets in listed order, rows in file order; sheets are small, unsplit files) so
     that "first match wins" lookups are deterministic.
     """
+    if not isinstance(path, str) and len(list(path)) > 1:
+        sheets = [read_sheet(spark, p, fmt, schema, ordinal) for p in path]
+        out = None
+        for i, sheet in enumerate(sheets):
+            if ordinal:
+                sheet = sheet.withColumn(ordinal, F.lit(i).cast("long") * F.lit(1 << 50) + F.col(ordinal))
+            out = sheet if out is None else out.unionByName(sheet, allowMissingColumns=True)
+        return out
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)

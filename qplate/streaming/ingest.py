@@ -3,10 +3,10 @@
 The analysis itself is batch (it needs complete replicate groups); what grows
 continuously is the export archive.  ``ingest_plates`` watches a directory of
 exports, parses each micro-batch exactly like ``sources.plates.read_plates``
-(banner/header skipped, decimal comma, provenance) and appends the wells to a
-Parquet table partitioned by ``file_name``.  The checkpoint makes replays
-exactly-once; ``well_ord`` = (batch id, plate rank in batch, well index) keeps
-arrival order deterministic across restarts.
+(banner/header skipped, decimal comma, provenance) and writes the wells to the
+``batch_id=<n>`` folder of a Parquet table.  A batch that runs again after a
+restart overwrites its own folder, so nothing is doubled; ``well_ord`` = (batch id,
+plate rank in batch, well index) keeps arrival order deterministic across restarts.
 """
 
 from __future__ import annotations
@@ -14,11 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from qplate.functions.wells import well_index
-from qplate.sources.plates import EXPORT_SCHEMA, _decimal_comma
+from qplate.sources.plates import EXPORT_SCHEMA, ORD_STRIDE, _decimal_comma, arrival_ordinal
 
 _BATCH_STRIDE = 1 << 40
-_PLATE_STRIDE = 1 << 12
 
 
 def _parse(raw: DataFrame) -> DataFrame:
@@ -45,11 +43,10 @@ def ingest_plates(spark: SparkSession, source_dir: str, table_path: str, checkpo
         wells = _parse(batch)
         plates = wells.select("file_name").distinct()
         plates = plates.withColumn("_rank", F.dense_rank().over(Window.orderBy("file_name")) - 1)
-        wells = wells.join(F.broadcast(plates), "file_name")   # one row per plate in this micro-batch
-        wells = wells.withColumn(
-            "well_ord", F.lit(batch_id).cast("long") * _BATCH_STRIDE
-            + F.col("_rank").cast("long") * _PLATE_STRIDE + well_index(F.col("Pos"), plate_cols)).drop("_rank")
-        wells.write.mode("append").partitionBy("file_name").parquet(table_path)
+        wells = wells.join(plates, "file_name")
+        plate = F.lit(batch_id).cast("long") * (_BATCH_STRIDE // ORD_STRIDE) + F.col("_rank")
+        wells = wells.withColumn("well_ord", arrival_ordinal(plate, F.col("Pos"), plate_cols)).drop("_rank")
+        wells.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}")
 
     writer = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
