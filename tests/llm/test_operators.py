@@ -162,6 +162,14 @@ def test_near_dedup(spark, sf_dir, rows):
     same(got, brute.near([r[:2] for r in rows]), ["doc_id", "n_shingles", "component_id", "kept"])
 
 
+def test_near_dedup_by_rarest_shingles_alone(spark, sf_dir, rows, monkeypatch):
+    """Without star rounds every link must come from the closing comparison."""
+    from qplate.llm import near_dedup
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 0)
+    got = queries.op10_near_dedup(spark, sf_dir)
+    same(got, brute.near([r[:2] for r in rows]), ["doc_id", "n_shingles", "component_id", "kept"])
+
+
 def test_transcripts(spark):
     r = random.Random(3)
     say = lambda n: "\n".join(" ".join("w" * r.randint(1, 6) for _ in range(n)) for _ in range(r.randint(1, 3)))
