@@ -253,7 +253,8 @@ def _rows_sql(key: str, options: tuple[str, ...]) -> str:
 
 
 def _sheet_ctes() -> list[str]:
-    from qplate.sources.driver_tables import GENE_COLS, GENE_ROWS, REGION_COLS, REGION_ORD_OFFSET, REGION_ROWS
+    from qplate.sources.driver_tables import (GENE_COLS, GENE_ROWS, REGION_COLS, REGION_ORD_OFFSET, REGION_ROWS,
+                                              SUPPLIER_ORD_OFFSET, SUPPLIER_PLATE_OFFSET)
     gs = f"""
 gsheet AS (
   SELECT 'plate_' || CAST(n_nationkey AS VARCHAR) AS file_name, {_rows_sql('n_nationkey % 4', GENE_ROWS)} AS rows,
@@ -261,7 +262,11 @@ gsheet AS (
   FROM nation
   UNION ALL
   SELECT 'plate_' || CAST(r_regionkey AS VARCHAR), '{REGION_ROWS}', '{REGION_COLS}', r_name,
-         CAST(r_regionkey + {REGION_ORD_OFFSET} AS BIGINT) FROM region)"""
+         CAST(r_regionkey + {REGION_ORD_OFFSET} AS BIGINT) FROM region
+  UNION ALL
+  SELECT 'plate_' || CAST(s_suppkey + {SUPPLIER_PLATE_OFFSET} AS VARCHAR), {_rows_sql('s_suppkey % 4', GENE_ROWS)},
+         {_rows_sql('s_suppkey % 5', GENE_COLS)}, 'NATION_' || CAST(s_nationkey AS VARCHAR),
+         CAST(s_suppkey + {SUPPLIER_ORD_OFFSET} AS BIGINT) FROM supplier)"""
     ss = """
 ssheet AS (
   SELECT 'plate_' || CAST(c_custkey // 16 AS VARCHAR) AS file_name, chr(CAST(65 + c_custkey % 16 AS INTEGER)) AS rows,

@@ -135,7 +135,7 @@ def q_welch_test(spark, sf_dir):
 
 def _sheets(spark, sf_dir):
     t = lambda n: load_table(spark, sf_dir, n)
-    return (raw_wells_from_events(t("events")), gene_sheet(t("nation"), t("region")), sample_sheet(t("customer")),
+    return (raw_wells_from_events(t("events")), gene_sheet(t("nation"), t("region"), t("supplier")), sample_sheet(t("customer")),
             metadata_table(t("customer"), t("supplier")))
 
 

@@ -68,6 +68,7 @@ def wells_from_events(events: DataFrame, hk_genes: Iterable[str] = EVENT_HK_GENE
 GENE_ROWS = ("A,B,C,D,E,F,G,H", "I,J,K,L,M,N,O,P,", "A,,B,C,D,E,F,G,H,I,J,K,L,M,N,O,P", "P,O,N,M,L,K,J,I,H,G,F,E,D,C,B,A")
 GENE_COLS = ("1-24", "24-1", "1-12,13,x,14-24", "1-6,7-12,", " 3,1-2,4-24")
 REGION_ROWS, REGION_COLS, REGION_ORD_OFFSET = "A,B,C,D", "1-24", 100
+SUPPLIER_PLATE_OFFSET, SUPPLIER_ORD_OFFSET = 24, 1000
 LAYOUT_HK_GENES = ("NATION_1",)
 
 
@@ -78,8 +79,9 @@ def _pick(key: F.Column, options: tuple[str, ...]) -> F.Column:
     return expr
 
 
-def gene_sheet(nation: DataFrame, region: DataFrame) -> DataFrame:
-    """Gene layout: one block per nation on plate_<nationkey>, then overlapping region blocks (later sheet rows)."""
+def gene_sheet(nation: DataFrame, region: DataFrame, supplier: DataFrame) -> DataFrame:
+    """Gene layout: one block per nation on plate_<nationkey>, then overlapping region blocks (later sheet rows),
+    then one block per supplier on the plates behind those of the nations, so that the sheet grows with the wells."""
     k = F.col("n_nationkey")
     n = nation.select(F.concat(F.lit("plate_"), k.cast("string")).alias("file_name"),
                       _pick(F.pmod(k, F.lit(4)), GENE_ROWS).alias("rows"),
@@ -89,7 +91,13 @@ def gene_sheet(nation: DataFrame, region: DataFrame) -> DataFrame:
                       F.lit(REGION_ROWS).alias("rows"), F.lit(REGION_COLS).alias("cols"),
                       F.col("r_name").alias("gene"),
                       (F.col("r_regionkey") + REGION_ORD_OFFSET).cast("long").alias("sheet_ord"))
-    return n.unionByName(r)
+    s = F.col("s_suppkey")
+    p = supplier.select(F.concat(F.lit("plate_"), (s + SUPPLIER_PLATE_OFFSET).cast("string")).alias("file_name"),
+                        _pick(F.pmod(s, F.lit(4)), GENE_ROWS).alias("rows"),
+                        _pick(F.pmod(s, F.lit(5)), GENE_COLS).alias("cols"),
+                        F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")).alias("gene"),
+                        (s + SUPPLIER_ORD_OFFSET).cast("long").alias("sheet_ord"))
+    return n.unionByName(r).unionByName(p)
 
 
 def sample_sheet(customer: DataFrame) -> DataFrame:
