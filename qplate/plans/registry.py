@@ -215,8 +215,9 @@ def q_plot_points(spark, sf_dir):
 
 
 def _colour_sheets(a):
-    groups = a.wells.select("testing_group").distinct().withColumn("colour", colour_rule(F.col("testing_group")))
-    annot = a.wells.select("zscoring_group").distinct().withColumn("colour", colour_rule(F.col("zscoring_group")))
+    # plotted groups are those of the sample summary; the wells are not scanned again for them
+    groups = a.summary.select("testing_group").distinct().withColumn("colour", colour_rule(F.col("testing_group")))
+    annot = a.summary.select("zscoring_group").distinct().withColumn("colour", colour_rule(F.col("zscoring_group")))
     return groups, annot
 
 
