@@ -7,7 +7,8 @@ windows; a hit is then extended: the document's windows around it are compared w
 
 An item of fewer words, but not none, is one window; for the few lengths that occur, documents offer
 all their k-grams of that length.  NULL and empty texts have no words.  Repeated rows get the same result each;
-equal windows of several items count for each item; empty tables give no rows, or documents without hits.
+equal windows of several items count for each item; empty tables give no rows, or documents without hits.  Hits do not
+depend on item ids: items with a NULL id count together as one item, which adds nothing to the hashed list of ids.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     size = F.least(F.size("w"), F.lit(WINDOW))
     windows = (listed.select("item", size.alias("len"), F.explode(let(F.col("w"), lambda w: F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(w) - WINDOW + 1, F.lit(1))), lambda i: F.slice(w, i, WINDOW)))).alias("v"))
-        .groupBy("len", F.array_join("v", " ").alias("window")).agg(F.collect_set("item").alias("items")))
+        .groupBy("len", F.array_join("v", " ").alias("window")).agg(F.collect_set(F.struct("item")).alias("items")))  # a bare NULL would be skipped
     short = sorted(r["len"] for r in windows.filter(F.col("len") < WINDOW).select("len").distinct().collect())  # nine at most
     own = F.split("window", " ", -1)
     prints = windows.select("len", F.when(F.col("len") == WINDOW, F.get(winnow(own), F.lit(0))).otherwise(
@@ -98,10 +99,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         .select("k1", "k2", "c.len", "c.start", "c.window").distinct()
     hits = tried.join(windows, ["len", "window"]).select("k1", "k2", "len", "start", "items")
     spans = hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"))
-    found = hits.select("k1", "k2", F.explode("items").alias("item")).distinct().groupBy("k1", "k2") \
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
+    found = hits.select("k1", "k2", F.explode("items").alias("i")).select("k1", "k2", "i.item").distinct() \
+        .groupBy("k1", "k2").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item")).alias("items"))
     result = spans.join(found, ["k1", "k2"]).select(
-        "k1", "k2", _covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "k1", "k2", _covered(F.col("spans")).alias("n_hit"), "n_items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     base = docs.select(F.col(id_col).alias("doc_id"), *key, F.size(words(F.col(text_col))).cast("long").alias("n_words"))
     out = base.join(result, ["k1", "k2"], "left")

@@ -85,6 +85,22 @@ def test_decontaminate(spark, sf_dir, rows, broadcast_rows):
     same(got, brute.contamination([r[:2] for r in rows], items), ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_decontaminate_items_without_id(spark, broadcast_rows):
+    import hashlib
+    from qplate.llm.decontaminate import decontaminate, keep_clean
+    sha = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
+    named, other = " ".join(f"w{i}" for i in range(12)), " ".join(f"v{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, "x " + other), (2, named + " y " + other), (3, named), (4, "nine ten"), (5, "clean")],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(7, named), (None, other), (None, "nine ten"), (None, other)], "item_id long, text string")
+    got = decontaminate(docs, items, broadcast_rows=broadcast_rows)
+    same(got, [(1, 13, 12, 1, sha(""), True), (2, 25, 24, 2, sha("7"), True), (3, 12, 12, 1, sha("7"), True),
+               (4, 2, 2, 1, sha(""), True), (5, 1, 0, 0, sha(""), False)],
+         ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    assert [r.doc_id for r in keep_clean(docs, items, broadcast_rows=broadcast_rows).collect()] == [5]
+
+
 def test_warc(spark, sf_dir, tmp_path):
     pages = [(r[0], r[2]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     same(queries.op4_warc(spark, sf_dir), brute.warc(pages), ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
