@@ -173,6 +173,18 @@ def test_secret_network():
     assert said[y[2000:] == 1].mean() > 0.93 and said[y[2000:] == 0].mean() < 0.1
 
 
+def test_secret_threshold_keeps_recall_below_one_half():
+    from qplate.llm.secret_scan import CharCnn
+    r = np.random.default_rng(1)
+    y = np.array([1.0] * 100 + [0.0] * 1900)
+    net = CharCnn()
+    net.logits = lambda x: x
+    x = r.normal(0, 1, len(y)) + y  # few secrets that overlap with many look-alikes
+    net.calibrate(x, y, 0.98)
+    p = np.sort(net.probability(x)[y == 1])
+    assert p[2] < 0.5 and (p >= net.threshold).mean() >= 0.98 and net.threshold == p[2]
+
+
 def test_near_dedup(spark, sf_dir, rows):
     got = queries.op10_near_dedup(spark, sf_dir)
     same(got, brute.near([r[:2] for r in rows]), ["doc_id", "n_shingles", "component_id", "kept"])
