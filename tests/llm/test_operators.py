@@ -185,6 +185,21 @@ def test_secret_threshold_keeps_recall_below_one_half():
     assert p[2] < 0.5 and (p >= net.threshold).mean() >= 0.98 and net.threshold == p[2]
 
 
+def test_secret_formats_are_no_look_alikes(spark):
+    """Tokens that the base patterns miss must not teach the network to reject them, however common they are."""
+    from qplate.llm.secret_scan import scan, train, training_set
+    r = random.Random(4)
+    pick = lambda k: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(k - 1)) + "7"
+    make = (lambda: "ghp_" + pick(36), lambda: "sk_live_" + pick(24), lambda: "xoxb-" + "".join(r.choice("0123456789") for _ in range(11)) + "-" + pick(24))
+    texts = [f"we found {make[i % 3]()} there " + pick(3) for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, y, _ = training_set(docs, "doc_id", "text")
+    made = training_set(docs.limit(0), "doc_id", "text")[1]
+    assert y[len(made):].tolist() == [1.0] * 600
+    assert len(training_set(docs, "doc_id", "text", sample_findings=50)[1]) == len(made) + 50
+    assert scan(docs, train(docs)).filter("n_model = 1").count() >= 0.95 * 600
+
+
 def test_near_dedup(spark, sf_dir, rows):
     got = queries.op10_near_dedup(spark, sf_dir)
     same(got, brute.near([r[:2] for r in rows]), ["doc_id", "n_shingles", "component_id", "kept"])
