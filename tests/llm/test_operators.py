@@ -200,6 +200,37 @@ def test_secret_formats_are_no_look_alikes(spark):
     assert scan(docs, train(docs)).filter("n_model = 1").count() >= 0.95 * 600
 
 
+def test_secret_candidates_short_and_of_one_kind():
+    from qplate.llm.secret_scan import candidates
+    for text, value in (("my pwd: x7Kq29Lm now", "x7Kq29Lm"), ("auth Qz81mmP0aa", "Qz81mmP0aa"), ("credential = 'abcD.efgh12'", "abcD.efgh12"),
+                        ("key qwertyuiopASDFGHJKLzxcv", "qwertyuiopASDFGHJKLzxcv"), ("n 12345678901234567890", "12345678901234567890")):
+        assert [text[s:e] for s, e in candidates(text)] == [value]
+    assert candidates("pwd: short7 and some prosewords ======================== http://abcdefgh") == []
+    long = "key: a1b2c3d4e5f6g7h8i9 then pwd=abcd1234efgh5678ijkl and pwd: abcd1234"
+    assert [long[s:e] for s, e in candidates(long)] == ["a1b2c3d4e5f6g7h8i9", "pwd=abcd1234efgh5678ijkl", "abcd1234"]
+
+
+def test_secret_network_finds_short_values():
+    from qplate.llm.secret_scan import CharCnn, made_findings, windows
+    r = random.Random(6)
+    pick = lambda k: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(k))
+    found = made_findings()
+    x = np.concatenate([windows(t, s, e)[:1] for t, s, e, _ in found])
+    y = np.array([f[3] for f in found], dtype=float)
+    net = CharCnn()
+    net.fit(x[:2400], y[:2400])
+    net.calibrate(x[2400:], y[2400:], 0.98)
+
+    def share(make):
+        texts = [make() for _ in range(200)]
+        at = [(t, t.index("#") - 1) for t in texts]
+        w = [windows(t.replace("#", ""), k + 1, len(t) - 1)[:1] for t, k in at]
+        return (net.probability(np.concatenate(w)) >= net.threshold).mean()
+
+    assert share(lambda: "the pwd: #" + pick(r.randint(9, 15))) > 0.9
+    assert share(lambda: "a note: #" + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10))) < 0.2
+
+
 def test_near_dedup(spark, sf_dir, rows):
     got = queries.op10_near_dedup(spark, sf_dir)
     same(got, brute.near([r[:2] for r in rows]), ["doc_id", "n_shingles", "component_id", "kept"])
