@@ -1,13 +1,15 @@
-"""Exact removal of repeated byte strings by distributed prefix doubling over a sampled suffix array.
+"""Exact removal of repeated byte strings by nested fingerprints at positions that the text chooses.
+
+This takes the place of prefix doubling: no rank is made from earlier ranks and nothing is sorted.
 
 A byte is removed when a string of ``length`` bytes that covers it starts anywhere else too.  A full suffix
 array would rank every byte position; here equal strings are compared at positions that they choose
 themselves (the gram of least hash inside the string, see :func:`spans.anchors`), about one
 position in ``length / 2.3`` bytes.  A position stands for the strings that chose it.
 
-Ranks are names of spans around a position; equal spans have equal names.  Each round takes the pair
-(name of the span known so far, name of the span reached at the next offsets), groups equal pairs in Spark,
-drops positions that have become unique, and goes on at offsets that close in on ``length``:
+Each round names a longer span around a position by a fingerprint of its bytes, taken from the text; equal spans have
+equal names.  It groups equal names in Spark, drops positions that have become unique, and goes on with spans that close
+in on ``length``:
 
 * round 0: the gram; positions with a unique gram are done;
 * round i: for a run of ``STEPS[i]`` strings of a position, the ``core`` all of them share (it grows
@@ -17,7 +19,7 @@ drops positions that have become unique, and goes on at offsets that close in on
 
 Runs that are already known to repeat stay as one witness per union where others of their core go on.
 
-Only equality of ranks is needed, so ranks are 64-bit names (unions: 128 bits) in place of ordinals.
+Only equality is needed, so names are 64-bit fingerprints (unions: 128 bits) in place of ordinals.
 """
 
 from __future__ import annotations
