@@ -65,22 +65,28 @@ def parse(data: bytes) -> tuple:
             page("warc-refers-to") if kind == "revisit" else None, payload if kind == "response" else None)
 
 
+def _referred(pages: DataFrame, min_revisit_bytes: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """page_id, url, payload, sha1 and, for revisits, the page they refer to."""
+    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
+                       F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.sha1("payload"))
+    # pinned, so that the join deals both sides itself and a hot payload can be split
+    last = pin(src.select("page_id", "sha1").groupBy("sha1").agg(F.max("page_id").alias("last")), "warc-last")
+    first = F.col("last").isNull() | F.col("page_id").eqNullSafe(F.col("last")) | (F.length("payload") < min_revisit_bytes)
+    return src.join(last, "sha1").select("page_id", "url", "payload", "sha1",
+                                         F.when(~first, F.col("last")).alias("refers_to"))
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_bytes: int = 0, id_col: str = "page_id",
                    url_col: str = "url", html_col: str = "html", archive_bytes: int = 256 << 20) -> DataFrame:
     """Write a record per row; returns the manifest (path, n_records, n_bytes).
 
     Payloads of fewer than ``min_revisit_bytes`` bytes are always responses.  NULL html is an empty payload, NULL urls are
     empty; a NULL page id never is the largest unless all are NULL, and then every row is a response; rows that
-    repeat the largest id are responses all.  An empty table writes no archive.  Payloads are shuffled once, on
-    their digest; the largest id of each digest is aggregated before that.
+    repeat the largest id are responses all.  An empty table writes no archive.  Payloads are shuffled at most once,
+    on their digest; the largest id of each digest is aggregated and pinned before that.
     """
     folder = folder or shared_folder(pages.sparkSession, "warc")
-    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
-                       F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.sha1("payload"))
-    last = src.select("page_id", "sha1").groupBy("sha1").agg(F.max("page_id").alias("last"))
-    first = F.col("last").isNull() | F.col("page_id").eqNullSafe(F.col("last")) | (F.length("payload") < min_revisit_bytes)
-    rows = src.join(last, "sha1").select("page_id", "url", "payload", "sha1",
-                                         F.when(~first, F.col("last")).alias("refers_to"))
+    rows = _referred(pages, min_revisit_bytes, id_col, url_col, html_col)
 
     def write(batches):
         part, n_file, done, out = TaskContext.get().partitionId(), 0, [], None

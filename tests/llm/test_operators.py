@@ -117,6 +117,30 @@ def test_warc(spark, sf_dir, tmp_path):
         assert ZipReader(path).read("a/b", 4, 5) == b"o a/b"
 
 
+def test_warc_splits_a_hot_payload(spark):
+    """A third of the pages share a payload: their join is dealt to several tasks, none is lost."""
+    from qplate.llm.warc import _referred
+    rare = F.concat(F.lit("p"), F.col("id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4))
+    pages = spark.range(6000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"),
+                                     F.when(F.col("id") % 3 == 0, F.lit("same" * 64)).otherwise(rare).alias("html")).repartition(24)
+    conf = {"autoBroadcastJoinThreshold": "-1", "adaptive.enabled": "true", "adaptive.autoBroadcastJoinThreshold": "-1",
+            "adaptive.skewJoin.enabled": "true", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+            "adaptive.skewJoin.skewedPartitionFactor": "1.5", "adaptive.advisoryPartitionSizeInBytes": "16k",
+            "adaptive.coalescePartitions.enabled": "false", "shuffle.partitions": "16"}
+    old = {k: spark.conf.get(f"spark.sql.{k}", None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        rows = _referred(pages, 0, "page_id", "url", "html")
+        got = rows.collect()
+        assert "skew=true" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+    assert sorted(r.page_id for r in got) == list(range(6000))
+    assert {r.refers_to for r in got if r.page_id % 3 == 0} == {None, 5997} and all(r.refers_to is None for r in got if r.page_id % 3)
+
+
 def test_packing(spark, sf_dir, rows):
     import zlib
     path = public_tokenizers.path("word_bpe_49k.json")
