@@ -217,10 +217,27 @@ def _rest(members: DataFrame, comp: DataFrame, full: DataFrame, percent: int) ->
     rare = sets.join(held, "h").withColumn("r", F.row_number().over(by_vertex)).join(apart, "vid") \
         .filter(100 * F.col("r") >= percent * F.col("n")).select("h", "vid", "comp", "n", "r")
     rare = pin(rare, "rare")
+    return _across(rare, percent)
+
+
+def _meeting(rare: DataFrame, percent: int) -> DataFrame:
+    """(h, comp_x, comp_y): pairs of components that hold a shingle, unless the bounds exclude all their members."""
+    held = rare.groupBy("h", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("r").alias("top"))
+    one, two = (held.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("comp", "lo", "hi", "top")]) for side in "xy")
+    on = (F.col("comp_x") < F.col("comp_y")) & (100 * F.col("hi_x") >= percent * F.col("lo_y")) \
+        & (100 * F.col("hi_y") >= percent * F.col("lo_x")) \
+        & ((100 + percent) * F.least("top_x", "top_y") >= percent * (F.col("lo_x") + F.col("lo_y")))
+    return one.join(two, "h").filter(on).select("h", "comp_x", "comp_y")
+
+
+def _across(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs of vertices in two components that share one of these shingles; rows of one component never meet each other."""
+    meeting = pin(_meeting(rare, percent), "meeting")
     one, two = (rare.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("vid", "comp", "n", "r")]) for side in "xy")
-    on = (F.col("vid_x") < F.col("vid_y")) & (F.col("comp_x") != F.col("comp_y")) & _near_sizes("n_x", "n_y", percent) \
+    on = _near_sizes("n_x", "n_y", percent) \
         & ((100 + percent) * F.least("r_x", "r_y") >= percent * (F.col("n_x") + F.col("n_y")))
-    return one.join(two, "h").filter(on).select(F.col("vid_x").alias("a"), F.col("vid_y").alias("b")).distinct()
+    return meeting.join(one, ["h", "comp_x"]).join(two, ["h", "comp_y"]).filter(on) \
+        .select(F.least("vid_x", "vid_y").alias("a"), F.greatest("vid_x", "vid_y").alias("b")).distinct()
 
 
 def _exploded(batches):

@@ -268,6 +268,21 @@ def test_near_dedup_by_rarest_shingles_alone(spark, sf_dir, rows, monkeypatch):
     same(got, brute.near([r[:2] for r in rows]), ["doc_id", "n_shingles", "component_id", "kept"])
 
 
+def test_near_dedup_closing_pairs_across_components_only(spark):
+    """An outsider of a component of near copies meets its members; the members' shingles alone form no pairs."""
+    from qplate.llm.near_dedup import _across, _meeting
+    r = random.Random(2)
+    rows = [(h, v, 1, 100 + v % 3, r.randint(80, 100)) for h in range(20) for v in range(300)]  # h, vid, comp, n, r
+    rows += [(0, 1000, 1000, 101, 90), (0, 1001, 1001, 400, 390), (0, 1002, 1001, 101, 60)]
+    rows += [(h, v, v % 7, r.randint(60, 140), r.randint(40, 140)) for h in range(50, 60) for v in range(2000, 2030)]
+    rare = spark.createDataFrame(rows, "h long, vid long, comp long, n long, r long")
+    want = {(min(x[1], y[1]), max(x[1], y[1])) for x in rows for y in rows if x[0] == y[0] and x[2] != y[2]
+            and 100 * min(x[3], y[3]) >= 75 * max(x[3], y[3]) and 175 * min(x[4], y[4]) >= 75 * (x[3] + y[3])}
+    got = [tuple(p) for p in _across(rare, 75).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and any(b == 1000 for _, b in want)
+    assert _meeting(rare, 75).filter("h < 20").count() <= 3
+
+
 def test_transcripts(spark):
     r = random.Random(3)
     say = lambda n: "\n".join(" ".join("w" * r.randint(1, 6) for _ in range(n)) for _ in range(r.randint(1, 3)))
