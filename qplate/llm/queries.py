@@ -72,6 +72,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qplate.llm.merkle import manifest, without_newlines
+    altered, where = without_newlines("text", "doc_id")
+    return manifest(load(spark, sf_dir, "documents"), altered=altered, where=where).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_suffix_dedup, op2_line_dedup, op3_decontaminate, op4_warc, op5_packing, op6_chat_formatting, op7_token_files,
-    op8_quality_rules, op9_secret_scan, op10_near_dedup)}
+    op8_quality_rules, op9_secret_scan, op10_near_dedup, op12_merkle)}
