@@ -175,5 +175,27 @@ FROM leaf l JOIN subroots r ON r.of = l.tree JOIN folded f ON f.tree = l.tree AN
 LEFT JOIN proofs p ON p.tree = l.tree AND p.pos = l.pos, top"""
 
 
+SPELLING = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id,
+                unnest(regexp_extract_all(translate(text, {AZ}), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+counted AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY id, run),
+summed AS (SELECT run, n, {_crc(_bytes("id || ':' || run"))} AS h FROM counted, crc_table),
+slipped AS (SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM summed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT l.word, w.word FROM less l JOIN words w ON w.word = l.rest
+          UNION SELECT w.word, l.word FROM less l JOIN words w ON w.word = l.rest),
+near AS (SELECT a, count(*) AS n_near, min(struct_pack(m := -w.n, b := encode(b))) AS best
+         FROM pairs JOIN words w ON w.word = b GROUP BY a),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+                 CASE WHEN -best.m >= 5 * w.n THEN decode(best.b) END AS form, CASE WHEN -best.m >= 5 * w.n THEN -best.m END AS form_n
+          FROM words w LEFT JOIN near ON a = w.word),
+chain AS (SELECT word, word AS here, 0 AS k FROM forms
+          UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN forms f ON f.word = c.here AND f.form IS NOT NULL)
+SELECT f.word, form, r.root, n, n_near, form_n
+FROM forms f JOIN (SELECT word, arg_max(here, k) AS root FROM chain GROUP BY word) r ON r.word = f.word"""
+
 ORACLES = {"op2_line_dedup": LINE_DEDUP, "op3_decontaminate": DECONTAMINATE, "op8_quality_rules": QUALITY,
-           "op10_near_dedup": NEAR_DEDUP, "op12_merkle": MERKLE}
+           "op10_near_dedup": NEAR_DEDUP, "op11_spelling": SPELLING, "op12_merkle": MERKLE}

@@ -72,6 +72,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qplate.llm.spelling import variants
+    return variants(load(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from qplate.llm.merkle import manifest, without_newlines
     altered, where = without_newlines("text", "doc_id")
@@ -82,4 +87,4 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {f.__name__: f for f in (
     op1_suffix_dedup, op2_line_dedup, op3_decontaminate, op4_warc, op5_packing, op6_chat_formatting, op7_token_files,
-    op8_quality_rules, op9_secret_scan, op10_near_dedup, op12_merkle)}
+    op8_quality_rules, op9_secret_scan, op10_near_dedup, op11_spelling, op12_merkle)}
