@@ -22,7 +22,6 @@ from qplate.llm.common import numbered, pin
 from qplate.llm.lines import host
 
 FAN, HEIGHT = 3, 6  # 729 nodes a block
-SIZE = FAN ** HEIGHT
 PATH = "array<struct<before: string, after: string>>"  # hex digests of the siblings on either side, a level each
 _NODE = "tree string, block long, pos long, size long, digest string, id long, changed string"
 
@@ -81,7 +80,7 @@ class Block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """The rows of each (tree, block) of a partition sorted by them; a block is at most ``SIZE`` rows and one of its upper path."""
+    """The rows of each (tree, block) of a partition sorted by them: the nodes of one block and at most one row of its upper path."""
     rows: list[dict] = []
     for batch in batches:
         for r in batch.to_pylist():
@@ -93,16 +92,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield rows
 
 
-def _built(rows: list[dict]) -> Block:
-    return Block([r["digest"] for r in rows], None if rows[0]["size"] <= SIZE else HEIGHT)
+def _built(rows: list[dict], height: int) -> Block:
+    return Block([r["digest"] for r in rows], None if rows[0]["size"] <= FAN ** height else height)
 
 
-def _roots(batches):
-    for rows in _blocks(batches):
-        b = _built(rows)
-        size = -(-rows[0]["size"] // SIZE)
-        yield pa.RecordBatch.from_pylist([{"tree": rows[0]["tree"], "pos": rows[0]["block"], "size": size, "digest": b.digest(b.root)}],
-                                         schema=pa.schema([("tree", pa.string()), ("pos", pa.int64()), ("size", pa.int64()), ("digest", pa.string())]))
+def _roots(height: int):
+    schema = pa.schema([("tree", pa.string()), ("pos", pa.int64()), ("size", pa.int64()), ("digest", pa.string())])
+
+    def run(batches):
+        for rows in _blocks(batches):
+            b = _built(rows, height)
+            yield pa.RecordBatch.from_pylist([{"tree": rows[0]["tree"], "pos": rows[0]["block"], "size": -(-rows[0]["size"] // FAN ** height),
+                                               "digest": b.digest(b.root)}], schema=schema)
+    return run
 
 
 _PATH_TYPE = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
@@ -110,32 +112,34 @@ _CLIMBED = pa.schema([("tree", pa.string()), ("pos", pa.int64()), ("digest", pa.
                       ("inside", _PATH_TYPE), ("top", pa.string()), ("upper", _PATH_TYPE), ("subroot", pa.string()), ("root", pa.string())])
 
 
-def _climbed(batches):
-    for rows in _blocks(batches):
-        above, rows = rows[0], rows[1:]
-        b, out = _built(rows), []
-        for i, r in enumerate(rows):
-            version = b.root if r["changed"] is None else b.replaced(i, r["changed"])
-            out.append({**{k: r[k] for k in ("tree", "pos", "digest", "id", "changed")}, "inside": b.siblings(i), "top": b.digest(version),
-                        "upper": above["path"], "subroot": above["subroot"], "root": above["root"]})
-        yield pa.RecordBatch.from_pylist(out, schema=_CLIMBED)
+def _climbed(height: int):
+    def run(batches):
+        for rows in _blocks(batches):
+            above, rows = rows[0], rows[1:]
+            b, out = _built(rows, height), []
+            for i, r in enumerate(rows):
+                version = b.root if r["changed"] is None else b.replaced(i, r["changed"])
+                out.append({**{k: r[k] for k in ("tree", "pos", "digest", "id", "changed")}, "inside": b.siblings(i), "top": b.digest(version),
+                            "upper": above["path"], "subroot": above["subroot"], "root": above["root"]})
+            yield pa.RecordBatch.from_pylist(out, schema=_CLIMBED)
+    return run
 
 
-def _with_blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("pos") / SIZE))
+def _with_blocks(nodes: DataFrame, height: int) -> DataFrame:
+    return nodes.withColumn("block", F.floor(F.col("pos") / FAN ** height))
 
 
-def _upper_nodes(nodes: DataFrame) -> DataFrame:
+def _upper_nodes(nodes: DataFrame, height: int) -> DataFrame:
     """Roots of the blocks: the nodes of the next round."""
-    cut = _with_blocks(nodes).select("tree", "block", "pos", "size", "digest").repartition("tree", "block") \
+    cut = _with_blocks(nodes, height).select("tree", "block", "pos", "size", "digest").repartition("tree", "block") \
         .sortWithinPartitions("tree", "block", "pos")
-    return pin(cut.mapInArrow(_roots, "tree string, pos long, size long, digest string"), "merkle-roots")
+    return pin(cut.mapInArrow(_roots(height), "tree string, pos long, size long, digest string"), "merkle-roots")
 
 
-def _climb(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def _climb(nodes: DataFrame, above: DataFrame, height: int) -> DataFrame:
     """Each node with its siblings inside its block, the digest of its version there, and what lies above the block."""
     none = lambda *cols: [F.lit(None).cast(t).alias(c) for c, t in cols]
-    below = _with_blocks(nodes)
+    below = _with_blocks(nodes, height)
     for c, t in (("id", "long"), ("changed", "string")):
         if c not in below.columns:
             below = below.withColumn(c, F.lit(None).cast(t))
@@ -145,16 +149,16 @@ def _climb(nodes: DataFrame, above: DataFrame) -> DataFrame:
                          *none(("pos", "long"), ("size", "long"), ("digest", "string"), ("id", "long"), ("changed", "string")),
                          "path", "subroot", "root")
     both = below.unionByName(above).repartition("tree", "block").sortWithinPartitions("tree", "block", "role", "pos")
-    return both.mapInArrow(_climbed, f"tree string, pos long, digest string, id long, changed string, inside {PATH}, top string, "
+    return both.mapInArrow(_climbed(height), f"tree string, pos long, digest string, id long, changed string, inside {PATH}, top string, "
                                      f"upper {PATH}, subroot string, root string")
 
 
-def paths(nodes: DataFrame) -> DataFrame:
+def paths(nodes: DataFrame, height: int = HEIGHT) -> DataFrame:
     """(tree, pos, path, root): the siblings of each node up to its tree's root.  ``nodes``: pinned (tree, pos, size, digest)."""
     if (nodes.agg(F.max("size")).first()[0] or 0) <= 1:
         return nodes.select("tree", "pos", F.array().cast(PATH).alias("path"), F.col("digest").alias("root"))
-    above = paths(_upper_nodes(nodes)).withColumn("subroot", F.lit(None).cast("string"))
-    return pin(_climb(nodes, above).select("tree", "pos", F.concat("inside", "upper").alias("path"), "root"), "merkle-paths")
+    above = paths(_upper_nodes(nodes, height), height).withColumn("subroot", F.lit(None).cast("string"))
+    return pin(_climb(nodes, above, height).select("tree", "pos", F.concat("inside", "upper").alias("path"), "root"), "merkle-paths")
 
 
 def _folded(start: Column, path: Column) -> Column:
@@ -182,11 +186,11 @@ def leaves(docs: DataFrame, fields: list[str], id_col: str, group_col: str, alte
 
 
 def manifest(docs: DataFrame, fields=("doc_id", "source", "lang", "n_chars", "text"), id_col: str = "doc_id",
-             group_col: str = "source", altered: dict[str, Column] | None = None, where: Column | None = None) -> DataFrame:
+             group_col: str = "source", altered: dict[str, Column] | None = None, where: Column | None = None, height: int = HEIGHT) -> DataFrame:
     """(id, leaf, subroot, root, proof, folded_root): a row per document.
 
     ``proof`` is the hex digests of the siblings from leaf to root; ``folded_root`` the root of the version with the row's altered
-    leaf (see :func:`leaves`), or of its own leaf where it is not altered.
+    leaf (see :func:`leaves`), or of its own leaf where it is not altered.  ``height`` is the levels of a block; it changes no result.
 
     A NULL group is a group of its own, before all others; NULL ids come first in a group and NULL fields hash as ``-``.
     Rows of one id ascend by digest; repeated rows are leaves of their own and interchangeable.  Texts are hashed whole where
@@ -194,17 +198,17 @@ def manifest(docs: DataFrame, fields=("doc_id", "source", "lang", "n_chars", "te
     """
     where = F.lit(False) if where is None else F.coalesce(where, F.lit(False))
     rows = pin(leaves(docs, list(fields), id_col, group_col, altered or {}, where), "merkle-placed")
-    blocks = _upper_nodes(rows)
-    in_group = paths(blocks)
+    blocks = _upper_nodes(rows, height)
+    in_group = paths(blocks, height)
     subroots = in_group.filter("pos = 0").select("tree", F.col("root").alias("digest"))
     tops = numbered(subroots, [(F.col("tree") != "null").asc(), F.col("tree").asc()], "merkle-subroots")
     n_groups = tops.count()
     tops = pin(tops.select(F.lit("").alias("tree"), F.col("_row").alias("pos"), F.lit(n_groups).cast("long").alias("size"), "digest",
                            F.col("tree").alias("group")), "merkle-tops")
-    over = pin(tops.join(paths(tops.drop("group")).select("pos", F.col("path").alias("over"), "root"), "pos")
+    over = pin(tops.join(paths(tops.drop("group"), height).select("pos", F.col("path").alias("over"), "root"), "pos")
                .select(F.col("group").alias("tree"), F.col("digest").alias("subroot"), "over", "root"), "merkle-over")
     above = in_group.drop("root").join(over, "tree").select("tree", "pos", F.concat("path", "over").alias("path"), "subroot", "root")
-    out = _climb(rows, above)
+    out = _climb(rows, above, height)
     return out.select("id", F.col("digest").alias("leaf"), "subroot", "root", F.concat(_flat(F.col("inside")), _flat(F.col("upper"))).alias("proof"),
                       _folded(F.col("top"), F.col("upper")).alias("folded_root"))
 

@@ -85,6 +85,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from qplate.llm.language_id import identify, train
+    docs = load(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_suffix_dedup, op2_line_dedup, op3_decontaminate, op4_warc, op5_packing, op6_chat_formatting, op7_token_files,
-    op8_quality_rules, op9_secret_scan, op10_near_dedup, op11_spelling, op12_merkle)}
+    op8_quality_rules, op9_secret_scan, op10_near_dedup, op11_spelling, op12_merkle, op13_language_id)}
