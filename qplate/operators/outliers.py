@@ -8,20 +8,20 @@ needs >= 1 other row and ``sd_others`` >= 2 other rows.  ``qc_flag``:
 * own value missing (sd present)          -> NULL
 * |x - mean_others| > k * sd_others       -> 'BAD', else 'GOOD'
 
-Scale design: rows are hash-salted into ``s = ceil(sqrt(n / chunk_rows))``
-chunks per group.  Inside a chunk, prefix and suffix windows (two growing
-frames, never a shrinking one) give the statistics of the rows before and
-after i; the chunk summaries of the group (at most ``s`` small structs) give
-the rest.  The three disjoint summaries are combined with Chan's pairwise
-merge, so no subtraction of large sums happens and a group never sits whole
-in one task.
+Scale design: rows are hash-salted into ``ceil(n / chunk_rows)`` chunks per
+group.  Inside a chunk, prefix and suffix windows (two growing frames, never a
+shrinking one) give the statistics of the rows before and after i.  The other
+chunks come as one summary per (group, chunk), made by prefix and suffix scans
+over the chunk table (see ``complements``), so a row costs the same in a group of
+any size.  Disjoint summaries are combined with Chan's pairwise merge: no
+subtraction of large sums happens, and a group never sits whole in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qplate.functions.numeric import chan_merge
@@ -40,7 +40,7 @@ def leave_one_out(df: DataFrame, keys: Sequence[str], value: str, row_order: Seq
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     d = join_keys(df, sizes, keys)
-    salts = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("_rows") / F.lit(float(chunk_rows))))).cast("long")
+    salts = F.greatest(F.lit(1), F.ceil(F.col("_rows") / F.lit(float(chunk_rows)))).cast("long")
     d = d.withColumn("_chunk", F.pmod(F.xxhash64(*[F.col(c) for c in row_order]), salts))
     x = F.col(value)
     part = [*keys, "_chunk"]
@@ -53,29 +53,61 @@ def leave_one_out(df: DataFrame, keys: Sequence[str], value: str, row_order: Seq
                                                                       F.var_samp(x).over(w_pre)))],
                  *[e.alias(f"_s{i}") for i, e in enumerate(_summary(F.count(x).over(w_suf), F.avg(x).over(w_suf),
                                                                       F.var_samp(x).over(w_suf)))])
-    chunks = d.groupBy(*keys, "_chunk").agg(F.count(x).alias("_cn"), F.avg(x).alias("_cm"), F.var_samp(x).alias("_cv"))
+    chunks = d.groupBy(*part).agg(F.count(x).alias("_cn"), F.avg(x).alias("_cm"), F.var_samp(x).alias("_cv"))
     cn, cm, cq = _summary(F.col("_cn"), F.col("_cm"), F.col("_cv"))
-    chunks = chunks.select(*keys, F.struct(F.col("_chunk").alias("c"), cn.alias("n"), cm.alias("mean"),
-                                           cq.alias("m2")).alias("_cs"))
-    per_group = chunks.groupBy(*keys).agg(F.collect_list("_cs").alias("_chunks"))
-    d = join_keys(d, per_group, keys)
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("mean"),
-                    F.lit(None).cast("double").alias("m2"))
-
-    def merge(acc, e):
-        n, mean, m2 = chan_merge((acc["n"], acc["mean"], acc["m2"]), (e["n"], e["mean"], e["m2"]))
-        return F.struct(n.cast("long").alias("n"), mean.alias("mean"), m2.alias("m2"))
-
-    rest = F.aggregate(F.filter(F.col("_chunks"), lambda e: e["c"] != F.col("_chunk")), zero, merge)
+    chunks = chunks.select(*part, cn.alias("n"), cm.alias("mean"), cq.alias("m2"))
+    d = join_keys(d, complements(chunks, keys, "_chunk").select(*part, *[F.col(c).alias(f"_r{i}") for i, c in enumerate(_OTHERS)]), part)
     # merges are staged as columns so each expression tree stays small
     n1, m1, q1 = chan_merge((F.col("_p0"), F.col("_p1"), F.col("_p2")), (F.col("_s0"), F.col("_s1"), F.col("_s2")))
-    d = d.select(*[c for c in d.columns if c not in ("_chunks",)], rest.alias("_rest"),
-                 n1.alias("_n1"), m1.alias("_m1"), q1.alias("_q1"))
-    n2, m2_, q2 = chan_merge((F.col("_n1"), F.col("_m1"), F.col("_q1")),
-                             (F.col("_rest.n"), F.col("_rest.mean"), F.col("_rest.m2")))
-    keep = [c for c in d.columns if c not in ("_chunk", "_rest", "_n1", "_m1", "_q1")
-            and c not in [f"_p{i}" for i in range(3)] + [f"_s{i}" for i in range(3)]]
-    return d.select(*keep, n2.alias("_o_n"), m2_.alias("_o_mean"), q2.alias("_o_m2"))
+    d = d.select("*", n1.alias("_n1"), m1.alias("_m1"), q1.alias("_q1"))
+    n2, m2_, q2 = chan_merge((F.col("_n1"), F.col("_m1"), F.col("_q1")), (F.col("_r0"), F.col("_r1"), F.col("_r2")))
+    staged = {"_chunk", "_n1", "_m1", "_q1", *[f"_{k}{i}" for k in "psr" for i in range(3)]}
+    return d.select(*[c for c in d.columns if c not in staged], n2.alias("_o_n"), m2_.alias("_o_mean"), q2.alias("_o_m2"))
+
+
+_OTHERS = ("o_n", "o_mean", "o_m2")
+BLOCK_CHUNKS = 4096  # chunk summaries a window of the first level
+
+
+def _scanned(table: DataFrame, part: Sequence[str], order: Column, side: str) -> DataFrame:
+    """Adds the summary (``<side>_n``, ``_mean``, ``_m2``) of the rows of ``part`` that come before each one in ``order``.
+
+    This is the running form of Chan's merge: taking in a summary adds its own m2 and n * N / (n + N) * (mean - M)^2, where N and M
+    are those of the rows before it.  All terms are positive, so they are summed by a window without cancellation.
+    """
+    before = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    n, mean = F.col("n").cast("double"), F.coalesce(F.col("mean"), F.lit(0.0))
+    d = table.withColumn(f"{side}_n", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")) \
+        .withColumn(f"{side}_mean", F.try_divide(F.sum(n * mean).over(before), F.sum(n).over(before)))
+    ahead = F.col(f"{side}_n").cast("double")
+    step = F.coalesce(F.col("m2"), F.lit(0.0)) + F.when((ahead > 0) & (n > 0), n * ahead / (n + ahead) * (mean - F.col(f"{side}_mean")) ** 2) \
+        .otherwise(F.lit(0.0))
+    d = d.withColumn("_step", step)
+    return d.withColumn(f"{side}_m2", F.when(F.col(f"{side}_n") > 0, F.sum("_step").over(before))).drop("_step")
+
+
+def _without_own(table: DataFrame, part: Sequence[str], unit: str) -> DataFrame:
+    """Adds the summary of all other rows of ``part`` as (o_n, o_mean, o_m2): those before merged with those behind."""
+    d = _scanned(_scanned(table, part, F.col(unit).asc(), "_b"), part, F.col(unit).desc(), "_a")
+    merged = chan_merge(*[(F.col(f"{s}_n"), F.col(f"{s}_mean"), F.col(f"{s}_m2")) for s in ("_b", "_a")])
+    return d.select(*table.columns, *[m.alias(c) for m, c in zip(merged, _OTHERS)])
+
+
+def complements(chunks: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
+    """For each (keys, unit) of a table of summaries (n, mean, m2): the summary (o_n, o_mean, o_m2) of all its group's other units.
+
+    Two levels: units are scanned inside blocks of ``BLOCK_CHUNKS``, the blocks of a group inside the group.
+    """
+    keys = list(keys)
+    d = _without_own(chunks.withColumn("_block", F.floor(F.col(unit) / BLOCK_CHUNKS)), [*keys, "_block"], unit)
+    # a block is any of its units merged with the others of the block
+    whole = chan_merge((F.col("n"), F.col("mean"), F.col("m2")), (F.col("o_n"), F.col("o_mean"), F.col("o_m2")))
+    first = F.min(F.struct(F.col(unit), *[e.alias(c) for e, c in zip(whole, ("n", "mean", "m2"))])).alias("s")
+    blocks = d.groupBy(*keys, "_block").agg(first).select(*keys, "_block", "s.n", "s.mean", "s.m2")
+    outside = _without_own(blocks, keys, "_block").select(*keys, "_block", *[F.col(c).alias(f"_x{i}") for i, c in enumerate(_OTHERS)])
+    d = join_keys(d, outside, [*keys, "_block"])
+    merged = chan_merge((F.col("o_n"), F.col("o_mean"), F.col("o_m2")), (F.col("_x0"), F.col("_x1"), F.col("_x2")))
+    return d.select(*keys, unit, *[m.alias(c) for m, c in zip(merged, _OTHERS)])
 
 
 def loo_outliers(df: DataFrame, keys: Sequence[str] = ("sample_name", "Gene"),

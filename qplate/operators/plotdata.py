@@ -13,6 +13,9 @@ becomes a grouping key (``zscoring_group``).
 * ``magnitude_breaks`` - axis-break candidates where consecutive sorted values
   jump by >= ``jump`` decades (computed on a per-decade summary, not on rows)
 * ``heatmap_matrix`` - long -> wide pivot with an explicit column list
+* ``column_dictionary`` / ``wide_rows`` - long -> wide over columns that the data name: a dense position for each column
+  of a group, and rows as arrays aligned to it
+* ``category_levels`` / ``with_category`` - ordered categories with an explicit level list
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qplate.operators._util import join_keys
+from qplate.operators._util import join_keys, materialize, number_rows
 
 PLOT_GROUP = "zscoring_group"
 
 
 def plot_points(report: DataFrame, group: str = PLOT_GROUP) -> DataFrame:
-    """Plot rows: non-HK wells with a normalized value (one per technical group), with bar order."""
+    """Plot rows: non-HK wells with a normalized value (one per technical group), with bar order by first appearance
+    (for an order by an explicit level list see :func:`with_category`)."""
     d = report.filter((F.col("type_of_gene") != "HK") & F.col("normalized_expression").isNotNull())
     d = d.select(group, "replicate_name", "sample_name", "testing_group", "Gene", "normalized_expression",
                  "normalized_expression_mean", "normalized_expression_sd", "qc_flag")
@@ -177,3 +181,76 @@ def heatmap_matrix(long: DataFrame, index: Sequence[str], columns: str, value: s
 def duplicate_cells(long: DataFrame, index: Sequence[str], columns: str) -> DataFrame:
     """Cells with more than one value (they would become list cells in a wide table)."""
     return long.groupBy(*index, columns).count().filter(F.col("count") > 1)
+
+
+BLOCK_COLUMNS = 4096  # cells of a wide row that stand in one array
+
+
+def column_dictionary(long: DataFrame, groups: Sequence[str], columns: str) -> DataFrame:
+    """(groups, ``columns``, position): the distinct columns of each group, densely numbered from 0 in their order (a NULL column last).
+
+    The numbering is one range-partitioned pass over the distinct columns of all groups; no list of them is collected.
+    """
+    groups = list(groups)
+    distinct = long.select(*groups, columns).distinct()
+    rows = number_rows(distinct, [*[F.col(g).asc_nulls_first() for g in groups], F.col(columns).asc_nulls_last()])
+    starts = materialize(rows.groupBy(*groups).agg(F.min("_row").alias("_start")), "table")
+    return materialize(join_keys(rows, starts, groups).select(*groups, columns, (F.col("_row") - F.col("_start")).alias("position")), "table")
+
+
+def wide_rows(long: DataFrame, index: Sequence[str], columns: str, value: str, groups: Sequence[str] = (PLOT_GROUP,),
+              dictionary: DataFrame | None = None, block: int = BLOCK_COLUMNS) -> DataFrame:
+    """(groups, index, block, first, cells): the wide table over all columns that a group's rows name.
+
+    ``cells`` are the values at the positions of the group's :func:`column_dictionary` from ``first`` on, NULL where the row has no
+    such cell.  A row is cut into arrays of ``block`` cells (``block`` numbers them), so that no row outgrows a task; a
+    group of up to ``block`` columns has one array a row, and blocks without any cell are left out.  A cell with more than one row fails the query
+    (:func:`duplicate_cells` lists such cells).
+    """
+    groups, index = list(groups), list(index)
+    known = dictionary if dictionary is not None else column_dictionary(long, groups, columns)
+    placed = join_keys(long.select(*groups, *index, columns, F.col(value).alias("_x")), known, [*groups, columns])
+    cells = placed.groupBy(*groups, *index, "position").agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("x"))
+    told = F.concat_ws(" ", F.lit("more than one value in cell"), *[F.col(c).cast("string") for c in (*groups, *index)], F.col("position").cast("string"))
+    x = F.when(F.col("_n") > 1, F.raise_error(told).cast(dict(cells.dtypes)["x"])).otherwise(F.col("x"))
+    cells = cells.select(*groups, *index, F.floor(F.col("position") / block).alias("block"), (F.col("position") % block).cast("int").alias("p"), x.alias("x"))
+    widths = known.groupBy(*groups).agg(F.count(F.lit(1)).alias("_width"))
+    rows = join_keys(cells.groupBy(*groups, *index, "block").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("c")), widths, groups)
+    c, size = F.col("c"), F.least(F.lit(block), F.col("_width") - F.col("block") * block).cast("int")
+    hole = F.lit(None).cast(dict(cells.dtypes)["x"])
+
+    def cell(e: Column, i: Column) -> Column:  # with the holes before it
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.get(c, i - 1)["p"])
+        return F.concat(F.array_repeat(hole, e["p"] - before - 1), F.array(e["x"]))
+
+    aligned = F.concat(F.flatten(F.transform(c, cell)), F.array_repeat(hole, size - 1 - F.element_at(c, -1)["p"]))
+    return rows.select(*groups, *index, "block", (F.col("block") * block).alias("first"), aligned.alias("cells"))
+
+
+def category_levels(levels: DataFrame | Sequence[str], spark=None, level: str = "level", rank: str | None = "rank") -> DataFrame:
+    """(level, level_rank): an explicit level list as a table, ranked from 1 in list order or by the column ``rank`` of a table.
+
+    Repeated levels fail, as an order with two places for a value is none; a NULL level is not one and is left out.
+    """
+    if isinstance(levels, DataFrame):
+        rows = levels.select(F.col(level).alias("level"), F.col(rank).cast("long").alias("_r")).filter("level is not null")
+        rows = rows.groupBy("level").agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_r"))
+        twice = F.raise_error(F.concat(F.lit("repeated level "), F.col("level"))).cast("long")
+        rows = number_rows(rows.withColumn("_r", F.when(F.col("_n") > 1, twice).otherwise(F.col("_r"))), [F.col("_r"), F.col("level")])
+        return rows.select("level", (F.col("_row") + 1).alias("level_rank"))
+    given = [v for v in levels if v is not None]
+    if len(set(given)) < len(given):
+        raise ValueError(f"repeated level {next(v for i, v in enumerate(given) if v in given[:i])!r}")
+    listed = F.posexplode(F.array(*[F.lit(v) for v in given]) if given else F.array().cast("array<string>"))
+    return spark.range(1).select(listed).select(F.col("col").alias("level"), (F.col("pos") + 1).cast("long").alias("level_rank"))
+
+
+def with_category(df: DataFrame, column: str, levels: DataFrame, out: str | None = None) -> DataFrame:
+    """Adds the ordered category of ``column``: ``<out>`` (the value, NULL where it is no level) and ``<out>_rank`` to sort by.
+
+    Values that are no level stay as rows with a missing category.  ``levels`` comes from :func:`category_levels`.
+    """
+    out = out or f"{column}_level"
+    table = levels.select(F.col("level").alias(column), F.col("level_rank").alias(f"{out}_rank"), F.col("level").alias("_level"))
+    joined = df.join(table, column, "left")
+    return joined.select(*df.columns, F.col("_level").alias(out), f"{out}_rank")

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qplate.operators._util import join_keys, materialize
@@ -190,20 +190,13 @@ def technical_qc(wells: DataFrame, tol: float = 0.5, slack: int = 2,
     return join_keys(wells, q.select(*keys, cp, *cols), [*keys, cp], "left")
 
 
-def comparison_strings(wells: DataFrame, tol: float = 0.5, keys: Sequence[str] = GROUP,
-                       cp: str = "Cp", order: str = "well_ord") -> DataFrame:
-    """The verbatim audit column ``comparison_results`` ("good,bad,...").
+def screened_technical_qc(wells: DataFrame, threshold: float = 35.0, tol: float = 0.5, slack: int = 2, keys: Sequence[str] = GROUP,
+                          cp: str = "Cp", chunk_width: float | None = None, drop_failed: bool = True, pin: str = "table") -> DataFrame:
+    """The wells of good replicates, blanks filled, with ``keep_this_value`` and its counters, from wells as read.
 
-    Each well lists its comparison with every other well of the group in
-    arrival order, skipping the first well whose Cp equals its own.  The
-    column itself is quadratic in the group size, so it is opt-in and not
-    part of the scale path (keep flags come from ``technical_qc``).
+    One scan makes the distinct values with the evidence against their replicates; the screen, the band counts and the keep
+    rule work on that table, which is written once, and the second scan joins the wells with it.
     """
-    w = Window.partitionBy(*keys)
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cp).alias("x"))).over(w))
-    me = F.col(cp)
-    with_list = wells.withColumn("_grp", ordered)
-    first_eq = F.array_position(F.transform(F.col("_grp"), lambda s: s["x"] == me), F.lit(True))
-    others = F.filter(F.col("_grp"), lambda s, i: (i + 1) != first_eq)
-    labels = F.transform(others, lambda s: F.when(F.abs(s["x"] - me) <= F.lit(tol), "good").otherwise("bad"))
-    return with_list.withColumn("comparison_results", F.array_join(labels, ",")).drop("_grp")
+    values = qc_from_values(screened_values(wells, threshold, keys, cp), tol, slack, keys, cp, chunk_width, pin, drop_failed)
+    kept = values.select(*keys, cp, "good_replicate", "valid_counter", "n_of_samples", "group_type", "keep_this_value")
+    return join_keys(fill_undetected(wells, threshold, cp), kept, [*keys, cp])

@@ -13,10 +13,10 @@ Welch: per-group (n, mean, var) via partial aggregation, then
 p = I_{df/(df+t^2)}(df/2, 1/2) (regularized incomplete beta on the JVM).
 
 Rank-sum (Wilcoxon / Mann-Whitney): W = sum of first-group average ranks
-minus n1(n1+1)/2.  Ranks come from the distinct-value table of each test
-with prefix counts over value chunks (skew-safe, see ``_value_ranks``).  Exact
-p when both groups < 50 and no ties (null distribution built once per
-distinct (n1, n2) by a grouped pandas map), else the normal approximation
+minus n1(n1+1)/2.  Ranks come from one range-partitioned numbering of the
+distinct values of all tests (skew-safe, see ``_ranked_groups``).  Exact p when
+both groups < 50 and no ties (null distribution built once per distinct
+(n1, n2), as one array in DataFrame functions), else the normal approximation
 with tie and continuity correction.
 """
 
@@ -24,13 +24,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qplate.functions.numeric import normal_two_sided_p, student_t_two_sided_p
-from qplate.operators._util import join_keys
+from qplate.operators._util import materialize, number_rows
 
 TEST_KEYS = ("zscoring_group", "Gene")
 DOUBLE_EPS = 2.220446049250313e-16
@@ -72,49 +70,61 @@ def welch_test(df: DataFrame, keys: Sequence[str] = TEST_KEYS, value: str = "nor
     return out.select(*keys, F.when(F.col("test_status") == "ok", p).alias("pvalue"), "test_status")
 
 
-def _chunk_key(x: F.Column) -> F.Column:
-    """Monotone coarse key of a double: (sign tier, quarter-octave).  x < y implies key(x) <= key(y)."""
-    q = F.floor(F.log2(F.abs(x)) * 4).cast("long")
-    tier = F.when(x < 0, -1).when(x == 0, 0).otherwise(1)
-    sub = F.when(x < 0, -q).when(x == 0, F.lit(0)).otherwise(q)
-    return F.struct(tier.alias("t"), sub.alias("s"))
+def _ranked_groups(df: DataFrame, keys: Sequence[str], value: str, group: str) -> DataFrame:
+    """One row per test: ``_total_rows``, ``_n_groups``, ``_lv`` (its non-missing groups in order, each with n and the sum of its average
+    ranks), ``_ties`` (sum of t^3 - t over its values) and ``_tmax`` (the most frequent value's count).
 
-
-def _value_ranks(df: DataFrame, keys: Sequence[str], value: str, first_group: F.Column) -> DataFrame:
-    """Distinct values per test with: t (ties), t1 (ties in first group), less (values below).
-
-    ``less`` = prefix total of earlier value chunks (a window over the small
-    chunk table) + prefix inside the chunk (a window over (test, chunk)), so a
-    hot test is spread over its value chunks.
+    The rows are counted by (test, value, group) first.  One dense numbering of these counts by (test, value) gives every value
+    the number of values below it: its bounds are sampled from the data, so a test with most of the rows, or
+    with all values in a narrow range, is cut wherever its own quantiles lie.  Nothing is joined.
     """
-    d = (df.filter(F.col(value).isNotNull())
-         .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("t"),
-                                    F.sum(F.when(first_group, 1).otherwise(0)).alias("t1"))
-         .withColumn("_ck", _chunk_key(F.col(value))))
-    tot = d.groupBy(*keys, "_ck").agg(F.sum("t").alias("_ct"))
-    w_c = Window.partitionBy(*keys).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("_off", F.coalesce(F.sum("_ct").over(w_c), F.lit(0))).drop("_ct")
-    w_in = Window.partitionBy(*keys, "_ck").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_in", F.coalesce(F.sum("t").over(w_in), F.lit(0)))
-    d = join_keys(d, tot, [*keys, "_ck"])
-    return d.withColumn("less", F.col("_off") + F.col("_in")).drop("_off", "_in", "_ck")
-
-
-def _exact_cdf(pdf: pd.DataFrame) -> pd.DataFrame:
-    """P(W <= w) for all w of the Mann-Whitney null distribution of one (n1, n2)."""
-    n1, n2 = int(pdf["n1"].iloc[0]), int(pdf["n2"].iloc[0])
-    # counts[k][w]: ways to pick k of the first j items with rank-sum offset w (standard recurrence)
-    maxw = n1 * n2
-    counts = np.zeros((n1 + 1, maxw + 1), dtype=np.float64)
-    counts[0, 0] = 1.0
-    for j in range(1, n1 + n2 + 1):
-        for k in range(min(j, n1), 0, -1):
-            shift = j - k  # number of second-group items below this one
-            if shift <= n2:
-                counts[k, shift:] += counts[k - 1, : maxw + 1 - shift]
-    dist = counts[n1]
-    cdf = np.cumsum(dist) / dist.sum()
-    return pd.DataFrame({"n1": n1, "n2": n2, "w": np.arange(maxw + 1, dtype=np.int64), "cdf": cdf})
+    keys = list(keys)
+    seen = F.col(value).isNotNull() & F.col(group).isNotNull()
+    counted = df.groupBy(*keys, F.when(seen, F.col(value)).alias("_v"), F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_c"))
+    counted = materialize(counted.withColumn("_t", F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(0)), "table")
+    order = [*[F.col(k).asc_nulls_first() for k in keys], F.col("_v").asc_nulls_first(), F.col("_g").asc_nulls_first()]
+    placed = number_rows(counted, order, F.col("_t"))
+    # a value's rows are as many as the test has groups
+    same = Window.partitionBy(*keys, "_v")
+    d = placed.select(*keys, "_v", "_g", "_c", "_t", F.sum("_t").over(same).alias("_ties"), F.min("_before").over(same).alias("_less"),
+                      (F.row_number().over(same.orderBy(F.col("_g").asc_nulls_first())) == 1).alias("_one"))
+    # twice the average rank is whole; _less counts from the start of the whole order, the test's own start is its least
+    rank = (2 * F.col("_less") + F.col("_ties") + 1).cast("decimal(19,0)")
+    valued = F.col("_v").isNotNull()
+    cubes = F.when(valued & F.col("_one"), F.col("_ties") * F.col("_ties") * F.col("_ties") - F.col("_ties")).otherwise(0)
+    per = d.groupBy(*keys, "_g").agg(
+        F.sum("_c").alias("_rows"), F.sum("_t").alias("n"), F.min(F.when(valued, F.col("_less"))).alias("_low"),
+        F.sum(F.when(valued, F.col("_t").cast("decimal(18,0)") * rank)).alias("ranks"), F.sum(cubes).alias("_cubes"), F.max(F.when(valued, F.col("_ties"))).alias("_most"))
+    level = F.when(F.col("n") > 0, F.struct(F.col("_g").alias("g"), "n", "ranks"))
+    # a test's groups are few: two of them make a test, more of them none
+    g = per.groupBy(*keys).agg(F.sum("_rows").alias("_total_rows"), F.count(F.lit(1)).alias("_n_groups"), F.min("_low").alias("_start"),
+                               F.sum("_cubes").alias("_ties"), F.max("_most").alias("_tmax"), F.sort_array(F.collect_list(level)).alias("_lv"))
+    start = (2 * F.col("_start")).cast("decimal(19,0)")
+    own = F.transform("_lv", lambda e: F.struct(e["g"].alias("g"), e["n"].alias("n"), (
+        (e["ranks"] - e["n"].cast("decimal(18,0)") * start).cast("double") / 2).alias("ranks")))
+    return g.withColumn("_lv", own).drop("_start")
+
+
+def null_distribution(n1: Column, n2: Column) -> Column:
+    """P(W <= w) for w from 0 to n1 * n2 of the Mann-Whitney null distribution, as one array.
+
+    The items are taken in rank order; entry k of the state holds, for k of them in the first group, the number of ways to
+    each rank sum (beyond its least).  Item j adds the ways with it in the first group, where j - k of the second lie below it.
+    """
+    def item(state: Column, j: Column) -> Column:
+        def ways(k: Column) -> Column:
+            below = j - k
+            without = F.get(state, k)
+            with_it = F.concat(F.array_repeat(F.lit(0.0), below), F.get(state, k - 1))
+            both = F.zip_with(without, with_it, lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
+            return F.when((k < 1) | (below < 0) | (below > n2), without).otherwise(both)
+        return F.transform(F.sequence(F.lit(0), n1), ways)
+
+    start = F.transform(F.sequence(F.lit(0), n1), lambda k: F.when(k == 0, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")))
+    ways = F.element_at(F.aggregate(F.sequence(F.lit(1), n1 + n2), start, item), -1)
+    # running sums, the last of which is the number of all ways
+    sums = F.aggregate(ways, F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)))))
+    return F.transform(F.array(sums), lambda s: F.transform(s, lambda x: x / F.element_at(s, -1)))[0]
 
 
 def ranksum_test(df: DataFrame, keys: Sequence[str] = TEST_KEYS, value: str = "normalized_expression",
@@ -126,41 +136,29 @@ def ranksum_test(df: DataFrame, keys: Sequence[str] = TEST_KEYS, value: str = "n
     and no value is tied, else ``normal``; ``exact=True`` / ``False`` overrides the limit (ties always use ``normal``).
     """
     keys = list(keys)
-    g = _levels(df, keys, value, group)
+    g = _ranked_groups(df, keys, value, group)
     a, b = F.get("_lv", F.lit(0)), F.get("_lv", F.lit(1))  # NULL where a test has fewer groups
-    g = g.withColumn("_g1", a["g"]).withColumn("_n1", a["n"]).withColumn("_n2", b["n"])
-    lab = join_keys(df.filter(F.col(group).isNotNull()), g.select(*keys, "_g1"), keys)
-    ranks = _value_ranks(lab, keys, value, F.col(group) == F.col("_g1"))
-    sums = ranks.groupBy(*keys).agg(
-        F.sum(F.col("t1") * (F.col("less") + (F.col("t") + 1) / 2.0)).alias("_r1"),
-        F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("_ties"),
-        F.max("t").alias("_tmax"))
-    g = join_keys(g, sums, keys, "left")
+    g = g.withColumn("_n1", a["n"]).withColumn("_n2", b["n"]).withColumn("_r1", a["ranks"])
     n1, n2 = F.col("_n1").cast("double"), F.col("_n2").cast("double")
     w = F.col("_r1") - n1 * (n1 + 1) / 2
-    g = g.withColumn("statistic", w)
     use_exact = (F.col("_n1") < exact_limit) & (F.col("_n2") < exact_limit) & (F.col("_tmax") <= 1)
     if exact is not None:
         use_exact = F.lit(bool(exact)) & (F.col("_tmax") <= 1)
-    g = g.withColumn("method", F.when(use_exact, "exact").otherwise("normal"))
+    g = g.withColumn("statistic", w).withColumn("method", F.when(use_exact & (F.size("_lv") == 2), "exact").otherwise("normal"))
+    g = materialize(g, "table")  # a row per test; the pairs and the p-values both read it
     # normal approximation with continuity and tie correction
     nn = n1 + n2
     sigma = F.sqrt((n1 * n2 / 12.0) * ((nn + 1) - F.col("_ties") / (nn * (nn - 1))))
-    zc = w - n1 * n2 / 2.0
+    zc = F.col("statistic") - n1 * n2 / 2.0
     z = (zc - F.signum(zc) * 0.5) / sigma
     p_norm = F.least(F.lit(1.0), normal_two_sided_p(z))
-    # exact: one distribution per distinct (n1, n2), joined on the needed points
-    pairs = g.filter(F.col("method") == "exact").select(F.col("_n1").alias("n1"), F.col("_n2").alias("n2")).distinct()
-    cdf = pairs.groupBy("n1", "n2").applyInPandas(_exact_cdf, "n1 long, n2 long, w long, cdf double")
-    wq = F.col("statistic").cast("long")
-    g = (g.withColumn("_wlo", wq).withColumn("_whi", wq - 1)
-         .join(cdf.select(F.col("n1").alias("_n1"), F.col("n2").alias("_n2"), F.col("w").alias("_wlo"),
-                          F.col("cdf").alias("_cdf_lo")), ["_n1", "_n2", "_wlo"], "left")
-         .join(cdf.select(F.col("n1").alias("_n1"), F.col("n2").alias("_n2"), F.col("w").alias("_whi"),
-                          F.col("cdf").alias("_cdf_hi")), ["_n1", "_n2", "_whi"], "left"))
-    p_exact = F.least(F.lit(1.0), F.when(F.col("statistic") > n1 * n2 / 2,
-                                         2 * (1 - F.coalesce(F.col("_cdf_hi"), F.lit(0.0))))
-                      .otherwise(2 * F.col("_cdf_lo")))
+    # exact: one distribution per distinct (n1, n2)
+    pairs = g.filter(F.col("method") == "exact").select("_n1", "_n2", "method").distinct() \
+        .withColumn("_cdf", null_distribution(F.col("_n1").cast("int"), F.col("_n2").cast("int")))
+    g = g.join(pairs, ["_n1", "_n2", "method"], "left")
+    at = F.col("statistic").cast("int")
+    p_exact = F.least(F.lit(1.0), F.when(F.col("statistic") > n1 * n2 / 2, 2 * (1 - F.coalesce(F.get("_cdf", at - 1), F.lit(0.0))))
+                      .otherwise(2 * F.get("_cdf", at)))
     status = (_base_status()
               .when((F.col("method") == "normal") & ((sigma == 0) | sigma.isNull()), F.lit("constant_data"))
               .otherwise(F.lit("ok")))

@@ -574,6 +574,55 @@ SELECT file_name, Pos, replicate_name, Gene,
          list_filter(grp, lambda s, i: i <> list_position(list_transform(grp, lambda q: q.x = Cp), true)),
          lambda s: CASE WHEN abs(s.x - Cp) <= {TOL} THEN 'good' ELSE 'bad' END), ',') AS comparison_results
 FROM lists""")
+    out["tolerance_bitmaps"] = _wrap(prep, f"""
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY replicate_name, Gene ORDER BY well_ord) - 1 AS rk FROM prep),
+vals AS (SELECT replicate_name, Gene, Cp, min(rk) AS first_rank FROM ranked GROUP BY replicate_name, Gene, Cp),
+bits AS (
+  SELECT v.*, r.rk, r.rk // 1024 AS chunk, abs(r.Cp - v.Cp) <= {TOL} AS good
+  FROM vals v JOIN ranked r ON r.replicate_name = v.replicate_name AND r.Gene IS NOT DISTINCT FROM v.Gene),
+runs AS (SELECT *, good IS DISTINCT FROM lag(good) OVER (PARTITION BY replicate_name, Gene, Cp, chunk ORDER BY rk) AS starts FROM bits)
+SELECT replicate_name, Gene, {rs('Cp')} AS Cp, first_rank, count(*) AS n_wells, count(*) FILTER (WHERE good) AS n_good,
+       count(*) FILTER (WHERE starts) AS n_runs
+FROM runs GROUP BY replicate_name, Gene, runs.Cp, first_rank""")
+    out["plate_exports"] = _wrap([WELLS], f"""
+, plates AS (SELECT file_name, row_number() OVER (ORDER BY file_name || '.txt') - 1 AS plate_ord FROM (SELECT DISTINCT file_name FROM wells))
+SELECT file_name, Pos, {rs('Cp')} AS Cp, plate_ord, plate_ord * 4096 + well_ord % 384 AS well_ord
+FROM wells JOIN plates USING (file_name)""")
+    out["rejected_lines"] = _wrap([WELLS], """
+, lines AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY well_ord) + 2 AS line FROM wells)
+SELECT file_name, line, CASE WHEN well_ord % 103 = 9 THEN 'position' ELSE 'Cp' END AS reason
+FROM lines WHERE well_ord % 103 = 9 OR well_ord % 97 = 5 OR well_ord % 101 = 7""")
+    columns = """
+, cols AS (SELECT zscoring_group, sample_name, row_number() OVER (PARTITION BY zscoring_group ORDER BY sample_name) - 1 AS position
+           FROM (SELECT DISTINCT zscoring_group, sample_name FROM zs))"""
+    out["heatmap_columns"] = _wrap(summ, columns + "\nSELECT zscoring_group, sample_name, position FROM cols")
+    out["heatmap_wide"] = _wrap(summ, columns + """,
+present AS (SELECT DISTINCT z.zscoring_group, z.Gene, c.position // 4096 AS block
+            FROM zs z JOIN cols c ON c.zscoring_group = z.zscoring_group AND c.sample_name = z.sample_name),
+cells AS (
+  SELECT p.*, c.position, z.zscored_value FROM present p
+  JOIN cols c ON c.zscoring_group = p.zscoring_group AND c.position // 4096 = p.block
+  LEFT JOIN zs z ON z.zscoring_group = p.zscoring_group AND z.Gene IS NOT DISTINCT FROM p.Gene AND z.sample_name = c.sample_name)
+SELECT zscoring_group, Gene, block, block * 4096 AS first, count(*) AS n_columns, count(zscored_value) AS n_filled,
+       string_agg(coalesce(CAST(CAST(round(zscored_value * 1e6) AS BIGINT) AS VARCHAR), ''), '|' ORDER BY position) AS cells
+FROM cells GROUP BY zscoring_group, Gene, block""")
+    out["category_levels"] = """
+WITH levels AS (SELECT unnest(['MACHINERY', 'AUTOMOBILE', 'AEROSPACE', 'BUILDING']) AS level, unnest(range(1, 5)) AS level_rank)
+SELECT c_custkey, c_mktsegment, level AS segment, level_rank AS segment_rank FROM customer LEFT JOIN levels ON level = c_mktsegment"""
+    out["category_table_levels"] = """
+WITH levels AS (SELECT CAST(n_nationkey AS VARCHAR) AS level, row_number() OVER (ORDER BY n_regionkey * 1000 - n_nationkey) AS level_rank
+                FROM nation WHERE n_regionkey <> 2),
+s AS (SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier)
+SELECT s_suppkey, nation, level AS nation_level, level_rank AS nation_level_rank FROM s LEFT JOIN levels ON level = nation"""
+    out["plate_coordinates"] = _wrap([WELLS], """
+SELECT file_name, Pos, well_ord, substr(Pos, 1, 1) AS row_letter, CAST(substr(Pos, 2) AS BIGINT) AS plate_column, well_ord % 384 AS well
+FROM wells""")
+    out["report_sink"] = _wrap(ex, """
+SELECT row_number() OVER (ORDER BY replicate_name NULLS LAST, Gene NULLS LAST, NOT (is_first AND evm_all IS NOT NULL), well_ord) - 1 AS row_no,
+       file_name, Pos, replicate_name, Gene
+FROM nx""")
+    out["split_sink"] = _wrap([WELLS], "SELECT zscoring_group, count(*) AS n_rows, true AS within_bound FROM wells GROUP BY zscoring_group")
+    out["annotate_other_key"] = out["annotate_first_match"]
     out["relative_expression"] = _wrap(ex, f"""
 SELECT replicate_name, Gene, max(type_of_gene) AS type_of_gene,
        CAST(sum(CASE WHEN keep_this_value = 'keep' THEN 1 ELSE 0 END) AS BIGINT) AS n_kept,
@@ -783,4 +832,6 @@ SELECT zscoring_group, sample_name, testing_group, Gene, {rs('normalized_express
        {rs('normalized_expression_mean')} AS normalized_expression_mean,
        {rs('normalized_expression_sd')} AS normalized_expression_sd, qc_flag, ordering, ordering_level
 FROM ptsr""")
+    out["recalculate_changed"] = out["recalculate"]
+    out["recalculate_changed_stats"] = out["recalculate_stats"]
     return out

@@ -25,8 +25,8 @@ from qplate.functions.numeric import log2_or_null, safe_div
 from qplate.operators._util import join_keys, materialize
 from qplate.operators.expression import finish_weighted_mean, group_expression, weighted_mean_exact
 from qplate.operators.outliers import loo_outliers
+from qplate.operators.comparisons import comparison_strings
 from qplate.operators.replicate_qc import (
-    comparison_strings,
     drop_failed_replicates,
     fill_undetected,
     qc_from_values,
@@ -57,7 +57,7 @@ class Analysis:
     source: DataFrame | None = None   # assigned wells as given (report joins these once)
     internal: dict | None = None      # same frames with the NULL-gene sentinel (plain equi-joins)
 
-    def report(self, with_comparisons: bool = False, ordered: bool = True) -> DataFrame:
+    def report(self, with_comparisons: bool = False, ordered: bool = False) -> DataFrame:
         return assemble_report(self, with_comparisons, ordered)
 
 
@@ -117,10 +117,11 @@ def analyse(wells: DataFrame, cfg: AnalysisConfig | None = None, pin: str | dict
     vals = screened_values(assigned, cfg.bad_replicate_cp, GROUP, "Cp", CARRY)
     qv = qc_from_values(vals, cfg.tolerance, cfg.keep_slack, GROUP, "Cp", cfg.chunk_width, pin=pins["values"],
                         drop_failed=cfg.drop_failed, null_safe=False)
+    qv = materialize(qv, pins["values"])  # the groups, the wells and the report read it
     groups = materialize(group_expression(qv, GROUP, null_safe=False), pins["groups"])
     bio = materialize(loo_outliers(bio_table(groups), ("sample_name", "Gene"), "normalized_expression",
                                    cfg.dispersion, ("replicate_name", "well_ord"), cfg.loo_chunk_rows), pins["bio"])
-    summary = summarise_samples(bio)
+    summary = materialize(summarise_samples(bio), pins["bio"])
     stats = statistics_table(bio, cfg)
     filled = fill_undetected(assigned, cfg.bad_replicate_cp)
     screened = join_keys(filled, qv.select("replicate_name", "good_replicate").distinct(), ["replicate_name"],
@@ -142,11 +143,12 @@ def _group_level(a: Analysis) -> DataFrame:
     return join_keys(g, summ, GROUP, "left", null_safe=safe)
 
 
-def assemble_report(a: Analysis, with_comparisons: bool = False, ordered: bool = True) -> DataFrame:
+def assemble_report(a: Analysis, with_comparisons: bool = False, ordered: bool = False) -> DataFrame:
     """Well-level report: every kept well with QC flags; group, sample and z-score columns on representatives.
 
     One inner join of the (filled) wells with the value-level result on
-    (replicate, gene, Cp); wells of failed replicates have no value row and drop out.
+    (replicate, gene, Cp); wells of failed replicates have no value row and drop out.  ``ordered`` sorts globally, for
+    small reports; a large one is written in order by ``sources.sinks.write_sorted``.
     """
     safe = a.internal is None
     values = a.values if safe else a.internal["values"]
@@ -169,10 +171,13 @@ def assemble_report(a: Analysis, with_comparisons: bool = False, ordered: bool =
                      *[F.when(first, F.col(c)).alias(c) for c in masked])
     cols = REPORT_COLS if not with_comparisons else [*REPORT_COLS[:11], "comparison_results", *REPORT_COLS[11:]]
     rep = _restore_gene(rep.select(*cols))
-    if ordered:
-        rep = rep.orderBy(F.col("replicate_name").asc_nulls_last(), F.col("Gene").asc_nulls_last(),
-                          F.col("elevated_value_mean").isNull(), F.col("well_ord"))
-    return rep
+    return rep.orderBy(*report_order()) if ordered else rep
+
+
+def report_order() -> list:
+    """The report's order: representatives lead their group, missing values come last."""
+    return [F.col("replicate_name").asc_nulls_last(), F.col("Gene").asc_nulls_last(), F.col("elevated_value_mean").isNull().asc(),
+            F.col("well_ord").asc()]
 
 
 def recalculate(report: DataFrame, cfg: AnalysisConfig | None = None,
@@ -188,17 +193,30 @@ def recalculate(report: DataFrame, cfg: AnalysisConfig | None = None,
     qc flag, and GOOD-filtering uses the curated flag.
     """
     cfg = cfg or AnalysisConfig()
-    r = report.select("file_name", "Pos", "well_ord", "replicate_name", "sample_name", "zscoring_group",
-                      "testing_group", "Gene", "type_of_gene", "Cp", "good_replicate", "keep_this_value",
-                      "elevated_value", "qc_flag")
+    r = report.select(*REPLAY_INPUT)
     if overrides is not None:
-        overrides = overrides.select("file_name", "Pos", "keep_this_value", "qc_flag")
-    if overrides is not None:
-        o = overrides.select("file_name", "Pos", F.col("keep_this_value").alias("_k"), F.col("qc_flag").alias("_q"))
-        r = (join_keys(r, o, ["file_name", "Pos"], "left")
-             .withColumn("keep_this_value", F.coalesce("_k", "keep_this_value"))
-             .withColumn("qc_flag", F.coalesce("_q", "qc_flag")).drop("_k", "_q"))
+        r = with_overrides(r, overrides)
     r = materialize(r, pin)
+    grp = materialize(replayed_groups(r), pin)
+    bio = materialize(replayed_bio(grp), pin)
+    summary = materialize(summarise_samples(bio), pin)
+    stats = statistics_table(bio, cfg)
+    return replayed_report(r, grp, summary), stats
+
+
+REPLAY_INPUT = ["file_name", "Pos", "well_ord", "replicate_name", "sample_name", "zscoring_group", "testing_group", "Gene", "type_of_gene",
+                "Cp", "good_replicate", "keep_this_value", "elevated_value", "qc_flag"]
+
+
+def with_overrides(rows: DataFrame, overrides: DataFrame) -> DataFrame:
+    o = overrides.select("file_name", "Pos", F.col("keep_this_value").alias("_k"), F.col("qc_flag").alias("_q"))
+    return (join_keys(rows, o, ["file_name", "Pos"], "left")
+            .withColumn("keep_this_value", F.coalesce("_k", "keep_this_value"))
+            .withColumn("qc_flag", F.coalesce("_q", "qc_flag")).drop("_k", "_q"))
+
+
+def replayed_groups(r: DataFrame) -> DataFrame:
+    """Per technical group of whole replicates: means, ratios and the first row, from the flags as given."""
     kept = F.col("keep_this_value") == "keep"
     grp = r.groupBy(*GROUP).agg(
         F.sum(F.when(kept, 1).otherwise(0)).alias("n_kept"),
@@ -213,10 +231,16 @@ def recalculate(report: DataFrame, cfg: AnalysisConfig | None = None,
     grp = join_keys(grp, hk, ["replicate_name"], "left")
     grp = grp.withColumn("normalized_expression", safe_div(F.col("elevated_value_mean"), F.col("_hk"))) \
         .withColumn("log2_expression_value", log2_or_null(F.col("normalized_expression")))
-    grp = materialize(grp.drop("_hk"), pin)
-    bio = materialize(join_keys(bio_table(grp), grp.select(*GROUP, F.col("_firstq.qc_flag").alias("qc_flag")), GROUP), pin)
-    summary = summarise_samples(bio)
-    stats = statistics_table(bio, cfg)
+    return grp.drop("_hk")
+
+
+def replayed_bio(grp: DataFrame) -> DataFrame:
+    """Representatives with the flag of their first row."""
+    return join_keys(bio_table(grp), grp.select(*GROUP, F.col("_firstq.qc_flag").alias("qc_flag")), GROUP)
+
+
+def replayed_report(r: DataFrame, grp: DataFrame, summary: DataFrame) -> DataFrame:
+    """The rows with their group's and sample's values on representatives."""
     g = grp.select(*GROUP, "_first", "elevated_value_mean",
                    "normalized_expression", "log2_expression_value", F.col("_firstq.qc_flag").alias("_qc"))
     g = join_keys(g, summary.select("replicate_name", "Gene", *SUMMARY_COLS), GROUP, "left")
@@ -224,8 +248,7 @@ def recalculate(report: DataFrame, cfg: AnalysisConfig | None = None,
     first = F.struct("well_ord", *CARRY) == F.col("_first")
     for c in ["elevated_value_mean", "normalized_expression", "log2_expression_value", *SUMMARY_COLS]:
         out = out.withColumn(c, F.when(first, F.col(c)))
-    out = out.withColumn("qc_flag", F.when(first, F.col("_qc"))).drop("_qc", "_first")
-    return out, stats
+    return out.withColumn("qc_flag", F.when(first, F.col("_qc"))).drop("_qc", "_first")
 
 
 def run_files(spark, plates, gene_layout: DataFrame, sample_layout: DataFrame, metadata: DataFrame,
@@ -234,21 +257,24 @@ def run_files(spark, plates, gene_layout: DataFrame, sample_layout: DataFrame, m
     """The file workflow end to end: plate exports (paths) + layout sheets + metadata ->
     annotated wells -> analysis -> Parquet sinks under ``out_dir``:
 
-    ``wells`` (annotated, failed replicates screened, blanks filled), ``report`` (well level,
-    sorted), ``statistics``, ``unmatched`` (wells dropped by the annotation) and ``repeated_metadata``
-    (metadata keys that multiply wells).  The annotated wells are pinned once for all sinks.
+    ``wells`` (annotated, failed replicates screened, blanks filled), ``report`` (well level, files in the report's
+    order with a manifest), ``statistics``, ``unmatched`` (wells dropped by the annotation), ``repeated_metadata`` (metadata keys that
+    multiply wells) and ``rejected`` (lines of the exports that could not be read; they are no wells).  The annotated
+    wells are pinned once for all sinks.
     """
     from qplate.operators.layout import annotate_wells, duplicate_metadata_keys, unmatched_wells
-    from qplate.sources.plates import read_plates, write_table
+    from qplate.sources.plates import read_plates, rejected_lines, write_table
+    from qplate.sources.sinks import write_sorted, write_split
 
     cfg = cfg or AnalysisConfig()
-    raw = read_plates(spark, plates).select("file_name", "Pos", "well_ord", "Cp")
+    raw = read_plates(spark, plates, on_bad_line="drop").select("file_name", "Pos", "well_ord", "Cp")
     raw = materialize(raw, "table")
     wells = materialize(annotate_wells(raw, gene_layout, sample_layout, metadata, cfg.hk_genes, meta_key), "table")
     a = analyse(wells, cfg)
     base = out_dir.rstrip("/")
-    write_table(a.wells, f"{base}/wells", partition_by=list(partition_by))
-    write_table(a.report(ordered=True), f"{base}/report")
+    write_table(rejected_lines(spark, plates), f"{base}/rejected")
+    write_split(a.wells, f"{base}/wells", partition_by)
+    write_sorted(materialize(a.report(), "table"), f"{base}/report", report_order())
     write_table(a.statistics, f"{base}/statistics")
     write_table(unmatched_wells(raw, gene_layout, sample_layout, metadata, meta_key), f"{base}/unmatched")
     write_table(duplicate_metadata_keys(metadata, meta_key), f"{base}/repeated_metadata")

@@ -14,18 +14,28 @@ from pyspark.sql import functions as F
 
 from qplate.config import AnalysisConfig
 from qplate.operators.expression import cp_ratio
-from qplate.operators.replicate_qc import (
-    comparison_strings,
-    drop_failed_replicates,
-    technical_qc,
-)
+from qplate.operators.comparisons import bitmap_totals, comparison_strings, tolerance_bitmaps
+from qplate.operators.replicate_qc import drop_failed_replicates, screened_technical_qc
+from qplate.functions.wells import pos_column, pos_row, well_index
 from qplate.plans.compare import for_compare
-from qplate.operators._util import join_keys, materialize
+from qplate.operators._util import join_keys, materialize, new_folder
 from qplate.operators.outliers import loo_outliers
-from qplate.operators.plotdata import bar_table, break_points, colour_rule, magnitude_breaks, plot_points, pvalue_labels
+from qplate.operators.plotdata import (
+    bar_table,
+    break_points,
+    category_levels,
+    colour_rule,
+    column_dictionary,
+    magnitude_breaks,
+    plot_points,
+    pvalue_labels,
+    wide_rows,
+    with_category,
+)
 from qplate.operators.summary import zscore
 from qplate.operators.variants import delta_delta, sample_labels
-from qplate.plans.pipeline import GROUP, analyse, prepare_wells, recalculate
+from qplate.plans.pipeline import GROUP, analyse, prepare_wells, recalculate, report_order
+from qplate.plans.replay import merge_changes, replay_changes
 from qplate.operators.significance import ranksum_test, two_group_test
 from qplate.operators.layout import annotate_wells, expand_layout, unmatched_wells
 from qplate.sources.driver_tables import (
@@ -38,6 +48,9 @@ from qplate.sources.driver_tables import (
     sample_sheet,
     wells_from_events,
 )
+from qplate.sources.exports import write_exports
+from qplate.sources.plates import read_plates, rejected_lines
+from qplate.sources.sinks import read_sorted, write_sorted, write_split
 
 # Parameters of the event-table mapping: tolerance 2.0 exercises every keep branch on this data.
 EVENT_CFG = AnalysisConfig(hk_genes=EVENT_HK_GENES, tolerance=2.0)
@@ -71,9 +84,8 @@ def q_fill_undetected(spark, sf_dir):
 
 
 def q_technical_qc(spark, sf_dir):
-    w = prepare_wells(_wells(spark, sf_dir), EVENT_CFG)
-    out = technical_qc(w, EVENT_CFG.tolerance, EVENT_CFG.keep_slack, GROUP, "Cp", EVENT_CFG.chunk_width,
-                       with_counts=True)
+    w = _wells(spark, sf_dir).filter(F.col("replicate_name").isNotNull())
+    out = screened_technical_qc(w, EVENT_CFG.bad_replicate_cp, EVENT_CFG.tolerance, EVENT_CFG.keep_slack, GROUP, "Cp", EVENT_CFG.chunk_width)
     return for_compare(out.select("file_name", "Pos", "replicate_name", "Gene", "Cp", "valid_counter",
                                   "n_of_samples", "group_type", "keep_this_value"))
 
@@ -125,7 +137,7 @@ def q_zscore(spark, sf_dir):
 
 def q_report(spark, sf_dir):
     a = analyse(_wells(spark, sf_dir), EVENT_CFG)
-    return for_compare(a.report(ordered=True).drop("well_ord"))
+    return for_compare(a.report().drop("well_ord"))
 
 
 def q_welch_test(spark, sf_dir):
@@ -186,6 +198,26 @@ def q_recalculate(spark, sf_dir):
                                   "log2_expression_value_mean", "log2_expression_value_sd", "zscored_value"))
 
 
+def _recalculated_changes(spark, sf_dir):
+    """The same edits by change propagation, merged into the report before them."""
+    a = analyse(_wells(spark, sf_dir), EVENT_CFG)
+    rep, stats = materialize(a.report(), "table"), materialize(a.statistics, "table")
+    return merge_changes(rep, stats, replay_changes(rep, _overrides(rep), EVENT_CFG))
+
+
+def q_recalculate_changed(spark, sf_dir):
+    rep, _ = _recalculated_changes(spark, sf_dir)
+    return for_compare(rep.select("file_name", "Pos", "replicate_name", "Gene", "keep_this_value", "qc_flag",
+                                  "elevated_value_mean", "normalized_expression", "log2_expression_value",
+                                  "normalized_expression_mean", "normalized_expression_sd",
+                                  "log2_expression_value_mean", "log2_expression_value_sd", "zscored_value"))
+
+
+def q_recalculate_changed_stats(spark, sf_dir):
+    _, stats = _recalculated_changes(spark, sf_dir)
+    return for_compare(stats)
+
+
 def q_recalculate_stats(spark, sf_dir):
     _, stats = _recalculated(spark, sf_dir)
     return for_compare(stats)
@@ -230,7 +262,8 @@ def q_bar_table(spark, sf_dir):
 def _labels(spark, sf_dir):
     a, pts = _plot_inputs(spark, sf_dir)
     groups, _ = _colour_sheets(a)
-    return pts, pvalue_labels(a.statistics, pts, groups.count())
+    # the number of colours is a scalar subquery: nothing is counted ahead in the driver
+    return pts, pvalue_labels(a.statistics, pts, groups.agg(F.count(F.lit(1))).scalar())
 
 
 def q_pvalue_labels(spark, sf_dir):
@@ -330,7 +363,115 @@ def q_zscore_lineitem(spark, sf_dir):
     return for_compare(zscore(d, ("p_brand", "p_size"), "l_extendedprice"))
 
 
+def q_tolerance_bitmaps(spark, sf_dir):
+    """Per distinct value of a technical group: the wells of the group, those within the tolerance and the runs of its bitmap."""
+    w = prepare_wells(_wells(spark, sf_dir), EVENT_CFG)
+    return for_compare(bitmap_totals(tolerance_bitmaps(w, EVENT_CFG.tolerance)).withColumnRenamed("x", "Cp")
+                       .withColumnRenamed("first", "first_rank"))
+
+
+def q_plate_exports(spark, sf_dir):
+    """All events written as instrument exports into the shared folder and read back."""
+    folder = new_folder(spark, "exports")
+    write_exports(raw_wells_from_events(load_table(spark, sf_dir, "events")), folder).agg(F.sum("n_lines")).collect()
+    wells = read_plates(spark, folder)
+    return for_compare(wells.select("file_name", "Pos", "Cp", F.col("plate_ord").cast("long").alias("plate_ord"), "well_ord"))
+
+
+def _spoiled(wells: DataFrame) -> DataFrame:
+    """Exports with lines that cannot be read, by event: no number, a grouped number, no position."""
+    e = F.col("well_ord")
+    cp = F.replace(F.col("Cp").cast("string"), F.lit("."), F.lit(","))
+    return wells.select("file_name", F.when(e % 103 == 9, F.lit("1A")).otherwise(F.col("Pos")).alias("Pos"), "well_ord",
+                        F.when(e % 97 == 5, F.lit("n/a")).when(e % 101 == 7, F.lit("26.441,10")).otherwise(cp).alias("text"))
+
+
+def q_rejected_lines(spark, sf_dir):
+    folder = new_folder(spark, "exports")
+    write_exports(_spoiled(raw_wells_from_events(load_table(spark, sf_dir, "events"))), folder, "text").agg(F.sum("n_lines")).collect()
+    return rejected_lines(spark, folder).select("file_name", "line", "reason")
+
+
+def _heat(spark, sf_dir):
+    a = analyse(_wells(spark, sf_dir), EVENT_CFG)
+    return a.summary.select("zscoring_group", "Gene", "sample_name", "zscored_value")
+
+
+def q_heatmap_columns(spark, sf_dir):
+    return column_dictionary(_heat(spark, sf_dir), ["zscoring_group"], "sample_name")
+
+
+def q_heatmap_wide(spark, sf_dir):
+    """The z-score heatmap with all samples of a group as columns; cells in millionths, for the comparison as text."""
+    wide = wide_rows(materialize(_heat(spark, sf_dir), "table"), ["Gene"], "sample_name", "zscored_value")
+    cells = F.transform("cells", lambda z: F.coalesce(F.round(z * 1e6).cast("long").cast("string"), F.lit("")))
+    return wide.select("zscoring_group", "Gene", "block", "first", F.size("cells").cast("long").alias("n_columns"),
+                       F.size(F.filter("cells", lambda z: z.isNotNull())).cast("long").alias("n_filled"),
+                       F.array_join(cells, "|").alias("cells"))
+
+
+def q_report_sink(spark, sf_dir):
+    """The report written as sorted files of at most 5,000 rows and read back with each row's place in the order."""
+    folder = new_folder(spark, "report")
+    report = materialize(analyse(_wells(spark, sf_dir), EVENT_CFG).report(), "table")
+    write_sorted(report, folder, report_order(), rows_per_file=5000)
+    return read_sorted(spark, folder).select("row_no", "file_name", "Pos", "replicate_name", "Gene")
+
+
+def q_split_sink(spark, sf_dir):
+    """The wells split by z-scoring group into files of at most 2,000 rows: rows of each group and whether every file keeps the bound."""
+    folder = new_folder(spark, "split")
+    write_split(_wells(spark, sf_dir), folder, ["zscoring_group"], rows_per_file=2000)
+    files = spark.read.schema("well_ord long, zscoring_group string").parquet(folder) \
+        .groupBy("zscoring_group", F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n"))
+    return files.groupBy("zscoring_group").agg(F.sum("n").alias("n_rows"), (F.max("n") <= 2000).alias("within_bound"))
+
+
+# An explicit order that leaves segments out and names one that no customer has.
+SEGMENT_LEVELS = ("MACHINERY", "AUTOMOBILE", "AEROSPACE", "BUILDING")
+
+
+def q_category_levels(spark, sf_dir):
+    c = load_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return with_category(c, "c_mktsegment", category_levels(SEGMENT_LEVELS, spark), "segment")
+
+
+def q_category_table_levels(spark, sf_dir):
+    """Levels from a table: suppliers by nation, nations ordered by region and falling key, those of one region left out."""
+    nations = load_table(spark, sf_dir, "nation").filter("n_regionkey <> 2") \
+        .select(F.col("n_nationkey").cast("string").alias("level"), (F.col("n_regionkey") * 1000 - F.col("n_nationkey")).alias("rank"))
+    s = load_table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("nation"))
+    return with_category(s, "nation", category_levels(nations, spark))
+
+
+def q_plate_coordinates(spark, sf_dir):
+    wells = raw_wells_from_events(load_table(spark, sf_dir, "events"))
+    return wells.select("file_name", "Pos", "well_ord", pos_row(F.col("Pos")).alias("row_letter"),
+                        pos_column(F.col("Pos")).cast("long").alias("plate_column"), well_index(F.col("Pos"), 24).cast("long").alias("well"))
+
+
+def q_annotate_other_key(spark, sf_dir):
+    """Metadata whose key column has another name than the wells' replicate."""
+    wells, genes, samples, meta = _sheets(spark, sf_dir)
+    out = annotate_wells(wells, genes, samples, meta.withColumnRenamed("replicate_name", "sample"), LAYOUT_HK_GENES, meta_key="sample")
+    return for_compare(out.select("file_name", "Pos", "well_ord", "Cp", "Gene", "type_of_gene", "replicate_name",
+                                  "sample_name", "zscoring_group", "testing_group"))
+
+
 REGISTRY: dict[str, Query] = {
+    "recalculate_changed": q_recalculate_changed,
+    "recalculate_changed_stats": q_recalculate_changed_stats,
+    "report_sink": q_report_sink,
+    "split_sink": q_split_sink,
+    "tolerance_bitmaps": q_tolerance_bitmaps,
+    "plate_exports": q_plate_exports,
+    "rejected_lines": q_rejected_lines,
+    "heatmap_columns": q_heatmap_columns,
+    "heatmap_wide": q_heatmap_wide,
+    "category_levels": q_category_levels,
+    "category_table_levels": q_category_table_levels,
+    "plate_coordinates": q_plate_coordinates,
+    "annotate_other_key": q_annotate_other_key,
     "recalculate": q_recalculate,
     "recalculate_stats": q_recalculate_stats,
     "plot_points": q_plot_points,

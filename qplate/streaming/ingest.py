@@ -14,39 +14,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from qplate.sources.plates import EXPORT_SCHEMA, ORD_STRIDE, _decimal_comma, arrival_ordinal
+from qplate.operators._util import materialize
+from qplate.sources.files import plain_path
+from qplate.sources.plates import ORD_STRIDE, arrival_ordinal, export_options, plate_name, wells_of
 
 _BATCH_STRIDE = 1 << 40
 
 
-def _parse(raw: DataFrame) -> DataFrame:
-    rows = raw.filter(F.trim(F.col("Include")).isin("True", "False", "TRUE", "FALSE"))
-    return rows.select(
-        F.regexp_replace(F.col("_src"), r"^.*/|\.txt$", "").alias("file_name"),
-        F.trim(F.col("Pos")).alias("Pos"),
-        _decimal_comma(F.col("Cp")).alias("Cp"),
-        F.trim(F.col("Include")).alias("Include"),
-        F.trim(F.col("Color")).try_cast("long").alias("Color"),
-        F.col("Name"),
-        F.regexp_replace(F.col("Status"), "\r", "").alias("Status"),
-    )
+def _reject_twins(plates: DataFrame, base: str, batch_id: int) -> None:
+    spark = plates.sparkSession
+    known = plates.select("file_name", "_path")
+    ledger = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/_plates")
+    if ledger.getFileSystem(spark._jsc.hadoopConfiguration()).exists(ledger):
+        # the batch itself may be there from an attempt before
+        before = spark.read.parquet(f"{base}/_plates").filter(F.col("batch_id") != batch_id)
+        known = known.unionByName(before.join(known.select("file_name"), "file_name", "left_semi").select("file_name", "_path"))
+    twin = known.groupBy("file_name").agg(F.countDistinct("_path").alias("n"), F.min("_path").alias("a"), F.max("_path").alias("b")) \
+        .filter("n > 1").limit(1).collect()
+    if twin:
+        raise ValueError(f"two plates of one name: {twin[0].a} and {twin[0].b}")
 
 
 def ingest_plates(spark: SparkSession, source_dir: str, table_path: str, checkpoint_location: str,
                   available_now: bool = True, plate_cols: int = 24):
-    """Start the ingest query; returns the StreamingQuery (``availableNow`` drains and stops)."""
-    stream = (spark.readStream.schema(EXPORT_SCHEMA).option("sep", "\t").option("header", "false")
-              .option("maxFilesPerTrigger", 1000).csv(source_dir)
-              .withColumn("_src", F.col("_metadata.file_path")))
+    """Start the ingest query; returns the StreamingQuery (``availableNow`` drains and stops).
+
+    Lines are read by the batch reader's own rules (:func:`qplate.sources.plates.wells_of`): an unreadable one fails its batch.  The plates
+    of a batch are ranked by full path.  A plate whose name was ingested before from another file, or stands twice in a
+    batch, fails the batch; the names are kept per batch in the hidden folder ``_plates`` of the table.
+    """
+    stream = export_options(spark.readStream).option("maxFilesPerTrigger", 1000).csv(source_dir) \
+        .withColumn("_path", plain_path(F.col("_metadata.file_path")))
+    base = table_path.rstrip("/")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        wells = _parse(batch)
-        plates = wells.select("file_name").distinct()
-        plates = plates.withColumn("_rank", F.dense_rank().over(Window.orderBy("file_name")) - 1)
-        wells = wells.join(plates, "file_name")
+        wells = materialize(wells_of(batch.withColumn("file_name", plate_name(F.col("_path"))), plate_cols, "fail", "_path"), "cache")
+        # at most as many plates as files in a trigger, hence the unpartitioned window
+        plates = wells.select("file_name", "_path").distinct().withColumn("_rank", F.dense_rank().over(Window.orderBy("_path")) - 1)
+        _reject_twins(plates, base, batch_id)
+        plates.select("file_name", "_path").write.mode("overwrite").parquet(f"{base}/_plates/batch_id={batch_id}")
         plate = F.lit(batch_id).cast("long") * (_BATCH_STRIDE // ORD_STRIDE) + F.col("_rank")
-        wells = wells.withColumn("well_ord", arrival_ordinal(plate, F.col("Pos"), plate_cols)).drop("_rank")
-        wells.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}")
+        ranked = wells.join(plates.drop("file_name"), "_path")
+        ranked.withColumn("well_ord", arrival_ordinal(plate, F.col("Pos"), plate_cols)).drop("_rank", "_path") \
+            .write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
+        wells.unpersist()
 
     writer = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -4,9 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from qplate.operators.comparisons import comparison_strings
 from qplate.operators.replicate_qc import (
     band_counts,
-    comparison_strings,
     distinct_values,
     drop_failed_replicates,
     fill_undetected,

@@ -4,9 +4,10 @@ import itertools
 import math
 import random
 
-import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
-from qplate.operators.significance import _exact_cdf, ranksum_test, welch_test
+from qplate.operators.significance import null_distribution, ranksum_test, welch_test
 
 SCHEMA = "zscoring_group string, Gene string, testing_group string, normalized_expression double"
 
@@ -60,10 +61,48 @@ def _enumerate_cdf(n1, n2):
     return out
 
 
-def test_exact_null_distribution_matches_enumeration():
-    for n1, n2 in [(1, 1), (2, 3), (4, 4), (3, 7), (6, 5)]:
-        got = _exact_cdf(pd.DataFrame({"n1": [n1], "n2": [n2]}))["cdf"].tolist()
-        assert max(abs(a - b) for a, b in zip(got, _enumerate_cdf(n1, n2))) < 1e-12
+def test_exact_null_distribution_matches_enumeration(spark):
+    pairs = [(1, 1), (2, 3), (4, 4), (3, 7), (7, 3), (6, 5)]
+    got = spark.createDataFrame(pairs, "a int, b int").select("a", "b", null_distribution(F.col("a"), F.col("b")).alias("cdf")).collect()
+    assert len(got) == len(pairs)
+    for r in got:
+        assert len(r.cdf) == r.a * r.b + 1
+        assert max(abs(x - y) for x, y in zip(r.cdf, _enumerate_cdf(r.a, r.b))) < 1e-12
+
+
+def test_exact_null_distribution_at_the_limit(spark):
+    r = spark.createDataFrame([(49, 49)], "a int, b int").select(null_distribution(F.col("a"), F.col("b")).alias("cdf")).first().cdf
+    assert r[-1] == 1 and len(r) == 49 * 49 + 1 and all(x <= y for x, y in zip(r, r[1:]))
+    assert r[1200] + (r[1200] - r[1199]) / 2 == pytest.approx(0.5, abs=0.01) and r[0] == pytest.approx(1 / math.comb(98, 49))
+    assert all(abs(r[k] + r[49 * 49 - 1 - k] - 1) < 1e-9 for k in range(0, 49 * 49, 97))  # symmetric
+
+
+def _plain_ranksum(pairs):
+    """(W, sum of t^3 - t) of (group, value) pairs of groups a and b."""
+    values = sorted(v for _, v in pairs)
+    rank = {v: (values.index(v) + 1 + len(values) - values[::-1].index(v)) / 2 for v in set(values)}
+    n = sum(g == "a" for g, _ in pairs)
+    return sum(rank[v] for g, v in pairs if g == "a") - n * (n + 1) / 2
+
+
+def test_ranks_of_a_hot_test_in_a_narrow_range(spark):
+    """One test holds most rows, all within a millionth of each other; others stand before and behind it in the order."""
+    rng = random.Random(8)
+    tests = {"hot": [(rng.choice("ab"), 5.0 + rng.randrange(4000) * 2.0 ** -32) for _ in range(6000)]}
+    tests |= {f"t{i}": [(rng.choice("ab"), rng.choice([-1.5, 0.0, rng.random(), 7.0])) for _ in range(rng.randint(5, 40))] for i in range(30)}
+    tests = {k: v for k, v in tests.items() if {g for g, _ in v} == {"a", "b"}}
+    rows = [(k, None if k == "t3" else "G", g, v) for k, pairs in tests.items() for g, v in pairs]
+    rows += [("hot", "G", None, 5.0), ("hot", "G", "a", None)]  # count for the guards only
+    got = {r.zscoring_group: r for r in ranksum_test(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got["hot"].test_status == "not_two_groups" or got["hot"].statistic is not None
+    for k, pairs in tests.items():
+        assert got[k].statistic == _plain_ranksum(pairs), k
+
+
+def test_ranksum_needs_no_python_and_few_exchanges(spark):
+    df = _df(spark, {"a": [1.0, 2.0], "b": [2.5, 3.0]})
+    plan = ranksum_test(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and plan.count("Exchange ") <= 12
 
 
 def test_ranksum_exact_and_normal(spark):
