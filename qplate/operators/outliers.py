@@ -39,11 +39,25 @@ def leave_one_out(df: DataFrame, keys: Sequence[str], value: str, row_order: Seq
     """Adds ``_rows`` (group row count), ``_o_n``, ``_o_mean``, ``_o_m2`` (others' non-null summary)."""
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    if (sizes.agg(F.max("_rows")).first()[0] or 0) <= chunk_rows:  # every group is one chunk: its windows are all there is to do
+        return _inside(df.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*keys))), keys, value, row_order)
     d = join_keys(df, sizes, keys)
     salts = F.greatest(F.lit(1), F.ceil(F.col("_rows") / F.lit(float(chunk_rows)))).cast("long")
-    d = d.withColumn("_chunk", F.pmod(F.xxhash64(*[F.col(c) for c in row_order]), salts))
-    x = F.col(value)
     part = [*keys, "_chunk"]
+    d = _inside(d.withColumn("_chunk", F.pmod(F.xxhash64(*[F.col(c) for c in row_order]), salts)), part, value, row_order)
+    x = F.col(value)
+    chunks = d.groupBy(*part).agg(F.count(x).alias("_cn"), F.avg(x).alias("_cm"), F.var_samp(x).alias("_cv"))
+    cn, cm, cq = _summary(F.col("_cn"), F.col("_cm"), F.col("_cv"))
+    chunks = chunks.select(*part, cn.alias("n"), cm.alias("mean"), cq.alias("m2"))
+    rest = complements(chunks, keys, "_chunk").select(*part, *[F.col(c).alias(f"_r{i}") for i, c in enumerate(_OTHERS)])
+    n, mean, m2 = chan_merge((F.col("_o_n"), F.col("_o_mean"), F.col("_o_m2")), (F.col("_r0"), F.col("_r1"), F.col("_r2")))
+    kept = [c for c in d.columns if c not in ("_chunk", "_o_n", "_o_mean", "_o_m2")]
+    return join_keys(d, rest, part).select(*kept, n.alias("_o_n"), mean.alias("_o_mean"), m2.alias("_o_m2"))
+
+
+def _inside(d: DataFrame, part: Sequence[str], value: str, row_order: Sequence[str]) -> DataFrame:
+    """Adds the summary (``_o_n``, ``_o_mean``, ``_o_m2``) of the other rows of ``part``: those before merged with those behind."""
+    x = F.col(value)
     w_pre = Window.partitionBy(*part).orderBy(*[F.col(c).asc() for c in row_order]) \
         .rowsBetween(Window.unboundedPreceding, -1)
     w_suf = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in row_order]) \
@@ -53,16 +67,10 @@ def leave_one_out(df: DataFrame, keys: Sequence[str], value: str, row_order: Seq
                                                                       F.var_samp(x).over(w_pre)))],
                  *[e.alias(f"_s{i}") for i, e in enumerate(_summary(F.count(x).over(w_suf), F.avg(x).over(w_suf),
                                                                       F.var_samp(x).over(w_suf)))])
-    chunks = d.groupBy(*part).agg(F.count(x).alias("_cn"), F.avg(x).alias("_cm"), F.var_samp(x).alias("_cv"))
-    cn, cm, cq = _summary(F.col("_cn"), F.col("_cm"), F.col("_cv"))
-    chunks = chunks.select(*part, cn.alias("n"), cm.alias("mean"), cq.alias("m2"))
-    d = join_keys(d, complements(chunks, keys, "_chunk").select(*part, *[F.col(c).alias(f"_r{i}") for i, c in enumerate(_OTHERS)]), part)
     # merges are staged as columns so each expression tree stays small
-    n1, m1, q1 = chan_merge((F.col("_p0"), F.col("_p1"), F.col("_p2")), (F.col("_s0"), F.col("_s1"), F.col("_s2")))
-    d = d.select("*", n1.alias("_n1"), m1.alias("_m1"), q1.alias("_q1"))
-    n2, m2_, q2 = chan_merge((F.col("_n1"), F.col("_m1"), F.col("_q1")), (F.col("_r0"), F.col("_r1"), F.col("_r2")))
-    staged = {"_chunk", "_n1", "_m1", "_q1", *[f"_{k}{i}" for k in "psr" for i in range(3)]}
-    return d.select(*[c for c in d.columns if c not in staged], n2.alias("_o_n"), m2_.alias("_o_mean"), q2.alias("_o_m2"))
+    n, mean, m2 = chan_merge((F.col("_p0"), F.col("_p1"), F.col("_p2")), (F.col("_s0"), F.col("_s1"), F.col("_s2")))
+    staged = {f"_{k}{i}" for k in "ps" for i in range(3)}
+    return d.select(*[c for c in d.columns if c not in staged], n.alias("_o_n"), mean.alias("_o_mean"), m2.alias("_o_m2"))
 
 
 _OTHERS = ("o_n", "o_mean", "o_m2")

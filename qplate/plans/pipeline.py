@@ -15,7 +15,7 @@ Shuffle budget of ``analyse`` (the wells table is the only big input):
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,17 +45,57 @@ REPORT_COLS = ["file_name", "Pos", "well_ord", "replicate_name", "sample_name",
                "mean_others", "sd_others", "qc_flag", *SUMMARY_COLS]
 
 
-@dataclass
 class Analysis:
-    wells: DataFrame          # annotated, failed replicates screened out (or flagged), Cp filled
-    values: DataFrame         # value-level technical QC (replicate, gene, Cp, m, keep_this_value, _first)
-    groups: DataFrame         # per technical group: expression
-    bio: DataFrame            # representative rows with leave-one-out flags
-    summary: DataFrame        # per (sample, gene) representative with stats and z-score
-    statistics: DataFrame     # per (zscoring_group, gene) test
-    cfg: AnalysisConfig
-    source: DataFrame | None = None   # assigned wells as given (report joins these once)
-    internal: dict | None = None      # same frames with the NULL-gene sentinel (plain equi-joins)
+    """The analysis of a table of wells.  What only some consumers need (the value table once more, the sample summary, tests, the screened
+    wells) is made, and where several branches read it pinned, when it is first asked for."""
+
+    def __init__(self, source: DataFrame, values: DataFrame, groups: DataFrame, bio: DataFrame, cfg: AnalysisConfig, pins: dict[str, str]):
+        """All frames with the NULL-gene sentinel, so that their joins are plain equi-joins."""
+        self.cfg, self._pins, self._source, self._unpinned, self._groups, self._bio = cfg, pins, source, values, groups, bio
+
+    @cached_property
+    def _values(self) -> DataFrame:
+        return materialize(self._unpinned, self._pins["values"])
+
+    @cached_property
+    def _summary(self) -> DataFrame:
+        return materialize(summarise_samples(self._bio), self._pins["bio"])
+
+    @cached_property
+    def source(self) -> DataFrame:
+        """Assigned wells as given (the report joins these once)."""
+        return _restore_gene(self._source)
+
+    @cached_property
+    def wells(self) -> DataFrame:
+        """Annotated wells, failed replicates screened out (or flagged), Cp filled."""
+        good = self._values.select("replicate_name", "good_replicate").distinct()
+        return _restore_gene(join_keys(fill_undetected(self._source, self.cfg.bad_replicate_cp), good, ["replicate_name"], null_safe=False))
+
+    @cached_property
+    def values(self) -> DataFrame:
+        """Value-level technical QC (replicate, gene, Cp, m, keep_this_value, _first)."""
+        return _restore_gene(self._values)
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        """Per technical group: expression."""
+        return _restore_gene(self._groups)
+
+    @cached_property
+    def bio(self) -> DataFrame:
+        """Representative rows with leave-one-out flags."""
+        return _restore_gene(self._bio)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        """Per (sample, gene) representative with stats and z-score."""
+        return _restore_gene(self._summary)
+
+    @cached_property
+    def statistics(self) -> DataFrame:
+        """Per (zscoring_group, gene) test."""
+        return _restore_gene(statistics_table(self._bio, self.cfg))
 
     def report(self, with_comparisons: bool = False, ordered: bool = False) -> DataFrame:
         return assemble_report(self, with_comparisons, ordered)
@@ -117,30 +157,17 @@ def analyse(wells: DataFrame, cfg: AnalysisConfig | None = None, pin: str | dict
     vals = screened_values(assigned, cfg.bad_replicate_cp, GROUP, "Cp", CARRY)
     qv = qc_from_values(vals, cfg.tolerance, cfg.keep_slack, GROUP, "Cp", cfg.chunk_width, pin=pins["values"],
                         drop_failed=cfg.drop_failed, null_safe=False)
-    qv = materialize(qv, pins["values"])  # the groups, the wells and the report read it
     groups = materialize(group_expression(qv, GROUP, null_safe=False), pins["groups"])
     bio = materialize(loo_outliers(bio_table(groups), ("sample_name", "Gene"), "normalized_expression",
                                    cfg.dispersion, ("replicate_name", "well_ord"), cfg.loo_chunk_rows), pins["bio"])
-    summary = materialize(summarise_samples(bio), pins["bio"])
-    stats = statistics_table(bio, cfg)
-    filled = fill_undetected(assigned, cfg.bad_replicate_cp)
-    screened = join_keys(filled, qv.select("replicate_name", "good_replicate").distinct(), ["replicate_name"],
-                         null_safe=False)
-    internal = {"values": qv, "groups": groups, "bio": bio, "summary": summary, "source": assigned}
-    return Analysis(_restore_gene(screened), _restore_gene(qv), _restore_gene(groups), _restore_gene(bio),
-                    _restore_gene(summary), _restore_gene(stats), cfg, _restore_gene(assigned), internal)
+    return Analysis(assigned, qv, groups, bio, cfg, pins)
 
 
 def _group_level(a: Analysis) -> DataFrame:
     """Per technical group: expression, leave-one-out columns and (on the sample representative) summary."""
-    src = a.internal or {"groups": a.groups, "bio": a.bio, "summary": a.summary}
-    safe = a.internal is None
-    g = src["groups"].select(*GROUP, "_first", "elevated_value_mean",
-                             "normalized_expression", "log2_expression_value")
-    bio = src["bio"].select(*GROUP, "mean_others", "sd_others", "qc_flag")
-    summ = src["summary"].select("replicate_name", "Gene", *SUMMARY_COLS)
-    g = join_keys(g, bio, GROUP, "left", null_safe=safe)
-    return join_keys(g, summ, GROUP, "left", null_safe=safe)
+    g = a._groups.select(*GROUP, "_first", "elevated_value_mean", "normalized_expression", "log2_expression_value")
+    g = join_keys(g, a._bio.select(*GROUP, "mean_others", "sd_others", "qc_flag"), GROUP, "left", null_safe=False)
+    return join_keys(g, a._summary.select(*GROUP, *SUMMARY_COLS), GROUP, "left", null_safe=False)
 
 
 def assemble_report(a: Analysis, with_comparisons: bool = False, ordered: bool = False) -> DataFrame:
@@ -150,18 +177,11 @@ def assemble_report(a: Analysis, with_comparisons: bool = False, ordered: bool =
     (replicate, gene, Cp); wells of failed replicates have no value row and drop out.  ``ordered`` sorts globally, for
     small reports; a large one is written in order by ``sources.sinks.write_sorted``.
     """
-    safe = a.internal is None
-    values = a.values if safe else a.internal["values"]
-    per_value = join_keys(values.select(*GROUP, "Cp", "keep_this_value", "good_replicate"), _group_level(a), GROUP,
-                          null_safe=safe)
-    if not safe:
-        src = a.internal["source"]
-    else:
-        src = a.source if a.source is not None else a.wells.drop("good_replicate")
-    wells = fill_undetected(src.filter(F.col("replicate_name").isNotNull()), a.cfg.bad_replicate_cp)
+    per_value = join_keys(a._values.select(*GROUP, "Cp", "keep_this_value", "good_replicate"), _group_level(a), GROUP, null_safe=False)
+    wells = fill_undetected(a._source, a.cfg.bad_replicate_cp)
     if with_comparisons:
         wells = comparison_strings(wells, a.cfg.tolerance)
-    rep = join_keys(wells, per_value, [*GROUP, "Cp"], "inner", null_safe=safe)
+    rep = join_keys(wells, per_value, [*GROUP, "Cp"], "inner", null_safe=False)
     # one row per group: where metadata multiplies a well, its least metadata row represents it
     first = F.struct("well_ord", *CARRY) == F.col("_first")
     masked = ["elevated_value_mean", "normalized_expression", "log2_expression_value",
