@@ -36,16 +36,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transcripts of all conversations: roles recovered by a model fitted on four fifths of them, per block of lines."""
+    """Transcripts of all conversations, a row per turn's piece: roles recovered by a model fitted on four fifths of them."""
     from qplate.llm import transcripts as T
-    from qplate.llm.common import pin
-    from qplate.llm.transcript_source import labelled, transcript_lines
-    lines = transcript_lines(load(spark, sf_dir, "conversations"))
-    blocked = pin(T.blocks(lines), "blocked")
-    model = T.fit(labelled(blocked, lines.filter("fold < 4")))
-    return T.decode(blocked, model).select(
-        F.col("conv").cast("long").alias("conv_id"), "block", F.size("states").cast("long").alias("n_lines"),
-        F.size(F.filter("states", lambda s: s % 2 == 0)).cast("long").alias("n_turns"), "states", "rendered")
+    from qplate.llm.transcript_source import transcripts
+    src = transcripts(load(spark, sf_dir, "conversations")).withColumn("truth", F.when(F.col("fold") < 4, F.col("truth")))
+    placed = T.pieces(src, truth_col="truth")
+    blocked = T.blocks(placed)
+    return T.format_chats(placed, blocked, T.fit(blocked)).select(
+        F.col("conv").cast("long").alias("conv_id"), F.col("ord").alias("turn"), "n_lines", "n_turns", "states", "rendered")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,21 +6,20 @@ two styles put a blank line between turns.  Choices are hashes of ids, so any ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qplate.llm import transcripts as T
 
-STYLES = (  # marker by role (system, user, assistant), blank line between turns
-    (("System: ", "User: ", "Assistant: "), True),
-    (("### Instructions: ", "### Human: ", "### AI: "), False),
-    (("[system] ", "[customer] ", "[agent] "), True),
-    (("System: ", "Q: ", "A: "), False),
+STYLES = (  # marker by role (system, user, assistant), that of any other role by its name, blank line between turns
+    (("System: ", "User: ", "Assistant: "), ("", ": "), True),
+    (("### Instructions: ", "### Human: ", "### AI: "), ("### ", ": "), False),
+    (("[system] ", "[customer] ", "[agent] "), ("[", "] "), True),
+    (("System: ", "Q: ", "A: "), ("", ": "), False),
 )
-TURN_LINES = 1 << 24  # orders of one turn's lines
 
 
-def _style(values):
+def _style(values) -> Column:
     pick = F.pmod(F.xxhash64(F.lit("style"), "conv"), F.lit(len(STYLES)))
     out = F.lit(values[0])
     for i, v in enumerate(values[1:], 1):
@@ -28,48 +27,25 @@ def _style(values):
     return out
 
 
-def transcript_lines(conversations: DataFrame) -> DataFrame:
-    """conv_id, ord, line, state (true state; NULL for blank lines), fold (0..4 by conversation).
+def transcripts(conversations: DataFrame) -> DataFrame:
+    """conv_id, ord, text, truth (true state of each line, a byte each), fold (0..4 by conversation): a piece per turn.
 
-    Roles other than the three known ones count as the user; NULL texts are turns without lines.
+    A piece is the blank line of its style (but for turn 0), the marker and the turn's text as it is.  Roles other than the three
+    known ones go by their own name where a marker can hold it, else without marker; NULL texts are NULL pieces.
     """
-    c = conversations.select(F.col("conv_id").cast("string").alias("conv"), F.col("turn").cast("long").alias("turn"),
-                             F.col("role"), F.coalesce("text", F.lit("")).alias("text"))
-    role = F.when(F.col("role") == "system", 0).when(F.col("role") == "assistant", 2).otherwise(1)
-    c = c.withColumn("r", role)
-    mark = F.when(F.col("r") == 0, _style([s[0][0] for s in STYLES])) \
-        .when(F.col("r") == 1, _style([s[0][1] for s in STYLES])).otherwise(_style([s[0][2] for s in STYLES]))
-    bare = F.pmod(F.xxhash64(F.lit("mark"), "conv", "turn"), F.lit(4)) == 0
-    spoken = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
-    rows = c.withColumn("m", F.when(bare, F.lit("")).otherwise(mark)).withColumn("blank", _style([s[1] for s in STYLES])) \
-        .select("*", F.posexplode(spoken).alias("k", "raw"))
-    at = F.coalesce("turn", F.lit(0)) * TURN_LINES + 2 * F.col("k")
-    line = F.struct((at + 1).alias("ord"), F.when(F.col("k") == 0, F.concat("m", "raw")).otherwise(F.col("raw")).alias("line"),
-                    (2 * F.col("r") + F.least("k", F.lit(1))).alias("state"))
-    blank = F.struct(at.alias("ord"), F.lit("").alias("line"), F.lit(None).cast("int").alias("state"))
-    both = F.when((F.col("k") == 0) & F.col("blank"), F.array(blank, line)).otherwise(F.array(line))
-    return rows.select("conv", F.explode(both).alias("x")).select(
-        F.col("conv").alias("conv_id"), "x.ord", "x.line", "x.state",
-        F.pmod(F.xxhash64(F.lit("fold"), "conv"), F.lit(5)).alias("fold"))
-
-
-def labelled(blocked: DataFrame, lines: DataFrame) -> DataFrame:
-    """Training rows of :func:`transcripts.fit`: the state before, the state and the features of each line."""
-    truth = lines.filter("state is not null").select(F.col("conv_id").alias("_c"), F.col("ord").alias("_o"),
-                                                     F.col("line").alias("_l"), "state").distinct()
-    b = blocked.join(truth, blocked["conv"].eqNullSafe(truth["_c"]) & (blocked["ord"] == truth["_o"])
-                     & (blocked["line"] == truth["_l"])).select("conv", "i", "line", "blank", "state")
-    after = b.select(F.col("conv").alias("_c"), (F.col("i") + 1).alias("_i"), F.col("state").alias("before"))
-    b = b.join(after, b["conv"].eqNullSafe(after["_c"]) & (b["i"] == after["_i"]), "left").select(
-        "before", "state", "line", "blank")
-    names = [f"f{k}" for k in range(len(T.SIZES))]
-
-    def observe(batches):
-        for pdf in batches:
-            feats = T.features(pdf["line"].tolist(), pdf["blank"].tolist())
-            out = pdf[["before", "state"]].copy()
-            for k, n in enumerate(names):
-                out[n] = feats[:, k]
-            yield out
-
-    return b.mapInPandas(observe, "before int, state int, " + ", ".join(f"{n} long" for n in names))
+    c = conversations.select(F.col("conv_id").cast("string").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role"), "text")
+    known = F.coalesce(F.col("role"), F.lit("user"))
+    r = F.when(known == "system", 0).when(known == "user", 1).when(known == "assistant", 2).otherwise(3)
+    name = F.when(known.rlike("^[A-Za-z][A-Za-z0-9_-]{0,23}$"), F.concat(_style([s[1][0] for s in STYLES]), known, _style([s[1][1] for s in STYLES])))
+    c = c.withColumn("r", r).withColumn("m", F.when(F.col("r") == 0, _style([s[0][0] for s in STYLES]))
+                                        .when(F.col("r") == 1, _style([s[0][1] for s in STYLES]))
+                                        .when(F.col("r") == 2, _style([s[0][2] for s in STYLES])).otherwise(name))
+    bare = (F.pmod(F.xxhash64(F.lit("mark"), "conv", "turn"), F.lit(4)) == 0) | F.col("m").isNull()
+    c = c.withColumn("m", F.when(~bare, F.col("m"))).withColumn("gap", _style([s[2] for s in STYLES]) & (F.coalesce("turn", F.lit(0)) != 0))
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    state = lambda part: F.char(3 * F.col("r") + part)
+    truth = F.concat(F.when(F.col("gap"), F.char(F.lit(T.SEPARATOR))).otherwise(F.lit("")),
+                     F.when(F.col("m").isNull(), state(T.FIRST)).otherwise(state(T.MARKED)), F.repeat(state(T.LATER), lines - 1))
+    text = F.concat(F.when(F.col("gap"), F.lit("\n")).otherwise(F.lit("")), F.coalesce("m", F.lit("")), "text")
+    return c.select(F.col("conv").alias("conv_id"), F.col("turn").alias("ord"), text.alias("text"),
+                    F.when(F.col("text").isNotNull(), truth.cast("binary")).alias("truth"), F.pmod(F.xxhash64(F.lit("fold"), "conv"), F.lit(5)).alias("fold"))
