@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qplate.llm.common import let, row_key
+from qplate.llm.common import let, row_key, spare
 
 WINDOW, GRAM = 10, 5
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -142,10 +142,11 @@ def _covered(spans: Column) -> Column:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """``docs`` without the documents that share a window with the benchmark."""
+    """``docs`` without the documents that share a window with the benchmark; all their columns come back, whatever their names."""
+    x = spare(docs, "_qp")
     bad = decontaminate(docs, items, id_col, text_col, **names).filter("contaminated") \
-        .select(F.col("k1").alias("_qp_k1"), F.col("k2").alias("_qp_k2"))
+        .select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"))
     k1, k2 = row_key(id_col, text_col)
-    src = docs.withColumns({"_qp_a": k1, "_qp_b": k2})
-    on = (F.col("_qp_a") == F.col("_qp_k1")) & (F.col("_qp_b") == F.col("_qp_k2"))
-    return src.join(bad, on, "left_anti").drop("_qp_a", "_qp_b")
+    src = docs.withColumns({f"{x}a": k1, f"{x}b": k2})
+    on = (F.col(f"{x}a") == F.col(f"{x}1")) & (F.col(f"{x}b") == F.col(f"{x}2"))
+    return src.join(bad, on, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

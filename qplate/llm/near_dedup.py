@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qplate.llm.common import NO_ID, pin, row_key
+from qplate.llm.common import NO_ID, pin, row_key, spare
 from qplate.llm.components import components
 from qplate.llm.spans import mix, prefixes
 
@@ -131,7 +131,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: s
     comp = _components(src, sets, percent, size)
     # the least doc_id of a component, over its vertices; a vertex without links is its own
     owners = sets.join(comp, "vid", "left").select("h1", "h2", "doc_id", F.coalesce("comp", "vid").alias("component"))
-    least = owners.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # pinned, so that the join deals both sides itself and a large component can be split
+    least = pin(owners.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     placed = owners.join(least, "component").select("h1", "h2", "component", "component_id")
     out = signed.select("doc_id", "k1", "k2", "n", "h1", "h2").join(placed, ["h1", "h2"], "left")
     cid = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -227,16 +228,26 @@ def _meeting(rare: DataFrame, percent: int) -> DataFrame:
     on = (F.col("comp_x") < F.col("comp_y")) & (100 * F.col("hi_x") >= percent * F.col("lo_y")) \
         & (100 * F.col("hi_y") >= percent * F.col("lo_x")) \
         & ((100 + percent) * F.least("top_x", "top_y") >= percent * (F.col("lo_x") + F.col("lo_y")))
-    return one.join(two, "h").filter(on).select("h", "comp_x", "comp_y")
+    return one.join(two, "h").filter(on).select("h", *[f"{c}_{side}" for side in "xy" for c in ("comp", "lo", "hi", "top")])
+
+
+def _can_meet(rare: DataFrame, meeting: DataFrame, side: str, other: str, percent: int) -> DataFrame:
+    """``meeting`` with the rows of one side's component that the bounds of the other component leave: a large component
+    brings in only members that could be linked with some member of the other."""
+    rows = rare.select(F.col("h").alias("_h"), *[F.col(c).alias(f"{c}_{side}") for c in ("vid", "n", "r")], F.col("comp").alias("_comp"))
+    n, r, low, high, top = (F.col(c) for c in (f"n_{side}", f"r_{side}", f"lo_{other}", f"hi_{other}", f"top_{other}"))
+    on = (F.col("h") == F.col("_h")) & (F.col(f"comp_{side}") == F.col("_comp")) & (100 * n >= percent * low) & (100 * high >= percent * n) \
+        & ((100 + percent) * F.least(r, top) >= percent * (n + low))
+    return meeting.join(rows, on).drop("_h", "_comp")
 
 
 def _across(rare: DataFrame, percent: int) -> DataFrame:
     """Pairs of vertices in two components that share one of these shingles; rows of one component never meet each other."""
     meeting = pin(_meeting(rare, percent), "meeting")
-    one, two = (rare.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("vid", "comp", "n", "r")]) for side in "xy")
-    on = _near_sizes("n_x", "n_y", percent) \
-        & ((100 + percent) * F.least("r_x", "r_y") >= percent * (F.col("n_x") + F.col("n_y")))
-    return meeting.join(one, ["h", "comp_x"]).join(two, ["h", "comp_y"]).filter(on) \
+    one = _can_meet(rare, meeting, "x", "y", percent)
+    # the second side's rows meet those of the first one by one: the bounds are those of the row itself
+    one = one.drop("lo_x", "hi_x", "top_x").withColumns({"lo_x": F.col("n_x"), "hi_x": F.col("n_x"), "top_x": F.col("r_x")})
+    return _can_meet(rare, one, "y", "x", percent) \
         .select(F.least("vid_x", "vid_y").alias("a"), F.greatest("vid_x", "vid_y").alias("b")).distinct()
 
 
@@ -299,14 +310,18 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component left (the least id, then the least text hash); documents without words stay."""
+    """``docs`` with one document of each component left (the least id, then the least text hash); documents without
+    words stay, each of their repeated rows too.  All columns of ``docs`` come back, whatever their names."""
     verdict = near_duplicates(docs, percent, size, id_col, text_col)
     big = F.when(F.col("k1") == NO_ID, F.lit((1 << 63) - 1)).otherwise(F.col("k1"))  # a NULL id comes last
     chosen = verdict.filter("n_shingles > 0").groupBy("component") \
         .agg(F.min(F.struct(big.alias("o"), "k1", "k2")).alias("r")).select("r.k1", "r.k2")
     empty = verdict.filter("n_shingles = 0").select("k1", "k2")
-    stay = chosen.unionByName(empty.distinct()).select(F.col("k1").alias("_qp_k1"), F.col("k2").alias("_qp_k2"))
+    x = spare(docs, "_qp")
+    stay = chosen.withColumn("one", F.lit(True)).unionByName(empty.distinct().withColumn("one", F.lit(False))) \
+        .select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("one").alias(f"{x}3"))
     k1, k2 = row_key(id_col, text_col)
-    src = docs.withColumns({"_qp_a": k1, "_qp_b": k2})
-    on = (F.col("_qp_a") == F.col("_qp_k1")) & (F.col("_qp_b") == F.col("_qp_k2"))
-    return src.join(stay, on, "left_semi").dropDuplicates(["_qp_a", "_qp_b"]).drop("_qp_a", "_qp_b")
+    src = docs.withColumns({f"{x}a": k1, f"{x}b": k2})
+    left = pin(src.join(stay, (F.col(f"{x}a") == F.col(f"{x}1")) & (F.col(f"{x}b") == F.col(f"{x}2"))), "near-left")
+    one = left.filter(f"`{x}3`").dropDuplicates([f"{x}a", f"{x}b"])
+    return one.unionByName(left.filter(f"NOT `{x}3`")).select(*[F.col(f"`{c}`") for c in docs.columns])
