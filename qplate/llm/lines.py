@@ -35,7 +35,8 @@ def host_lines(docs: DataFrame, text_col: str, host_col: str, id_col: str) -> Da
 
 
 def common_lines(docs: DataFrame, text_col: str, host_col: str, id_col: str, min_docs: int, ratio: float) -> DataFrame:
-    """(host, line, n_docs, n_host): lines in at least ``min_docs`` and more than ``ratio`` of a host's documents.
+    """(host, line, n_docs, n_host): lines in more than ``ratio`` of a host's documents; ``min_docs`` is the least support that
+    makes a share one (on two documents, so that a host's only page does not lose all its lines).
 
     Documents with equal texts count once, so that copies do not make their lines common.  Counting goes
     through (host, line, text) first, so a hot host or line is spread over its texts and sums

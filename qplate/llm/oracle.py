@@ -22,7 +22,7 @@ common AS (SELECT l.host, l.line FROM lines l JOIN hosts h ON l.host = h.host WH
 
 
 LINE_DEDUP = rf"""
-WITH {_common(8, 0.05)},
+WITH {_common(2, 0.05)},
 parts AS (
   SELECT doc_id, coalesce('h:' || source, 'null') AS host, text, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
@@ -36,7 +36,7 @@ SELECT doc_id,
 FROM marked GROUP BY doc_id"""
 
 QUALITY = rf"""
-WITH {_common(8, 0.1)},
+WITH {_common(2, 0.1)},
 w AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('h:' || source, 'null') AS host,
              regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
 grams AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),

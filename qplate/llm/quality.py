@@ -2,7 +2,7 @@
 
 DataFrame functions only.  A document fails the base rules when it has fewer than ``min_words`` words or
 when more than ``max_repeat_pct`` percent of its words lie in 5-word windows found twice or more in it.
-Of the others, lines that at least ``min_docs`` and more than ``ratio`` of the host's distinct documents share
+Of the others, lines that more than ``ratio`` of the host's distinct documents share (``min_docs`` of them at least)
 are taken out, and a document that keeps less than ``min_kept`` of its words is depleted and rejected.
 
 NULL and empty texts have no words and fail.  Repeated rows get the same verdict each; documents with equal
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qplate.llm.common import let, row_key
+from qplate.llm.common import let, row_key, spare
 from qplate.llm.lines import SPACES, common_lines, host, host_lines, normal, split_lines
 
 SYMBOLS = "#*$%&|<>"
@@ -71,7 +71,7 @@ def base_rules(docs: DataFrame, min_words: int = 10, max_repeat_pct: int = 20, i
     return d.withColumn("base_failed", failed)
 
 
-def quality_rules(docs: DataFrame, min_docs: int = 8, ratio: float = 0.1, min_kept: float = 0.3,
+def quality_rules(docs: DataFrame, min_docs: int = 2, ratio: float = 0.1, min_kept: float = 0.3,
                   min_words: int = 10, max_repeat_pct: int = 20, id_col: str = "doc_id", text_col: str = "text",
                   host_col: str = "source") -> DataFrame:
     """One row per input row: the base figures, base_failed, n_common_words (words in removed lines), kept
@@ -88,10 +88,12 @@ def quality_rules(docs: DataFrame, min_docs: int = 8, ratio: float = 0.1, min_ke
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **rules) -> DataFrame:
-    """``docs`` without the documents that the rules reject; repeated rows stay or go together."""
+    """``docs`` without the documents that the rules reject; repeated rows stay or go together, and all
+    columns of ``docs`` come back, whatever their names."""
     verdict = quality_rules(docs, id_col=id_col, text_col=text_col, host_col=host_col, **rules)
-    stay = verdict.filter("kept").select(F.col("k1").alias("_qp_k1"), F.col("k2").alias("_qp_k2"), F.col("host").alias("_qp_h"))
+    x = spare(docs, "_qp")
+    stay = verdict.filter("kept").select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("host").alias(f"{x}3"))
     k1, k2 = row_key(id_col, text_col)
-    src = docs.withColumns({"_qp_a": k1, "_qp_b": k2, "_qp_c": host(F.col(host_col))})
-    on = (F.col("_qp_a") == F.col("_qp_k1")) & (F.col("_qp_b") == F.col("_qp_k2")) & (F.col("_qp_c") == F.col("_qp_h"))
-    return src.join(stay, on, "left_semi").drop("_qp_a", "_qp_b", "_qp_c")
+    src = docs.withColumns({f"{x}a": k1, f"{x}b": k2, f"{x}c": host(F.col(host_col))})
+    on = (F.col(f"{x}a") == F.col(f"{x}1")) & (F.col(f"{x}b") == F.col(f"{x}2")) & (F.col(f"{x}c") == F.col(f"{x}3"))
+    return src.join(stay, on, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
