@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qplate.session import ensure_checkpoint_dir
+from qplate.sources.files import qualified
 
 NO_ID = -(1 << 63)  # stands in for a NULL id inside join keys
 
@@ -17,8 +18,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared ``spark.checkpoint.dir``."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/qplate-llm/{name}-{uuid.uuid4().hex}"
+    """A new folder under the cluster's shared ``spark.checkpoint.dir``, with the scheme of the file system that Spark resolves it to."""
+    return qualified(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/qplate-llm/{name}-{uuid.uuid4().hex}")
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores as no column of ``df`` has (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    while any(c.startswith(name.lower()) for c in taken):
+        name += "_"
+    return name
 
 
 def pin(df: DataFrame, name: str) -> DataFrame:

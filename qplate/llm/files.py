@@ -8,8 +8,10 @@ from pyarrow import fs
 
 
 def locate(uri: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
+    """The file system and path of a URI as :func:`qplate.llm.common.shared_folder` makes it; a path without a scheme means what the
+    driver's default file system makes of it, so it is qualified there and not taken for a local one here."""
+    if ":/" not in uri:
+        raise ValueError(f"a path without a scheme: {uri}")
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return fs.FileSystem.from_uri(uri)

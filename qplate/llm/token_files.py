@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -121,13 +122,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
 
     def write(batches):
         enc, part = encoder(tokenizer_path), TaskContext.get().partitionId()
+        own = uuid.uuid4().hex  # another attempt may cut its files elsewhere; the manifest names those that count
         end, done, file = struct.pack("<I", end_id), [], None
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for first, texts in in_slices(batch.column(1)):
                 for doc_id, got in zip(ids[first:first + len(texts)], enc.encode(texts)):
                     if file is None:
-                        path = f"{folder}/part-{part:06d}-{len(done):06d}.s8b"
+                        path = f"{folder}/part-{part:06d}-{own}-{len(done):06d}.s8b"
                         file = TokenFile(path)
                     file.add(doc_id, got + end)
                     if file.n_ids >= file_ids:

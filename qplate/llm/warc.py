@@ -9,7 +9,9 @@ largest id is a response; the others are revisits that refer to it and hold no p
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
+import uuid
 import zlib
 
 import pyarrow as pa
@@ -47,8 +49,15 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
+def payload_digest(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
 def parse(data: bytes) -> tuple:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of a record."""
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of a record.
+
+    The digest is that of the payload as read, and has to be the stated one; a revisit holds no payload, its digest is the stated one.
+    """
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -57,11 +66,14 @@ def parse(data: bytes) -> tuple:
     block = rest[:int(field["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    kind = field["warc-type"]
+    kind, stated = field["warc-type"], field["warc-payload-digest"].split(":", 1)[1]
     page = lambda name: None if field[name][1:-1] == _uri(None) else int(field[name][1:-1].rsplit(":", 1)[1])
     if kind == "response" and size != len(payload):
         raise ValueError("payload is cut off")
-    return (page("warc-record-id"), field["warc-target-uri"], size, field["warc-payload-digest"].split(":", 1)[1], kind,
+    found = payload_digest(payload) if kind == "response" else stated
+    if found != stated:
+        raise ValueError(f"payload digest {found} of {field['warc-record-id']} is not {stated}")
+    return (page("warc-record-id"), field["warc-target-uri"], size, found, kind,
             page("warc-refers-to") if kind == "revisit" else None, payload if kind == "response" else None)
 
 
@@ -89,7 +101,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_byte
     rows = _referred(pages, min_revisit_bytes, id_col, url_col, html_col)
 
     def write(batches):
-        part, n_file, done, out = TaskContext.get().partitionId(), 0, [], None
+        # names of this attempt's own: another attempt may cut its archives elsewhere, and the manifest names those that count
+        part, n_file, done, out = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, [], None
         index: list[bytes] = []
 
         def finish():
@@ -105,7 +118,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_byte
         for b in batches:
             for page_id, url, payload, sha1, ref in zip(*[c.to_pylist() for c in b.columns]):
                 if out is None:
-                    path, at = f"{folder}/part-{part:06d}-{n_file:04d}.wacz", 0
+                    path, at = f"{folder}/part-{part}-{n_file:04d}.wacz", 0
                     out, n_file = ZipWriter(path), n_file + 1
                     out.begin(DATA)
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()

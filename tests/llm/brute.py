@@ -118,7 +118,7 @@ def common_lines(rows, min_docs, ratio):
     return {k for k, v in having.items() if len(v) >= min_docs and len(v) > ratio * len(total[k[0]])}
 
 
-def kept_by_rules(rows, min_docs=8, ratio=0.1, min_kept=0.3):
+def kept_by_rules(rows, min_docs=2, ratio=0.1, min_kept=0.3):
     common = common_lines(rows, min_docs, ratio)
     out = []
     for (d, t, h), b in zip(rows, base_rules([r[:2] for r in rows])):
@@ -127,7 +127,7 @@ def kept_by_rules(rows, min_docs=8, ratio=0.1, min_kept=0.3):
     return out
 
 
-def without_common_lines(rows, min_docs=8, ratio=0.05):
+def without_common_lines(rows, min_docs=2, ratio=0.05):
     common = common_lines(rows, min_docs, ratio)
     out = []
     for d, t, h in rows:

@@ -56,6 +56,7 @@ def sf_dir(spark, rows, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty_dir(spark, sf_dir, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     for t in ("documents", "benchmark", "pages"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return d
@@ -107,14 +108,14 @@ def test_warc(spark, sf_dir, tmp_path):
     from qplate.llm.zipstore import ZipReader, ZipWriter
     for wide in (False, True):
         path = str(tmp_path / f"{wide}.zip")
-        z = ZipWriter(path, force64=wide)
+        z = ZipWriter(f"file:{path}", force64=wide)
         for name in ("a/b", "c"):
             z.begin(name)
             z.write(b"hello "), z.write(name.encode() * 1000)
             z.end()
         z.close()
         assert zipfile.ZipFile(path).testzip() is None and zipfile.ZipFile(path).read("c") == b"hello " + b"c" * 1000
-        assert ZipReader(path).read("a/b", 4, 5) == b"o a/b"
+        assert ZipReader(f"file:{path}").read("a/b", 4, 5) == b"o a/b"
 
 
 def test_warc_splits_a_hot_payload(spark):
@@ -283,31 +284,152 @@ def test_near_dedup_closing_pairs_across_components_only(spark):
     assert _meeting(rare, 75).filter("h < 20").count() <= 3
 
 
-def test_transcripts(spark):
-    r = random.Random(3)
-    say = lambda n: "\n".join(" ".join("w" * r.randint(1, 6) for _ in range(n)) for _ in range(r.randint(1, 3)))
-    turns = [(c, t, ("user", "assistant")[t % 2], say(6 if t % 2 == 0 else 40) + ("?" if t % 2 == 0 else ".")) for c in range(60) for t in range(8)]
-    turns += [(99, t, ("user", "assistant")[t % 2], say(6 if t % 2 == 0 else 40)) for t in range(700)]  # several blocks
-    turns += [(None, 0, "user", "hi"), (100, 0, None, None), (101, None, "system", "")]
-    from qplate.llm.transcript_source import labelled, transcript_lines
-    lines = pin(transcript_lines(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")), "t")
-    blocked = pin(transcripts.blocks(lines), "b")
-    model = transcripts.fit(labelled(blocked, lines.filter("fold < 4")))
-    out = transcripts.decode(blocked, model).collect()
-    truth = {(x.conv_id, x.ord): x.state for x in lines.filter("state is not null").collect()}
-    pairs = [(truth[o.conv, k], s) for o in out for k, s in zip(o.ords, o.states)]
-    assert len(pairs) == len(truth) and max(o.block for o in out) > 0
-    assert np.mean([a // 2 == b // 2 for a, b in pairs]) > 0.9
-    # blocks decode to the path of the whole transcript
-    rows = sorted(((b.i, b.line, b.blank) for b in blocked.filter("conv = '99'").collect()))
-    s = model.scores(transcripts.features([x[1] for x in rows], [x[2] for x in rows]))
-    whole = model.path(s, True, 0, int(model.matrix(s, True)[0].argmax()))
-    assert [x for o in sorted((o for o in out if o.conv == "99"), key=lambda o: o.block) for x in o.states] == whole.tolist()
-    assert all(o.rendered.startswith("<|") for o in out if o.block == 0)
+def _talk(seed, n, turns=8):
+    r = random.Random(seed)
+    say = lambda k: "\n".join(" ".join("w" * r.randint(1, 6) for _ in range(k)) for _ in range(r.randint(1, 3)))
+    return [(c, t, ("user", "assistant")[t % 2], say(6 if t % 2 == 0 else 40) + ("?" if t % 2 == 0 else ".")) for c in range(n) for t in range(turns)]
+
+
+def _chat_rows():
+    rows = _talk(3, 60) + [(99, t, *x[2:]) for t, x in enumerate(_talk(4, 1, 700))]  # the last one has several blocks
+    odd = ["", " ", None, "A-level results?", "Agent-based models work.", "  indented\n\n\ttab  \n", "q", "<|user|>\n<|end|>\n\\<|x", "Note: a - b", "a\r\nb", "é" * 300]
+    rows += [(200 + i, t, ("user", "tool", "assistant", None, "my role")[(i + t) % 5], odd[(i * 3 + t) % len(odd)]) for i in range(12) for t in range(5)]
+    return rows + [(None, 0, "user", "hi"), (None, None, "system", "x"), (300, 0, "user", "twice"), (300, 0, "user", "twice")]
+
+
+@pytest.fixture(scope="module")
+def chat_dir(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("chats"))
+    spark.createDataFrame([(*r, "clash", "clash", None) for r in _chat_rows()], "conv_id long, turn long, role string, text string, conv string, pid string, ord string") \
+        .repartition(3).write.parquet(f"{d}/conversations.parquet")
+    return d
+
+
+def _plain_best(model, codes):
+    """Score of the best path, and of any path, line by line."""
+    def score(path):
+        total = model.start[path[0]] + model.emit[path[0], codes[0]]
+        for a, b, c in zip(path, path[1:], codes[1:]):
+            total += model.move[a, b] + model.emit[b, c]
+        return total
+
+    best = {s: model.start[s] + model.emit[s, codes[0]] for s in range(transcripts.STATES)}
+    for c in codes[1:]:
+        best = {t: max(best[s] + model.move[s, t] for s in best) + model.emit[t, c] for t in best}
+    return max(best.values()), score
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_chats_against_a_plain_model(spark, chat_dir, monkeypatch, block):
+    """Whole query: best paths by score, texts byte for byte, true turns wherever all states were recovered."""
+    from qplate.llm.transcript_source import transcripts as written
+    monkeypatch.setattr(transcripts, "BLOCK", block)
+    monkeypatch.setattr(transcripts, "FAN", 5)
+    src = written(spark.read.parquet(f"{chat_dir}/conversations.parquet"))
+    placed = transcripts.pieces(src.withColumn("truth", F.when(F.col("fold") < 4, F.col("truth"))), truth_col="truth")
+    model = transcripts.fit(transcripts.blocks(placed))
+    out = queries.op6_chat_formatting(spark, chat_dir).collect()
+    given = src.collect()
+    assert len(out) == len(given)
+    texts, got = {}, {}
+    for g in given:
+        texts.setdefault(g.conv_id, []).append(g)
+    for o in out:
+        got.setdefault(None if o.conv_id is None else str(o.conv_id), []).append(o)
+    right = lines = exact = 0
+    for conv, pieces in texts.items():
+        key = lambda x, o: (o is not None, o or 0, x)
+        pieces = sorted(pieces, key=lambda g: key(bytes(map(transcripts.observed, (g.text or "").split("\n"))), g.ord))
+        rows = sorted(got[conv], key=lambda o: (o.turn is not None, o.turn or 0, len(o.states), o.states))
+        said = [x for g in pieces if g.text is not None for x in g.text.split("\n")]
+        states = [s for o in sorted(got[conv], key=lambda o: (o.turn is not None, o.turn or 0)) for s in o.states]
+        assert len(states) == len(said) and sum(o.n_lines for o in rows) == len(said)
+        if len({g.ord for g in pieces}) < len(pieces):
+            continue
+        best, score = _plain_best(model, [transcripts.observed(x) for x in said])
+        assert score(states) == pytest.approx(best)
+        truth = b"".join(bytes(g.truth) for g in pieces if g.truth is not None)
+        right += sum(a // 3 == b // 3 for a, b in zip(states, truth))
+        lines += len(truth)
+        if bytes(states) == truth:
+            exact += 1
+            turns = transcripts.turns("".join(o.rendered for o in sorted(got[conv], key=lambda o: (o.turn is not None, o.turn or 0))))
+            true = [r for r in _chat_rows() if str(r[0]) == str(conv) and r[3] is not None]
+            assert [t for _, t in turns] == [r[3] for r in sorted(true, key=lambda r: (r[1] is not None, r[1] or 0))]
+            assert all(a == r[2] for (a, _), r in zip(turns, sorted(true, key=lambda r: (r[1] is not None, r[1] or 0))) if r[2] in ("user", "assistant"))
+    assert right / lines > 0.9 and exact > 15
+
+
+def test_chat_markers():
+    for line, found in (("User: hi", (2, 6, "user")), ("### Human: x", (2, 11, "human")), ("[agent] x", (3, 8, "agent")), ("tool: x", (4, 6, "tool")),
+                        ("Q: ", (2, 3, "q")), ("assistant - yes", (3, 12, "assistant")), ("**User:** a", (2, 10, "user")), ("User:  two", (2, 6, "user"))):
+        assert transcripts.marker(line) == found, line
+    for line in ("Agent-based models work.", "A-level results?", "a", "Question about it", " User: x", "a -b", "(see above", ""):
+        assert transcripts.marker(line) == (0, 0, ""), line
+
+
+def test_chat_rendering_keeps_other_lines():
+    t = transcripts
+    lines = "User: a\n\n  b \n\nAssistant: said\n<|end|>\n\\<|x|>"
+    states = bytes([3 + t.MARKED, 3 + t.LATER, 3 + t.LATER, t.SEPARATOR, 6 + t.FIRST, 6 + t.LATER, 6 + t.LATER])
+    out = t.rendered(lines, states, True, True)
+    assert t.turns(out) == [("user", "a\n\n  b "), ("assistant", "Assistant: said\n<|end|>\n\\<|x|>")]
+    parts = t.rendered("User: a\nb", states[:2], True, False) + t.rendered("c\nx", bytes([3 + t.LATER, 6]), False, True)
+    assert t.turns(parts) == [("user", "a\nb\nc"), ("assistant", "x")]
+
+
+def test_hosts_of_few_pages(spark):
+    """The ratio decides on hosts of any size; a host's only page keeps its lines."""
+    from qplate.llm.line_dedup import drop_common_lines
+    from qplate.llm.quality import quality_rules
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    rows = [(1, "menu line\n" + own(1), "one")] + [(10 + i, ("menu line\n" if i < 7 else "") + own(10 + i), "seven") for i in range(7)] \
+        + [(100 + i, ("menu line\n" if i < 7 else "rare line\n" if i == 9 else "") + own(100 + i), "twenty") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    gone = {r.doc_id: r.n_removed for r in drop_common_lines(docs).collect()}
+    assert gone == {1: 0, **{10 + i: 1 for i in range(7)}, **{100 + i: int(i < 7) for i in range(20)}}
+    assert {r.doc_id: r.n_common_words for r in quality_rules(docs).collect()} == {k: 2 * v for k, v in gone.items()}
+
+
+def test_columns_of_any_name_come_back(spark):
+    from qplate.llm.decontaminate import keep_clean
+    from qplate.llm.line_dedup import drop_common_lines
+    from qplate.llm.near_dedup import keep_one
+    from qplate.llm.quality import keep_good
+    text = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, "s", "x", "y"), (1, text, "s", "x", "y"), (2, "", "s", "x", None), (2, "", "s", "x", None)],
+                                 "doc_id long, text string, source string, _qp_x string, _QP_a string")
+    items = spark.createDataFrame([(1, "nothing shared")], "item_id long, text string")
+    assert keep_good(docs).columns == keep_clean(docs, items).columns == docs.columns
+    assert drop_common_lines(docs).columns == [*docs.columns, "n_lines", "n_removed"]
+    left = sorted(tuple(r) for r in keep_one(docs).select("doc_id", "_qp_x").collect())
+    assert left == [(1, "x"), (2, "x"), (2, "x")]  # rows without words stay, each of them
+
+
+def test_warc_payloads_are_verified(spark, sf_dir):
+    from qplate.llm import warc
+    from qplate.llm.zipstore import ZipReader
+    manifest = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    rows = warc.read_archives(manifest, with_payload=True).collect()
+    html = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    for r in rows:
+        digest = warc.payload_digest(html[r.page_id])
+        assert r.payload_digest == digest and r.payload_bytes == len(html[r.page_id])
+        assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == html[r.page_id]
+    assert {r.record_type for r in rows} == {"response", "revisit"}
+    good = warc.record(5, "u", b"payload", warc.payload_digest(b"payload"), None)
+    assert warc.parse(good)[3] == warc.payload_digest(b"payload")
+    for bad in (good.replace(b"payload\r\n\r\n", b"paxload\r\n\r\n"), warc.record(5, "u", b"payload", "FAKEDIGEST", None)):
+        with pytest.raises(ValueError, match="digest"):
+            warc.parse(bad)
+    revisit = warc.parse(warc.record(6, "u", b"payload", warc.payload_digest(b"payload"), 5))
+    assert revisit[2:7] == (7, warc.payload_digest(b"payload"), "revisit", 5, None)
+    path = manifest.first().path
+    assert path.startswith("file:") and ZipReader(path).read(warc.INDEX)
 
 
 def test_empty_tables(spark, empty_dir):
-    for name in ("op1_suffix_dedup", "op2_line_dedup", "op3_decontaminate", "op4_warc", "op5_packing", "op7_token_files", "op8_quality_rules",
+    for name in ("op1_suffix_dedup", "op2_line_dedup", "op3_decontaminate", "op4_warc", "op5_packing", "op6_chat_formatting", "op7_token_files", "op8_quality_rules",
                  "op9_secret_scan", "op10_near_dedup"):
         assert queries.REGISTRY[name](spark, empty_dir).count() == 0, name
 
