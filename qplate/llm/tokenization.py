@@ -28,13 +28,17 @@ _STATE: dict[str, "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
-    """``cache_entries`` bounds the worker's memory (about 150 bytes an entry); a full cache begins anew."""
+    """Three caches of at most ``cache_entries`` entries each, a full one begins anew; strings of more than ``longest`` characters
+    are never kept, so that a worker holds about 250 bytes an entry at most, whatever the texts are.
+    """
 
-    def __init__(self, path: str, cache_entries: int = 1_000_000):
+    def __init__(self, path: str, cache_entries: int = 300_000, longest: int = 64):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = _kind(json.loads(self.tokenizer.to_str()))
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = [t.content for t in added]  # texts that hold such a string are encoded whole
+        self.longest = longest
+        self.kind = None if any(t.normalized for t in added) else _kind(json.loads(self.tokenizer.to_str()))
         self.cache_entries = cache_entries
         self.heads: dict[str, bytes] = {}  # ids of chunks at the start of a text
         self.chunks: dict[str, bytes] = {}  # ids of chunks behind a space
@@ -69,6 +73,9 @@ class ChunkEncoder:
         get = self.pieces.__getitem__
         into.update((c, b"".join(map(get, p))) for c, p in zip(plain, split))
         into.update(zip(other, self._library([space + c for c in other])))
+        for c in new:
+            if len(c) > self.longest:
+                del self.pieces[c]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -85,6 +92,9 @@ class ChunkEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
+            if any(t in text for t in self.added):
+                out[i] = self._library([text])[0]
+                continue
             if "  " in text or " \n" in text or "\n " in text or not (text.isascii() and text.isprintable()) \
                     and self.beside.search(text):
                 out[i] = self._library([text])[0]
@@ -105,6 +115,10 @@ class ChunkEncoder:
         get = self.chunks.__getitem__
         for i, p in waiting:
             out[i] = self.heads[p[0]] + b"".join(map(get, p[1:]))
+        for some, cache in ((heads, self.heads), (missing, self.chunks)):
+            for c in some:
+                if len(c) > self.longest:
+                    cache.pop(c, None)
         return out
 
 

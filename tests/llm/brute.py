@@ -74,7 +74,6 @@ def warc(pages):
 def token_ids(texts, path, end):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, end], dtype="<u4") for x in texts]
 
 
