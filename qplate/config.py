@@ -3,12 +3,12 @@
 Fixed values that must equal the original analysis for identical results:
 housekeeping genes ["RHOA"], failed-replicate cycle threshold 35, technical
 tolerance 0.5 cycles, leave-one-out dispersion 2.5 sd (3 in the Cp-ratio
-variant), magnitude jump 2 decades, control group "DN", test "ttest".
+variant), magnitude jump 2 decades, test "ttest".
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -21,12 +21,10 @@ class AnalysisConfig:
     test_type: str = "ttest"            # "ttest" (Welch) or "wilcox" (rank-sum)
     exact_limit: int = 50               # rank-sum: exact p-value when both groups have fewer values and no ties
     magnitude_jump: int = 2             # axis-break detection, decades
-    control_group: str = "DN"
     drop_failed: bool = True            # False: flag failed replicates but keep them
     # scale knobs (no effect on results)
     value_chunk_width: float | None = None   # Cp units per value chunk in technical QC; default 8 * tolerance
     loo_chunk_rows: int = 4096               # rows per salted chunk in leave-one-out
-    extra: dict = field(default_factory=dict)
 
     @property
     def chunk_width(self) -> float:

@@ -49,7 +49,7 @@ def materialize(df: DataFrame, mode: str) -> DataFrame:
     if mode == "table":
         path = new_folder(df.sparkSession, "tables")
         df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)  # no footers are read to find the schema
     if mode == "checkpoint":
         ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)

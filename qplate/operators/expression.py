@@ -64,15 +64,6 @@ def group_expression(qv: DataFrame, keys: Sequence[str] = GROUP, cp: str = "Cp",
             .withColumn("log2_expression_value", log2_or_null(F.col("normalized_expression"))))
 
 
-def first_row_only(df: DataFrame, cols: Sequence[str], first_ord: str = "_first_ord",
-                   order: str = "well_ord") -> DataFrame:
-    """Keep ``cols`` on the representative row of each group (row ``order == first_ord``), NULL elsewhere."""
-    is_first = F.col(order) == F.col(first_ord)
-    for c in cols:
-        df = df.withColumn(c, F.when(is_first, F.col(c)))
-    return df
-
-
 def weighted_mean_sd(values: DataFrame, keys: Sequence[str], x: str, m: str = "m",
                      mask: F.Column | None = None, prefix: str = "") -> DataFrame:
     """Mean and sample sd of ``x`` repeated ``m`` times per group (two passes, no cancellation)."""

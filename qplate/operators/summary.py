@@ -56,6 +56,3 @@ def zscore(df: DataFrame, keys: Sequence[str] = ZKEYS, value: str = "log2_expres
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_zmu"), F.stddev_samp(value).alias("_zsd"))
     j = join_keys(df, stats, keys, "left")
     return j.withColumn(out, safe_div(F.col(value) - F.col("_zmu"), F.col("_zsd"))).drop("_zmu", "_zsd")
-
-
-REPORT_ORDER = ("replicate_name", "Gene")

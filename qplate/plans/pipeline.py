@@ -194,6 +194,9 @@ def assemble_report(a: Analysis, with_comparisons: bool = False, ordered: bool =
     return rep.orderBy(*report_order()) if ordered else rep
 
 
+REPORT_KEYS = ["replicate_name", "Gene", "elevated_value_mean", "well_ord"]
+
+
 def report_order() -> list:
     """The report's order: representatives lead their group, missing values come last."""
     return [F.col("replicate_name").asc_nulls_last(), F.col("Gene").asc_nulls_last(), F.col("elevated_value_mean").isNull().asc(),
@@ -294,7 +297,7 @@ def run_files(spark, plates, gene_layout: DataFrame, sample_layout: DataFrame, m
     base = out_dir.rstrip("/")
     write_table(rejected_lines(spark, plates), f"{base}/rejected")
     write_split(a.wells, f"{base}/wells", partition_by)
-    write_sorted(materialize(a.report(), "table"), f"{base}/report", report_order())
+    write_sorted(materialize(a.report(), "table"), f"{base}/report", report_order(), REPORT_KEYS)
     write_table(a.statistics, f"{base}/statistics")
     write_table(unmatched_wells(raw, gene_layout, sample_layout, metadata, meta_key), f"{base}/unmatched")
     write_table(duplicate_metadata_keys(metadata, meta_key), f"{base}/repeated_metadata")

@@ -34,7 +34,7 @@ from qplate.operators.plotdata import (
 )
 from qplate.operators.summary import zscore
 from qplate.operators.variants import delta_delta, sample_labels
-from qplate.plans.pipeline import GROUP, analyse, prepare_wells, recalculate, report_order
+from qplate.plans.pipeline import GROUP, REPORT_KEYS, analyse, prepare_wells, recalculate, report_order
 from qplate.plans.replay import merge_changes, replay_changes
 from qplate.operators.significance import ranksum_test, two_group_test
 from qplate.operators.layout import annotate_wells, expand_layout, unmatched_wells
@@ -414,7 +414,7 @@ def q_report_sink(spark, sf_dir):
     """The report written as sorted files of at most 5,000 rows and read back with each row's place in the order."""
     folder = new_folder(spark, "report")
     report = materialize(analyse(_wells(spark, sf_dir), EVENT_CFG).report(), "table")
-    write_sorted(report, folder, report_order(), rows_per_file=5000)
+    write_sorted(report, folder, report_order(), REPORT_KEYS, rows_per_file=5000)
     return read_sorted(spark, folder).select("row_no", "file_name", "Pos", "replicate_name", "Gene")
 
 

@@ -10,21 +10,19 @@ from pyspark.sql import functions as F
 ROWS_PER_FILE = 1_000_000
 
 
-def write_sorted(df: DataFrame, path: str, order: Sequence[Column], rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+def write_sorted(df: DataFrame, path: str, order: Sequence[Column], keys: Sequence[str], rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Write ``df`` as Parquet files that follow each other in ``order``, none with more than ``rows_per_file`` rows; returns the manifest.
 
     Ranges are sampled from the order itself and each is sorted and written by its own task; there is no global sort into one reader.  ``df`` is
     evaluated twice (once for the sample), so it should be a table that is cheap to read.  The manifest, also kept under
-    ``<path>/_manifest``, has a row per file: file_no, file_name, n_rows, first_row (rows before it), first_key and last_key.
+    ``<path>/_manifest``, has a row per file: file_no, file_name, n_rows, first_row (rows before it), and the ``keys`` of its first and
+    last row as first_key and last_key.
     """
     base = path.rstrip("/")
-    keys = [f"_k{i}" for i in range(len(order))]
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(base)
     rows = df.sparkSession.read.parquet(base)
-    # the keys as plain values: what the order sorts by, without its direction
-    values = [F.expr(_key_of(o)).alias(k) for o, k in zip(order, keys)]
-    at = rows.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("_at"), F.struct(*values).alias("_key"))
+    at = rows.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("_at"), F.struct(*keys).alias("_key"))
     files = at.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_rows"), F.min_by("_key", "_at").alias("first_key"), F.max_by("_key", "_at").alias("last_key"))
     part = F.regexp_extract("file_name", r"^part-(\d+)", 1).cast("long")
     by_name = Window.orderBy(part, "file_name")  # one row a file
@@ -35,16 +33,6 @@ def write_sorted(df: DataFrame, path: str, order: Sequence[Column], rows_per_fil
     return df.sparkSession.read.parquet(f"{base}/_manifest")
 
 
-def _key_of(order: Column) -> str:
-    """The expression of a sort key without ASC, DESC and NULLS."""
-    text = order._jc.toString()
-    for word in ("NULLS FIRST", "NULLS LAST"):
-        text = text.removesuffix(word).strip()
-    for word in ("ASC", "DESC"):
-        text = text.removesuffix(word).strip()
-    return text
-
-
 def read_sorted(spark: SparkSession, path: str, place: str = "row_no") -> DataFrame:
     """A table of :func:`write_sorted` with each row's place in its order (from 0) as ``place``; a range of places or keys reads
     only the files that the manifest names for it."""
