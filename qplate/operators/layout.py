@@ -13,10 +13,16 @@ wells: ``rows`` like ``"A,B"`` and ``cols`` like ``"1-3,7"``.  Token rules
 
 Lookups are "first match wins": the earliest (sheet row, row token, column
 token) for a well decides, and a lookup never multiplies wells.
+
+A sheet's file is far smaller than its cells, so sheets are spread by their
+cell count before they are expanded, and the joins are merge joins: Spark's
+size estimates do not see the expansion and would broadcast whole lookups.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +30,7 @@ from qplate.functions.wells import hk_type
 from qplate.operators._util import join_keys
 
 WELL_KEY = ["file_name", "Pos"]
+CELLS_PER_TASK = 500_000  # cells that one task expands and sorts
 
 
 def _pieces(text: Column, sep: str = ",") -> Column:
@@ -63,6 +70,14 @@ def expand_layout(sheet: DataFrame, value_col: str, ordinal: str = "sheet_ord")
                  F.col("_ci").alias("c")).alias("_ord"))
 
 
+def spread_sheet(sheet: DataFrame, cells_per_task: int = CELLS_PER_TASK) -> DataFrame:
+    """``sheet`` dealt to as many tasks as its cells need (one pass counts them)."""
+    columns = F.aggregate(F.transform(_pieces(F.col("cols")), lambda tok: F.coalesce(F.size(_col_numbers(tok)), F.lit(0)).cast("long")),
+                          F.lit(0).cast("long"), lambda a, n: a + F.greatest(n, F.lit(0)))
+    cells = sheet.agg(F.sum(F.size(_pieces(F.col("rows"))) * columns)).first()[0] or 0
+    return sheet.repartition(math.ceil(cells / cells_per_task)) if cells > cells_per_task else sheet
+
+
 def first_match(expanded: DataFrame, value_col: str, out_col: str) -> DataFrame:
     """(file_name, Pos) -> value of the earliest layout cell; partial aggregation, no fan-out."""
     return (expanded.groupBy(*WELL_KEY)
@@ -72,10 +87,10 @@ def first_match(expanded: DataFrame, value_col: str, out_col: str) -> DataFrame:
 
 def attach_layouts(wells: DataFrame, gene_layout: DataFrame, sample_layout: DataFrame) -> DataFrame:
     """Left-attach Gene and replicate_name by well: both lookups are merged first, so the wells are joined once."""
-    genes = first_match(expand_layout(gene_layout, "gene"), "gene", "Gene")
-    samples = first_match(expand_layout(sample_layout, "sample"), "sample", "replicate_name")
-    lookup = genes.join(samples, WELL_KEY, "full")
-    return join_keys(wells, lookup, WELL_KEY, "left")
+    genes = first_match(expand_layout(spread_sheet(gene_layout), "gene"), "gene", "Gene")
+    samples = first_match(expand_layout(spread_sheet(sample_layout), "sample"), "sample", "replicate_name")
+    lookup = genes.join(samples.hint("merge"), WELL_KEY, "full")
+    return join_keys(wells, lookup.hint("merge"), WELL_KEY, "left")
 
 
 def annotate_wells(wells: DataFrame, gene_layout: DataFrame, sample_layout: DataFrame, meta: DataFrame,
@@ -90,7 +105,7 @@ def annotate_wells(wells: DataFrame, gene_layout: DataFrame, sample_layout: Data
     w = w.withColumn("type_of_gene", hk_type(F.col("Gene"), hk_genes))
     w = w.filter(F.col("replicate_name").isNotNull())
     m = meta.withColumnRenamed(meta_key, "replicate_name") if meta_key != "replicate_name" else meta
-    return w.join(m, "replicate_name", "inner")
+    return w.join(m.hint("merge"), "replicate_name", "inner")
 
 
 def unmatched_wells(wells: DataFrame, gene_layout: DataFrame, sample_layout: DataFrame, meta: DataFrame,
@@ -99,7 +114,7 @@ def unmatched_wells(wells: DataFrame, gene_layout: DataFrame, sample_layout: Dat
     w = attach_layouts(wells, gene_layout, sample_layout)
     keys = meta.select(F.col(meta_key).alias("replicate_name")).distinct()
     no_rep = w.filter(F.col("replicate_name").isNull()).withColumn("reason", F.lit("no_replicate"))
-    no_meta = (w.filter(F.col("replicate_name").isNotNull()).join(keys, "replicate_name", "left_anti")
+    no_meta = (w.filter(F.col("replicate_name").isNotNull()).join(keys.hint("merge"), "replicate_name", "left_anti")
                .withColumn("reason", F.lit("no_metadata")))
     return no_rep.unionByName(no_meta)
 
