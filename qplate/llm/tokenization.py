@@ -1,11 +1,12 @@
-"""Token ids of whole texts by a public tokenizer file, with a word cache in each worker.
+"""Token ids of whole texts by a public tokenizer file, with a cache of word pieces in each worker.
 
 Two kinds of tokenizer files split a text at a single space between two
 non-space characters before any merge is made (byte-level BPE: the space opens
 the next piece; word-end BPE: it is dropped).  For those, the ids of a text are
 the ids of its space-separated chunks in order, and the ids of a chunk those of
-its pieces.  Both repeat far more often than texts, so a worker keeps the ids
-it has met and the library only encodes new pieces.  Texts with other white
+its pieces.  Both repeat far more often than texts: the chunks of a run of
+texts are made distinct by Arrow and split into pieces once, a worker keeps the ids
+of the pieces it has met, and the library only encodes new ones.  Texts with other white
 space next to a space, and other kinds of tokenizer files, are encoded whole.
 """
 
@@ -16,112 +17,149 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Pre-tokenizer patterns of the two kinds over the characters of _PLAIN (fixed values: they must split as the files do).
 _L, _N = "A-Za-zÀ-ÖØ-öø-ÿ", "0-9"
-_PLAIN = re.compile(rf"[ \n\t{_L}{_N}!-/:-@\[-`{{-~]*")
+_SEEN = rf"{_L}{_N}!-/:-@\[-`{{-~"
+_PLAIN = re.compile(rf"[ \n\t{_SEEN}]*")
+_TIDY = re.compile(rf"[{_SEEN}](?:[ \n\t{_SEEN}]*[{_SEEN}])?")  # plain, with no white space at its ends
+_END = "\0"  # stands behind every chunk when many are split in one call; no chunk of _PLAIN holds it
 _PIECES = {
-    "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \n\t{_L}{_N}]+|[ \n\t]+(?![^ \n\t])|[ \n\t]+"),
-    "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^ \n\t{_L}{_N}]+"),
+    "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \n\t\0{_L}{_N}]+|[ \n\t]+(?![^ \n\t\0])|[ \n\t]+|\0"),
+    "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^ \n\t\0{_L}{_N}]+|\0"),
 }
 _STATE: dict[str, "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
-    """Three caches of at most ``cache_entries`` entries each, a full one begins anew; strings of more than ``longest`` characters
-    are never kept, so that a worker holds about 250 bytes an entry at most, whatever the texts are.
+    """A cache of at most ``cache_entries`` pieces before a run of texts, a full one begins anew; pieces of more than ``longest``
+    characters are never kept, so that a worker holds about 250 bytes an entry at most, whatever the texts are.
     """
 
-    def __init__(self, path: str, cache_entries: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, cache_entries: int = 900_000, longest: int = 64):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_file(path)
         added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.added = [t.content for t in added]  # texts that hold such a string are encoded whole
         self.longest = longest
         self.kind = None if any(t.normalized for t in added) else _kind(json.loads(self.tokenizer.to_str()))
         self.cache_entries = cache_entries
-        self.heads: dict[str, bytes] = {}  # ids of chunks at the start of a text
-        self.chunks: dict[str, bytes] = {}  # ids of chunks behind a space
-        self.pieces: dict[str, bytes] = {}
-        self.beside = re.compile(r"\s | \s")
-
-    def _library(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The same for strings that are one piece each, with one call for many."""
-        out: list[bytes] = []
-        for i in range(0, len(pieces), 20_000):
-            part = pieces[i:i + 20_000]
-            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u4").tobytes()
-            ends = (4 * np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(part)))).tolist()
-            out += [ids[a:b] for a, b in zip([0, *ends], ends)]
-        return out
-
-    def _learn(self, missing: set[str], space: str, into: dict[str, bytes]) -> None:
-        plain, other, find = [], [], _PIECES[self.kind].findall
-        for c in missing:
-            (plain if _PLAIN.fullmatch(c) else other).append(c)
-        # a word-end file lower-cases first
-        split = [find(c.lower() if self.kind == "word" else space + c) for c in plain]
-        if len(self.pieces) > self.cache_entries:
-            self.pieces.clear()
-        new = list(set(chain.from_iterable(split)) - self.pieces.keys())
-        self.pieces.update(zip(new, self._pieces(new)))
-        get = self.pieces.__getitem__
-        into.update((c, b"".join(map(get, p))) for c, p in zip(plain, split))
-        into.update(zip(other, self._library([space + c for c in other])))
-        for c in new:
-            if len(c) > self.longest:
-                del self.pieces[c]
+        self.model = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        # characters of _PLAIN as the model has them; what is split never holds others
+        self.alphabet = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(1, 256)) if _PLAIN.fullmatch(c)})
+        self._begin()
+
+    def _begin(self) -> None:
+        self.pieces: dict[str, int] = {_END: 0}  # place of a piece in starts and counts
+        self.ids, self.starts, self.counts = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        if not new:
+            return
+        merge = self.model.tokenize
+        got = [[t.id for t in merge(p)] for p in _END.join(new).translate(self.alphabet).split(_END)]
+        counts = np.fromiter(map(len, got), np.int64, len(got))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), "<u4", counts.sum())])
+        self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new))))
+
+    def _plain(self, chunks: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain strings, each behind ``space``, end to end, and the place behind each one's."""
+        if not chunks:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        joined = space + (_END + space).join(chunks) + _END
+        found = _PIECES[self.kind].findall(joined.lower() if self.kind == "word" else joined)  # a word-end file lower-cases first
+        new = list(set(found) - self.pieces.keys())
+        long = [p for p in new if len(p) > self.longest]
+        self._learn([p for p in new if len(p) <= self.longest] if long else new)
+        n, n_ids = len(self.pieces), len(self.ids)
+        self._learn(long)
+        at = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        counts = self.counts[at]
+        ids = _gather(self.ids, self.starts[at], counts)
+        if long:
+            for p in long:
+                del self.pieces[p]
+            self.ids, self.starts, self.counts = self.ids[:n_ids], self.starts[:n], self.counts[:n]
+        return ids, np.cumsum(counts)[at == 0]
+
+    def _chunks(self, chunks: list[str], other: list[int], space: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of strings without a space, each behind ``space``; first place and number of each one's ids.
+        The strings at ``other`` are not plain.
+        """
+        fit = np.ones(len(chunks), bool)
+        fit[other] = False
+        ids, ends = self._plain([chunks[i] for i in np.flatnonzero(fit).tolist()] if other else chunks, space)
+        starts, counts = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        counts[fit] = np.diff(ends, prepend=0)
+        starts[fit] = ends - counts[fit]
+        if other:
+            got = [e.ids for e in self.tokenizer.encode_batch([space + chunks[i] for i in other], add_special_tokens=False)]
+            counts[other] = [len(g) for g in got]
+            starts[other] = len(ids) + np.cumsum(counts[other]) - counts[other]
+            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(got), "<u4")])
+        return ids, starts, counts
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if self.kind is None:
-            return self._library(texts)
-        if len(self.chunks) > self.cache_entries:
-            self.chunks.clear()
-        if len(self.heads) > self.cache_entries:
-            self.heads.clear()
+            return self._whole(texts)
+        if len(self.pieces) > self.cache_entries:
+            self._begin()
         out: list[bytes] = [b""] * len(texts)
-        waiting: list[tuple[int, list[str]]] = []
-        heads, missing = set(), set()
-        known, known_head = self.chunks.get, self.heads.get
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if any(t in text for t in self.added):
-                out[i] = self._library([text])[0]
-                continue
-            if "  " in text or " \n" in text or "\n " in text or not (text.isascii() and text.isprintable()) \
-                    and self.beside.search(text):
-                out[i] = self._library([text])[0]
-                continue
-            p = text.split(" ")
-            got = list(map(known, p))
-            got[0] = known_head(p[0])
-            if None not in got:
-                out[i] = b"".join(got)
-                continue
-            if got[0] is None:
-                heads.add(p[0])
-                got[0] = b""
-            missing.update([c for c, g in zip(p, got) if g is None])
-            waiting.append((i, p))
-        self._learn(heads, "", self.heads)
-        self._learn(missing, " ", self.chunks)
-        get = self.chunks.__getitem__
-        for i, p in waiting:
-            out[i] = self.heads[p[0]] + b"".join(map(get, p[1:]))
-        for some, cache in ((heads, self.heads), (missing, self.chunks)):
-            for c in some:
-                if len(c) > self.longest:
-                    cache.pop(c, None)
+        whole = [i for i, t in enumerate(texts) if "  " in t or " \n" in t or "\n " in t or any(a in t for a in self.added)]
+        apart = set(whole)
+        at = [i for i, t in enumerate(texts) if t and i not in apart]
+        if at:
+            parts = pc.split_pattern(pa.array([texts[i] for i in at], pa.large_string()), " ")
+            first = parts.offsets.to_numpy().astype(np.int64)
+            coded = parts.values.dictionary_encode()
+            chunks, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+            tidy = _TIDY.fullmatch
+            rest = [i for i, c in enumerate(chunks) if tidy(c) is None]
+            # white space beside a space: a chunk that starts or ends with it, away from that end of the text
+            blank = np.zeros(len(chunks), bool)
+            blank[rest] = [c[:1].isspace() or c[-1:].isspace() for c in map(chunks.__getitem__, rest)]
+            beside = np.zeros(len(at), bool)
+            for k in np.flatnonzero(blank[code]).tolist():
+                i, c = int(np.searchsorted(first, k, "right")) - 1, chunks[code[k]]
+                beside[i] |= k > first[i] and c[0].isspace() or k < first[i + 1] - 1 and c[-1].isspace()
+            other = [i for i in rest if not _PLAIN.fullmatch(chunks[i])]
+            ids, starts, counts = self._chunks(chunks, other, " ")
+            opening = code[first[:-1]]  # a text's first chunk has no space before it
+            heads, place = np.unique(opening, return_inverse=True)
+            code[first[:-1]] = len(chunks) + place
+            opening = [chunks[c] for c in heads.tolist()]
+            head_ids, head_starts, head_counts = self._chunks(opening, [i for i, c in enumerate(opening) if not _PLAIN.fullmatch(c)], "")
+            head_starts += len(ids)
+            ids, starts, counts = (np.concatenate(p) for p in ((ids, head_ids), (starts, head_starts), (counts, head_counts)))
+            counts = counts[code]
+            data = memoryview(_gather(ids, starts[code], counts).tobytes())
+            ends = (4 * np.concatenate([[0], np.cumsum(counts)])[first]).tolist()
+            for i, b, e, left in zip(at, ends, ends[1:], beside.tolist()):
+                if left:
+                    whole.append(i)
+                else:
+                    out[i] = bytes(data[b:e])
+        for i in whole:
+            out[i] = self._whole([texts[i]])[0]
         return out
 
 
+def _gather(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of ``ids`` that begin at ``starts``, end to end."""
+    ends = np.cumsum(counts)
+    return ids[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def _kind(spec: dict) -> str | None:
     pre = spec.get("pre_tokenizer") or {}
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") \
@@ -129,6 +167,7 @@ def _kind(spec: dict) -> str | None:
         return "byte"
     steps = pre.get("pretokenizers", [])
     if [s.get("type") for s in steps] == ["Split", "ByteLevel"] and steps[0].get("invert") \
+            and not steps[1].get("use_regex", True) and not steps[1].get("add_prefix_space", True) \
             and steps[0].get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
         return "word"
     return None
@@ -143,7 +182,7 @@ def encoder(path: str) -> ChunkEncoder:
     return _STATE[path]
 
 
-def in_slices(texts, limit: int = 1 << 20):
+def in_slices(texts, limit: int = 1 << 22):
     """(first index, texts) runs of about ``limit`` characters, so that a batch of long texts stays small."""
     run, first, size = [], 0, 0
     for i, t in enumerate(texts):
