@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 _L, _N = "A-Za-zÀ-ÖØ-öø-ÿ", "0-9"
 _SEEN = rf"{_L}{_N}!-/:-@\[-`{{-~"
 _PLAIN = re.compile(rf"[ \n\t{_SEEN}]*")
-_TIDY = re.compile(rf"[{_SEEN}](?:[ \n\t{_SEEN}]*[{_SEEN}])?")  # plain, with no white space at its ends
+_TIDY = rf"^[{_SEEN}](?:[ \n\t{_SEEN}]*[{_SEEN}])?$"  # plain, with no white space at its ends (a pattern for Arrow)
 _END = "\0"  # stands behind every chunk when many are split in one call; no chunk of _PLAIN holds it
 _PIECES = {
     "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \n\t\0{_L}{_N}]+|[ \n\t]+(?![^ \n\t\0])|[ \n\t]+|\0"),
@@ -74,12 +74,14 @@ class ChunkEncoder:
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         joined = space + (_END + space).join(chunks) + _END
         found = _PIECES[self.kind].findall(joined.lower() if self.kind == "word" else joined)  # a word-end file lower-cases first
-        new = list(set(found) - self.pieces.keys())
+        coded = pa.array(found, pa.large_string()).dictionary_encode()
+        met = _strings(coded.dictionary)
+        new = [p for p in met if p not in self.pieces]
         long = [p for p in new if len(p) > self.longest]
         self._learn([p for p in new if len(p) <= self.longest] if long else new)
         n, n_ids = len(self.pieces), len(self.ids)
         self._learn(long)
-        at = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        at = np.fromiter(map(self.pieces.__getitem__, met), np.int64, len(met))[coded.indices.to_numpy()]
         counts = self.counts[at]
         ids = _gather(self.ids, self.starts[at], counts)
         if long:
@@ -122,9 +124,8 @@ class ChunkEncoder:
             parts = pc.split_pattern(pa.array([texts[i] for i in at], pa.large_string()), " ")
             first = parts.offsets.to_numpy().astype(np.int64)
             coded = parts.values.dictionary_encode()
-            chunks, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
-            tidy = _TIDY.fullmatch
-            rest = [i for i, c in enumerate(chunks) if tidy(c) is None]
+            chunks, code = _strings(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
+            rest = np.flatnonzero(~pc.match_substring_regex(coded.dictionary, _TIDY).to_numpy(zero_copy_only=False)).tolist()
             # white space beside a space: a chunk that starts or ends with it, away from that end of the text
             blank = np.zeros(len(chunks), bool)
             blank[rest] = [c[:1].isspace() or c[-1:].isspace() for c in map(chunks.__getitem__, rest)]
@@ -154,6 +155,10 @@ class ChunkEncoder:
         return out
 
 
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def _gather(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The runs of ``ids`` that begin at ``starts``, end to end."""
     ends = np.cumsum(counts)
