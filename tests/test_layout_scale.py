@@ -55,3 +55,21 @@ def test_annotation_against_a_plain_model(spark):
                           for w in wells.collect()), key=repr)
     n = {k: sum(1 for m in meta.collect() if m.replicate_name == k) for k in set(first.values())}
     assert annotate_wells(wells, genes, samples, meta, ["g1"]).count() == sum(n[r[3]] for r in got if r[3])
+
+
+def test_small_sheet_files_are_not_broadcast(spark, tmp_path):
+    """A sheet's file says nothing of its cells: below the threshold as a file, its lookup may be any size."""
+    def stored(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    wells, genes, samples, meta = (stored(df, f"t{i}") for i, df in enumerate(_inputs(spark)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        for df in (annotate_wells(wells, genes, samples, meta, ["g1"]), unmatched_wells(wells, genes, samples, meta)):
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
