@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from qplate.llm.common import numbered, pin
 from qplate.llm.tokenization import encoder, in_slices
 
+CACHE_ENTRIES, RUN = 250_000, 1 << 20  # word pieces that a worker keeps, characters that it encodes at once: about a third of a GB at most
 PIECES = "doc_id long, th long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -35,10 +36,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int = 2048,
         raise ValueError("longest must be a power of two")
 
     def cut(batches):
-        enc, end = encoder(tokenizer_path), struct.pack("<I", end_id)
+        enc, end = encoder(tokenizer_path, CACHE_ENTRIES), struct.pack("<I", end_id)
         for batch in batches:
             ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for first, texts in in_slices(batch.column(1)):
+            for first, texts in in_slices(batch.column(1), RUN):
                 rows = []
                 for i, got in enumerate(enc.encode(texts), first):
                     got += end

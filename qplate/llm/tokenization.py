@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +30,13 @@ _PIECES = {
     "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \n\t\0{_L}{_N}]+|[ \n\t]+(?![^ \n\t\0])|[ \n\t]+|\0"),
     "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^ \n\t\0{_L}{_N}]+|\0"),
 }
-_STATE: dict[str, "ChunkEncoder"] = {}
+_STATE: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
-    """A cache of at most ``cache_entries`` pieces before a run of texts, a full one begins anew; pieces of more than ``longest``
-    characters are never kept, so that a worker holds about 250 bytes an entry at most, whatever the texts are.
+    """A cache of at most ``cache_entries`` pieces before a run of texts; of a full one the third met first stays, which holds nearly all
+    frequent pieces.  Pieces of more than ``longest`` characters are never kept, so that a worker holds about 250 bytes an entry at
+    most, whatever the texts are.
     """
 
     def __init__(self, path: str, cache_entries: int = 900_000, longest: int = 64):
@@ -57,6 +58,13 @@ class ChunkEncoder:
         self.pieces: dict[str, int] = {_END: 0}  # place of a piece in starts and counts
         self.ids, self.starts, self.counts = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
+    def _forget(self) -> None:
+        """All but the pieces met first; a piece's place is its turn in the cache."""
+        n = max(1, self.cache_entries // 3)
+        self.pieces = dict(islice(self.pieces.items(), n))
+        self.ids = self.ids[:self.starts[n]].copy()
+        self.starts, self.counts = self.starts[:n].copy(), self.counts[:n].copy()
+
     def _learn(self, new: list[str]) -> None:
         if not new:
             return
@@ -115,7 +123,7 @@ class ChunkEncoder:
         if self.kind is None:
             return self._whole(texts)
         if len(self.pieces) > self.cache_entries:
-            self._begin()
+            self._forget()
         out: list[bytes] = [b""] * len(texts)
         whole = [i for i, t in enumerate(texts) if "  " in t or " \n" in t or "\n " in t or any(a in t for a in self.added)]
         apart = set(whole)
@@ -178,13 +186,14 @@ def _kind(spec: dict) -> str | None:
     return None
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder for a tokenizer file (kept between tasks)."""
-    if path not in _STATE:
+def encoder(path: str, cache_entries: int = 900_000) -> ChunkEncoder:
+    """The worker's encoder for a tokenizer file and size of cache (kept between tasks)."""
+    key = path, cache_entries
+    if key not in _STATE:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _STATE[path] = ChunkEncoder(path)
-    return _STATE[path]
+        _STATE[key] = ChunkEncoder(path, cache_entries)
+    return _STATE[key]
 
 
 def in_slices(texts, limit: int = 1 << 22):

@@ -47,3 +47,62 @@ def test_long_pieces_are_not_kept():
     for _ in range(2):
         assert enc.encode(texts) == _library(enc, texts)
         assert all(len(p) <= 8 for p in enc.pieces) and len(enc.counts) == len(enc.starts) == len(enc.pieces)
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_a_full_cache_keeps_the_pieces_met_first(file):
+    """A small cache does not cost the frequent pieces, and its size stays bounded while texts go on bringing new ones."""
+    enc = ChunkEncoder(public_tokenizers.path(file), cache_entries=60)
+    common = "the quick brown fox"
+    enc.encode([f"{common} {common}"])
+    kept = set(enc.pieces)
+    for i in range(40):
+        texts = ["".join(chr(97 + (i * 7 + j * k) % 26) for k in range(9)) + f" {common}" * (j % 2) for j in range(1, 30)]
+        assert enc.encode(texts) == _library(enc, texts)
+        assert kept <= set(enc.pieces) and len(enc.pieces) <= 60 + 2 * 29
+        assert len(enc.counts) == len(enc.starts) == len(enc.pieces) and len(enc.ids) == enc.counts.sum()
+        assert list(enc.pieces.values()) == list(range(len(enc.pieces)))
+    texts = ["".join(chr(97 + (i * j) % 26) for i in range(11)) for j in range(1, 50)]
+    enc.encode(texts)
+    enc.encode(texts[:1])  # none of the common pieces is in these runs
+    assert kept <= set(enc.pieces)
+
+
+def test_packing_holds_a_small_cache(monkeypatch):
+    """Two workers stand beside an executor's heap: a packing worker keeps far fewer pieces than it meets, and encodes short runs."""
+    import pyarrow as pa
+
+    from qplate.llm import packing
+
+    class Rows:  # hands packing's function of batches to the test
+        def select(self, *cols):
+            return self
+
+        def mapInArrow(self, cut, schema):
+            self.cut = cut
+            raise InterruptedError
+
+    runs = []
+
+    class Watched(ChunkEncoder):
+        def encode(self, texts):
+            out = super().encode(texts)
+            runs.append((sum(map(len, texts)), len(self.pieces)))
+            return out
+
+    made = {}
+    monkeypatch.setattr(packing, "encoder", lambda path, *a: made.setdefault(path, Watched(path, *a)))
+    monkeypatch.setattr(packing, "F", type("F", (), {n: staticmethod(lambda *a: Rows()) for n in ("col", "xxhash64")}))
+    Rows.cast = Rows.alias = lambda self, *a: self
+    docs = Rows()
+    with pytest.raises(InterruptedError):
+        packing.pack(docs, public_tokenizers.path(FILES[1]), end_id=1)
+
+    def word(i):
+        return "".join(chr(97 + i // 26 ** k % 26) for k in range(5))
+
+    texts = [" ".join(word(i) for i in range(a, a + 1000)) for a in range(0, 600_000, 1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(texts), pa.array([0] * 600)], names=["doc_id", "text", "th"])
+    rows = sum(b.num_rows for b in docs.cut([batch]))
+    assert rows > 600 and max(n for n, _ in runs) < 1_100_000
+    assert max(n for _, n in runs) < 500_000
