@@ -5,7 +5,8 @@ non-space characters before any merge is made (byte-level BPE: the space opens
 the next piece; word-end BPE: it is dropped).  For those, the ids of a text are
 the ids of its space-separated chunks in order, and the ids of a chunk those of
 its pieces.  Both repeat far more often than texts: the chunks of a run of
-texts are made distinct by Arrow and split into pieces once, a worker keeps the ids
+texts are made distinct by Arrow and split into pieces once (those of letters
+alone are one piece as they are), a worker keeps the ids
 of the pieces it has met, and the library only encodes new ones.  Texts with other white
 space next to a space, and other kinds of tokenizer files, are encoded whole.
 """
@@ -14,7 +15,8 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import chain, islice
+from itertools import chain, islice, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,13 @@ _L, _N = "A-Za-zÀ-ÖØ-öø-ÿ", "0-9"
 _SEEN = rf"{_L}{_N}!-/:-@\[-`{{-~"
 _PLAIN = re.compile(rf"[ \n\t{_SEEN}]*")
 _TIDY = rf"^[{_SEEN}](?:[ \n\t{_SEEN}]*[{_SEEN}])?$"  # plain, with no white space at its ends (a pattern for Arrow)
+_WORD = rf"^[{_L}]+$"  # letters alone: one piece in both kinds
 _END = "\0"  # stands behind every chunk when many are split in one call; no chunk of _PLAIN holds it
 _PIECES = {
     "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \n\t\0{_L}{_N}]+|[ \n\t]+(?![^ \n\t\0])|[ \n\t]+|\0"),
     "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^ \n\t\0{_L}{_N}]+|\0"),
 }
+_ID = attrgetter("id")
 _STATE: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
@@ -68,46 +72,55 @@ class ChunkEncoder:
     def _learn(self, new: list[str]) -> None:
         if not new:
             return
-        merge = self.model.tokenize
-        got = [[t.id for t in merge(p)] for p in _END.join(new).translate(self.alphabet).split(_END)]
+        got = list(map(self.model.tokenize, _END.join(new).translate(self.alphabet).split(_END)))
         counts = np.fromiter(map(len, got), np.int64, len(got))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), "<u4", counts.sum())])
+        self.ids = np.concatenate([self.ids, np.fromiter(map(_ID, chain.from_iterable(got)), "<u4", counts.sum())])
         self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new))))
 
-    def _plain(self, chunks: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of plain strings, each behind ``space``, end to end, and the place behind each one's."""
-        if not chunks:
-            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        joined = space + (_END + space).join(chunks) + _END
-        found = _PIECES[self.kind].findall(joined.lower() if self.kind == "word" else joined)  # a word-end file lower-cases first
-        coded = pa.array(found, pa.large_string()).dictionary_encode()
-        met = _strings(coded.dictionary)
-        new = [p for p in met if p not in self.pieces]
-        long = [p for p in new if len(p) > self.longest]
-        self._learn([p for p in new if len(p) <= self.longest] if long else new)
+    def _plain(self, words: list[str], chunks: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings of letters and then of other plain strings, each behind ``space``, end to end, and the place behind each one's."""
+        lower = self.kind == "word"  # a word-end file lower-cases first, and its pieces have no space
+        met, inside = ([w.lower() for w in words] if lower else [space + w for w in words] if space else words), None
+        if chunks:
+            joined = space + (_END + space).join(chunks) + _END
+            coded = pa.array(_PIECES[self.kind].findall(joined.lower() if lower else joined), pa.large_string()).dictionary_encode()
+            met, inside = met + _strings(coded.dictionary), coded.indices.to_numpy()
+        at = np.fromiter(map(self.pieces.get, met, repeat(-1)), np.int64, len(met))
+        unmet = np.flatnonzero(at < 0)
+        new = [met[i] for i in unmet.tolist()]
+        fresh = list(dict.fromkeys(new))
+        long = [p for p in fresh if len(p) > self.longest]
+        self._learn([p for p in fresh if len(p) <= self.longest] if long else fresh)
         n, n_ids = len(self.pieces), len(self.ids)
         self._learn(long)
-        at = np.fromiter(map(self.pieces.__getitem__, met), np.int64, len(met))[coded.indices.to_numpy()]
+        at[unmet] = np.fromiter(map(self.pieces.__getitem__, new), np.int64, len(new))
+        if inside is not None:
+            at = np.concatenate([at[:len(words)], at[len(words):][inside]])
         counts = self.counts[at]
         ids = _gather(self.ids, self.starts[at], counts)
         if long:
             for p in long:
                 del self.pieces[p]
             self.ids, self.starts, self.counts = self.ids[:n_ids], self.starts[:n], self.counts[:n]
-        return ids, np.cumsum(counts)[at == 0]
+        ends = at == 0
+        ends[:len(words)] = True
+        return ids, np.cumsum(counts)[ends]
 
-    def _chunks(self, chunks: list[str], other: list[int], space: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _chunks(self, chunks: list[str], word: np.ndarray, other: list[int], space: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of strings without a space, each behind ``space``; first place and number of each one's ids.
-        The strings at ``other`` are not plain.
+        The strings where ``word`` holds are letters alone, those at ``other`` are not plain.
         """
-        fit = np.ones(len(chunks), bool)
+        fit = ~word
         fit[other] = False
-        ids, ends = self._plain([chunks[i] for i in np.flatnonzero(fit).tolist()] if other else chunks, space)
+        order = np.concatenate([np.flatnonzero(word), np.flatnonzero(fit)])
+        plain = [chunks[i] for i in order.tolist()]
+        n = int(word.sum())
+        ids, ends = self._plain(plain[:n], plain[n:], space)
         starts, counts = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
-        counts[fit] = np.diff(ends, prepend=0)
-        starts[fit] = ends - counts[fit]
+        counts[order] = np.diff(ends, prepend=0)
+        starts[order] = ends - counts[order]
         if other:
             got = [e.ids for e in self.tokenizer.encode_batch([space + chunks[i] for i in other], add_special_tokens=False)]
             counts[other] = [len(g) for g in got]
@@ -133,7 +146,10 @@ class ChunkEncoder:
             first = parts.offsets.to_numpy().astype(np.int64)
             coded = parts.values.dictionary_encode()
             chunks, code = _strings(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
-            rest = np.flatnonzero(~pc.match_substring_regex(coded.dictionary, _TIDY).to_numpy(zero_copy_only=False)).tolist()
+            word = pc.match_substring_regex(coded.dictionary, _WORD).to_numpy(zero_copy_only=False)
+            mixed = np.flatnonzero(~word)
+            tidy = pc.match_substring_regex(coded.dictionary.take(pa.array(mixed)), _TIDY).to_numpy(zero_copy_only=False)
+            rest = mixed[~tidy].tolist()
             # white space beside a space: a chunk that starts or ends with it, away from that end of the text
             blank = np.zeros(len(chunks), bool)
             blank[rest] = [c[:1].isspace() or c[-1:].isspace() for c in map(chunks.__getitem__, rest)]
@@ -142,12 +158,12 @@ class ChunkEncoder:
                 i, c = int(np.searchsorted(first, k, "right")) - 1, chunks[code[k]]
                 beside[i] |= k > first[i] and c[0].isspace() or k < first[i + 1] - 1 and c[-1].isspace()
             other = [i for i in rest if not _PLAIN.fullmatch(chunks[i])]
-            ids, starts, counts = self._chunks(chunks, other, " ")
+            ids, starts, counts = self._chunks(chunks, word, other, " ")
             opening = code[first[:-1]]  # a text's first chunk has no space before it
             heads, place = np.unique(opening, return_inverse=True)
             code[first[:-1]] = len(chunks) + place
             opening = [chunks[c] for c in heads.tolist()]
-            head_ids, head_starts, head_counts = self._chunks(opening, [i for i, c in enumerate(opening) if not _PLAIN.fullmatch(c)], "")
+            head_ids, head_starts, head_counts = self._chunks(opening, word[heads], [i for i, c in enumerate(opening) if not _PLAIN.fullmatch(c)], "")
             head_starts += len(ids)
             ids, starts, counts = (np.concatenate(p) for p in ((ids, head_ids), (starts, head_starts), (counts, head_counts)))
             counts = counts[code]

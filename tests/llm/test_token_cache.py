@@ -106,3 +106,28 @@ def test_packing_holds_a_small_cache(monkeypatch):
     rows = sum(b.num_rows for b in docs.cut([batch]))
     assert rows > 600 and max(n for n, _ in runs) < 1_100_000
     assert max(n for _, n in runs) < 500_000
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_chunks_of_letters_are_not_split_again(file, monkeypatch):
+    """A chunk of letters alone is one piece as it stands; only the others go through the pattern of pieces."""
+    from qplate.llm import tokenization
+
+    enc, seen = ChunkEncoder(public_tokenizers.path(file)), []
+
+    class Watched:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def findall(self, text):
+            seen.append(text)
+            return self.pattern.findall(text)
+
+    monkeypatch.setattr(tokenization, "_PIECES", {k: Watched(p) for k, p in tokenization._PIECES.items()})
+    texts = ["Der der DER Öl öl", "the Quick é brown fox, don't", "a" * 100 + " " + "B" * 100 + " b", "ÿ×ÿ a÷b x1", "ª µ āb", ""]
+    for _ in range(2):
+        assert enc.encode(texts) == _library(enc, texts)
+        assert enc.encode(texts[:1]) == _library(enc, texts[:1])
+    split = "".join(seen).lower()
+    assert "fox," in split and "don't" in split and "x1" in split
+    assert not any(w in split for w in ("der", "öl", "quick", "brown", "aaa", "bbb"))
